@@ -1,0 +1,6 @@
+"""Queries over the provided tables, one per operator, with DuckDB SQL for the same rows."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
