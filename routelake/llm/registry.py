@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from routelake.llm import exact_dedup
+from routelake.llm import exact_dedup, toxicity
 
 QUERIES = {
+    "op3_toxicity": toxicity.query,
     "op6_exact_dedup": exact_dedup.query,
 }
 ORACLES = {
