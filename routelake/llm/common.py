@@ -5,7 +5,7 @@ from __future__ import annotations
 import zlib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space, the only separator that the contracts know.
@@ -34,3 +34,32 @@ def texts(column: pd.Series) -> list[str]:
 
 def crc(data: bytes) -> int:
     return zlib.crc32(data) & 0xFFFFFFFF
+
+
+#: Rows that a task sorts and numbers in one group at most, on average.
+RUN_ROWS = 50_000
+
+
+def spread(*columns: Column) -> Column:
+    """A uniform 128-bit order, as 32 hex digits, that depends on the values alone."""
+    return F.md5(F.concat_ws("\x1f", *[F.coalesce(c.cast("string"), F.lit("\x1e")) for c in columns]))
+
+
+def running(df: DataFrame, keys: list[str], order: str, ties: list[str], value: Column, out: str, rows: int) -> DataFrame:
+    """``df`` with ``out``: the sum of ``value`` over the rows of the same keys before and with this one.
+
+    ``order`` holds ``spread`` digits.  They are cut into ranges so that no range holds more
+    than about RUN_ROWS of the ``rows``: ranges are summed up, their sums run up in a table
+    as small as there are ranges, and only the rows of one key and range are sorted together.
+    A key that holds most of the rows is so dealt over many tasks.
+    """
+    ranges = max(1, -(-rows // RUN_ROWS))
+    at = F.floor(F.conv(F.substring(order, 1, 8), 16, 10).cast("long") * ranges / F.lit(2.0**32)).cast("int")
+    dealt = df.withColumn("_range", at).withColumn("_value", value)
+    nulls = [F.coalesce(F.col(k).cast("string"), F.lit("\x1e")) for k in keys]
+    dealt = dealt.withColumn("_key", F.concat_ws("\x1f", *nulls) if keys else F.lit(""))
+    sums = dealt.groupBy("_key", "_range").agg(F.sum("_value").alias("_sum"))
+    before = sums.withColumn("_before", F.sum("_sum").over(Window.partitionBy("_key").orderBy("_range")) - F.col("_sum")).drop("_sum")
+    within = Window.partitionBy("_key", "_range").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = dealt.withColumn("_own", F.sum("_value").over(within)).join(before, ["_key", "_range"])
+    return summed.withColumn(out, F.col("_before") + F.col("_own")).drop("_key", "_range", "_value", "_own", "_before")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from routelake.llm import exact_dedup, toxicity
+from routelake.llm import exact_dedup, language_id, mixing, toxicity
 
 QUERIES = {
     "op3_toxicity": toxicity.query,
+    "op5_language_id": language_id.query,
     "op6_exact_dedup": exact_dedup.query,
+    "op8_mixing": mixing.query,
 }
 ORACLES = {
     "op6_exact_dedup": exact_dedup.ORACLE,
+    "op8_mixing": mixing.ORACLE,
 }
