@@ -63,3 +63,22 @@ def running(df: DataFrame, keys: list[str], order: str, ties: list[str], value:
     within = Window.partitionBy("_key", "_range").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = dealt.withColumn("_own", F.sum("_value").over(within)).join(before, ["_key", "_range"])
     return summed.withColumn(out, F.col("_before") + F.col("_own")).drop("_key", "_range", "_value", "_own", "_before")
+
+
+#: A join key is hot if more than this share of the rows carry it, so there are fewer than 1 / HOT_KEY of them.
+HOT_KEY = 1 / 256
+
+
+def split_join(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """Left join of ``rows`` with ``facts``, which has one short row for each key.
+
+    The facts of hot keys, fewer than 1 / HOT_KEY of them, are broadcast, so that their rows
+    stay where they are; all other rows take the shuffle.  ``rows`` is read more than once.
+    """
+    counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    total = rows.agg(F.count("*").alias("_all"))
+    hot = counts.join(F.broadcast(total), F.expr(f"_n > 1 and _n > _all * {HOT_KEY!r}")).select(F.col(key).alias("_hot"))
+    marked = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
+    few = facts.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left_semi")
+    warm = marked.where("_hot is not null").drop("_hot").join(F.broadcast(few), key, "left")
+    return warm.unionByName(marked.where("_hot is null").drop("_hot").join(facts, key, "left"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from routelake.llm import exact_dedup, language_id, mixing, toxicity
+from routelake.llm import exact_dedup, language_id, media, mixing, sharding, toxicity
 
 QUERIES = {
     "op3_toxicity": toxicity.query,
+    "op4_sharding": sharding.query,
     "op5_language_id": language_id.query,
     "op6_exact_dedup": exact_dedup.query,
+    "op7_media": media.query,
     "op8_mixing": mixing.query,
 }
 ORACLES = {
