@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from routelake.llm import exact_dedup, language_id, media, mixing, sharding, toxicity
+from routelake.llm import exact_dedup, language_id, media, mixing, sharding, token_store, toxicity
 
 QUERIES = {
+    "op1_token_store": token_store.query,
     "op3_toxicity": toxicity.query,
     "op4_sharding": sharding.query,
     "op5_language_id": language_id.query,
