@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from routelake.llm import exact_dedup, language_id, media, mixing, sharding, token_store, toxicity
+from routelake.llm import exact_dedup, language_id, media, mixing, packing, quality, sharding, token_store, toxicity
 
 QUERIES = {
     "op1_token_store": token_store.query,
+    "op2_packing": packing.query,
     "op3_toxicity": toxicity.query,
     "op4_sharding": sharding.query,
     "op5_language_id": language_id.query,
     "op6_exact_dedup": exact_dedup.query,
     "op7_media": media.query,
     "op8_mixing": mixing.query,
+    "op9_quality": quality.query,
 }
 ORACLES = {
     "op6_exact_dedup": exact_dedup.ORACLE,
