@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from routelake.llm import exact_dedup, language_id, media, mixing, packing, quality, sharding, token_store, toxicity
+from routelake.llm import exact_dedup, jaccard_join, language_id, media, mixing, packing, quality, sharding, token_store, toxicity
 
 QUERIES = {
     "op1_token_store": token_store.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_media": media.query,
     "op8_mixing": mixing.query,
     "op9_quality": quality.query,
+    "op10_jaccard_join": jaccard_join.query,
 }
 ORACLES = {
     "op6_exact_dedup": exact_dedup.ORACLE,
