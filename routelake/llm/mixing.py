@@ -9,7 +9,7 @@ that every source is served in proportion to its weight to within one document.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from routelake.llm.common import documents, running, spread
@@ -122,12 +122,33 @@ def mix(docs: DataFrame) -> DataFrame:
     return taken.select("doc_id", "source", "round", "size", "finish", "order").repartitionByRange(n, "finish", "order").sortWithinPartitions("finish", "order", "round")
 
 
-def account(docs: DataFrame) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, size, source_size, target, taken."""
+def mixed(docs: DataFrame) -> DataFrame:
+    """``docs`` with each row as often as the mix takes it, 0 to ROUNDS times; its columns as they were.
+
+    Rows that repeat an id are taken as often together as the mix takes rows of that id and source;
+    which of them is left out where only some are, is undefined.
+    """
+    verdict = account(docs, repeats=True)
+    id_, source, size = F.col("doc_id"), F.col("source"), F.col("size")
+    counts = verdict.groupBy(id_.alias("_id"), source.alias("_source"), size.alias("_size")).agg(F.sum("repeats").alias("_all"), F.count("*").alias("_rows"))
+    sized = docs.withColumn("_words", word_count(F.col("text")))
+    joined = sized.join(counts, id_.eqNullSafe(F.col("_id")) & source.eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size")))
+    if counts.where("_rows > 1").limit(1).count():
+        place = F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy(F.xxhash64("text")))
+        times = F.floor(F.col("_all") / F.col("_rows")) + F.when(place <= F.col("_all") % F.col("_rows"), 1).otherwise(0)
+    else:
+        times = F.col("_all")
+    return joined.withColumn("_times", times.cast("int")).where("_times > 0").withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_times")))).select(*docs.columns)
+
+
+def account(docs: DataFrame, repeats: bool = False) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, size, source_size, target, taken; and source and repeats if asked for."""
     queued, budget = queue(docs)
     last = cut_off(queued, budget)
-    taken = sum((F.when(_within(F.lit(i), last), F.col("size")).otherwise(F.lit(0)) for i in range(ROUNDS)), F.lit(0).cast("long"))
-    return queued.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    times = sum((F.when(_within(F.lit(i), last), 1).otherwise(0) for i in range(ROUNDS)), F.lit(0)).cast("long")
+    own = queued.withColumn("repeats", times)
+    found = own.select("doc_id", "size", "source_size", "target", (F.col("repeats") * F.col("size")).alias("taken"), "source", "repeats")
+    return found if repeats else found.drop("source", "repeats")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
