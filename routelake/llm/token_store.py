@@ -29,6 +29,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -141,68 +143,78 @@ def decode_block(table: Table, n: int, lanes: int, states: bytes, positions: byt
     return out
 
 
+#: White space other than the space and the line feed (and one that older tables call so).
+RARE_SPACE = [chr(c) for c in (9, 11, 12, 13, 28, 29, 30, 31)]
+WIDE_SPACE = [chr(c) for c in (0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+
+
+def plain(text: str) -> bool:
+    """Whether each space stands between two characters that are no white space, so that the
+    tokenizer's own splitting starts a new piece at every space."""
+    if not text or text[0].isspace() or text[-1].isspace() or "  " in text or " \n" in text or "\n " in text:
+        return False
+    return not any(c in text for c in (RARE_SPACE if text.isascii() else RARE_SPACE + WIDE_SPACE))
+
+
 class Encoder:
-    """Ids of whole texts.  Texts whose white space is single spaces between words are encoded by
-    the distinct pieces that start at a space, which the tokenizer's own splitting never joins;
-    all other texts are encoded as they are.  Keeps up to ``most`` pieces."""
+    """Ids of whole texts.  Of ``plain`` texts the distinct pieces that start at a space are
+    encoded once for all texts of a call; all other texts are encoded as they are."""
+
+    PIECES = 20_000
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.most = most
-        self._reset()
-
-    def _reset(self) -> None:
-        self.index: dict[str, int] = {}
-        self.flat = np.empty(1 << 16, dtype=np.uint32)
-        self.ends = np.zeros(1 << 16, dtype=np.int64)
-        self.used = 0
-
-    def _add(self, pieces: list[str]) -> None:
-        for piece, ids in zip(pieces, self.whole(pieces), strict=True):
-            n = len(self.index)
-            if n + 2 > len(self.ends):
-                self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-            self.ends[n + 1] = self.used
-            self.index[piece] = n
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    @staticmethod
-    def pieces(text: str) -> list[str] | None:
-        """The text cut before each single space between words; None if it has other runs with a space."""
-        words = text.split(" ")
-        if any(not w or w[0].isspace() or w[-1].isspace() for w in words) or "᠎" in text:
-            return None
-        return [words[0], *[" " + w for w in words[1:]]]
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces, one after another, and how many each has."""
+        ids, sizes = [], []
+        for lo in range(0, len(pieces), self.PIECES):
+            own = pieces[lo : lo + self.PIECES]
+            coded = self.tokenizer.encode(own, is_pretokenized=True, add_special_tokens=False)
+            ids.append(np.array(coded.ids, dtype=np.uint32))
+            sizes.append(np.bincount(np.array(coded.word_ids, dtype=np.int32), minlength=len(own)).astype(np.int32))
+        return np.concatenate(ids), np.concatenate(sizes)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, without an end id."""
-        if len(self.index) > self.most:
-            self._reset()
-        cut = [self.pieces(text) if text else [] for text in texts]
-        unseen = {p for pieces in cut if pieces for p in pieces if p not in self.index}
-        self._add(sorted(unseen))
-        rest = iter(self.whole([t for t, pieces in zip(texts, cut, strict=True) if pieces is None]))
-        out = []
-        for pieces in cut:
-            if pieces is None:
-                out.append(np.array(next(rest), dtype=np.uint32))
-            elif not pieces:
-                out.append(np.empty(0, dtype=np.uint32))
-            else:
-                at = np.fromiter(map(self.index.__getitem__, pieces), dtype=np.int64, count=len(pieces))
-                begin, size = self.ends[at], self.ends[at + 1] - self.ends[at]
-                shift = np.repeat(begin - (np.cumsum(size) - size), size)
-                out.append(self.flat[shift + np.arange(int(size.sum()))])
+        by_piece = [plain(text) for text in texts]
+        out: list[np.ndarray] = [np.empty(0, dtype=np.uint32)] * len(texts)
+        odd = [i for i, simple in enumerate(by_piece) if not simple and texts[i]]
+        for i, ids in zip(odd, self.whole([texts[i] for i in odd]), strict=True):
+            out[i] = np.array(ids, dtype=np.uint32)
+        simple = [i for i, x in enumerate(by_piece) if x]
+        if not simple:
+            return out
+        split = pc.split_pattern(pa.array([texts[i] for i in simple], pa.large_string()), " ")
+        starts = split.offsets.to_numpy()
+        words = split.flatten()
+        coded = words.dictionary_encode()
+        codes = coded.indices.to_numpy().copy()
+        led = [" " + w for w in coded.dictionary.to_pylist()]
+        first = words.take(pa.array(starts[:-1])).dictionary_encode()  # a text's first word has no space before it
+        codes[starts[:-1]] = first.indices.to_numpy() + np.int32(len(led))
+        led += first.dictionary.to_pylist()
+        del split, words, coded
+        flat, sizes = self._pieces(led)
+        del led
+        flat = flat.astype(np.uint16 if flat.max(initial=0) < 1 << 16 else np.uint32)
+        begins = np.cumsum(sizes, dtype=np.int64) - sizes
+        for lo in range(0, len(simple), 256):  # the ids of some texts at a time
+            bounds = starts[lo : lo + 257]
+            own = codes[bounds[0] : bounds[-1]]
+            size = sizes[own]
+            ends = np.cumsum(size)
+            ids = flat[np.repeat(begins[own] - (ends - size), size) + np.arange(ends[-1])]
+            cuts = ends[bounds[1:] - bounds[0] - 1]
+            for i, part in zip(simple[lo : lo + 256], np.split(ids, cuts[:-1]), strict=True):
+                out[i] = part
         return out
 
 
@@ -252,11 +264,11 @@ def _writer(path: str):
             at = 0
             while at < len(strings):
                 end, size = at, 0
-                while end < len(strings) and size < 4 << 20:
+                while end < len(strings) and size < RANGE_BYTES:
                     size += len(strings[end])
                     end += 1
                 for key, ids in zip(keys[at:end], coder.encode(strings[at:end]), strict=True):
-                    waiting.append((key, np.append(ids, np.uint32(END)).astype(np.uint16 if ids.max(initial=0) < 1 << 16 else np.uint32)))
+                    waiting.append((key, np.append(ids, np.array([END], dtype=ids.dtype))))
                     n += len(ids) + 1
                     if n >= SEGMENT_IDS:
                         for row in segment_rows(part, segment, waiting):
