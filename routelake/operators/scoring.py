@@ -20,7 +20,7 @@ def router_tokens(text: Column, char_ngrams: tuple[int, int] | None = None) -> C
         joined = F.array_join(words, " ")
         for size in range(char_ngrams[0], char_ngrams[1] + 1):
             starts = F.when(F.length(joined) >= size, F.sequence(F.lit(1), F.length(joined) - size + 1)).otherwise(F.array().cast("array<int>"))
-            grams = F.transform(starts, lambda i, size=size: F.substr(joined, i, F.lit(size)))
+            grams = F.transform(starts, _cut(joined, size))
             parts.append(F.transform(F.filter(grams, lambda g: ~g.contains(" ")), lambda g: F.concat(F.lit("char:"), g)))
 
     def feature(name: str, condition: Column, times: int = 2) -> Column:
@@ -33,6 +33,10 @@ def router_tokens(text: Column, char_ngrams: tuple[int, int] | None = None) -> C
     return F.when(flat == "", F.array().cast("array<string>")).otherwise(F.concat(*parts))
 
 
+def _cut(text: Column, size: int):
+    return lambda start: F.substr(text, start, F.lit(size))
+
+
 def token_counts(prompts: DataFrame, id_col: str, tokens: str) -> DataFrame:
     """id, token, n: one row for each distinct token of a prompt."""
     return prompts.select(id_col, F.explode(tokens).alias("token")).groupBy(id_col, "token").agg(F.count("*").alias("n"))

@@ -22,6 +22,8 @@ def scratch_dir(spark: SparkSession) -> str:
 
 #: Removes a query's shuffle files once it has ended.
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows that a Python function gets at a time: texts can be long.
+BATCH_ROWS, MOST_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -32,10 +34,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEAN_UP, "false")
-    spark.conf.set(CLEAN_UP, "true")
+    held = {CLEAN_UP: "true", BATCH_ROWS: str(min(MOST_ROWS, int(spark.conf.get(BATCH_ROWS, "10000"))))}
+    before = {key: spark.conf.get(key, None) for key in held}
+    for key, value in held.items():
+        spark.conf.set(key, value)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEAN_UP, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(path)
