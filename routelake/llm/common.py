@@ -27,6 +27,15 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "utf-8")) % FOLDS == 0, F.lit(False))
 
 
+def packed(docs: DataFrame, **named: Column) -> DataFrame:
+    """The rows whole, as ``_row``, beside the named columns, so that no name of theirs can clash; ``unpacked`` undoes it."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *[v.alias(k) for k, v in named.items()])
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    return rows.select("_row.*")
+
+
 def texts(column: pd.Series) -> list[str]:
     """The column's strings, null as empty."""
     return [x if isinstance(x, str) else "" for x in column]

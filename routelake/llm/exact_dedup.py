@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from routelake.llm.common import SPACE, documents
+from routelake.llm.common import SPACE, documents, packed, unpacked
 from routelake.session import staged
 
 #: Counters in the summary, and the most digests that are broadcast (about 100 bytes each).
@@ -61,11 +61,11 @@ def surviving(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """
     verdict = deduplicate(docs.select(id_col, text_col), id_col, text_col)
     kept = verdict.where("kept").groupBy(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_digest")).agg(F.count("*").alias("_rows"))
-    own = docs.withColumn("_own", F.sha2(F.encode(normalised(F.col(text_col)), "utf-8"), 256))
-    rows = own.join(kept, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest")), "left_semi")
+    own = packed(docs, _own=F.sha2(F.encode(normalised(F.col(text_col)), "utf-8"), 256), _own_id=F.col(id_col))
+    rows = own.join(kept, F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest")), "left_semi")
     # The texts move a second time only where some id and text do repeat.
     repeated = kept.where("_rows > 1").limit(1).count() > 0
-    return (rows.dropDuplicates([id_col, "_own"]) if repeated else rows).drop("_own")
+    return unpacked(rows.dropDuplicates(["_own_id", "_own"]) if repeated else rows)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

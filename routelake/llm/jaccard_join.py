@@ -12,12 +12,17 @@ never compared; a class stands for all its copies.
 2. Pivots.  In each region the class with the smallest number is the pivot, and all others
    are compared with it, which settles groups of near copies with as many comparisons as
    they have members.
-3. Recursion.  A region whose classes are all connected is finished, since only the
-   components are asked for.  A small one compares its unconnected pairs.  A large one takes a
-   new pivot: the classes within the threshold of it and those beyond it become regions of
-   their own; classes beyond it but within twice the threshold may link across the border,
-   so they are replicated into a third region with those classes inside that the triangle
-   inequality does not rule out.  All regions shrink, and none is capped.
+3. Regions again.  A region whose classes are all connected is finished, since only the
+   components are asked for.  In a small region the unconnected pairs are compared.  Large
+   regions that share classes are joined into one, which gets a pivot of its own: rings of
+   its classes by their distance from the pivot, cut into blocks, are the new regions.  The
+   classes outside the largest component are replicated into all rings that the triangle
+   inequality leaves them, and are compared there with all others, block by block.  So
+   every pair that could still connect two components is compared; nothing is capped.
+
+Voronoi cells of several pivots were tried first: in a group of near copies all cells lie
+within the boundary windows of all others, so that every cell gets every document.  Rings
+around one pivot are the cells that the same inequality gives for one pivot.
 
 A pair is compared first by its seeds, which bound the overlap from above, and only if that
 leaves a chance by its whole sets.  Shingles are 64-bit hashes of five words; classes are told
@@ -44,9 +49,12 @@ PERCENT = 80
 #: Frequent shingles that come last in the order; the order of all others is that of their hashes.
 HEAVY = 50_000
 #: Regions of at most so many classes compare their unconnected pairs at once.
-LEAF = 24
-CHUNK = 1 << 21
-LOCAL = 1 << 22
+LEAF = 64
+#: Width of a ring as a distance, and classes in a block of one, on average.
+RING, BLOCK = 0.05, 256
+#: Characters hashed at a time, and shingles counted together in a task.
+CHUNK = 1 << 19
+LOCAL = 1 << 21
 
 _random = np.random.default_rng(20_250_101)
 _BYTE = _random.integers(1, 1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -115,7 +123,7 @@ def chunked(strings: list[str]) -> Iterator[tuple[int, np.ndarray]]:
     at = 0
     while at < len(strings):
         end, size = at, 0
-        while end < len(strings) and (end == at or size + len(strings[end]) < CHUNK // 2):
+        while end < len(strings) and (end == at or size + len(strings[end]) < CHUNK):
             size += len(strings[end])
             end += 1
         yield from enumerate(shingle_sets(strings[at:end]), at)
@@ -227,27 +235,13 @@ def _measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["a", "b", "shared", "joint"])
 
 
-FILTER_BITS = 1 << 23
+#: Rows of one number that are broadcast at most; more are joined by a shuffle.
+FEW = 500_000
 
 
-def _bitmap(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of fixed size over a column of numbers; it may let more pass, never less."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-        for batch in batches:
-            at = _places(batch.iloc[:, 0].to_numpy())
-            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        yield pd.DataFrame({"bits": [bits.tobytes()]})
-
-    found = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-    for r in ids.coalesce(8).mapInPandas(run, "bits binary").collect():
-        found |= np.frombuffer(r["bits"], dtype=np.uint8)
-    return found
-
-
-def _places(ids: np.ndarray) -> np.ndarray:
-    return (_mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
+def _chosen(ids: DataFrame) -> DataFrame:
+    """``ids`` (staged, one number a row), to be broadcast if there are few enough."""
+    return F.broadcast(ids) if ids.count() <= FEW else ids
 
 
 class Space:
@@ -277,33 +271,30 @@ class Space:
         """Members of the seeds' regions that have two classes or more, as (seed, sid, n), and pairs with the pivots."""
         members = self.seeds.select(F.explode("seeds").alias("seed"), "sid", "n")
         rare, common = members.where("seed >= 0"), members.where("seed < 0")  # places from 2**63 on are negative
-        dealt = rare.repartition("seed")
+        dealt = rare.repartition("seed")  # shuffled once, for the pivots and for the join with them
         pivots = dealt.groupBy("seed").agg(F.min(F.struct("sid", "n")).alias("low"), F.max("sid").alias("high")).where("low.sid <> high").select("seed", F.col("low.sid").alias("pivot"), F.col("low.n").alias("pivot_n"))
         found = dealt.join(pivots, "seed")
         # A frequent seed's rows stay where they are: its pivot, one of at most HEAVY, is broadcast.
         few = common.groupBy("seed").agg(F.min(F.struct("sid", "n")).alias("low"), F.max("sid").alias("high")).where("low.sid <> high").select("seed", F.col("low.sid").alias("pivot"), F.col("low.n").alias("pivot_n"))
         both = staged(found.unionByName(common.join(F.broadcast(few), "seed")), "jaccard-regions")
         pairs = both.where(F.col("sid") != F.col("pivot")).where(near("n", "pivot_n")).select(F.col("pivot").alias("a"), F.col("sid").alias("b")).distinct()
-        return both.select(F.col("seed").alias("region"), "sid", "n"), pairs
-
-    def compare(self, pairs: DataFrame, bounded: bool = True) -> DataFrame:
-        """a, b, shared, joint of the pairs of class numbers; with ``bounded``, only of those that their seeds let link."""
-        if bounded:
-            ends = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-            seeds = staged(self.seeds.join(ends, "sid", "left_semi").dropDuplicates(["sid"]), "jaccard-compared")
-            other = seeds.select(F.col("sid").alias("b"), F.col("n").alias("other_n"), F.col("seeds").alias("other_seeds"))
-            pairs = staged(pairs.join(other, "b").join(seeds.withColumnRenamed("sid", "a"), "a").mapInPandas(_bounded, "a long, b long"), "jaccard-bounded")
+        return both.select(F.col("seed").alias("region"), "sid", "n").distinct(), pairs
+
+    def sets(self, sids: DataFrame) -> DataFrame:
+        """sid, shingles (sorted, as bytes) of the classes with these numbers, from their first documents' texts."""
+        ends = staged(self.classes.join(sids.distinct(), "sid", "left_semi").select("sid", "first_id"), "jaccard-ends")
+        firsts = _chosen(staged(ends.select("first_id").distinct(), "jaccard-firsts"))
+        chosen = self.docs.join(firsts, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
+        found = chosen.mapInPandas(_sets, "sid long, shingles binary")
+        return staged(found.join(ends.select("sid").distinct(), "sid", "left_semi").dropDuplicates(["sid"]), "jaccard-sets")
+
+    def compare(self, pairs: DataFrame) -> DataFrame:
+        """a, b, shared, joint of those pairs of class numbers that their seeds let link."""
         ends = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-        firsts = staged(self.classes.join(ends, "sid", "left_semi").select("first_id"), "jaccard-firsts")
-        bits = self.docs.sparkSession.sparkContext.broadcast(_bitmap(firsts.where("first_id is not null")))
-
-        def wanted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                at = _places(batch["doc_id"].fillna(0).to_numpy())
-                yield batch[(bits.value[at >> 3] >> (at & 7) & 1).astype(bool) | batch["doc_id"].isna().to_numpy()]
-
-        chosen = self.docs.mapInPandas(wanted, self.docs.schema).join(firsts.distinct(), F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
-        sets = staged(chosen.mapInPandas(_sets, "sid long, shingles binary").join(ends, "sid", "left_semi").dropDuplicates(["sid"]), "jaccard-sets")
+        seeds = staged(self.seeds.join(_chosen(staged(ends, "jaccard-ends")), "sid", "left_semi").dropDuplicates(["sid"]), "jaccard-compared")
+        other = seeds.select(F.col("sid").alias("b"), F.col("n").alias("other_n"), F.col("seeds").alias("other_seeds"))
+        pairs = staged(pairs.join(other, "b").join(seeds.withColumnRenamed("sid", "a"), "a").mapInPandas(_bounded, "a long, b long"), "jaccard-bounded")
+        sets = self.sets(pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))))
         other = sets.select(F.col("sid").alias("b"), F.col("shingles").alias("other"))
         return staged(pairs.join(other, "b").join(sets.withColumnRenamed("sid", "a"), "a").mapInPandas(_measured, "a long, b long, shared long, joint long"), "jaccard-measured")
 
@@ -317,41 +308,75 @@ def linked():
     return F.expr(f"100 * shared >= {PERCENT} * joint")
 
 
+def _connect(key, members: pd.DataFrame, outside: pd.DataFrame) -> pd.DataFrame:
+    """Links of the classes ``outside`` with ``members`` of other components, one for each component at most."""
+    found = []
+    if len(members) and len(outside):
+        sets = [np.frombuffer(x, dtype="<u8") for x in members["shingles"]]
+        sizes = np.array([len(x) for x in sets])
+        every = np.concatenate(sets)
+        order = np.argsort(every, kind="stable")
+        every, owner = every[order], np.repeat(np.arange(len(sets)), sizes)[order]
+        sids, components = members["sid"].to_numpy(), members["component"].to_numpy()
+        for sid, component, raw in zip(outside["sid"], outside["component"], outside["shingles"], strict=True):
+            own = np.frombuffer(raw, dtype="<u8")
+            lo = np.searchsorted(every, own, side="left")
+            n = np.searchsorted(every, own, side="right") - lo
+            hits = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            shared = np.bincount(owner[hits], minlength=len(sets))
+            good = (100 * shared >= PERCENT * (sizes + len(own) - shared)) & (components != component)
+            _, first = np.unique(components[good], return_index=True)
+            found += [(sid, other) for other in sids[good][first]]
+    return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+
+
+def across(space: Space, large: DataFrame) -> DataFrame:
+    """Links that connect different components among the classes of large regions (region, sid, component)."""
+    bound = connected_components(large.select(F.col("sid").alias("a"), F.xxhash64("region", F.lit("region")).alias("b")).distinct(), name="jaccard-bound")
+    classes = large.select("sid", "component").distinct().join(bound.select(F.col("node").alias("sid"), F.col("component").alias("area")), "sid")
+    sizes = classes.groupBy("area", "component").agg(F.count("*").alias("k"))
+    most = sizes.groupBy("area").agg(F.max(F.struct("k", "component")).alias("most"), F.sum("k").alias("k")).select("area", F.col("most.component").alias("largest"), (F.col("k") > BLOCK).alias("wide"))
+    pivots = classes.groupBy("area").agg(F.min("sid").alias("pivot"))
+    placed = staged(classes.join(most, "area").join(pivots, "area"), "jaccard-placed")
+    sets = space.sets(placed.select("sid"))
+    # An area of one block needs no rings: all its classes are in one.
+    wide = placed.where("wide")
+    centre = sets.join(wide.select(F.col("pivot").alias("sid")).distinct(), "sid").select(F.col("sid").alias("a"), F.col("shingles").alias("other"))
+    met = wide.select(F.col("pivot").alias("a"), F.col("sid").alias("b")).join(sets.withColumnRenamed("sid", "b"), "b").join(centre, "a")
+    met = met.mapInPandas(_measured, "a long, b long, shared long, joint long").select(F.col("b").alias("sid"), ((F.col("joint") - F.col("shared")) / F.col("joint")).alias("distance"))
+    ringed = staged(placed.join(met, "sid", "left").withColumn("distance", F.coalesce("distance", F.lit(0.0))).withColumn("ring", F.floor(F.col("distance") / RING).cast("int")), "jaccard-rings")
+    # Blocks of each ring, and parts of the classes outside the largest component.
+    rings = ringed.groupBy("area", "ring").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    parts = ringed.where("component <> largest").groupBy("area").agg(F.ceil(F.count("*") / (4 * BLOCK)).cast("int").alias("parts"))
+    spread = ringed.join(rings, ["area", "ring"]).join(parts, "area")
+    members = spread.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    reach = (100 - PERCENT) / 100 + 1e-9
+    outside = ringed.where("component <> largest").join(parts, "area").withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
+    windows = outside.withColumn("ring", F.explode(F.sequence(F.floor((F.col("distance") - reach) / RING).cast("int"), F.floor((F.col("distance") + reach) / RING).cast("int"))))
+    windows = windows.join(rings, ["area", "ring"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    key = ["area", "ring", "block", "part"]
+    left = members.select(*key, "sid", "component").join(sets, "sid").groupBy(*key)
+    right = windows.select(*key, "sid", "component").join(sets, "sid")
+    right = right.select(*[F.col(c).alias(c) for c in right.columns]).groupBy(*key)  # columns of its own, for the analyzer
+    return staged(left.cogroup(right).applyInPandas(_connect, "a long, b long"), "jaccard-across")
+
+
 def links(space: Space) -> DataFrame:
     """Links between classes, enough to connect all that are connected: a, b."""
     regions, pairs = space.regions()
     found = space.compare(pairs).where(linked()).select("a", "b")
-    turn = 0
-    while True:
-        label = connected_components(found, name="jaccard-components").select(F.col("node").alias("sid"), F.col("component"))
-        named = regions.join(label, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-        spread = named.groupBy("region").agg(F.countDistinct("sid").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("region", "size")
-        left = staged(named.join(spread, "region").distinct(), f"jaccard-left-{turn}")
-        x, y = left.where(F.col("size") <= LEAF).alias("x"), left.where(F.col("size") <= LEAF).alias("y")
-        small = x.join(y, "region").where("x.sid < y.sid and x.component <> y.component").where(near("x.n", "y.n")).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
-        new = [space.compare(small).where(linked()).select("a", "b")]
-        large = left.where(F.col("size") > LEAF)
-        if not large.limit(1).count():
-            return found.unionByName(new[0])
-        # A region that repeats another's classes is dropped by its classes' sum of hashes.
-        same = large.groupBy("region").agg(F.sum(F.xxhash64("sid").cast("decimal(38,0)")).alias("print"), F.count("*").alias("k"), F.min(F.struct(F.xxhash64("sid", F.lit(turn)), F.col("sid"), F.col("n"))).alias("p"))
-        kept = same.groupBy("print", "k").agg(F.min("region").alias("region"), F.min("p").alias("p")).select("region", F.col("p.sid").alias("pivot"), F.col("p.n").alias("pivot_n"))
-        split = staged(large.join(kept, "region").where("sid <> pivot"), f"jaccard-split-{turn}")
-        reach = max(0, 2 * PERCENT - 100)
-        met = space.compare(split.where(near("n", "pivot_n", reach)).select(F.col("pivot").alias("a"), F.col("sid").alias("b")).distinct(), bounded=False)
-        new.append(met.where(linked()).select("a", "b"))
-        far = F.col("joint") - F.col("shared")
-        seen = split.join(met.select(F.col("a").alias("pivot"), F.col("b").alias("sid"), "shared", "joint"), ["pivot", "sid"], "left")
-        # Distances in whole parts per million, rounded so that no pair is ruled out wrongly.
-        seen = seen.withColumn("low", F.coalesce(F.floor(far * 1_000_000 / F.col("joint")), F.lit(1_000_000))).withColumn("high", F.coalesce(F.ceil(far * 1_000_000 / F.col("joint")), F.lit(1_000_000))).withColumn("inside", F.coalesce(linked(), F.lit(False)))
-        width = 10_000 * (100 - PERCENT)
-        beyond = seen.where("not inside").select(F.xxhash64("region", F.lit(2 * turn)).alias("region"), "sid", "n")
-        border = seen.where(F.expr(f"not inside and low <= {2 * width}"))
-        nearest = border.groupBy("region").agg(F.min("low").alias("nearest"))
-        across = seen.join(nearest, "region").where(F.expr(f"(inside and high + {width} >= nearest) or (not inside and low <= {2 * width})")).select(F.xxhash64("region", F.lit(2 * turn + 1)).alias("region"), "sid", "n")
-        regions = staged(beyond.unionByName(across), f"jaccard-regions-{turn}")
-        found = staged(found.unionByName(new[0]).unionByName(new[1]).distinct(), f"jaccard-links-{turn}")
-        turn += 1
+    label = connected_components(found, name="jaccard-components").select(F.col("node").alias("sid"), F.col("component"))
+    named = regions.join(label, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    # Regions of one component are finished; of regions with the same classes (by number, sum and ends of their hashes) one goes on.
+    own = F.xxhash64("sid")
+    facts = named.groupBy("region").agg(F.count("*").alias("size"), F.sum(own.cast("decimal(38,0)")).alias("print"), F.min(own).alias("first"), F.max("sid").alias("last"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    kept = facts.groupBy("size", "print", "first", "last").agg(F.min("region").alias("region")).select("region", "size")
+    left = staged(named.join(kept, "region"), "jaccard-left")
+    x, y = left.where(F.col("size") <= LEAF).alias("x"), left.where(F.col("size") <= LEAF).alias("y")
+    small = x.join(y, "region").where("x.sid < y.sid and x.component <> y.component").where(near("x.n", "y.n")).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
+    found = found.unionByName(space.compare(small).where(linked()).select("a", "b"))
+    large = left.where(F.col("size") > LEAF)
+    return found.unionByName(across(space, large)) if large.limit(1).count() else found
 
 
 def join(docs: DataFrame) -> DataFrame:

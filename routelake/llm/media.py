@@ -12,6 +12,7 @@ table in the shared folder, once for each digest and task, and read back for fea
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -110,7 +111,7 @@ class Sequence(HTMLParser):
 
 def parse(html: str) -> list[dict]:
     reader = Sequence()
-    reader.feed(html)
+    reader.feed(re.sub(r"<[A-Za-z/!][^<>]*\Z", "", html))  # a tag that the end cuts off is none
     return reader.finished()
 
 

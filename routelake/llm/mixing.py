@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from routelake.llm.common import documents, running, spread
+from routelake.llm.common import documents, packed, running, spread, unpacked
 from routelake.session import staged
 
 #: Weights of the sources in the order of their names, repeating.
@@ -131,14 +131,14 @@ def mixed(docs: DataFrame) -> DataFrame:
     verdict = account(docs, repeats=True)
     id_, source, size = F.col("doc_id"), F.col("source"), F.col("size")
     counts = verdict.groupBy(id_.alias("_id"), source.alias("_source"), size.alias("_size")).agg(F.sum("repeats").alias("_all"), F.count("*").alias("_rows"))
-    sized = docs.withColumn("_words", word_count(F.col("text")))
-    joined = sized.join(counts, id_.eqNullSafe(F.col("_id")) & source.eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size")))
+    own = packed(docs, _doc=F.col("doc_id"), _from=F.col("source"), _words=word_count(F.col("text")), _hash=F.xxhash64("text"))
+    joined = own.join(counts, F.col("_doc").eqNullSafe(F.col("_id")) & F.col("_from").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size")))
     if counts.where("_rows > 1").limit(1).count():
-        place = F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy(F.xxhash64("text")))
+        place = F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy("_hash"))
         times = F.floor(F.col("_all") / F.col("_rows")) + F.when(place <= F.col("_all") % F.col("_rows"), 1).otherwise(0)
     else:
         times = F.col("_all")
-    return joined.withColumn("_times", times.cast("int")).where("_times > 0").withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_times")))).select(*docs.columns)
+    return unpacked(joined.withColumn("_times", times.cast("int")).where("_times > 0").select("_row", F.explode(F.array_repeat(F.lit(1), F.col("_times")))))
 
 
 def account(docs: DataFrame, repeats: bool = False) -> DataFrame:

@@ -27,18 +27,52 @@ OVERHEAD = 8
 
 
 def _moves(wants: dict[tuple[int, int], int], free: dict[int, int]) -> tuple[dict, dict]:
-    """How many of those that want to move from a to b may, and how many free documents go from b to a."""
-    granted, swapped, left = {}, defaultdict(int), dict(free)
-    for (a, b), n in sorted(wants.items()):
-        granted[a, b] = min(n, wants.get((b, a), 0))
-    for (a, b), n in sorted(wants.items(), key=lambda x: (-x[1], x[0])):
-        more = min(n - granted[a, b], left.get(b, 0))
-        granted[a, b] += more
-        swapped[b, a] += more
-        left[b] = left.get(b, 0) - more
+    """How many of those that want to move from a to b may, and how many free documents go from b to a.
+
+    Every shard must lose as many as it gets.  What comes in beyond what goes out by wish is
+    made up by free documents that leave for shards which lose more than they get; where a
+    shard has too few of them its inflow is cut, until all shards balance.
+    """
+    granted = dict(wants)
+    while True:
+        gain = defaultdict(int)
+        for (a, b), n in granted.items():
+            gain[b] += n
+            gain[a] -= n
+        over = {b: gain[b] - free.get(b, 0) for b in sorted(gain) if gain[b] > free.get(b, 0)}
+        if not over:
+            break
+        for b, excess in over.items():
+            for a, n in sorted(((a, n) for (a, c), n in granted.items() if c == b and n), key=lambda x: (-x[1], x[0])):
+                cut = min(n, excess)
+                granted[a, b] -= cut
+                excess -= cut
+    swapped, losing = defaultdict(int), [[a, -n] for a, n in sorted(gain.items()) if n < 0]
+    for b, n in sorted((b, n) for b, n in gain.items() if n > 0):
+        while n:
+            part = min(n, losing[-1][1])
+            swapped[b, losing[-1][0]] += part
+            n -= part
+            losing[-1][1] -= part
+            if not losing[-1][1]:
+                losing.pop()
     return granted, swapped
 
 
+def _homes(counts: list[tuple[str, int, int]], capacity: int) -> dict[str, int]:
+    """A shard for each of the large pods, by the most of its documents there already, within what shards hold."""
+    room: dict[int, int] = defaultdict(lambda: capacity)
+    size: dict[str, int] = defaultdict(int)
+    for pod, _, n in counts:
+        size[pod] += n
+    homes: dict[str, int] = {}
+    for pod, shard, _ in sorted(counts, key=lambda c: (-c[2], c[0], c[1])):
+        if pod not in homes and room[shard] >= size[pod]:
+            homes[pod] = shard
+            room[shard] -= size[pod]
+    return homes
+
+
 def _limits(spark, pairs: dict, kind: str) -> DataFrame:
     """Ranges of ranks that move, as rows (from, first, last, to) of a table with at most SHARDS squared rows."""
     rows, start = [], defaultdict(int)
@@ -74,6 +108,11 @@ def propagate(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> Da
         sizes = state.where("pod is not null").groupBy("pod", "shard").agg(F.count("*").alias("n"))
         totals = sizes.groupBy("pod").agg(F.max(F.struct("n", (-F.col("shard")).alias("minus"))).alias("best"), F.sum("n").alias("all"))
         goals = totals.where(F.col("best.n") < F.col("all")).select("pod", (-F.col("best.minus")).cast("int").alias("goal"))
+        # Of pods larger than half a shard there are fewer than two for each shard; they get homes of their own.
+        large = totals.where(F.col("all") * 2 > capacity).select("pod")
+        homes = _homes([(r["pod"], r["shard"], r["n"]) for r in sizes.join(large, "pod", "left_semi").collect()], capacity)
+        fixed = F.broadcast(spark.createDataFrame(list(homes.items()), "pod string, home int"))
+        goals = goals.join(fixed, "pod", "full").select("pod", F.coalesce("home", "goal").alias("goal"))
         wanted = state.join(goals, "pod", "left").withColumn("goal", F.when(F.col("goal") != F.col("shard"), F.col("goal")))
         wanted = staged(wanted, f"sharding-wanted-{turn}")
         wants = {(r["shard"], r["goal"]): r["count"] for r in wanted.where("goal is not null").groupBy("shard", "goal").count().collect()}
