@@ -70,8 +70,8 @@ def best_match(left: DataFrame, right: DataFrame, id_col: str, vector: str) -> D
         return pd.DataFrame({"id": x["id"], "best": (_matrix(x["v"]) @ _matrix(y["v"]).T).max(axis=1)})
 
     met = _meet(_blocks(left, id_col, vector, 1 << 30), _blocks(right, id_col, vector, 1 << 30), best, "id long, best double", False)
-    top = met.groupBy("id").agg(F.max("best").alias("best"))
-    return left.select(id_col).join(top, left[id_col] == top["id"], "left").select(id_col, "best")
+    top = met.groupBy(F.col("id").alias("_best_id")).agg(F.max("best").alias("best"))
+    return left.select(id_col).join(top, F.col(id_col) == F.col("_best_id"), "left").select(id_col, "best")
 
 
 def without_matches(left: DataFrame, right: DataFrame, id_col: str, vector: str, threshold: float = 0.92) -> DataFrame:
