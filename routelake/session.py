@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,3 +47,24 @@ def staged(df: DataFrame, name: str) -> DataFrame:
         for key, value in before.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the session's Python workers, where they would not find it by themselves."""
+    package = os.path.dirname(os.path.abspath(__file__))
+    root, context = os.path.dirname(package), spark.sparkContext
+    found = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p] + [os.getcwd()]
+    if root in found or context.applicationId in _SHIPPED:
+        return
+    target = os.path.join(tempfile.mkdtemp(), "routelake.zip")
+    with zipfile.ZipFile(target, "w") as archive:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    archive.write(path, os.path.relpath(path, root))
+    context.addPyFile(target)
+    _SHIPPED.add(context.applicationId)
