@@ -891,3 +891,39 @@ def _feedback_examples(spark, d):
 def _feedback_count(spark, d):
     own = history.fold_feedback(clicks(spark, d), "user_id", "event_id")
     return own.agg(F.count_if(history.usable_feedback(F.col("rating"), F.col("expected"))).alias("usable"))
+
+
+# ---------------------------------------------------------------- conversation store
+
+
+def stored(spark, d) -> DataFrame:
+    """Nested conversations of the flat turns; every third user turn carries a route decision and feedback."""
+    decision = F.when((F.col("role") == "user") & (F.col("turn") % 3 == 1), F.struct(F.concat(F.lit("m"), (F.col("conv_id") % 4).cast("string")).alias("selected"), F.col("text").alias("prompt")))
+    feedback = F.struct(F.when(F.col("conv_id") % 2 == 0, "positive").alias("rating"))
+    message = F.struct("turn", "role", F.col("text").alias("content"), decision.alias("route_decision"), feedback.alias("feedback"))
+    nested = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(message)).alias("messages"))
+    return nested.select(F.col("conv_id").cast("string").alias("id"), F.lit("t").alias("title"), "messages", F.col("conv_id").alias("updated_at"))
+
+
+@query("route_decisions", "SELECT CAST(conv_id AS VARCHAR) AS conversation, 'm' || (conv_id % 4) AS selected, text AS prompt, CASE WHEN conv_id % 2 = 0 THEN 'positive' END AS rating FROM conversations WHERE role = 'user' AND turn % 3 = 1")
+def _route_decisions(spark, d):
+    return history.route_decisions(stored(spark, d)).drop("position")
+
+
+@query("conversation_store", "SELECT CAST(conv_id AS VARCHAR) AS id, count(*) AS messages FROM conversations GROUP BY conv_id")
+def _conversation_store(spark, d):
+    return history.history_order(history.stored_conversations(stored(spark, d))).select("id", F.size("messages").alias("messages"))
+
+
+@query("usable_examples", "SELECT doc_id, text FROM documents WHERE lang = 'en' AND text IS NOT NULL")
+def _usable_examples(spark, d):
+    own = table(spark, d, "documents").withColumn("route_class", F.when(F.col("lang") == "en", "cloud_strong"))
+    return history.usable_examples(own).select("doc_id", "text")
+
+
+_MARKED = [("a `b` **c** *d*", "a <code>b</code> <strong>c</strong> <em>d</em>"), ("<x> [t](https://e.org/)", '&lt;x&gt; <a href="https://e.org/">t</a>')]
+
+
+@query("render_inline", "SELECT * FROM " + rows_sql("text, html", _MARKED))
+def _render_inline(spark, d):
+    return frame(spark, "text string", [(t,) for t, _ in _MARKED]).select("text", text.render_inline(F.col("text")).alias("html"))

@@ -144,3 +144,9 @@ def utf16_length(text: Column) -> Column:
 def word_count(text: Column) -> Column:
     """Words between JavaScript white space."""
     return F.regexp_count(text, F.lit(f"[^{JS_SPACE[1:]}+"))
+
+
+def render_inline(text: Column) -> Column:
+    """Inline Markdown of escaped text as HTML: code, bold, italic, links."""
+    rules = [(r"`([^`]+)`", "<code>$1</code>"), (r"\*\*([^*]+)\*\*", "<strong>$1</strong>"), (r"\*([^*]+)\*", "<em>$1</em>"), (r"\[([^\]]+)\]\((https?://[^)\s]+)\)", '<a href="$2">$1</a>')]
+    return reduce(lambda t, rule: F.regexp_replace(t, rule[0], rule[1]), rules, escape_html(text))

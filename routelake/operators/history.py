@@ -69,3 +69,37 @@ def provider_usage(provider: Column, raw: Column) -> tuple[Column, Column]:
     local = get("$.prompt_eval_count"), get("$.eval_count")
     other = get("$.prompt_tokens"), get("$.completion_tokens")
     return tuple(F.when(provider == "google", g).when(provider == "ollama", o).otherwise(x) for g, o, x in zip(google, local, other, strict=True))
+
+
+def stored_conversations(conversations: DataFrame) -> DataFrame:
+    """Valid conversations (id, title, messages, updated_at) as loaded: rows without messages dropped, missing
+    ids filled from the content, reasoning tags stripped from the assistant's messages."""
+    from routelake.functions.text import strip_think
+
+    shown = F.transform("messages", lambda m: m.withField("content", F.when(m["role"] == "assistant", strip_think(m["content"], client=True)).otherwise(m["content"])))
+    valid = conversations.where(F.col("messages").isNotNull())
+    filled = F.coalesce("id", F.sha2(F.encode(F.to_json(F.struct("title", "messages")), "utf-8"), 256))
+    return valid.withColumn("id", filled).withColumn("messages", shown)
+
+
+def history_order(conversations: DataFrame) -> DataFrame:
+    """Conversations, the last changed first."""
+    return conversations.orderBy(F.desc("updated_at"), "id")
+
+
+def route_decisions(conversations: DataFrame) -> DataFrame:
+    """A row for each message that carries a route decision, with the feedback beside it."""
+    each = conversations.select(F.col("id").alias("conversation"), F.posexplode("messages").alias("position", "m"))
+    return each.where("m.route_decision is not null").select("conversation", "position", "m.route_decision.*", "m.feedback.*")
+
+
+def usable_examples(examples: DataFrame) -> DataFrame:
+    """Routing examples that have a text and a route class."""
+    return examples.where("text is not null and route_class is not null")
+
+
+def export_feedback(examples: DataFrame, path: str) -> int:
+    """Write training examples as JSON lines; returns how many."""
+    from routelake.sources.files import write_jsonl
+
+    return write_jsonl(examples, path)
