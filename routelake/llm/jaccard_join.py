@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from routelake.llm.common import documents, split_join, texts
+from routelake.llm.common import documents, packed, split_join, texts, unpacked
 from routelake.operators.components import connected_components
 from routelake.session import staged
 
@@ -47,7 +47,7 @@ WORDS = 5
 #: Linked if 100 * intersection >= PERCENT * union.
 PERCENT = 80
 #: Frequent shingles that come last in the order; the order of all others is that of their hashes.
-HEAVY = 50_000
+HEAVY = 300_000
 #: Regions of at most so many classes compare their unconnected pairs at once.
 LEAF = 64
 #: Width of a ring as a distance, and classes in a block of one, on average.
@@ -184,8 +184,11 @@ def seed_count(n: int) -> int:
     return n - -(-PERCENT * n // 100) + 1
 
 
-def _seeds(heavy: np.ndarray, places: np.ndarray):
+def _seeds(order):
+    """``order`` is broadcast: the frequent shingles and their places."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        heavy, places = order.value
         seen: set[bytes] = set()
         for batch in batches:
             out = []
@@ -252,18 +255,18 @@ class Space:
         rows = staged(self.docs.mapInPandas(_facts, FACTS), "jaccard-facts")
         self.facts = rows.where("n is not null").select("doc_id", "n", "set_id", "sid")
         uses = rows.where("shingle is not null").groupBy("shingle").agg(F.sum("uses").alias("uses"))
-        heavy = uses.orderBy(F.desc("uses"), "shingle").limit(HEAVY).collect()  # at most HEAVY pairs of numbers
-        self.heavy, self.places = self._order([(r["shingle"], r["uses"]) for r in heavy])
+        heavy = uses.orderBy(F.desc("uses"), "shingle").limit(HEAVY).toArrow()  # at most HEAVY pairs of numbers
+        order = self._order(heavy["shingle"].to_numpy(), heavy["uses"].to_numpy())
+        shared = self.docs.sparkSession.sparkContext.broadcast(order)
         self.classes = staged(self.facts.where("sid is not null").groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.first("sid").alias("sid"), F.count("*").alias("copies")), "jaccard-classes")
-        self.seeds = staged(self.docs.mapInPandas(_seeds(self.heavy, self.places), "sid long, n int, seeds array<long>"), "jaccard-seeds")
+        self.seeds = staged(self.docs.mapInPandas(_seeds(shared), "sid long, n int, seeds array<long>"), "jaccard-seeds")
 
     @staticmethod
-    def _order(counts: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    def _order(shingle: np.ndarray, uses: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The frequent shingles ascending, and the place of each: rarer ones first."""
-        shingle = np.array([s for s, _ in counts], dtype=np.int64).view(np.uint64)
-        uses = np.array([u for _, u in counts], dtype=np.int64)
-        place = np.empty(len(counts), dtype=np.uint64)
-        place[np.lexsort((shingle, uses))] = np.arange(len(counts), dtype=np.uint64)
+        shingle = shingle.astype(np.int64).view(np.uint64)
+        place = np.empty(len(shingle), dtype=np.uint64)
+        place[np.lexsort((shingle, uses))] = np.arange(len(shingle), dtype=np.uint64)
         order = np.argsort(shingle)
         return shingle[order], place[order]
 
@@ -370,10 +373,16 @@ def links(space: Space) -> DataFrame:
     # Regions of one component are finished; of regions with the same classes (by number, sum and ends of their hashes) one goes on.
     own = F.xxhash64("sid")
     facts = named.groupBy("region").agg(F.count("*").alias("size"), F.sum(own.cast("decimal(38,0)")).alias("print"), F.min(own).alias("first"), F.max("sid").alias("last"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    kept = facts.groupBy("size", "print", "first", "last").agg(F.min("region").alias("region")).select("region", "size")
+    kept = facts.groupBy("size", "print", "first", "last").agg(F.min("region").alias("region"), F.count("*").alias("weight")).select("region", "size", "weight")
     left = staged(named.join(kept, "region"), "jaccard-left")
     x, y = left.where(F.col("size") <= LEAF).alias("x"), left.where(F.col("size") <= LEAF).alias("y")
-    small = x.join(y, "region").where("x.sid < y.sid and x.component <> y.component").where(near("x.n", "y.n")).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
+    met = x.join(y, "region").where("x.sid < y.sid and x.component <> y.component").where(near("x.n", "y.n"))
+    # Two classes share the seeds of the regions they meet in, and beyond their seeds at most what follows those
+    # of one of them.  (Those that also meet in a large region are compared there.)
+    met = met.groupBy(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).agg(F.sum("x.weight").alias("common"))
+    after = "ceil(%d * {0} / 100) - 1" % PERCENT
+    most = F.expr(f"least(common + greatest({after.format('na')}, {after.format('nb')}), na, nb)")
+    small = met.withColumn("most", most).where(f"100 * most >= {PERCENT} * (na + nb - most)").select("a", "b")
     found = found.unionByName(space.compare(small).where(linked()).select("a", "b"))
     large = left.where(F.col("size") > LEAF)
     return found.unionByName(across(space, large)) if large.limit(1).count() else found
@@ -403,8 +412,10 @@ def representatives(docs: DataFrame) -> DataFrame:
 
     Rows without a shingle stay.  Rows that repeat the smallest id all stay.
     """
-    dropped = staged(join(docs).where("doc_id <> component_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("_id")).distinct(), "jaccard-dropped")
-    return docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    dropped = join(docs).where("doc_id <> component_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("_id")).distinct()
+    gone = _chosen(staged(dropped, "jaccard-dropped"))
+    own = packed(docs, _own_id=F.col("doc_id"))
+    return unpacked(own.join(gone, F.col("_own_id").eqNullSafe(F.col("_id")), "left_anti"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
