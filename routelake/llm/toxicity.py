@@ -34,6 +34,8 @@ MAX_CLEAN = 16384
 MAX_TERMS = 4096
 STEMS = range(3, 10)
 EVIDENCE = 17.0
+#: Least log ratio of the rates of a stem and of a word, and distinct clean documents that make a phrase an exception.
+MIN_STEM, MIN_WORD, MIN_PHRASE = 4.0, 2.0, 3
 #: Occurrences in one document that count at most towards a weight.
 CAP = 5
 THRESHOLD = 0.5
@@ -185,8 +187,8 @@ def _contexts(lexicon: Lexicon):
             out = []
             for text, label in zip(texts(batch["text"]), batch["toxic"], strict=True):
                 folded = fold(text)
-                out.append((int(label), folded.count(" ") - 1, [f"{w!r} {a}\t{b}\t{c}" for w, a, b, c in lexicon.hits(folded)[:1000]]))
-            yield pd.DataFrame(out, columns=["toxic", "words", "hits"])
+                out.append((int(label), *_signature(folded), folded.count(" ") - 1, [f"{w!r} {a}\t{b}\t{c}" for w, a, b, c in lexicon.hits(folded)[:1000]]))
+            yield pd.DataFrame(out, columns=["toxic", "first", "second", "words", "hits"])
 
     return run
 
@@ -200,15 +202,22 @@ def evidence(toxic: int, clean: int, prior: float) -> float:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
-    """Ridge-penalised logistic fit by Newton's steps."""
+    """Ridge-penalised logistic fit by Newton's steps, each halved until it does not make the loss larger."""
+    penalty = np.full(x.shape[1], 0.1)
+    penalty[0] = 1e-6
+
+    def loss(b):
+        z = x @ b
+        return float(np.logaddexp(0, z).sum() - y @ z + 0.5 * penalty @ (b * b))
+
     beta = np.zeros(x.shape[1])
-    penalty = np.eye(x.shape[1]) * 0.05
-    penalty[0, 0] = 1e-6
-    for _ in range(50):
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ beta)
-        beta += np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * beta)
+        while loss(beta + step) > loss(beta) and np.abs(step).max() > 1e-9:
+            step = step / 2
+        beta = beta + step
+        if np.abs(step).max() < 1e-7:
             break
     return tuple(float(b) for b in beta)
 
@@ -223,7 +232,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
         return Lexicon()
     counts = sample.mapInPandas(_count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
-    found = counts.where("toxic >= 3").withColumn("odds", odds).where("odds > 1.5").orderBy(F.desc(F.col("odds") * F.log(F.col("toxic"))), "term").limit(MAX_TERMS).collect()
+    found = counts.where("toxic >= 3").withColumn("odds", odds).where(F.col("odds") > MIN_WORD - 0.5).orderBy(F.desc(F.col("odds") * F.log(F.col("toxic"))), "term").limit(MAX_TERMS).collect()
     candidates = [r["term"] for r in found]
     # Bounded: one row for each row of the sample, of candidate numbers.  Near copies count once.
     seen: set[int] = set()
@@ -241,18 +250,25 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
         for i in sorted(range(len(candidates)), key=lambda i: (len(candidates[i]), candidates[i])):
             t, c = in_toxic[i], in_clean[i]
             weight = math.log((t + 0.5) / (n_toxic + 1)) - math.log((c + 0.5) / (n_clean + 1))
-            if weight > 1.5 and t > 4 * c and evidence(t, c, prior) > EVIDENCE:
-                term = candidates[i]
+            term = candidates[i]
+            if weight > (MIN_WORD if term.endswith(" ") else MIN_STEM) and evidence(t, c, prior) > EVIDENCE:
                 covering = max((weights.get(term.rstrip()[:n], 0.0) for n in range(4, len(term.rstrip()) + 1)), default=0.0)
                 if covering < weight:
                     weights[term] = weight
     lexicon = Lexicon(weights)
-    rows = sample.mapInPandas(_contexts(lexicon), "toxic int, words int, hits array<string>").collect()
+    found = sample.mapInPandas(_contexts(lexicon), "toxic int, first long, second long, words int, hits array<string>").collect()
+    # Near copies count once; phrases are learned from one half of the rest, the logistic from the other.
+    seen, rows = set(), []
+    for r in sorted(found, key=lambda r: (r["first"], r["second"], r["toxic"])):
+        if r["first"] not in seen and r["second"] not in seen:
+            rows.append(r)
+        seen.update((r["first"], r["second"]))
     hits = [[(float(h.split(" ", 1)[0]), *h.split(" ", 1)[1].split("\t")) for h in r["hits"]] for r in rows]
     used = [Counter(), Counter()]
-    for r, own in zip(rows, hits, strict=True):
+    for r, own in zip(rows[::2], hits[::2], strict=True):
         used[r["toxic"]].update({p for _, a, b, c in own for p in ((a, b), (b, c)) if all(p)})
-    lexicon.exceptions = {p for p, n in used[0].items() if n >= 3 and not used[1][p]}
+    lexicon.exceptions = {p for p, n in used[0].items() if n >= MIN_PHRASE and not used[1][p]}
+    rows, hits = rows[1::2] or rows, hits[1::2] or hits
     totals = [lexicon.counted(own) for own in hits]
     x = np.array([measures(t, r["words"]) for t, r in zip(totals, rows, strict=True)])
     lexicon.fit = _logistic(x, np.array([r["toxic"] for r in rows], dtype=float))
