@@ -36,6 +36,15 @@ def unpacked(rows: DataFrame) -> DataFrame:
     return rows.select("_row.*")
 
 
+#: Rows of short numbers or digests that are broadcast at most; more are joined by a shuffle.
+FEW = 500_000
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """``rows`` (staged and short), to be broadcast if there are at most FEW of them."""
+    return F.broadcast(rows) if rows.count() <= FEW else rows
+
+
 def texts(column: pd.Series) -> list[str]:
     """The column's strings, null as empty."""
     return [x if isinstance(x, str) else "" for x in column]

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from routelake.llm.common import documents, packed, split_join, texts, unpacked
+from routelake.llm.common import documents, few, packed, split_join, texts, unpacked
 from routelake.operators.components import connected_components
 from routelake.session import staged
 
@@ -53,8 +53,8 @@ LEAF = 64
 #: Width of a ring as a distance, and classes in a block of one, on average.
 RING, BLOCK = 0.05, 256
 #: Characters hashed at a time, and shingles counted together in a task.
-CHUNK = 1 << 19
-LOCAL = 1 << 21
+CHUNK = 1 << 18
+LOCAL = 1 << 20
 
 _random = np.random.default_rng(20_250_101)
 _BYTE = _random.integers(1, 1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -238,15 +238,6 @@ def _measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["a", "b", "shared", "joint"])
 
 
-#: Rows of one number that are broadcast at most; more are joined by a shuffle.
-FEW = 500_000
-
-
-def _chosen(ids: DataFrame) -> DataFrame:
-    """``ids`` (staged, one number a row), to be broadcast if there are few enough."""
-    return F.broadcast(ids) if ids.count() <= FEW else ids
-
-
 class Space:
     """The classes of a document table, and comparisons between them."""
 
@@ -286,7 +277,7 @@ class Space:
     def sets(self, sids: DataFrame) -> DataFrame:
         """sid, shingles (sorted, as bytes) of the classes with these numbers, from their first documents' texts."""
         ends = staged(self.classes.join(sids.distinct(), "sid", "left_semi").select("sid", "first_id"), "jaccard-ends")
-        firsts = _chosen(staged(ends.select("first_id").distinct(), "jaccard-firsts"))
+        firsts = few(staged(ends.select("first_id").distinct(), "jaccard-firsts"))
         chosen = self.docs.join(firsts, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
         found = chosen.mapInPandas(_sets, "sid long, shingles binary")
         return staged(found.join(ends.select("sid").distinct(), "sid", "left_semi").dropDuplicates(["sid"]), "jaccard-sets")
@@ -294,7 +285,7 @@ class Space:
     def compare(self, pairs: DataFrame) -> DataFrame:
         """a, b, shared, joint of those pairs of class numbers that their seeds let link."""
         ends = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-        seeds = staged(self.seeds.join(_chosen(staged(ends, "jaccard-ends")), "sid", "left_semi").dropDuplicates(["sid"]), "jaccard-compared")
+        seeds = staged(self.seeds.join(few(staged(ends, "jaccard-ends")), "sid", "left_semi").dropDuplicates(["sid"]), "jaccard-compared")
         other = seeds.select(F.col("sid").alias("b"), F.col("n").alias("other_n"), F.col("seeds").alias("other_seeds"))
         pairs = staged(pairs.join(other, "b").join(seeds.withColumnRenamed("sid", "a"), "a").mapInPandas(_bounded, "a long, b long"), "jaccard-bounded")
         sets = self.sets(pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))))
@@ -413,7 +404,7 @@ def representatives(docs: DataFrame) -> DataFrame:
     Rows without a shingle stay.  Rows that repeat the smallest id all stay.
     """
     dropped = join(docs).where("doc_id <> component_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("_id")).distinct()
-    gone = _chosen(staged(dropped, "jaccard-dropped"))
+    gone = few(staged(dropped, "jaccard-dropped"))
     own = packed(docs, _own_id=F.col("doc_id"))
     return unpacked(own.join(gone, F.col("_own_id").eqNullSafe(F.col("_id")), "left_anti"))
 
