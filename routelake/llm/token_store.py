@@ -293,8 +293,8 @@ def write(docs: DataFrame, path: str, vocabulary: str) -> None:
     ordered.mapInPandas(_writer(vocabulary), BLOCKS).write.option("compression", "none").parquet(path)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """Decode the files: part, segment, place, doc_id, n_tokens, ids_crc32, ids in no order of rows.
+def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """Decode the files: part, segment, place, doc_id, n_tokens, ids_crc32, ids (if asked for) in no order of rows.
 
     A block whose ids fail its checksum raises.  ``place`` numbers a segment's documents.
     """
@@ -316,7 +316,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 keys = pd.array(np.frombuffer(b.doc_ids, dtype="<i8"), dtype="Int64")
                 keys[np.frombuffer(b.no_id, dtype=np.uint8).astype(bool)] = pd.NA
                 own = [ids[e - s : e] for s, e in zip(sizes, ends, strict=True)]
-                yield pd.DataFrame({"part": b.part, "segment": b.segment, "place": b.first + np.arange(len(own), dtype=np.int32), "doc_id": keys, "n_tokens": sizes, "ids_crc32": [zlib.crc32(x) for x in own], "ids": [x.tobytes() for x in own]})
+                yield pd.DataFrame({"part": b.part, "segment": b.segment, "place": b.first + np.arange(len(own), dtype=np.int32), "doc_id": keys, "n_tokens": sizes, "ids_crc32": [zlib.crc32(x) for x in own], "ids": [x.tobytes() if with_ids else None for x in own]})
 
     return blocks.mapInPandas(run, "part int, segment int, place int, doc_id long, n_tokens long, ids_crc32 long, ids binary")
 
@@ -331,7 +331,7 @@ def offsets(stored: DataFrame) -> DataFrame:
 
 def listing(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document in the files."""
-    decoded = read(spark, path).drop("ids")
+    decoded = read(spark, path, with_ids=False).drop("ids")
     within = F.sum("n_tokens").over(Window.partitionBy("part", "segment").orderBy("place")) - F.col("n_tokens")
     starts = offsets(spark.read.schema(BLOCKS).parquet(path))
     return decoded.withColumn("within", within).join(starts, ["part", "segment"]).select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
