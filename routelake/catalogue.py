@@ -630,12 +630,8 @@ _TOKENS = f"""worded AS (SELECT doc_id, flat, list_filter(string_split(flat, ' '
     counts AS (SELECT doc_id, token, count(*) AS n FROM tokens GROUP BY doc_id, token)"""
 
 
-def short_prompts(spark, d) -> DataFrame:
-    return prompts(spark, d).where(F.length("text") <= 1500)
-
-
 def counts(spark, d) -> DataFrame:
-    own = short_prompts(spark, d).withColumn("tokens", scoring.router_tokens(F.col("text")))
+    own = prompts(spark, d).repartition("doc_id").withColumn("tokens", scoring.router_tokens(F.col("text")))
     return scoring.token_counts(own, "doc_id", "tokens")
 
 
@@ -681,7 +677,7 @@ _LINEAR = f"""{_TFIDF}, linear AS (SELECT s.doc_id, l.label, l.intercept::DOUBLE
     SELECT doc_id, label, confidence, normalized_entropy, coalesce(coverage, 0) AS coverage FROM best LEFT JOIN cover USING (doc_id)""")
 def _linear_predict(spark, d):
     idf, labels, weights = tables_of_weights(spark)
-    found = scoring.predict_linear(short_prompts(spark, d), counts(spark, d), "doc_id", idf, labels, weights.withColumnRenamed("value", "coefficient"))
+    found = scoring.predict_linear(prompts(spark, d), counts(spark, d), "doc_id", idf, labels, weights.withColumnRenamed("value", "coefficient"))
     return found.select("doc_id", "label", *[F.round(c, 5).alias(c) for c in ("confidence", "normalized_entropy", "coverage")])
 
 
@@ -691,7 +687,7 @@ _BAYES = f"""bayes AS (SELECT s.doc_id, l.label, l.log_prior::DOUBLE + coalesce(
 
 def bayes(spark, d) -> DataFrame:
     _, labels, weights = tables_of_weights(spark)
-    return scoring.naive_bayes_scores(short_prompts(spark, d), counts(spark, d), "doc_id", labels, weights.select("label", "token", (F.col("value") - 4).alias("log_likelihood")))
+    return scoring.naive_bayes_scores(prompts(spark, d), counts(spark, d), "doc_id", labels, weights.select("label", "token", (F.col("value") - 4).alias("log_likelihood")))
 
 
 @query("naive_bayes_scores", f"WITH {_P}, {_SHORT}, {_TOKENS}, {_BAYES} SELECT doc_id, label, round(score, 5) AS score FROM bayes")
@@ -708,7 +704,7 @@ _CENTROID = f"""{_TFIDF}, centroid AS (SELECT s.doc_id, l.label, coalesce(sum(v.
     SELECT c.doc_id, c.label, round(c.e / sum(c.e) OVER (PARTITION BY c.doc_id) + 0.15 * b.e / sum(b.e) OVER (PARTITION BY b.doc_id), 5) AS confidence FROM c JOIN b ON c.doc_id = b.doc_id AND c.label = b.label""")
 def _hybrid(spark, d):
     idf, labels, weights = tables_of_weights(spark)
-    centroid = scoring.centroid_scores(short_prompts(spark, d), scoring.tfidf(counts(spark, d), "doc_id", idf), "doc_id", labels, weights)
+    centroid = scoring.centroid_scores(prompts(spark, d), scoring.tfidf(counts(spark, d), "doc_id", idf), "doc_id", labels, weights)
     return scoring.hybrid(bayes(spark, d), centroid, "doc_id").select("doc_id", "label", F.round("confidence", 5).alias("confidence"))
 
 

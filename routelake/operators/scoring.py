@@ -11,8 +11,20 @@ from routelake.functions.rules import contains_any
 
 def router_tokens(text: Column, char_ngrams: tuple[int, int] | None = None) -> Column:
     """Words without stop words, their bigrams, character n-grams if asked for, and feature tokens, with repeats."""
-    flat = F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9+#.]+", " "))
-    words = F.filter(F.split(flat, " "), lambda w: (F.length(w) > 1) & ~w.isin(lx.STOP_WORDS))
+
+    def tokens(flat: Column) -> Column:
+        words = F.filter(F.split(flat, " "), lambda w: (F.length(w) > 1) & ~w.isin(lx.STOP_WORDS))
+        return F.when(flat == "", F.array().cast("array<string>")).otherwise(_bound(words, lambda words: _tokens(flat, words, char_ngrams)))
+
+    return _bound(F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9+#.]+", " ")), tokens)
+
+
+def _bound(value: Column, body) -> Column:
+    """``body`` of the value, which is computed once; else each of its many uses would compute it again."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _tokens(flat: Column, words: Column, char_ngrams: tuple[int, int] | None) -> Column:
     n = F.size(words)
     pairs = F.when(n > 1, F.zip_with(F.slice(words, 1, n - 1), F.slice(words, 2, n - 1), lambda a, b: F.concat(a, F.lit("_"), b))).otherwise(F.array().cast("array<string>"))
     parts = [words, pairs]
@@ -30,7 +42,7 @@ def router_tokens(text: Column, char_ngrams: tuple[int, int] | None = None) -> C
     parts.append(feature("complex", contains_any(flat, lx.COMPLEX_TERMS) | (n > 80)))
     parts += [feature(name, contains_any(flat, terms)) for name, terms in lx.TASK_LEXICONS.items()]
     parts += [feature("short_prompt", n < 12, 1), feature("long_prompt", n > 80, 1)]
-    return F.when(flat == "", F.array().cast("array<string>")).otherwise(F.concat(*parts))
+    return F.concat(*parts)
 
 
 def _cut(text: Column, size: int):
