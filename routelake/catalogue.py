@@ -518,7 +518,7 @@ _KNN = f"""{_UNIT}, near AS (SELECT query, example, label, similarity, r FROM (S
 
 def neighbours(spark, d) -> DataFrame:
     own = table(spark, d, "embeddings")
-    return similarity.nearest(own.where("vec_id % 10 = 0"), own.where("vec_id % 10 <> 0"), "vec_id", "vec_id", "embedding")
+    return similarity.nearest(own, own, "vec_id", "vec_id", "embedding", others=True)
 
 
 @query("knn", f"WITH {_KNN} SELECT query, example, round(similarity, 6) AS similarity, r AS rank FROM near")

@@ -80,17 +80,25 @@ def without_matches(left: DataFrame, right: DataFrame, id_col: str, vector: str,
     return left.join(best.where(F.col("best") > threshold).select(id_col), id_col, "left_anti")
 
 
-def nearest(queries: DataFrame, examples: DataFrame, query_id: str, example_id: str, vector: str, k: int = 9) -> DataFrame:
-    """query, example, similarity, rank of the k most similar examples; ties by example id."""
+def _first(found: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k rows of each query with the largest similarity, ties by example id."""
+    found = found.sort_values(["query", "similarity", "example"], ascending=[True, False, True], kind="stable")
+    return found[found.groupby("query").cumcount() < k]
+
+
+def nearest(queries: DataFrame, examples: DataFrame, query_id: str, example_id: str, vector: str, k: int = 9, others: bool = False) -> DataFrame:
+    """query, example, similarity, rank of the k most similar examples; ties by example id.  ``others``: no row is its own example."""
 
     def top(key, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(y):
             return pd.DataFrame({"query": [], "example": [], "similarity": []}).astype({"query": "int64", "example": "int64"})
         y = y.sort_values("id")
         s = _matrix(x["v"]) @ _matrix(y["v"]).T
-        order = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        rows = np.arange(len(x))[:, None]
-        return pd.DataFrame({"query": np.repeat(x["id"].to_numpy(), order.shape[1]), "example": y["id"].to_numpy()[order].ravel(), "similarity": s[rows, order].ravel()})
+        if others:
+            s[x["id"].to_numpy()[:, None] == y["id"].to_numpy()] = -np.inf
+        least = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(x), -np.inf)
+        i, j = np.nonzero((s >= least[:, None]) & (s > -np.inf))
+        return _first(pd.DataFrame({"query": x["id"].to_numpy()[i], "example": y["id"].to_numpy()[j], "similarity": s[i, j]}), k)
 
     met = _meet(_blocks(queries, query_id, vector, 1 << 30), _blocks(examples, example_id, vector, 1 << 30), top, "query long, example long, similarity double", False)
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "example"))
