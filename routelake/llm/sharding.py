@@ -7,7 +7,10 @@ against moves of as many documents the other way, first by others that want it a
 by documents without links, so that the law holds after every round.
 
 Groups larger than a shard holds are cut into pods of at most one shard's size, numbered
-in hash order, and each pod moves as a group.  Links are a star in a group (its members
+in hash order, and each pod moves as a group.  What is still cut when no more moves are
+granted is settled: all pods, the largest first, take their majority's shard or else the one
+with the most room, and documents without links fill what is left.  Only pods that then fit
+nowhere are cut, and those are fewer than the shards.  Links are a star in a group (its members
 against its totals), never pairs.
 """
 
@@ -84,6 +87,80 @@ def _limits(spark, pairs: dict, kind: str) -> DataFrame:
     return spark.createDataFrame(rows, "origin int, first long, last long, goal int")
 
 
+def _plan(counts: list[tuple[int, int, int]], room: dict[int, int]) -> tuple[list, list]:
+    """Shards for all pods, the largest first; ``counts`` has the number of pods by size and majority's shard.
+
+    Returns rows (all, major, first, last, goal) of ranks of pods that stay whole, and rows
+    (all, major, rank, first, last, goal) of the parts of those that no shard has room for.
+    What is left of ``room`` is for documents without links.
+    """
+    most = lambda: max(room, key=lambda s: (room[s], -s))
+    by_size = defaultdict(list)
+    for size, shard, n in sorted(counts):
+        by_size[size].append((shard, n))
+    whole, refused, parts = [], [], []
+    for size in sorted(by_size, reverse=True):
+        kept = {}
+        for shard, n in by_size[size]:
+            kept[shard] = min(n, room[shard] // size)
+            room[shard] -= kept[shard] * size
+            whole.append((size, shard, 1, kept[shard], shard))
+        for shard, n in by_size[size]:
+            done = kept[shard]
+            while done < n and (fit := min(n - done, room[goal := most()] // size)):
+                whole.append((size, shard, done + 1, done + fit, goal))
+                room[goal] -= fit * size
+                done += fit
+            refused += [(size, shard, k) for k in range(done + 1, n + 1)]
+    for size, shard, k in refused:
+        done = 0
+        while done < size:
+            fit = min(size - done, room[goal := most()])
+            parts.append((size, shard, k, done + 1, done + fit, goal))
+            room[goal] -= fit
+            done += fit
+    return [w for w in whole if w[2] <= w[3]], parts
+
+
+def _settled(state: DataFrame, rows: int, shards: int) -> DataFrame:
+    """``state`` with every pod in one shard, but for those that fit in none; the shards' counts stay."""
+    spark, columns = state.sparkSession, ["doc_id", "size", "text_crc32", "order", "shard", "pod"]
+    sizes = state.where("pod is not null").groupBy("pod", "shard").agg(F.count("*").alias("n"))
+    totals = sizes.groupBy("pod").agg(F.max(F.struct("n", (-F.col("shard")).alias("minus"))).alias("best"), F.sum("n").alias("all"))
+    if totals.where(F.col("best.n") < F.col("all")).isEmpty():
+        return state
+    totals = totals.select("pod", "all", (-F.col("best.minus")).cast("int").alias("major"), spread(F.col("pod")).alias("order"))
+    ranked = staged(running(totals, ["all", "major"], "order", ["pod"], F.lit(1), "rank", rows).drop("order"), "sharding-pods")
+    room = dict.fromkeys(range(shards), 0) | {r["shard"]: r["count"] for r in state.groupBy("shard").count().collect()}
+    whole, parts = _plan([(r["all"], r["major"], r["count"]) for r in ranked.groupBy("all", "major").count().collect()], room)
+    whole = spark.createDataFrame(whole, "all long, major int, first long, last long, goal int")
+    ranges = (ranked["all"] == whole["all"]) & (ranked["major"] == whole["major"]) & ranked["rank"].between(whole["first"], whole["last"])
+    goals = ranked.join(F.broadcast(whole), ranges, "left").select("pod", ranked["all"], ranked["major"], "rank", "goal")
+    linked = staged(state.where("pod is not null").join(goals, "pod"), "sharding-settled")
+    out = linked.where("goal is not null").withColumn("shard", F.col("goal")).select(*columns)
+    if parts:
+        parts = F.broadcast(spark.createDataFrame(parts, "all long, major int, rank long, first long, last long, goal int"))
+        cut = running(linked.where("goal is null").drop("goal"), ["pod"], "order", ["doc_id"], F.lit(1), "_rank", rows)
+        cut = cut.join(parts, ["all", "major", "rank"]).where(F.col("_rank").between(F.col("first"), F.col("last")))
+        out = out.unionByName(cut.withColumn("shard", F.col("goal")).select(*columns))
+    loose = state.where("pod is null")
+    spare = {r["shard"]: r["count"] for r in loose.groupBy("shard").count().collect()}
+    spare = {s: spare.get(s, 0) - n for s, n in room.items()}
+    moves, short = {}, [[s, -n] for s, n in sorted(spare.items()) if n < 0]
+    for s, n in sorted(spare.items()):
+        while n > 0:
+            part = min(n, short[-1][1])
+            moves[s, short[-1][0]] = part
+            n -= part
+            short[-1][1] -= part
+            if not short[-1][1]:
+                short.pop()
+    ranked = running(loose, ["shard"], "order", ["doc_id"], F.lit(1), "_rank", rows)
+    limits = F.broadcast(_limits(spark, moves, "free"))
+    loose = ranked.join(limits, (F.col("shard") == F.col("origin")) & F.col("_rank").between(F.col("first"), F.col("last")), "left").withColumn("shard", F.coalesce("goal", "shard"))
+    return staged(out.unionByName(loose.select(*columns)), "sharding-placed")
+
+
 def propagate(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """One row for each row of ``docs``: doc_id, size, text_crc32, law, shard, slot, grown_shard, linked.
 
@@ -130,6 +207,7 @@ def propagate(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> Da
         loose = loose.join(limits, (F.col("shard") == F.col("origin")) & F.col("_rank").between(F.col("first"), F.col("last")), "left").select("doc_id", "size", "text_crc32", "order", F.coalesce(F.col("goal"), F.col("shard")).alias("shard"), "pod")
         stay = wanted.where("goal is null and pod is not null").drop("goal").select("doc_id", "size", "text_crc32", "order", "shard", "pod")
         state = staged(stay.unionByName(movers).unionByName(loose), f"sharding-{turn + 1}")
+    state = _settled(state, rows, shards)
     placed = running(state, ["shard"], "order", ["doc_id"], F.lit(1), "_rank", rows)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("_rank") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("pod").isNotNull().alias("linked"))
 
