@@ -477,8 +477,8 @@ def _privacy_candidates(spark, d):
 
 @query("union_all", "SELECT source, lang FROM documents WHERE doc_id < 100 UNION ALL SELECT 'turn', NULL FROM conversations WHERE turn = 1")
 def _union_all(spark, d):
-    docs = table(spark, d, "documents").where("doc_id < 100").select("source", "lang")
-    return docs.unionByName(table(spark, d, "conversations").where("turn = 1").select(F.lit("turn").alias("source")), allowMissingColumns=True)
+    docs = table(spark, d, "documents").select("source", "lang")
+    return docs.unionByName(table(spark, d, "conversations").select(F.lit("turn").alias("source")), allowMissingColumns=True)
 
 
 @query("set_union", f"SELECT {sql_hash('text')} AS h FROM documents UNION SELECT {sql_hash('text')} FROM conversations")
