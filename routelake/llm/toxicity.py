@@ -187,7 +187,7 @@ def _contexts(lexicon: Lexicon):
             out = []
             for text, label in zip(texts(batch["text"]), batch["toxic"], strict=True):
                 folded = fold(text)
-                out.append((int(label), *_signature(folded), folded.count(" ") - 1, [f"{w!r} {a}\t{b}\t{c}" for w, a, b, c in lexicon.hits(folded)[:1000]]))
+                out.append((int(label), *_signature(folded), folded.count(" ") - 1, [f"{n} {w!r} {a}\t{b}\t{c}" for (w, a, b, c), n in Counter(lexicon.hits(folded)).items()]))
             yield pd.DataFrame(out, columns=["toxic", "first", "second", "words", "hits"])
 
     return run
@@ -263,13 +263,14 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
         if r["first"] not in seen and r["second"] not in seen:
             rows.append(r)
         seen.update((r["first"], r["second"]))
-    hits = [[(float(h.split(" ", 1)[0]), *h.split(" ", 1)[1].split("\t")) for h in r["hits"]] for r in rows]
+    # Each document's distinct matches, with how often it has them.
+    hits = [[(int(n), (float(w), *context.split("\t"))) for n, w, context in (h.split(" ", 2) for h in r["hits"])] for r in rows]
     used = [Counter(), Counter()]
     for r, own in zip(rows[::2], hits[::2], strict=True):
-        used[r["toxic"]].update({p for _, a, b, c in own for p in ((a, b), (b, c)) if all(p)})
+        used[r["toxic"]].update({p for _, (_, a, b, c) in own for p in ((a, b), (b, c)) if all(p)})
     lexicon.exceptions = {p for p, n in used[0].items() if n >= MIN_PHRASE and not used[1][p]}
     rows, hits = rows[1::2] or rows, hits[1::2] or hits
-    totals = [lexicon.counted(own) for own in hits]
+    totals = [sum(n * lexicon.counted([hit]) for n, hit in own) for own in hits]
     x = np.array([measures(t, r["words"]) for t, r in zip(totals, rows, strict=True)])
     lexicon.fit = _logistic(x, np.array([r["toxic"] for r in rows], dtype=float))
     return lexicon
