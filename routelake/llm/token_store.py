@@ -158,7 +158,8 @@ def plain(text: str) -> bool:
 
 class Encoder:
     """Ids of whole texts.  Of ``plain`` texts the distinct pieces that start at a space are
-    encoded once for all texts of a call; all other texts are encoded as they are."""
+    encoded once for all texts of a call; all other texts, and those that name an added token,
+    are encoded as they are."""
 
     PIECES = 20_000
 
@@ -167,7 +168,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -184,7 +185,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, without an end id."""
-        by_piece = [plain(text) for text in texts]
+        by_piece = [plain(text) and not any(x in text for x in self.added) for text in texts]
         out: list[np.ndarray] = [np.empty(0, dtype=np.uint32)] * len(texts)
         odd = [i for i, simple in enumerate(by_piece) if not simple and texts[i]]
         for i, ids in zip(odd, self.whole([texts[i] for i in odd]), strict=True):
