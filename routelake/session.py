@@ -25,8 +25,9 @@ def scratch_dir(spark: SparkSession) -> str:
 
 #: Removes a query's shuffle files once it has ended.
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: Rows that a Python function gets at a time: texts can be long.
+#: Rows and bytes that a Python function gets at a time: texts can be long.
 BATCH_ROWS, MOST_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+BATCH_BYTES, MOST_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -37,7 +38,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    held = {CLEAN_UP: "true", BATCH_ROWS: str(min(MOST_ROWS, int(spark.conf.get(BATCH_ROWS, "10000"))))}
+    held = {CLEAN_UP: "true", BATCH_ROWS: str(min(MOST_ROWS, int(spark.conf.get(BATCH_ROWS, "10000")))), BATCH_BYTES: MOST_BYTES}
     before = {key: spark.conf.get(key, None) for key in held}
     for key, value in held.items():
         spark.conf.set(key, value)
