@@ -68,13 +68,16 @@ _POWERS: list[np.ndarray] = []
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, modulo 2**64."""
+    """Powers of the base and of its inverse, modulo 2**64; those of a chunk's length are kept."""
     if not _POWERS or len(_POWERS[0]) < n:
         size = max(n, CHUNK * 2)
         steps = [np.full(size, base, dtype=np.uint64) for base in (_BASE, _BACK)]
         for step in steps:
             step[0] = 1
-        _POWERS[:] = [np.cumprod(step, dtype=np.uint64) for step in steps]
+        found = [np.cumprod(step, dtype=np.uint64) for step in steps]
+        if size > CHUNK * 2:
+            return found[0], found[1]
+        _POWERS[:] = found
     return _POWERS[0], _POWERS[1]
 
 

@@ -152,7 +152,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for text, label in zip(texts(batch["text"]), batch["toxic"], strict=True):
             for term, n in terms_of(fold(text)).items():
                 counts.setdefault(term, [0, 0])[int(label)] += n
-            if len(counts) > 1_000_000:
+            if len(counts) > 300_000:
                 yield flush()
     yield flush()
 
