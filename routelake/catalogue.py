@@ -455,9 +455,15 @@ _GOLDEN = rows_sql("n, text", list(enumerate(_PROMPTS_3_1, 1)))
 _P = f"p AS (SELECT -n AS doc_id, text, lower(text) AS x FROM {_GOLDEN} UNION ALL SELECT doc_id, text, lower(text) FROM documents)"
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df``, over all cores: a table of fewer files than cores is dealt out before work on its texts."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def prompts(spark, d) -> DataFrame:
-    golden = frame(spark, "doc_id long, text string", [(-i, x) for i, x in enumerate(_PROMPTS_3_1, 1)])
-    return golden.unionByName(table(spark, d, "documents").select("doc_id", "text"))
+    golden = frame(spark, "doc_id long, text string", [(-i, x) for i, x in enumerate(_PROMPTS_3_1, 1)]).coalesce(1)
+    return dealt(table(spark, d, "documents").select("doc_id", "text")).unionByName(golden)
 
 
 _PRIVATE = rf"regexp_matches(text, '(?i)(^|[^\pL\pN_])({lx.PRIVATE_PROMPT})([^\pL\pN_]|$)')"
@@ -475,7 +481,7 @@ def _privacy_candidates(spark, d):
     return curation.privacy_candidates(eligible(spark, d), existing, "doc_id").select("doc_id", "prompt_hash")
 
 
-@query("union_all", "SELECT source, lang FROM documents WHERE doc_id < 100 UNION ALL SELECT 'turn', NULL FROM conversations WHERE turn = 1")
+@query("union_all", "SELECT source, lang FROM documents UNION ALL SELECT 'turn', NULL FROM conversations")
 def _union_all(spark, d):
     docs = table(spark, d, "documents").select("source", "lang")
     return docs.unionByName(table(spark, d, "conversations").select(F.lit("turn").alias("source")), allowMissingColumns=True)
@@ -513,7 +519,7 @@ def _cross_source(spark, d):
 
 
 _KNN = f"""{_UNIT}, near AS (SELECT query, example, label, similarity, r FROM (SELECT a.vec_id AS query, b.vec_id AS example, b.label, {_DOT} AS similarity, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_DOT} DESC, b.vec_id) AS r
-    FROM e a JOIN e b ON a.vec_id % 10 = 0 AND b.vec_id % 10 <> 0) WHERE r <= 9)"""
+    FROM e a JOIN e b ON a.vec_id <> b.vec_id) WHERE r <= 9)"""
 
 
 def neighbours(spark, d) -> DataFrame:
@@ -564,7 +570,7 @@ def sql_points(*scored: tuple[str, int]) -> str:
     return " + ".join(f"(CASE WHEN {c} THEN {n} ELSE 0 END)" for c, n in scored)
 
 
-_SCORE_P = sql_points((sql_any("x", lx.PRIVACY_TERMS), 3), (sql_word("x", lx.SSN), 5), (sql_word("x", lx.CARD), 5), (f"regexp_matches(text, '{lx.E_MAIL}')", 3), (rf"regexp_matches(text, '\b{lx.KEY}')", 5), (sql_word("x", lx.PERSONAL), 1), (sql_word("x", lx.SENSITIVE), 2))
+_SCORE_P = sql_points((sql_any("x", lx.PRIVACY_TERMS), 3), (sql_word("x", lx.SSN), 5), (sql_word("x", lx.CARD), 5), (f"regexp_matches(text, '{lx.E_MAIL}')", 3), (rf"regexp_matches(text, '(?i)\b{lx.KEY}')", 5), (sql_word("x", lx.PERSONAL), 1), (sql_word("x", lx.SENSITIVE), 2))
 _SIZE_D = f"CASE WHEN {_WORDS} > 180 OR {_LEN} > 1600 THEN 4 WHEN {_WORDS} > 70 OR {_LEN} > 700 THEN 2 ELSE 0 END"
 _SCORE_D = f"({_SIZE_D}) + " + sql_points((sql_any("x", lx.COMPLEX_TERMS), 3), (sql_word("x", lx.DEPTH), 2), (sql_word("x", lx.BREADTH), 2), (sql_word("x", lx.BREVITY), -2), (f"{sql_any('x', lx.CODING_TERMS)} AND {sql_word('x', lx.CODE_WORK)}", 1))
 _FACT = rf"({_WORDS} <= 24 AND regexp_matches(ltrim(x, E' \t\n\r'), '^({lx.QUESTION})\b') AND NOT {sql_any('x', lx.COMPLEX_TERMS)})"
@@ -576,17 +582,20 @@ _TASKS = f"""CASE WHEN {_FACT} THEN 'simple_qa' WHEN {sql_any('x', _L['translati
 
 @query("privacy_score", f"WITH {_P} SELECT doc_id, score, CASE WHEN score >= 5 THEN 'high' WHEN score >= 2 THEN 'medium' ELSE 'low' END AS privacy FROM (SELECT doc_id, {_SCORE_P} AS score FROM p)")
 def _privacy_score(spark, d):
-    return prompts(spark, d).withColumn("score", rules.privacy_score(F.col("text"))).select("doc_id", "score", rules.privacy_level(F.col("score")).alias("privacy"))
+    own, facts = rules.bind(prompts(spark, d), "text")
+    return own.withColumn("score", rules.privacy_score(facts)).select("doc_id", "score", rules.privacy_level(F.col("score")).alias("privacy"))
 
 
 @query("difficulty_score", f"WITH {_P} SELECT doc_id, score, CASE WHEN score >= 5 THEN 'hard' WHEN score >= 2 THEN 'medium' ELSE 'easy' END AS difficulty FROM (SELECT doc_id, {_SCORE_D} AS score FROM p)")
 def _difficulty_score(spark, d):
-    return prompts(spark, d).withColumn("score", rules.difficulty_score(F.col("text"))).select("doc_id", "score", rules.difficulty_level(F.col("score")).alias("difficulty"))
+    own, facts = rules.bind(prompts(spark, d), "text")
+    return own.withColumn("score", rules.difficulty_score(facts)).select("doc_id", "score", rules.difficulty_level(F.col("score")).alias("difficulty"))
 
 
 @query("rule_task_type", f"WITH {_P} SELECT doc_id, {_FACT} AS factual, {_TASKS} AS task_type FROM p")
 def _rule_task(spark, d):
-    return prompts(spark, d).select("doc_id", rules.factual_question(F.col("text")).alias("factual"), rules.rule_task_type(F.col("text")).alias("task_type"))
+    own, facts = rules.bind(prompts(spark, d), "text")
+    return own.select("doc_id", rules.factual_question(facts).alias("factual"), rules.rule_task_type(facts).alias("task_type"))
 
 
 _ANALYZED = f"""ruled AS (SELECT doc_id, text, x, {_FACT} AS factual_question, {_TASKS} AS task_type, {_SCORE_P} AS ps, {_SCORE_D} AS ds, {sql_any('x', lx.SIMPLE_TERMS)} AS simple_terms, {_LEN} > 1600 AS long_prompt FROM p)"""
@@ -604,25 +613,26 @@ _DEEP = f"""deep AS (SELECT *, {_C_SIZE} AS c_length, {sql_points((sql_word('x',
     least(2, {sql_points((sql_word('x', lx.CONSTRAINT), 1), (sql_word('x', lx.COMPARISON), 1), ("len(regexp_extract_all(text, '[,;:]')) >= 3", 1))}) AS c_constraints,
     {sql_points(("task_type IN ('coding', 'math', 'planning', 'data_analysis', 'reasoning')", 1))} AS c_task, {_LONG} AS c_long,
     {sql_points((f"{sql_word('x', 'advanced')} AND task_type IN ('math', 'reasoning', 'coding')", 2), (f"{sql_word('x', 'design')} AND {sql_word('x', lx.SYSTEM)}", 1))} AS c_more, {sql_word('x', lx.BRIEF)} AS c_brief FROM ruled),
-    scored AS (SELECT *, c_length + c_reasoning + c_scope + c_constraints + c_task + CASE WHEN c_long THEN 6 ELSE 0 END + c_more AS raw FROM deep),
+    scored AS (SELECT *, abs(doc_id) % 3 AS c_ml, abs(doc_id) % 5 AS c_semantic, c_length + c_reasoning + c_scope + c_constraints + c_task + abs(doc_id) % 3 + abs(doc_id) % 5 + CASE WHEN c_long THEN 6 ELSE 0 END + c_more AS raw FROM deep),
     final AS (SELECT *, raw - CASE WHEN c_brief AND raw < 4 THEN 1 ELSE 0 END AS score, factual_question AND NOT long_prompt AS trivial FROM scored)"""
 
 
 @query("complexity", f"""WITH {_P}, {_ANALYZED}, {_DEEP} SELECT doc_id, CASE WHEN trivial OR score < 2 THEN 'easy' WHEN score >= 6 THEN 'hard' ELSE 'medium' END AS label, CASE WHEN trivial THEN 0 ELSE greatest(0, score) END AS score,
     CASE WHEN trivial THEN 0 ELSE c_length END AS length, CASE WHEN trivial THEN 0 ELSE c_reasoning END AS reasoning, CASE WHEN trivial THEN 0 ELSE c_scope END AS scope, CASE WHEN trivial THEN 0 ELSE c_constraints END AS constraints,
-    CASE WHEN trivial THEN 0 ELSE c_task END AS task, CASE WHEN NOT trivial AND c_long THEN 4 ELSE 0 END AS long_context FROM final""")
+    CASE WHEN trivial THEN 0 ELSE c_task END AS task, CASE WHEN trivial THEN 0 ELSE c_ml END AS ml, CASE WHEN trivial THEN 0 ELSE c_semantic END AS semantic, CASE WHEN NOT trivial AND c_long THEN 4 ELSE 0 END AS long_context FROM final""")
 def _complexity(spark, d):
-    own = prompts(spark, d).withColumn("rule_task", rules.rule_task_type(F.col("text")))
-    return own.select("doc_id", *[v.alias(k) for k, v in rules.complexity(F.col("text"), F.col("rule_task"), F.lit(0), F.lit(0)).items()])
+    own, facts = rules.bind(prompts(spark, d), "text")
+    i = F.abs("doc_id")
+    own = own.withColumns({"rule_task": rules.rule_task_type(facts), "ml_points": (i % 3).cast("int"), "semantic_points": (i % 5).cast("int")})
+    return own.select("doc_id", *[v.alias(k) for k, v in rules.complexity(facts, F.col("rule_task"), F.col("ml_points"), F.col("semantic_points")).items()])
 
 
 # ---------------------------------------------------------------- learned scorers, with invented weights
 
-_SHORT = f"short AS (SELECT * FROM p WHERE {_LEN} <= 1500)"
 _STOP = sql_list(lx.STOP_WORDS)
 _FLAT = r"trim(regexp_replace(x, '[^a-z0-9+#.]+', ' ', 'g'))"
 _FEATURES = [("privacy", sql_any("flat", lx.PRIVACY_TERMS)), ("coding", sql_any("flat", lx.CODING_TERMS)), ("complex", f"({sql_any('flat', lx.COMPLEX_TERMS)} OR len(words) > 80)"), *[(k, sql_any("flat", v)) for k, v in lx.TASK_LEXICONS.items()]]
-_TOKENS = f"""worded AS (SELECT doc_id, flat, list_filter(string_split(flat, ' '), lambda w: length(w) > 1 AND NOT list_contains([{_STOP}], w)) AS words FROM (SELECT doc_id, {_FLAT} AS flat FROM short)),
+_TOKENS = f"""worded AS (SELECT doc_id, flat, list_filter(string_split(flat, ' '), lambda w: length(w) > 1 AND NOT list_contains([{_STOP}], w)) AS words FROM (SELECT doc_id, {_FLAT} AS flat FROM p)),
     tokens AS (SELECT doc_id, unnest(words) AS token FROM worded WHERE flat <> ''
       UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(words)), lambda i: words[i] || '_' || words[i + 1])) FROM worded WHERE len(words) > 1
       {' '.join(f"UNION ALL SELECT doc_id, unnest(['feature:{k}', 'feature:{k}']) FROM worded WHERE flat <> '' AND {c}" for k, c in _FEATURES)}
@@ -631,11 +641,11 @@ _TOKENS = f"""worded AS (SELECT doc_id, flat, list_filter(string_split(flat, ' '
 
 
 def counts(spark, d) -> DataFrame:
-    own = prompts(spark, d).repartition("doc_id").withColumn("tokens", scoring.router_tokens(F.col("text")))
+    own = prompts(spark, d).withColumn("tokens", scoring.router_tokens(F.col("text")))
     return scoring.token_counts(own, "doc_id", "tokens")
 
 
-@query("router_tokens", f"WITH {_P}, {_SHORT}, {_TOKENS} SELECT doc_id, token, n FROM counts")
+@query("router_tokens", f"WITH {_P}, {_TOKENS} SELECT doc_id, token, n FROM counts")
 def _router_tokens(spark, d):
     return counts(spark, d)
 
@@ -662,17 +672,17 @@ def tables_of_weights(spark):
     return idf, labels, frame(spark, "label string, token string, value double", _WEIGHTS)
 
 
-@query("tfidf", f"WITH {_P}, {_SHORT}, {_TOKENS}, {_TFIDF} SELECT doc_id, token, round(weight, 6) AS weight FROM vectors")
+@query("tfidf", f"WITH {_P}, {_TOKENS}, {_TFIDF} SELECT doc_id, token, round(weight, 6) AS weight FROM vectors")
 def _tfidf(spark, d):
     return scoring.tfidf(counts(spark, d), "doc_id", tables_of_weights(spark)[0]).select("doc_id", "token", F.round("weight", 6).alias("weight"))
 
 
-_LINEAR = f"""{_TFIDF}, linear AS (SELECT s.doc_id, l.label, l.intercept::DOUBLE + coalesce(sum(v.weight * w.value::DOUBLE), 0) AS score FROM short s CROSS JOIN {_LABELS_SQL} l LEFT JOIN vectors v ON v.doc_id = s.doc_id
+_LINEAR = f"""{_TFIDF}, linear AS (SELECT s.doc_id, l.label, l.intercept::DOUBLE + coalesce(sum(v.weight * w.value::DOUBLE), 0) AS score FROM p s CROSS JOIN {_LABELS_SQL} l LEFT JOIN vectors v ON v.doc_id = s.doc_id
     LEFT JOIN {_WEIGHTS_SQL} w ON w.token = v.token AND w.label = l.label GROUP BY s.doc_id, l.label, l.intercept),
     shares AS (SELECT doc_id, label, exp(score - max(score) OVER o) / sum(exp(score)) OVER o * exp(max(score) OVER o) AS p FROM linear WINDOW o AS (PARTITION BY doc_id))"""
 
 
-@query("linear_predict", f"""WITH {_P}, {_SHORT}, {_TOKENS}, {_LINEAR}, best AS (SELECT doc_id, arg_min(label, (-round(p, 9), label)) AS label, round(max(p), 5) AS confidence, round(-sum(p * ln(p)) / ln(3), 5) AS normalized_entropy FROM shares GROUP BY doc_id),
+@query("linear_predict", f"""WITH {_P}, {_TOKENS}, {_LINEAR}, best AS (SELECT doc_id, arg_min(label, (-round(p, 9), label)) AS label, round(max(p), 5) AS confidence, round(-sum(p * ln(p)) / ln(3), 5) AS normalized_entropy FROM shares GROUP BY doc_id),
     cover AS (SELECT doc_id, round(count(*) FILTER (WHERE token IN (SELECT token FROM {_IDF_SQL})) / count(*), 5) AS coverage FROM counts GROUP BY doc_id)
     SELECT doc_id, label, confidence, normalized_entropy, coalesce(coverage, 0) AS coverage FROM best LEFT JOIN cover USING (doc_id)""")
 def _linear_predict(spark, d):
@@ -681,7 +691,7 @@ def _linear_predict(spark, d):
     return found.select("doc_id", "label", *[F.round(c, 5).alias(c) for c in ("confidence", "normalized_entropy", "coverage")])
 
 
-_BAYES = f"""bayes AS (SELECT s.doc_id, l.label, l.log_prior::DOUBLE + coalesce(sum(c.n * coalesce(w.value::DOUBLE - 4, l.unknown::DOUBLE)), 0) AS score FROM short s CROSS JOIN {_LABELS_SQL} l LEFT JOIN counts c ON c.doc_id = s.doc_id
+_BAYES = f"""bayes AS (SELECT s.doc_id, l.label, l.log_prior::DOUBLE + coalesce(sum(c.n * coalesce(w.value::DOUBLE - 4, l.unknown::DOUBLE)), 0) AS score FROM p s CROSS JOIN {_LABELS_SQL} l LEFT JOIN counts c ON c.doc_id = s.doc_id
     LEFT JOIN {_WEIGHTS_SQL} w ON w.token = c.token AND w.label = l.label GROUP BY s.doc_id, l.label, l.log_prior)"""
 
 
@@ -690,16 +700,16 @@ def bayes(spark, d) -> DataFrame:
     return scoring.naive_bayes_scores(prompts(spark, d), counts(spark, d), "doc_id", labels, weights.select("label", "token", (F.col("value") - 4).alias("log_likelihood")))
 
 
-@query("naive_bayes_scores", f"WITH {_P}, {_SHORT}, {_TOKENS}, {_BAYES} SELECT doc_id, label, round(score, 5) AS score FROM bayes")
+@query("naive_bayes_scores", f"WITH {_P}, {_TOKENS}, {_BAYES} SELECT doc_id, label, round(score, 5) AS score FROM bayes")
 def _bayes(spark, d):
     return bayes(spark, d).select("doc_id", "label", F.round("score", 5).alias("score"))
 
 
-_CENTROID = f"""{_TFIDF}, centroid AS (SELECT s.doc_id, l.label, coalesce(sum(v.weight * w.value::DOUBLE), 0) AS score FROM short s CROSS JOIN {_LABELS_SQL} l LEFT JOIN vectors v ON v.doc_id = s.doc_id
+_CENTROID = f"""{_TFIDF}, centroid AS (SELECT s.doc_id, l.label, coalesce(sum(v.weight * w.value::DOUBLE), 0) AS score FROM p s CROSS JOIN {_LABELS_SQL} l LEFT JOIN vectors v ON v.doc_id = s.doc_id
     LEFT JOIN {_WEIGHTS_SQL} w ON w.token = v.token AND w.label = l.label GROUP BY s.doc_id, l.label)"""
 
 
-@query("hybrid_predict", f"""WITH {_P}, {_SHORT}, {_TOKENS}, {_BAYES}, {_CENTROID}, c AS (SELECT doc_id, label, exp((score - max(score) OVER o) / 0.18) AS e FROM centroid WINDOW o AS (PARTITION BY doc_id)),
+@query("hybrid_predict", f"""WITH {_P}, {_TOKENS}, {_BAYES}, {_CENTROID}, c AS (SELECT doc_id, label, exp((score - max(score) OVER o) / 0.18) AS e FROM centroid WINDOW o AS (PARTITION BY doc_id)),
     b AS (SELECT doc_id, label, exp(score - max(score) OVER o) AS e FROM bayes WINDOW o AS (PARTITION BY doc_id))
     SELECT c.doc_id, c.label, round(c.e / sum(c.e) OVER (PARTITION BY c.doc_id) + 0.15 * b.e / sum(b.e) OVER (PARTITION BY b.doc_id), 5) AS confidence FROM c JOIN b ON c.doc_id = b.doc_id AND c.label = b.label""")
 def _hybrid(spark, d):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from routelake.functions import lexicon as lx
@@ -30,76 +30,96 @@ def level(score: Column, high: int, middle: int, names: list[str]) -> Column:
     return F.when(score >= high, names[2]).when(score >= middle, names[1]).otherwise(names[0])
 
 
-def privacy_score(prompt: Column) -> Column:
+def facts(prompt: Column) -> dict[str, Column]:
+    """What the rules read of a prompt, by name: each is one pass over the text.
+
+    ``bind`` makes columns of them, so that however many rules read one, it is found once.
+    """
     text = F.lower(prompt)
-    return points(
-        (contains_any(text, lx.PRIVACY_TERMS), 3),
-        (has_word(text, lx.SSN), 5),
-        (has_word(text, lx.CARD), 5),
-        (prompt.rlike(lx.E_MAIL), 3),
-        (prompt.rlike(rf"(?<![A-Za-z0-9_]){lx.KEY}"), 5),
-        (has_word(text, lx.PERSONAL), 1),
-        (has_word(text, lx.SENSITIVE), 2),
-    )
+    edge = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
+    terms = {"private_terms": lx.PRIVACY_TERMS, "coding_terms": lx.CODING_TERMS, "complex_terms": lx.COMPLEX_TERMS, "simple_terms": lx.SIMPLE_TERMS}
+    terms |= {f"{name}_terms": words for name, words in lx.TASK_LEXICONS.items()}
+    patterns = {
+        "ssn": lx.SSN, "card": lx.CARD, "personal": lx.PERSONAL, "sensitive": lx.SENSITIVE, "depth": lx.DEPTH, "breadth": lx.BREADTH, "brevity": lx.BREVITY, "code_work": lx.CODE_WORK,
+        "planning": lx.PLANNING, "coding": lx.CODING, "reasoning": lx.REASONING, "scope": lx.SCOPE, "constraint": lx.CONSTRAINT, "comparison": lx.COMPARISON, "system": lx.SYSTEM, "brief": lx.BRIEF,
+        "amount": lx.AMOUNT, "advanced": "advanced", "design": "design",
+    }
+    return {
+        "words": word_count(text),
+        "length": utf16_length(prompt),
+        "question": text.rlike(f"^{JS_SPACE}*(?:{lx.QUESTION}){edge[1]}"),
+        "e_mail": prompt.rlike(lx.E_MAIL),
+        "key": prompt.rlike(rf"(?i){edge[0]}{lx.KEY}"),
+        "many_clauses": F.regexp_count(prompt, F.lit("[,;:]")) >= 3,
+        "long_work": text.rlike(rf"{edge[0]}(?:{lx.LONG}){edge[1]}.{{0,24}}{edge[0]}(?:{lx.WORK}){edge[1]}"),
+        **{name: contains_any(text, own) for name, own in terms.items()},
+        **{name: has_word(text, pattern) for name, pattern in patterns.items()},
+    }
 
 
-def privacy_level(score: Column) -> Column:
-    return level(score, 5, 2, lx.PRIVACY_LEVELS)
+PREFIX = "_rule_"
 
 
-def _size(prompt: Column, text: Column) -> tuple[Column, Column]:
-    return word_count(text), utf16_length(prompt)
+def bind(prompts: DataFrame, prompt: str) -> tuple[DataFrame, dict[str, Column]]:
+    """``prompts`` with a column for each fact, and these columns; those that nothing reads are never computed."""
+    found = facts(F.col(prompt))
+    return prompts.withColumns({PREFIX + name: value for name, value in found.items()}), {name: F.col(PREFIX + name) for name in found}
 
 
-def difficulty_score(prompt: Column) -> Column:
-    text = F.lower(prompt)
-    words, length = _size(prompt, text)
-    size = F.when((words > 180) | (length > 1600), 4).when((words > 70) | (length > 700), 2).otherwise(0)
-    return size + points(
-        (contains_any(text, lx.COMPLEX_TERMS), 3),
-        (has_word(text, lx.DEPTH), 2),
-        (has_word(text, lx.BREADTH), 2),
-        (has_word(text, lx.BREVITY), -2),
-        (contains_any(text, lx.CODING_TERMS) & has_word(text, lx.CODE_WORK), 1),
-    )
+def unbind(prompts: DataFrame) -> DataFrame:
+    """Without the facts' columns."""
+    return prompts.drop(*[c for c in prompts.columns if c.startswith(PREFIX)])
+
+
+Facts = dict[str, Column]
+
+
+def privacy_score(f: Facts) -> Column:
+    return points((f["private_terms"], 3), (f["ssn"], 5), (f["card"], 5), (f["e_mail"], 3), (f["key"], 5), (f["personal"], 1), (f["sensitive"], 2))
+
+
+def privacy_level(score: Column) -> Column:
+    return level(score, 5, 2, lx.PRIVACY_LEVELS)
+
+
+def difficulty_score(f: Facts) -> Column:
+    size = F.when((f["words"] > 180) | (f["length"] > 1600), 4).when((f["words"] > 70) | (f["length"] > 700), 2).otherwise(0)
+    return size + points((f["complex_terms"], 3), (f["depth"], 2), (f["breadth"], 2), (f["brevity"], -2), (f["coding_terms"] & f["code_work"], 1))
 
 
 def difficulty_level(score: Column) -> Column:
     return level(score, 5, 2, lx.DIFFICULTIES)
 
 
-def factual_question(prompt: Column) -> Column:
-    text = F.lower(prompt)
-    start = F.regexp_replace(text, f"^{JS_SPACE}+", "")
-    return (word_count(text) <= 24) & start.rlike(f"^(?:{lx.QUESTION})(?![A-Za-z0-9_])") & ~contains_any(text, lx.COMPLEX_TERMS)
+def factual_question(f: Facts) -> Column:
+    return (f["words"] <= 24) & f["question"] & ~f["complex_terms"]
 
 
-def rule_task_type(prompt: Column) -> Column:
-    text, terms = F.lower(prompt), lx.TASK_LEXICONS
+def rule_task_type(f: Facts) -> Column:
     return (
-        F.when(factual_question(prompt), "simple_qa")
-        .when(contains_any(text, terms["translation"]), "translation")
-        .when(contains_any(text, terms["summary"]), "summarization")
-        .when(has_word(text, lx.PLANNING), "planning")
-        .when(has_word(text, lx.CODING), "coding")
-        .when(contains_any(text, terms["math"]), "math")
-        .when(contains_any(text, terms["data"]), "data_analysis")
-        .when(contains_any(text, terms["reasoning"]), "reasoning")
-        .when(contains_any(text, terms["creative"]), "creative")
+        F.when(factual_question(f), "simple_qa")
+        .when(f["translation_terms"], "translation")
+        .when(f["summary_terms"], "summarization")
+        .when(f["planning"], "planning")
+        .when(f["coding"], "coding")
+        .when(f["math_terms"], "math")
+        .when(f["data_terms"], "data_analysis")
+        .when(f["reasoning_terms"], "reasoning")
+        .when(f["creative_terms"], "creative")
         .otherwise("unknown")
     )
 
 
-def analyze_rules(prompt: Column) -> dict[str, Column]:
+def analyze_rules(f: Facts) -> dict[str, Column]:
     """The rule signals of a prompt by name."""
-    factual, task = factual_question(prompt), rule_task_type(prompt)
-    own, privacy = difficulty_level(difficulty_score(prompt)), privacy_level(privacy_score(prompt))
+    factual, task = factual_question(f), rule_task_type(f)
+    own, privacy = difficulty_level(difficulty_score(f)), privacy_level(privacy_score(f))
     return {
         "private": privacy == "high",
         "coding": task == "coding",
         "complex": own == "hard",
-        "simple": factual | (own == "easy") | contains_any(F.lower(prompt), lx.SIMPLE_TERMS),
-        "long_prompt": utf16_length(prompt) > 1600,
+        "simple": factual | (own == "easy") | f["simple_terms"],
+        "long_prompt": f["length"] > 1600,
         "factual_question": factual,
         "task_type": task,
         "difficulty": F.when(factual, "easy").otherwise(own),
@@ -142,22 +162,19 @@ def is_uncertain(*targets: tuple[Column, Column, Column]) -> Column:
     return found
 
 
-def complexity(prompt: Column, task: Column, ml: Column, semantic: Column) -> dict[str, Column]:
+def complexity(f: Facts, task: Column, ml: Column, semantic: Column) -> dict[str, Column]:
     """label, score and dimensions; ``ml`` and ``semantic`` are points from predictions."""
-    text = F.lower(prompt)
-    words, length = _size(prompt, text)
-    trivial = factual_question(prompt) & (length <= 1600)
+    words, length = f["words"], f["length"]
+    trivial = factual_question(f) & (length <= 1600)
     size = F.when((length > 1600) | (words > 180), 4).when((length > 700) | (words > 70), 2).when(words > 35, 1).otherwise(0)
-    reasoning, scope = points((has_word(text, lx.REASONING), 2)), points((has_word(text, lx.SCOPE), 2))
-    many = F.regexp_count(prompt, F.lit("[,;:]")) >= 3
-    constraints = F.least(F.lit(2), points((has_word(text, lx.CONSTRAINT), 1), (has_word(text, lx.COMPARISON), 1), (many, 1)))
-    edge = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
-    long_context = text.rlike(rf"{edge[0]}(?:{lx.LONG}){edge[1]}.{{0,24}}{edge[0]}(?:{lx.WORK}){edge[1]}") | has_word(text, lx.AMOUNT)
+    reasoning, scope = points((f["reasoning"], 2)), points((f["scope"], 2))
+    constraints = F.least(F.lit(2), points((f["constraint"], 1), (f["comparison"], 1), (f["many_clauses"], 1)))
+    long_context = f["long_work"] | f["amount"]
     work = points((task.isin("coding", "math", "planning", "data_analysis", "reasoning"), 1))
     score = size + reasoning + scope + constraints + work + ml + semantic
-    score = score + points((long_context, 6), (has_word(text, "advanced") & task.isin("math", "reasoning", "coding"), 2), (has_word(text, "design") & has_word(text, lx.SYSTEM), 1))
-    score = score - F.when(has_word(text, lx.BRIEF) & (score < 4), 1).otherwise(0)
-    none = {k: F.when(trivial, F.lit(0)).otherwise(v) for k, v in {"length": size, "reasoning": reasoning, "scope": scope, "constraints": constraints, "task": work}.items()}
+    score = score + points((long_context, 6), (f["advanced"] & task.isin("math", "reasoning", "coding"), 2), (f["design"] & f["system"], 1))
+    score = score - F.when(f["brief"] & (score < 4), 1).otherwise(0)
+    none = {k: F.when(trivial, F.lit(0)).otherwise(v) for k, v in {"length": size, "reasoning": reasoning, "scope": scope, "constraints": constraints, "task": work, "ml": ml, "semantic": semantic}.items()}
     return {
         "label": F.when(trivial, "easy").otherwise(level(score, 6, 2, lx.DIFFICULTIES)),
         "score": F.when(trivial, F.lit(0)).otherwise(F.greatest(F.lit(0), score)),

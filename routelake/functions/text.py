@@ -143,7 +143,7 @@ def utf16_length(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     """Words between JavaScript white space."""
-    return F.regexp_count(text, F.lit(f"[^{JS_SPACE[1:]}+"))
+    return F.size(F.array_remove(F.split(text, f"{JS_SPACE}+"), ""))  # far cheaper than matching a negated class
 
 
 def render_inline(text: Column) -> Column:

@@ -12,11 +12,12 @@ from routelake.functions.rules import contains_any
 def router_tokens(text: Column, char_ngrams: tuple[int, int] | None = None) -> Column:
     """Words without stop words, their bigrams, character n-grams if asked for, and feature tokens, with repeats."""
 
-    def tokens(flat: Column) -> Column:
-        words = F.filter(F.split(flat, " "), lambda w: (F.length(w) > 1) & ~w.isin(lx.STOP_WORDS))
-        return F.when(flat == "", F.array().cast("array<string>")).otherwise(_bound(words, lambda words: _tokens(flat, words, char_ngrams)))
+    def tokens(every: Column) -> Column:
+        words = F.filter(every, lambda w: (F.length(w) > 1) & ~w.isin(lx.STOP_WORDS))
+        own = _bound(F.struct(F.array_join(every, " ").alias("flat"), words.alias("words")), lambda x: _tokens(x["flat"], x["words"], char_ngrams))
+        return F.when(F.size(every) == 0, F.array().cast("array<string>")).otherwise(own)
 
-    return _bound(F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9+#.]+", " ")), tokens)
+    return _bound(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9+#.]+"), F.lit(0)), tokens)
 
 
 def _bound(value: Column, body) -> Column:
@@ -49,16 +50,38 @@ def _cut(text: Column, size: int):
     return lambda start: F.substr(text, start, F.lit(size))
 
 
+def counted(tokens: Column) -> Column:
+    """Distinct tokens of an array with their counts, as structs (token, n): runs of the sorted array."""
+
+    def runs(a: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(a)), lambda i: (i == 1) | (F.element_at(a, i) != F.element_at(a, F.greatest(i - 1, F.lit(1)))))
+        ends = lambda s: F.concat(F.slice(s, 2, F.greatest(F.size(s) - 1, F.lit(0))), F.array(F.size(a) + 1))
+        return _bound(starts, lambda s: F.zip_with(s, ends(s), lambda i, j: F.struct(F.element_at(a, i).alias("token"), (j - i).cast("long").alias("n"))))
+
+    return F.when(F.size(tokens) > 0, _bound(F.array_sort(tokens), runs)).otherwise(F.array().cast("array<struct<token:string,n:bigint>>"))
+
+
 def token_counts(prompts: DataFrame, id_col: str, tokens: str) -> DataFrame:
-    """id, token, n: one row for each distinct token of a prompt."""
-    return prompts.select(id_col, F.explode(tokens).alias("token")).groupBy(id_col, "token").agg(F.count("*").alias("n"))
+    """id, token, n: one row for each distinct token of a prompt.  Counted within the row, so nothing is shuffled."""
+    return prompts.select(id_col, F.explode(counted(F.col(tokens))).alias("_c")).select(id_col, "_c.token", "_c.n")
+
+
+#: Rows of a model's table that are broadcast at most; larger tables are joined by a shuffle.
+SMALL = 200_000
+#: Labels that a classifier has at most; they are held on the driver.
+MOST_LABELS = 1000
+
+
+def small(table: DataFrame) -> DataFrame:
+    """``table``, to be broadcast if it has at most SMALL rows."""
+    return F.broadcast(table) if table.limit(SMALL + 1).count() <= SMALL else table
 
 
 def tfidf(counts: DataFrame, id_col: str, idf: DataFrame) -> DataFrame:
     """id, token, weight: (1 + ln n) * idf of known tokens, each prompt's weights of unit length."""
-    known = counts.join(F.broadcast(idf), "token").withColumn("_w", (1 + F.log(F.col("n"))) * F.col("idf"))
-    norms = known.groupBy(id_col).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
-    return known.join(norms, id_col).where("_norm > 0").select(id_col, "token", (F.col("_w") / F.col("_norm")).alias("weight"))
+    known = counts.join(small(idf), "token").withColumn("_w", (1 + F.log(F.col("n"))) * F.col("idf"))
+    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(id_col)))  # a prompt's tokens are few
+    return known.withColumn("_norm", norm).where("_norm > 0").select(id_col, "token", (F.col("_w") / F.col("_norm")).alias("weight"))
 
 
 def softmax(scores: DataFrame, id_col: str, score: str = "score", temperature: Column | float = 1.0, out: str = "probability") -> DataFrame:
@@ -68,30 +91,57 @@ def softmax(scores: DataFrame, id_col: str, score: str = "score", temperature: C
     return scores.withColumn("_e", e).withColumn(out, F.col("_e") / F.sum("_e").over(own)).drop("_e")
 
 
-def _every_label(prompts: DataFrame, id_col: str, labels: DataFrame) -> DataFrame:
-    """A row for each prompt and label; the labels are few and broadcast."""
-    return prompts.select(id_col).join(F.broadcast(labels), F.lit(True))
+def labels_of(labels: DataFrame) -> list[dict]:
+    """The rows of a classifier's table of labels, by label."""
+    found = labels.limit(MOST_LABELS + 1).collect()
+    if len(found) > MOST_LABELS:
+        raise ValueError(f"a classifier with over {MOST_LABELS} labels")
+    return sorted((r.asDict() for r in found), key=lambda r: r["label"])
+
+
+def _sums(rows: DataFrame, id_col: str, values: DataFrame, value: str, names: list[str], term, *others: Column) -> DataFrame:
+    """id, others, _0, _1, ...: for each label the sum of ``term`` of the values that ``values`` (label, token) gives the tokens.
+
+    A token's values come as one map, so a row meets the table once, and a prompt's rows are
+    added up before they are shuffled.  A prompt without tokens has a row with a null token.
+    """
+    by_token = values.groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("label", value))).alias("_v"))
+    met = rows.join(small(by_token), "token", "left")
+    return met.groupBy(id_col).agg(*others, *[F.sum(term(F.try_element_at("_v", F.lit(name)), name)).alias(f"_{i}") for i, name in enumerate(names)])
+
+
+def _unfolded(sums: DataFrame, id_col: str, names: list[str], score) -> DataFrame:
+    """id, label, score: a row for each label."""
+    each = F.array(*[F.struct(F.lit(name).alias("label"), score(i, F.coalesce(F.col(f"_{i}"), F.lit(0.0))).cast("double").alias("score")) for i, name in enumerate(names)])
+    return sums.select(id_col, F.explode(each).alias("_l")).select(id_col, "_l.label", "_l.score")
+
+
+def _every_prompt(prompts: DataFrame, rows: DataFrame, id_col: str) -> DataFrame:
+    """``rows``, and a row of nulls for each prompt."""
+    return rows.unionByName(prompts.select(id_col), allowMissingColumns=True)
 
 
 def linear_scores(prompts: DataFrame, vectors: DataFrame, id_col: str, labels: DataFrame, weights: DataFrame) -> DataFrame:
     """id, label, score: intercept plus the weighted sum; ``labels`` has label, intercept, ``weights`` label, token, coefficient."""
-    sums = vectors.join(F.broadcast(weights), "token").groupBy(id_col, "label").agg(F.sum(F.col("weight") * F.col("coefficient")).alias("_s"))
-    return _every_label(prompts, id_col, labels).join(sums, [id_col, "label"], "left").select(id_col, "label", (F.col("intercept") + F.coalesce("_s", F.lit(0.0))).alias("score"))
+    own = labels_of(labels)
+    names = [r["label"] for r in own]
+    sums = _sums(_every_prompt(prompts, vectors, id_col), id_col, weights, "coefficient", names, lambda v, _: F.col("weight") * v)
+    return _unfolded(sums, id_col, names, lambda i, s: F.lit(own[i]["intercept"]) + s)
 
 
 def naive_bayes_scores(prompts: DataFrame, counts: DataFrame, id_col: str, labels: DataFrame, likelihoods: DataFrame) -> DataFrame:
     """id, label, score: log prior plus log likelihoods of all tokens with repeats; ``labels`` has label, log_prior, unknown."""
-    totals = counts.groupBy(id_col).agg(F.sum("n").alias("_all"))
-    known = counts.join(F.broadcast(likelihoods), "token").groupBy(id_col, "label").agg(F.sum(F.col("n") * F.col("log_likelihood")).alias("_s"), F.sum("n").alias("_k"))
-    every = _every_label(prompts, id_col, labels).join(totals, id_col, "left").join(known, [id_col, "label"], "left")
-    zero = F.lit(0)
-    return every.select(id_col, "label", (F.col("log_prior") + F.coalesce("_s", F.lit(0.0)) + (F.coalesce("_all", zero) - F.coalesce("_k", zero)) * F.col("unknown")).alias("score"))
+    own = labels_of(labels)
+    names, unknown = [r["label"] for r in own], {r["label"]: F.lit(r["unknown"]) for r in own}
+    sums = _sums(_every_prompt(prompts, counts, id_col), id_col, likelihoods, "log_likelihood", names, lambda v, name: F.col("n") * F.coalesce(v, unknown[name]))
+    return _unfolded(sums, id_col, names, lambda i, s: F.lit(own[i]["log_prior"]) + s)
 
 
 def centroid_scores(prompts: DataFrame, vectors: DataFrame, id_col: str, labels: DataFrame, centroids: DataFrame) -> DataFrame:
     """id, label, score: inner product with each label's centroid; ``centroids`` has label, token, value."""
-    sums = vectors.join(F.broadcast(centroids), "token").groupBy(id_col, "label").agg(F.sum(F.col("weight") * F.col("value")).alias("_s"))
-    return _every_label(prompts, id_col, labels.select("label")).join(sums, [id_col, "label"], "left").select(id_col, "label", F.coalesce("_s", F.lit(0.0)).alias("score"))
+    names = [r["label"] for r in labels_of(labels)]
+    sums = _sums(_every_prompt(prompts, vectors, id_col), id_col, centroids, "value", names, lambda v, _: F.col("weight") * v)
+    return _unfolded(sums, id_col, names, lambda i, s: s)
 
 
 def hybrid(naive_bayes: DataFrame | None, centroid: DataFrame, id_col: str, nb_weight: float = 0.15, centroid_weight: float = 1.0) -> DataFrame:
@@ -112,10 +162,37 @@ def best_label(scores: DataFrame, id_col: str, value: str) -> DataFrame:
 
 
 def predict_linear(prompts: DataFrame, counts: DataFrame, id_col: str, idf: DataFrame, labels: DataFrame, weights: DataFrame, temperature: float = 1.0) -> DataFrame:
-    """Label, confidence, margin, normalised entropy and token coverage of the linear scorer."""
-    scores = linear_scores(prompts, tfidf(counts, id_col, idf), id_col, labels, weights)
-    shares = softmax(scores, id_col, temperature=temperature, out="confidence")
-    entropy = shares.groupBy(id_col).agg((-F.sum(F.when(F.col("confidence") > 0, F.col("confidence") * F.log("confidence")).otherwise(0.0)) / F.log(F.count("*"))).alias("normalized_entropy"))
-    known = counts.join(F.broadcast(idf.select("token", F.lit(1).alias("_k"))), "token", "left").groupBy(id_col).agg((F.sum(F.coalesce("_k", F.lit(0))) / F.count("*")).alias("coverage"))
-    best = best_label(shares, id_col, "confidence")
-    return best.join(entropy, id_col).join(known, id_col, "left").withColumn("coverage", F.coalesce("coverage", F.lit(0.0)))
+    """Label, confidence, margin, alternatives, normalised entropy and token coverage of the linear scorer.
+
+    One pass: a prompt's raw weights, their length, the labels' sums and the coverage are one
+    aggregation, and what follows happens within a row.
+    """
+    own = labels_of(labels)
+    names = [r["label"] for r in own]
+    rows = _every_prompt(prompts, counts, id_col).join(small(idf), "token", "left").withColumn("weight", (1 + F.log(F.col("n"))) * F.col("idf"))
+    norm = F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_norm")
+    sums = _sums(rows, id_col, weights, "coefficient", names, lambda v, _: F.col("weight") * v, norm, F.count("idf").alias("_known"), F.count("token").alias("_all"))
+    scores = F.array(*[F.lit(float(r["intercept"])) + F.coalesce(F.when(F.col("_norm") > 0, F.col(f"_{i}") / F.col("_norm")), F.lit(0.0)) for i, r in enumerate(own)])
+    shares = sums.withColumn("_scores", scores).withColumn("_e", F.transform("_scores", lambda x: F.exp((x - F.array_max("_scores")) / temperature)))
+    total = F.aggregate("_e", F.lit(0.0), lambda s, x: s + x)
+    shares = shares.withColumn("_p", F.transform("_e", lambda x: x / total))
+    ranked = F.array_sort(F.zip_with("_p", F.array(*[F.lit(n) for n in names]), lambda p, n: F.struct((-p).alias("minus"), n.alias("label"))))
+    entropy = F.aggregate("_p", F.lit(0.0), lambda s, p: s - F.when(p > 0, p * F.log(p)).otherwise(0.0)) / F.log(F.lit(float(len(names))))
+    best = shares.withColumn("_r", ranked)
+    first, second = F.col("_r")[0], F.try_element_at("_r", F.lit(2))
+    return best.select(
+        id_col,
+        first["label"].alias("label"),
+        (-first["minus"]).alias("confidence"),
+        (second["minus"] - first["minus"]).alias("margin"),
+        F.transform(F.slice("_r", 2, 2), lambda x: x["label"]).alias("alternatives"),
+        entropy.alias("normalized_entropy"),
+        F.when(F.col("_all") > 0, F.col("_known") / F.col("_all")).otherwise(0.0).alias("coverage"),
+    )
+
+
+def predict_hybrid(prompts: DataFrame, counts: DataFrame, id_col: str, idf: DataFrame, labels: DataFrame, likelihoods: DataFrame | None, centroids: DataFrame) -> DataFrame:
+    """Label, confidence, margin and alternatives of naive Bayes and centroids together."""
+    centroid = centroid_scores(prompts, tfidf(counts, id_col, idf), id_col, labels, centroids)
+    bayes = None if likelihoods is None else naive_bayes_scores(prompts, counts, id_col, labels, likelihoods)
+    return best_label(hybrid(bayes, centroid, id_col), id_col, "confidence")

@@ -31,8 +31,9 @@ GOLDEN = [
 
 def test_rule_scores(spark):
     df = spark.createDataFrame([(i, g[0]) for i, g in enumerate(GOLDEN)], "i int, p string")
-    signals = rules.analyze_rules(F.col("p"))
-    out = df.select("i", rules.privacy_score(F.col("p")), signals["privacy"], rules.difficulty_score(F.col("p")), rules.difficulty_level(rules.difficulty_score(F.col("p"))), signals["factual_question"], signals["task_type"], signals["difficulty"])
+    df, facts = rules.bind(df, "p")
+    signals = rules.analyze_rules(facts)
+    out = df.select("i", rules.privacy_score(facts), signals["privacy"], rules.difficulty_score(facts), rules.difficulty_level(rules.difficulty_score(facts)), signals["factual_question"], signals["task_type"], signals["difficulty"])
     assert [tuple(r)[1:] for r in sorted(out.collect())] == [g[1:] for g in GOLDEN]
 
 
