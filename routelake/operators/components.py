@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from routelake.session import staged
+from routelake.session import discard, staged
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "components") -> DataFrame:
@@ -13,7 +13,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", name: str
 
     Alternates two steps until nothing changes: every node passes the smallest label in its
     neighbourhood to its larger neighbours (large star), then to its smaller ones (small star).
-    Edges with a null end are ignored; each step writes its edges to the shared folder.
+    Edges with a null end are ignored; each step writes its edges to the shared folder.  Minima
+    are taken before the shuffle; where a node has very many edges, its side of the join is the
+    long one, which the adaptive skew rule splits.
     """
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
     loops = pairs.where("u = v").select(F.col("u").alias("node"), F.col("v").alias("component"))
@@ -28,7 +30,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", name: str
         following = staged(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
         if following.count() == current.count() and not following.join(current, ["u", "v"], "left_anti").limit(1).count():
             break
+        discard(current, large)
         current = following
+    discard(current, large)
     found = following.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = found.select(F.col("component").alias("node"), "component").distinct()
     return found.unionByName(roots).unionByName(loops.join(found, "node", "left_anti").join(roots, "node", "left_anti")).distinct()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -14,9 +15,11 @@ LOCAL_SCRATCH = "file:///tmp/checkpoints/routelake"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, as the session names it."""
+    """The folder that the driver and all executors share, as the session names it; raises on a cluster that names none."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = LOCAL_SCRATCH
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(base)
@@ -30,11 +33,12 @@ BATCH_ROWS, MOST_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 BATCH_BYTES, MOST_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     Cuts the lineage: what follows reads files that outlive any executor, and the shuffle
-    files of the write go at its end (they are of no use to a later query).
+    files of the write go at its end (they are of no use to a later query).  ``discard``
+    removes the table once nothing reads it any more.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -43,11 +47,22 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     for key, value in held.items():
         spark.conf.set(key, value)
     try:
-        df.write.parquet(path)
+        (df.write.option("compression", codec) if codec else df.write).parquet(path)
     finally:
         for key, value in before.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._staged_at = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove staged tables that have had their last reader.  Others are left alone."""
+    for table in tables:
+        if path := getattr(table, "_staged_at", None):
+            jvm, context = table.sparkSession.sparkContext._jvm, table.sparkSession.sparkContext
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
 _SHIPPED: set[str] = set()
