@@ -1,7 +1,7 @@
 """Best-fit packing of documents into bins under conflicts.
 
 A document's words (or a given length) are cut into pieces of at most one bin; full pieces
-take a bin each, and the last piece is packed.  Pieces are dealt over shards of a bounded
+take a bin each, and the last piece is packed.  Documents are dealt over shards of a bounded
 number of rows by a hash of all that identifies a row, so a hot source or cluster is
 spread evenly.  Within a shard, in decreasing order of length, each piece goes to the
 tightest bin that it fits and that holds no document of its duplicate cluster and fewer
@@ -15,6 +15,7 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,8 +28,8 @@ from routelake.session import staged
 CAPACITY = 4096
 #: Documents of one source that a bin holds at most.
 PER_SOURCE = 6
-#: Pieces in a shard, on average.
-SHARD_ROWS = 4096
+#: Documents in a shard, on average, and rows that agree in all that are dealt together at most.
+SHARD_ROWS, COPIES = 4096, 256
 PACKED = "doc_id long, piece int, n_words long, bin long, bin_offset long, bin_used long"
 
 
@@ -64,17 +65,27 @@ def best_fit(lengths: list[int], sources: list[int], clusters: list[int], capaci
 
 def _pack(capacity: int, per_source: int):
     def run(shard: pd.DataFrame) -> pd.DataFrame:
-        shard = shard.sort_values(["doc_id", "row", "piece"], kind="stable", na_position="last").reset_index(drop=True)
+        shard = shard.sort_values(["doc_id", "cluster", "words", "source", "chunk"], kind="stable", na_position="last")
+        shard = shard.loc[shard.index.repeat(shard["copies"])].reset_index(drop=True)
+        full = (np.maximum(shard["words"].to_numpy() - 1, 0) // capacity).astype(np.int64)
+        n_words = shard["words"].to_numpy() - full * capacity
         sources = pd.factorize(shard["source"], use_na_sentinel=False)[0]
-        clusters, names = pd.factorize(shard["cluster"], use_na_sentinel=True)
+        clusters, names = pd.factorize(shard["cluster"].where(shard["words"] > 0), use_na_sentinel=True)
         # Only clusters with two pieces or more need a bit.
         sizes = pd.Series(clusters).value_counts()
         bit = {c: k for k, c in enumerate(c for c, n in sizes.items() if n > 1 and c >= 0)}
-        placed = best_fit(shard["n_words"].tolist(), sources.tolist(), [bit.get(c, -1) for c in clusters], capacity, per_source)
-        own = pd.Series([b for b, _ in placed])
-        used = shard["n_words"].groupby(own).transform("sum")
-        first = int(shard["shard"].iloc[0]) << 32
-        return pd.DataFrame({"doc_id": shard["doc_id"].astype("Int64"), "piece": shard["piece"], "n_words": shard["n_words"], "bin": first + own, "bin_offset": [o for _, o in placed], "bin_used": used})
+        placed = best_fit(n_words.tolist(), sources.tolist(), [bit.get(c, -1) for c in clusters], capacity, per_source)
+        own = np.array([b for b, _ in placed], dtype=np.int64)
+        used = pd.Series(n_words).groupby(own).transform("sum").to_numpy()
+        first = np.int64(shard["shard"].iloc[0]) << 32
+        ids = shard["doc_id"].astype("Int64")
+        last = pd.DataFrame({"doc_id": ids, "piece": full, "n_words": n_words, "bin": first + own, "bin_offset": [o for _, o in placed], "bin_used": used})
+        # Full pieces take the bins after these, one each.
+        row = np.repeat(np.arange(len(full)), full)
+        piece = np.arange(len(row)) - np.repeat(np.cumsum(full) - full, full)
+        after = first + (own.max() + 1 if len(own) else 0) + np.arange(len(row))
+        whole = pd.DataFrame({"doc_id": ids.to_numpy()[row], "piece": piece, "n_words": capacity, "bin": after, "bin_offset": 0, "bin_used": capacity})
+        return pd.concat([last, whole.astype({"doc_id": "Int64"})])
 
     return run
 
@@ -84,21 +95,20 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE
 
     Pieces of a document are numbered from 0; a text without words (null too) is one piece of
     length 0.  A null source is a source of its own.  Duplicate clusters are texts equal but
-    for white space, and rows that repeat an id; all texts without words are in no cluster.
-    Bin numbers are unique but not gapless; full pieces have negative bin numbers.
+    for white space; texts without words are in no cluster.  Rows that repeat an id are packed
+    each on its own.  Bin numbers are unique but not gapless.  Empty tables give no rows.  The
+    result depends on the rows alone, not on how they lie in partitions: rows that agree in all
+    that is read are counted, and dealt in chunks of at most COPIES.
     """
     text = normalised(F.col("text"))
-    facts = docs.select("doc_id", "source", word_count(F.col("text")).alias("words"), F.xxhash64(text).alias("cluster"), F.monotonically_increasing_id().alias("row"))
-    rows = staged(facts, "packing-facts")
-    n = rows.count()
+    facts = docs.select("doc_id", "source", word_count(F.col("text")).alias("words"), F.xxhash64(text).alias("cluster"))
+    same = staged(facts.groupBy("doc_id", "source", "words", "cluster").agg(F.count("*").alias("all")), "packing-facts")
+    n = same.agg(F.sum("all")).first()[0] or 0
     shards = max(1, -(-n // SHARD_ROWS))
-    full = F.floor(F.greatest(F.col("words") - 1, F.lit(0)) / capacity).cast("int")
-    last = rows.select("doc_id", "source", "row", full.alias("piece"), (F.col("words") - full * capacity).alias("n_words"), F.when(F.col("words") > 0, F.col("cluster")).alias("cluster"))
-    dealt = last.withColumn("shard", F.pmod(F.xxhash64("row", "doc_id"), F.lit(shards)).cast("long"))
-    packed = dealt.groupBy("shard").applyInPandas(_pack(capacity, per_source), PACKED)
-    pieces = rows.where(F.col("words") > capacity).select("doc_id", "row", F.explode(F.sequence(F.lit(0), full - 1)).alias("piece"))
-    whole = pieces.select("doc_id", "piece", F.lit(capacity).cast("long").alias("n_words"), (-(F.col("row") * 4096 + F.col("piece")) - 1).alias("bin"), F.lit(0).cast("long").alias("bin_offset"), F.lit(capacity).cast("long").alias("bin_used"))
-    return packed.unionByName(whole)
+    chunks = same.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("all") - 1) / COPIES))))
+    dealt = chunks.select("doc_id", "source", "words", "cluster", "chunk", F.least(F.lit(COPIES).cast("long"), F.col("all") - F.col("chunk") * COPIES).alias("copies"))
+    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster", "source", "chunk"), F.lit(shards)).cast("long"))
+    return dealt.groupBy("shard").applyInPandas(_pack(capacity, per_source), PACKED)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
