@@ -99,12 +99,20 @@ class Scorer:
 
 
 def training_sample(docs: DataFrame) -> DataFrame:
-    """text, lang of the bounded training sample; of rows that repeat an id, any may serve."""
+    """text, lang of the bounded training sample; of rows that repeat an id and a language the smallest text serves.
+
+    A language's rows are first thinned, by the hash that orders them, to about twice as many
+    as are wanted, so that no task sorts more of them than that.
+    """
     known = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    sample = known.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= MAX_PER_LANG).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct()
+    place = (F.xxhash64("doc_id").cast("double") / 2.0**64) + 0.5
+    counts = known.groupBy(F.col("lang").alias("_lang")).agg(F.approx_count_distinct("doc_id", 0.02).alias("_all"))
+    thinned = known.join(F.broadcast(counts), F.col("lang") == F.col("_lang")).where(place * F.col("_all") < 2.0 * MAX_PER_LANG).select("lang", F.col("doc_id").alias("_id")).distinct()
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("_id"), "_id")
+    sample = thinned.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= MAX_PER_LANG).select("_id", F.col("lang").alias("_lang"))
     # At most MAX_PER_LANG rows of an id and a language for each language are broadcast.
-    return docs.select("doc_id", "text", "lang").join(F.broadcast(sample), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("text", "lang")
+    own = docs.select("doc_id", "text", "lang").join(F.broadcast(sample), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")))
+    return own.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("text", "lang")
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -126,7 +134,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def learn(docs: DataFrame) -> Model:
-    """Fit the tables.  Without a labelled row the model knows no language."""
+    """Fit the tables.  Without a labelled row (an empty table too) the model knows no language."""
     sample = staged(training_sample(docs), "language-sample")
     counts = staged(sample.mapInPandas(_count, "lang string, kind int, entry string, n long").groupBy("lang", "kind", "entry").agg(F.sum("n").alias("n")), "language-counts")
     totals = {(r["lang"], r["kind"]): (r["n"], r["entries"]) for r in counts.groupBy("lang", "kind").agg(F.sum("n").alias("n"), F.count("*").alias("entries")).collect()}
@@ -145,7 +153,7 @@ def learn(docs: DataFrame) -> Model:
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score for each row; a null or letterless text gives ``und`` and 0."""
+    """doc_id, lang_pred, score for each row, repeated ones too; a null or letterless text gives ``und`` and 0."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
