@@ -209,9 +209,13 @@ def vote_patterns(docs: DataFrame) -> dict[str, int]:
 
 
 def learn(docs: DataFrame) -> tuple[LabelModel, np.ndarray]:
-    """The label model over all documents, and the scorer from the sample's posteriors."""
+    """The label model over all documents, and the scorer from the sample's posteriors.
+
+    Of rows that repeat an id the smallest text trains; rows without an id do not.  An empty
+    table gives the model and the scorer that the fits start from.
+    """
     model = fit_labels(vote_patterns(docs))
-    chosen = docs.select(F.col("doc_id").alias("_id")).where("_id is not null").orderBy(F.xxhash64("_id"), "_id").limit(MAX_TRAIN).distinct()
+    chosen = docs.select(F.col("doc_id").alias("_id")).where("_id is not null").distinct().orderBy(F.xxhash64("_id"), "_id").limit(MAX_TRAIN)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         features = Features()
@@ -219,15 +223,16 @@ def learn(docs: DataFrame) -> tuple[LabelModel, np.ndarray]:
             out = [(votes(text), *features.of(text)) for text in texts(batch["text"])]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "pattern": [o[0] for o in out], "at": [o[1] for o in out], "value": [o[2] for o in out]})
 
-    # At most MAX_TRAIN ids are broadcast; a row has at most as many features as there are word shapes in its text.
-    sample = staged(docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text"), "quality-sample")
-    rows = sorted(sample.mapInPandas(run, "doc_id long, pattern string, at array<int>, value array<float>").collect(), key=lambda r: (r["doc_id"], r["pattern"]))[: 2 * MAX_TRAIN]
+    # At most MAX_TRAIN ids are broadcast, and as many rows collected; a row has at most as many features as its text has word shapes.
+    own = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    sample = staged(own.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")), "quality-sample")
+    rows = sorted(sample.mapInPandas(run, "doc_id long, pattern string, at array<int>, value array<float>").collect(), key=lambda r: r["doc_id"])
     clean = model.posterior([r["pattern"] for r in rows]) if rows else []
     return model, fit_scorer([(np.array(r["at"]), np.array(r["value"], dtype=np.float32), float(p)) for r, p in zip(rows, clean, strict=True)])
 
 
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """doc_id, score (chance of being clean), kept for each row; a null text is empty, and empty texts score as learned for them."""
+    """doc_id, score (chance of being clean), kept for each row, repeated ones too; a null text is empty, and empty texts score as learned for them."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
