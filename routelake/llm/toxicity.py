@@ -33,7 +33,7 @@ MAX_CLEAN = 16384
 #: Lexicon size, stem lengths, and how much evidence (in nats) a term needs.
 MAX_TERMS = 4096
 STEMS = range(3, 10)
-EVIDENCE = 17.0
+EVIDENCE = 9.0
 #: Least log ratio of the rates of a stem and of a word, and distinct clean documents that make a phrase an exception.
 MIN_STEM, MIN_WORD, MIN_PHRASE = 4.0, 2.0, 3
 #: Occurrences in one document that count at most towards a weight.
@@ -132,12 +132,13 @@ def measures(total: float, words: int) -> tuple[float, ...]:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text, toxic of the bounded training sample."""
+    """text, toxic of the bounded training sample; of rows that repeat an id the smallest text serves."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("label"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     sample = known.where("label = 1").orderBy(*order).limit(MAX_TOXIC).unionByName(known.where("label = 0").orderBy(*order).limit(MAX_CLEAN))
     # At most MAX_TOXIC + MAX_CLEAN rows of two numbers are broadcast.
-    return docs.select("doc_id", "text").join(F.broadcast(sample.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id")).select("text", F.col("label").alias("toxic"))
+    own = docs.select("doc_id", "text").join(F.broadcast(sample.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id"))
+    return own.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.max("label").alias("toxic")).select("text", "toxic")
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -277,7 +278,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
 
 
 def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """doc_id, score, predicted, hits, words for each row; null and empty texts score as no match."""
+    """doc_id, score, predicted, hits, words for each row, repeated ones too; null and empty texts score as no match, empty tables give no rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
