@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from routelake.llm.common import documents, split_join, texts
-from routelake.session import staged
+from routelake.session import discard, staged
 
 WIDTH = 64
 DIGEST = "sha256:"
@@ -123,7 +123,7 @@ def sequences(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
 
 
 def resolved(items: DataFrame, facts: DataFrame) -> DataFrame:
-    """The items with what ``facts`` has of their digests; unknown or absent digests get nulls, and no item is lost."""
+    """The items with what ``facts`` has of their digests; unknown or absent digests get nulls, and no item is lost (texts are not shuffled)."""
     return split_join(items, facts, "digest")
 
 
@@ -188,7 +188,7 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def stored(docs: DataFrame) -> DataFrame:
     """The media table of the texts (null: empty), written and read back: digest, media; a digest may repeat."""
-    return staged(docs.select("text").mapInPandas(_store, "digest string, media binary"), "media")
+    return staged(docs.select("text").mapInPandas(_store, "digest string, media binary"), "media", "zstd")
 
 
 def facts_of(media: DataFrame) -> DataFrame:
@@ -197,18 +197,30 @@ def facts_of(media: DataFrame) -> DataFrame:
 
 
 def figure_pages(docs: DataFrame) -> DataFrame:
-    """A page for each document: a figure that refers to its payload's digest, its unpadded length as caption."""
+    """A page (page, html) for each document: its id as a heading, a figure that refers to its payload's digest
+    with its unpadded length as caption, and a line after it.  ``page`` numbers the rows, since ids may repeat."""
     raw = F.encode(F.coalesce(F.col("text"), F.lit("")), "utf-8")
     n = F.octet_length(raw)
     lines = F.greatest(F.ceil(n / WIDTH), F.lit(1)).cast("int")
     payload = F.concat(raw, F.encode(F.repeat(F.lit("\0"), (lines * WIDTH - n).cast("int")), "utf-8"))
-    html = F.concat(F.lit(f'<article><figure><img src="{DIGEST}'), F.sha2(payload, 256), F.lit('" alt="payload"><figcaption>'), n.cast("string"), F.lit("</figcaption></figure></article>"))
-    return docs.select("doc_id", html.alias("html"))
+    html = F.concat(
+        F.lit("<article><h1>"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit(f'</h1><figure><img src="{DIGEST}'), F.sha2(payload, 256),
+        F.lit('" alt="payload"><figcaption>'), n.cast("string"), F.lit("</figcaption></figure><p>end</p></article>"),
+    )
+    return docs.select(F.monotonically_increasing_id().alias("page"), html.alias("html"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """op7: the stored payload's facts for every row of documents."""
+    """op7: the stored payload's facts for every row of documents, read from the interleaved sequence of its page.
+
+    The id is the text at position 0, the payload's facts and its length (the caption) stand at
+    position 1.  Repeated rows have a row each; a null id stays null, and a null text is empty.
+    """
     docs = documents(spark, sf_dir)
-    facts = staged(facts_of(stored(docs)), "media-facts")
-    items = staged(sequences(figure_pages(docs), "doc_id", "html"), "media-items")
-    return resolved(items, facts).select("doc_id", F.col("caption").cast("long").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    media = stored(docs)
+    facts = staged(facts_of(media), "media-facts")
+    discard(media)
+    items = staged(sequences(figure_pages(docs), "page", "html"), "media-items")
+    sequence = interleaved(resolved(items, facts), "page").select(F.col("items")[0]["text"].alias("id"), F.col("items")[1].alias("media"))
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    return sequence.select(F.expr("try_cast(id as long)").alias("doc_id"), F.col("media.caption").cast("long").alias("n_bytes"), *[f"media.{c}" for c in names])
