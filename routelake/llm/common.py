@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import pandas as pd
@@ -54,8 +55,8 @@ def crc(data: bytes) -> int:
     return zlib.crc32(data) & 0xFFFFFFFF
 
 
-#: Rows that a task sorts and numbers in one group at most, on average.
-RUN_ROWS = 50_000
+#: Rows that a task sorts and numbers in one group, on average, at least; of larger tables the square root of their rows.
+RUN_ROWS = 4096
 
 
 def spread(*columns: Column) -> Column:
@@ -66,12 +67,12 @@ def spread(*columns: Column) -> Column:
 def running(df: DataFrame, keys: list[str], order: str, ties: list[str], value: Column, out: str, rows: int) -> DataFrame:
     """``df`` with ``out``: the sum of ``value`` over the rows of the same keys before and with this one.
 
-    ``order`` holds ``spread`` digits.  They are cut into ranges so that no range holds more
-    than about RUN_ROWS of the ``rows``: ranges are summed up, their sums run up in a table
-    as small as there are ranges, and only the rows of one key and range are sorted together.
-    A key that holds most of the rows is so dealt over many tasks.
+    ``order`` holds ``spread`` digits.  They are cut into ranges so that a range holds about
+    RUN_ROWS of the ``rows``, or their square root: ranges are summed up, their sums run up in
+    a table as small as there are ranges, and only the rows of one key and range are sorted
+    together.  A key that holds most of the rows is so dealt over many tasks.
     """
-    ranges = max(1, -(-rows // RUN_ROWS))
+    ranges = max(1, -(-rows // max(RUN_ROWS, math.isqrt(rows))))
     at = F.floor(F.conv(F.substring(order, 1, 8), 16, 10).cast("long") * ranges / F.lit(2.0**32)).cast("int")
     dealt = df.withColumn("_range", at).withColumn("_value", value)
     nulls = [F.coalesce(F.col(k).cast("string"), F.lit("\x1e")) for k in keys]
@@ -83,6 +84,13 @@ def running(df: DataFrame, keys: list[str], order: str, ties: list[str], value:
     return summed.withColumn(out, F.col("_before") + F.col("_own")).drop("_key", "_range", "_value", "_own", "_before")
 
 
+def fingerprint(docs: DataFrame) -> Column:
+    """A hash of all columns that can be hashed, to order rows that agree in all that an operator reads."""
+    from pyspark.sql.types import MapType, VariantType
+
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, (MapType, VariantType))])
+
+
 #: A join key is hot if more than this share of the rows carry it, so there are fewer than 1 / HOT_KEY of them.
 HOT_KEY = 1 / 256
 
@@ -91,12 +99,16 @@ def split_join(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
     """Left join of ``rows`` with ``facts``, which has one short row for each key.
 
     The facts of hot keys, fewer than 1 / HOT_KEY of them, are broadcast, so that their rows
-    stay where they are; all other rows take the shuffle.  ``rows`` is read more than once.
+    stay where they are, and so do rows without a key; all other rows take the shuffle.
+    ``rows`` is read more than once.
     """
+    bare = rows.where(F.col(key).isNull())
+    rows = rows.where(F.col(key).isNotNull())
     counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
     total = rows.agg(F.count("*").alias("_all"))
     hot = counts.join(F.broadcast(total), F.expr(f"_n > 1 and _n > _all * {HOT_KEY!r}")).select(F.col(key).alias("_hot"))
     marked = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
     few = facts.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left_semi")
     warm = marked.where("_hot is not null").drop("_hot").join(F.broadcast(few), key, "left")
-    return warm.unionByName(marked.where("_hot is null").drop("_hot").join(facts, key, "left"))
+    cold = marked.where("_hot is null").drop("_hot").join(facts, key, "left")
+    return warm.unionByName(cold).unionByName(bare, allowMissingColumns=True)

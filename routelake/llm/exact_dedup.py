@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from routelake.llm.common import SPACE, documents, few, packed, unpacked
+from routelake.llm.common import SPACE, documents, few, fingerprint, packed, unpacked
 from routelake.session import staged
 
 #: Counters in the summary, and the most digests that are broadcast (about 100 bytes each).
@@ -57,15 +57,15 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def surviving(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of equal texts, the one with the smallest id; its columns as they were.
 
-    Of rows that repeat that id and text one stays; which is undefined if other columns differ.
+    Of rows that repeat that id and text the one whose columns hash lowest stays.
     """
     verdict = staged(deduplicate(docs.select(id_col, text_col), id_col, text_col).select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_digest"), "kept"), "verdict")
     gone = few(staged(verdict.where("not kept").select("_id", "_digest").distinct(), "dropped"))
-    own = packed(docs, _own=F.sha2(F.encode(normalised(F.col(text_col)), "utf-8"), 256), _own_id=F.col(id_col))
+    own = packed(docs, _own=F.sha2(F.encode(normalised(F.col(text_col)), "utf-8"), 256), _own_id=F.col(id_col), _print=fingerprint(docs))
     rows = own.join(gone, F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest")), "left_anti")
     # The texts are moved only where there are many rows to drop, or where some id and text repeat.
     repeated = verdict.where("kept").groupBy("_id", "_digest").count().where("count > 1").limit(1).count() > 0
-    return unpacked(rows.dropDuplicates(["_own_id", "_own"]) if repeated else rows)
+    return unpacked(rows.groupBy("_own_id", "_own").agg(F.min_by("_row", "_print").alias("_row")) if repeated else rows)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

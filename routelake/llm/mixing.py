@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from routelake.llm.common import documents, packed, running, spread, unpacked
+from routelake.llm.common import SPACE, documents, few, fingerprint, packed, running, spread, unpacked
 from routelake.session import staged
 
 #: Weights of the sources in the order of their names, repeating.
@@ -24,23 +24,45 @@ PARTS, SETTLED = 4096, 4096
 
 
 def word_count(text):
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    """Words between ASCII white space; splitting is far cheaper than matching a negated class."""
+    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), f"{SPACE}+"), "")).cast("long")
 
 
-def source_targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, budget: float = BUDGET, rounds: int = ROUNDS) -> dict[str | None, float]:
-    """Each source's target: shares by weight, those above ``rounds`` times its size cut to it and the excess reshared."""
-    order = sorted(sizes, key=lambda s: (s[0] is None, (s[0] or "").encode("utf-32-be")))
-    weight = {name: weights[i % len(weights)] for i, (name, _) in enumerate(order)}
-    most = {name: rounds * size for name, size in order}
-    total, full, open_ = budget * sum(size for _, size in order), {}, {name for name, _ in order}
-    while open_:
-        share = (total - sum(full.values())) / sum(weight[n] for n in open_)
-        above = {n for n in open_ if share * weight[n] > most[n]}
-        if not above:
-            return {n: float(most[n]) for n in full} | {n: share * weight[n] for n in open_}
-        full |= {n: most[n] for n in above}
-        open_ -= above
-    return {n: float(v) for n, v in full.items()}
+def weighted(sources: DataFrame, weights=WEIGHTS) -> DataFrame:
+    """``sources`` (one row for each, with ``source``) with ``weight``: in the order of their names, null last, weights repeat.
+
+    Names are ranged, so that their numbers need no task to see them all.
+    """
+    n = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col("source").isNull(), F.col("source")]
+    ranged = staged(sources.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()), "mixing-sources")
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # over as many rows as there are ranges
+    starts = ranged.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    place = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) + F.col("_start") - 1
+    listed = F.array(*[F.lit(w) for w in weights])
+    return ranged.join(F.broadcast(starts), "_p").withColumn("weight", F.element_at(listed, (place % len(weights) + 1).cast("int"))).drop("_p", "_start")
+
+
+def with_targets(sources: DataFrame, budget: float = BUDGET, rounds: int = ROUNDS) -> DataFrame:
+    """``sources`` (source, source_size, weight) with ``target``: shares by weight; those above ``rounds`` times a source's size are cut to it, and the excess reshared.
+
+    The share of a unit of weight grows from pass to pass until no further source is above.
+    """
+    size, weight = F.col("source_size"), F.col("weight")
+    total = sources.agg(F.sum(size)).first()[0] or 0
+    share = -1.0
+    while True:
+        full = F.lit(share) * weight > rounds * size
+        sums = sources.agg(F.sum(F.when(full, rounds * size)).alias("full"), F.sum(F.when(~full, weight)).alias("open")).first()
+        if not sums["open"]:
+            share = float("inf")
+            break
+        found = (budget * total - (sums["full"] or 0)) / sums["open"]
+        if found <= share:
+            break
+        share = found
+    target = F.when(F.lit(share) * weight > rounds * size, (rounds * size).cast("double")).otherwise(F.lit(share) * weight)
+    return sources.withColumn("target", target)
 
 
 def queue(docs: DataFrame) -> tuple[DataFrame, float]:
@@ -49,13 +71,12 @@ def queue(docs: DataFrame) -> tuple[DataFrame, float]:
     ``served`` are the source's words up to and with the document, in its order.
     """
     sized = staged(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), spread(F.col("doc_id")).alias("order")), "mixing-sizes")
-    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).collect()
-    targets = source_targets([(r["source"], r["source_size"]) for r in totals])
-    spark = docs.sparkSession
-    table = spark.createDataFrame([(r["source"], r["source_size"], targets[r["source"]]) for r in totals], "name string, source_size long, target double")
-    served = running(sized, ["source"], "order", ["doc_id", "size"], F.col("size"), "served", sum(r["n"] for r in totals))
-    joined = served.join(table, served["source"].eqNullSafe(table["name"])).drop("name")
-    return staged(joined, "mixing-queue"), BUDGET * sum(r["source_size"] for r in totals)
+    sources = staged(weighted(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))), "mixing-weights")
+    totals = sources.agg(F.sum("source_size").alias("size"), F.sum("n").alias("n")).first()
+    table = with_targets(sources).select(F.col("source").alias("name"), "source_size", "target")
+    served = running(sized, ["source"], "order", ["doc_id", "size"], F.col("size"), "served", totals["n"] or 0)
+    joined = served.join(few(table), served["source"].eqNullSafe(table["name"])).drop("name")
+    return staged(joined, "mixing-queue"), BUDGET * (totals["size"] or 0)
 
 
 def _finish(turn):
@@ -70,37 +91,42 @@ def turns(queued: DataFrame) -> DataFrame:
 def cut_off(queued: DataFrame, budget: float) -> tuple[float, str, int]:
     """The last turn (finish, order, round) within the budget; every turn up to it is taken.
 
-    Narrows the range of times that holds the cut with one aggregation a pass, until few
-    enough turns are left in it to be looked at one by one.
+    Narrows the range of times that holds the cut with one aggregation a pass, and where very
+    many turns have one time the range of their orders, until few enough turns are left to be
+    looked at one by one.
     """
-    all_turns = turns(queued).where("size > 0")
-    ends = all_turns.agg(F.min("finish").alias("lo"), F.max("finish").alias("hi")).first()
-    if ends["hi"] is None:
-        return -1.0, "", 0
-    low, high, used = ends["lo"], ends["hi"], 0
-    while True:
-        inside = all_turns.where(F.col("finish").between(F.lit(low), F.lit(high)))
-        width = (high - low) / PARTS
-        part = F.least(F.floor((F.col("finish") - low) / F.lit(width)), F.lit(PARTS - 1)) if width > 0 else F.lit(0)
-        parts = inside.groupBy(part.alias("part")).agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.min("finish").alias("lo"), F.max("finish").alias("hi")).orderBy("part").collect()
-        for row in parts:
-            if used + row["size"] > budget:
+    here = turns(queued).where("size > 0").withColumn("_digits", F.conv(F.substring("order", 1, 12), 16, 10).cast("double"))
+    used = 0
+    for key in ("finish", "_digits"):
+        ends = here.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
+        if ends["hi"] is None:
+            return -1.0, "", 0
+        low, high = ends["lo"], ends["hi"]
+        while True:
+            inside = here.where(F.col(key).between(F.lit(low), F.lit(high)))
+            width = (high - low) / PARTS
+            part = F.least(F.floor((F.col(key) - low) / F.lit(width)), F.lit(PARTS - 1)) if width > 0 else F.lit(0)
+            parts = inside.groupBy(part.alias("part")).agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi")).orderBy("part").collect()
+            for row in parts:
+                if used + row["size"] > budget:
+                    break
+                used += row["size"]
+            else:
+                return float("inf"), "", 0
+            low, high = row["lo"], row["hi"]
+            if row["n"] <= SETTLED or low == high:
                 break
-            used += row["size"]
-        else:
-            return float("inf"), "", 0
-        if row["n"] <= SETTLED or row["lo"] == row["hi"]:
+        here = here.where(F.col(key).between(F.lit(low), F.lit(high)))
+        if row["n"] <= SETTLED:
             break
-        low, high = row["lo"], row["hi"]
-    last = (-1.0, "", 0)
-    rest = all_turns.where(F.col("finish").between(F.lit(row["lo"]), F.lit(row["hi"]))).orderBy("finish", "order", "round", "doc_id").select("finish", "order", "round", "size")
-    previous = (row["lo"], "", -1)
-    for turn in rest.toLocalIterator():
+    # What still ties has one time and one id, and goes together.
+    rest = here.groupBy("finish", "order", "round").agg(F.sum("size").alias("size")).orderBy("finish", "order", "round").collect()
+    last = (rest[0]["finish"], "", -1)
+    for turn in rest:
         used += turn["size"]
         if used > budget:
-            last = previous
             break
-        last = previous = (turn["finish"], turn["order"], turn["round"])
+        last = (turn["finish"], turn["order"], turn["round"])
     return last
 
 
@@ -125,14 +151,15 @@ def mix(docs: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame) -> DataFrame:
     """``docs`` with each row as often as the mix takes it, 0 to ROUNDS times; its columns as they were.
 
-    Rows that repeat an id are taken as often together as the mix takes rows of that id and source;
-    which of them is left out where only some are, is undefined.
+    Rows that repeat an id are taken as often together as the mix takes rows of that id, source and
+    size; where only some of them are taken more often, it is those whose columns hash lowest.
     """
-    verdict = account(docs, repeats=True)
+    verdict = staged(account(docs, repeats=True), "mixing-verdict")
     id_, source, size = F.col("doc_id"), F.col("source"), F.col("size")
     counts = verdict.groupBy(id_.alias("_id"), source.alias("_source"), size.alias("_size")).agg(F.sum("repeats").alias("_all"), F.count("*").alias("_rows"))
-    own = packed(docs, _doc=F.col("doc_id"), _from=F.col("source"), _words=word_count(F.col("text")), _hash=F.xxhash64("text"))
-    joined = own.join(counts, F.col("_doc").eqNullSafe(F.col("_id")) & F.col("_from").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size")))
+    counts = staged(counts, "mixing-counts")
+    own = packed(docs, _doc=F.col("doc_id"), _from=F.col("source"), _words=word_count(F.col("text")), _hash=fingerprint(docs))
+    joined = own.join(few(counts), F.col("_doc").eqNullSafe(F.col("_id")) & F.col("_from").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size")))
     if counts.where("_rows > 1").limit(1).count():
         place = F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy("_hash"))
         times = F.floor(F.col("_all") / F.col("_rows")) + F.when(place <= F.col("_all") % F.col("_rows"), 1).otherwise(0)

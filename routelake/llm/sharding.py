@@ -21,7 +21,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from routelake.llm.common import documents, running, spread
+from routelake.llm.common import documents, running, split_join, spread
 from routelake.session import staged
 
 SHARDS = 24
@@ -122,21 +122,26 @@ def _plan(counts: list[tuple[int, int, int]], room: dict[int, int]) -> tuple[lis
     return [w for w in whole if w[2] <= w[3]], parts
 
 
+def _totals(sizes: DataFrame) -> DataFrame:
+    """pod, all, best (n, tie, shard): each pod's rows and the shard with the most of them; a hash settles ties, so that pods want shards evenly."""
+    return sizes.groupBy("pod").agg(F.max(F.struct("n", F.xxhash64("pod", "shard").alias("tie"), "shard")).alias("best"), F.sum("n").alias("all"))
+
+
 def _settled(state: DataFrame, rows: int, shards: int) -> DataFrame:
     """``state`` with every pod in one shard, but for those that fit in none; the shards' counts stay."""
     spark, columns = state.sparkSession, ["doc_id", "size", "text_crc32", "order", "shard", "pod"]
     sizes = state.where("pod is not null").groupBy("pod", "shard").agg(F.count("*").alias("n"))
-    totals = sizes.groupBy("pod").agg(F.max(F.struct("n", (-F.col("shard")).alias("minus"))).alias("best"), F.sum("n").alias("all"))
+    totals = _totals(sizes)
     if totals.where(F.col("best.n") < F.col("all")).isEmpty():
         return state
-    totals = totals.select("pod", "all", (-F.col("best.minus")).cast("int").alias("major"), spread(F.col("pod")).alias("order"))
+    totals = totals.select("pod", "all", F.col("best.shard").alias("major"), spread(F.col("pod")).alias("order"))
     ranked = staged(running(totals, ["all", "major"], "order", ["pod"], F.lit(1), "rank", rows).drop("order"), "sharding-pods")
     room = dict.fromkeys(range(shards), 0) | {r["shard"]: r["count"] for r in state.groupBy("shard").count().collect()}
     whole, parts = _plan([(r["all"], r["major"], r["count"]) for r in ranked.groupBy("all", "major").count().collect()], room)
     whole = spark.createDataFrame(whole, "all long, major int, first long, last long, goal int")
     ranges = (ranked["all"] == whole["all"]) & (ranked["major"] == whole["major"]) & ranked["rank"].between(whole["first"], whole["last"])
     goals = ranked.join(F.broadcast(whole), ranges, "left").select("pod", ranked["all"], ranked["major"], "rank", "goal")
-    linked = staged(state.where("pod is not null").join(goals, "pod"), "sharding-settled")
+    linked = staged(split_join(state.where("pod is not null"), goals, "pod"), "sharding-settled")
     out = linked.where("goal is not null").withColumn("shard", F.col("goal")).select(*columns)
     if parts:
         parts = F.broadcast(spark.createDataFrame(parts, "all long, major int, rank long, first long, last long, goal int"))
@@ -175,7 +180,7 @@ def propagate(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> Da
     capacity = max(1, rows // shards)
     groups = facts.groupBy("digest").agg(F.count("*").alias("group_rows")).where("group_rows > 1")
     started = running(facts, [], "order", ["doc_id", "digest"], F.lit(1), "_rank", rows).withColumn("shard", ((F.col("_rank") - 1) % shards).cast("int")).drop("_rank")
-    grouped = started.join(groups, "digest", "left")
+    grouped = split_join(staged(started, "sharding-started"), groups, "digest")
     # Rows of a group are numbered only where the group must be cut.
     large = running(grouped.where(F.col("group_rows") > capacity), ["digest"], "order", ["doc_id"], F.lit(1), "_rank", rows)
     pods = grouped.where(F.coalesce(F.col("group_rows"), F.lit(0)) <= capacity).withColumn("pod", F.when(F.col("group_rows") > 1, F.concat("digest", F.lit("-0"))))
@@ -183,14 +188,14 @@ def propagate(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> Da
     state = staged(pods.select("doc_id", "size", "text_crc32", "order", "shard", "pod"), "sharding-0")
     for turn in range(rounds):
         sizes = state.where("pod is not null").groupBy("pod", "shard").agg(F.count("*").alias("n"))
-        totals = sizes.groupBy("pod").agg(F.max(F.struct("n", (-F.col("shard")).alias("minus"))).alias("best"), F.sum("n").alias("all"))
-        goals = totals.where(F.col("best.n") < F.col("all")).select("pod", (-F.col("best.minus")).cast("int").alias("goal"))
+        totals = _totals(sizes)
+        goals = totals.where(F.col("best.n") < F.col("all")).select("pod", F.col("best.shard").alias("goal"))
         # Of pods larger than half a shard there are fewer than two for each shard; they get homes of their own.
         large = totals.where(F.col("all") * 2 > capacity).select("pod")
         homes = _homes([(r["pod"], r["shard"], r["n"]) for r in sizes.join(large, "pod", "left_semi").collect()], capacity)
         fixed = F.broadcast(spark.createDataFrame(list(homes.items()), "pod string, home int"))
         goals = goals.join(fixed, "pod", "full").select("pod", F.coalesce("home", "goal").alias("goal"))
-        wanted = state.join(goals, "pod", "left").withColumn("goal", F.when(F.col("goal") != F.col("shard"), F.col("goal")))
+        wanted = split_join(state, goals, "pod").withColumn("goal", F.when(F.col("goal") != F.col("shard"), F.col("goal")))
         wanted = staged(wanted, f"sharding-wanted-{turn}")
         wants = {(r["shard"], r["goal"]): r["count"] for r in wanted.where("goal is not null").groupBy("shard", "goal").count().collect()}
         if not wants:

@@ -348,7 +348,8 @@ def test_mixing_targets_and_order(spark, monkeypatch):
     queue = mixing.mix(docs).collect()
     assert [r["finish"] for r in queue] == sorted(r["finish"] for r in queue)
     assert sum(r["size"] for r in queue) == sum(by.values())
-    assert mixing.source_targets([("a", 10), ("b", 100), (None, 50)]) == {"a": 20.0, "b": 146.66666666666666, None: 73.33333333333333}
+    sources = mixing.weighted(spark.createDataFrame([("b", 100), ("a", 10), (None, 50)], "source string, source_size long"))
+    assert {r["source"]: r["target"] for r in mixing.with_targets(sources).collect()} == {"a": 20.0, "b": 146.66666666666666, None: 73.33333333333333}
 
 
 # ---------------------------------------------------------------- op9
