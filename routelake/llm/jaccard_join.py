@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from routelake.llm.common import documents, few, packed, split_join, texts, unpacked
 from routelake.operators.components import connected_components
-from routelake.session import staged
+from routelake.session import discard, staged
 
 WORDS = 5
 #: Linked if 100 * intersection >= PERCENT * union.
@@ -141,7 +141,7 @@ def number(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "big", signed=True)
 
 
-FACTS = "doc_id long, n long, set_id binary, sid long, shingle long, uses long"
+FACTS = "doc_id long, text_hash long, n long, set_id binary, sid long, shingle long, uses long"
 
 
 def _facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -153,7 +153,7 @@ def _facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found, uses = np.unique(np.concatenate(waiting), return_counts=True) if waiting else (np.empty(0, np.uint64), np.empty(0, np.int64))
         waiting.clear()
         often = uses > 1
-        return pd.DataFrame({"doc_id": None, "n": None, "set_id": None, "sid": None, "shingle": found[often].view(np.int64), "uses": uses[often]})
+        return pd.DataFrame({"doc_id": None, "text_hash": None, "n": None, "set_id": None, "sid": None, "shingle": found[often].view(np.int64), "uses": uses[often]})
 
     held = 0
     for batch in batches:
@@ -170,7 +170,7 @@ def _facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     held = 0
                     seen.clear()
         sids = pd.array([o[2] for o in out], dtype="Int64")
-        yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64").array, "n": [o[0] for o in out], "set_id": [o[1] for o in out], "sid": sids, "shingle": None, "uses": None})
+        yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64").array, "text_hash": batch["text_hash"], "n": [o[0] for o in out], "set_id": [o[1] for o in out], "sid": sids, "shingle": None, "uses": None})
     yield shared()
 
 
@@ -246,8 +246,8 @@ class Space:
 
     def __init__(self, docs: DataFrame):
         self.docs = docs.select("doc_id", "text")
-        rows = staged(self.docs.mapInPandas(_facts, FACTS), "jaccard-facts")
-        self.facts = rows.where("n is not null").select("doc_id", "n", "set_id", "sid")
+        rows = staged(self.docs.withColumn("text_hash", F.xxhash64("text")).mapInPandas(_facts, FACTS), "jaccard-facts")
+        self.facts = rows.where("n is not null").select("doc_id", "text_hash", "n", "set_id", "sid")
         uses = rows.where("shingle is not null").groupBy("shingle").agg(F.sum("uses").alias("uses"))
         heavy = uses.orderBy(F.desc("uses"), "shingle").limit(HEAVY).toArrow()  # at most HEAVY pairs of numbers
         order = self._order(heavy["shingle"].to_numpy(), heavy["uses"].to_numpy())
@@ -283,7 +283,9 @@ class Space:
         firsts = few(staged(ends.select("first_id").distinct(), "jaccard-firsts"))
         chosen = self.docs.join(firsts, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
         found = chosen.mapInPandas(_sets, "sid long, shingles binary")
-        return staged(found.join(ends.select("sid").distinct(), "sid", "left_semi").dropDuplicates(["sid"]), "jaccard-sets")
+        out = staged(found.join(ends.select("sid").distinct(), "sid", "left_semi").dropDuplicates(["sid"]), "jaccard-sets")
+        discard(ends)
+        return out
 
     def compare(self, pairs: DataFrame) -> DataFrame:
         """a, b, shared, joint of those pairs of class numbers that their seeds let link."""
@@ -293,7 +295,9 @@ class Space:
         pairs = staged(pairs.join(other, "b").join(seeds.withColumnRenamed("sid", "a"), "a").mapInPandas(_bounded, "a long, b long"), "jaccard-bounded")
         sets = self.sets(pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))))
         other = sets.select(F.col("sid").alias("b"), F.col("shingles").alias("other"))
-        return staged(pairs.join(other, "b").join(sets.withColumnRenamed("sid", "a"), "a").mapInPandas(_measured, "a long, b long, shared long, joint long"), "jaccard-measured")
+        found = staged(pairs.join(other, "b").join(sets.withColumnRenamed("sid", "a"), "a").mapInPandas(_measured, "a long, b long, shared long, joint long"), "jaccard-measured")
+        discard(seeds, pairs, sets)
+        return found
 
 
 def near(a: str, b: str, percent: int = PERCENT):
@@ -355,7 +359,9 @@ def across(space: Space, large: DataFrame) -> DataFrame:
     left = members.select(*key, "sid", "component").join(sets, "sid").groupBy(*key)
     right = windows.select(*key, "sid", "component").join(sets, "sid")
     right = right.select(*[F.col(c).alias(c) for c in right.columns]).groupBy(*key)  # columns of its own, for the analyzer
-    return staged(left.cogroup(right).applyInPandas(_connect, "a long, b long"), "jaccard-across")
+    found = staged(left.cogroup(right).applyInPandas(_connect, "a long, b long"), "jaccard-across")
+    discard(sets, placed, ringed)
+    return found
 
 
 def links(space: Space) -> DataFrame:
@@ -383,35 +389,62 @@ def links(space: Space) -> DataFrame:
 
 
 def join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_copies for each row of ``docs``.
+    """doc_id, n_shingles, component_id, n_copies (rows with the same set) for each row of ``docs``.
 
     Words are what ASCII white space separates, A-Z in lower case.  A set holds the distinct
     runs of five words; with fewer words the whole sequence is its one shingle; without words,
     and for null texts, it is empty and links with nothing.  Rows that repeat a text are
     copies.  A component is named by its smallest doc_id; an empty document by its own.
-    Null ids count as larger than all others.
+    Null ids count as larger than all others.  Rows that repeat an id are documents of their
+    own.  Empty tables give no rows; other columns are ignored.
     """
+    return _members(docs).drop("text_hash")
+
+
+def _members(docs: DataFrame) -> DataFrame:
+    """The join's rows with a hash of their texts."""
     space = Space(docs)
     label = connected_components(links(space), name="jaccard-components")
     classes = space.classes.join(label, space.classes["sid"] == label["node"], "left").withColumn("component", F.coalesce("component", "sid"))
     firsts = classes.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = staged(classes.join(firsts, "component").select("set_id", "component_id", "copies"), "jaccard-named")
     full = split_join(space.facts.where("sid is not null"), named, "set_id")
-    empty = space.facts.where("sid is null").select("doc_id", "n", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("copies"))
-    return full.select("doc_id", "n", "component_id", "copies").unionByName(empty).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("copies").alias("n_copies"))
+    empty = space.facts.where("sid is null").select("doc_id", "text_hash", "n", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("copies"))
+    return full.select("doc_id", "text_hash", "n", "component_id", "copies").unionByName(empty).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("copies").alias("n_copies"), "text_hash")
 
 
 def representatives(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each component, the one with the smallest id; its columns as they were.
 
-    Rows without a shingle stay.  Rows that repeat the smallest id all stay.
+    Rows without a shingle stay.  Rows that repeat the smallest id, or of a component without
+    ids, all stay.  Rows that share an id with another text's are told apart by their texts.
     """
-    dropped = join(docs).where("doc_id <> component_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("_id")).distinct()
+    dropped = _members(docs).where("doc_id <> component_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
     gone = few(staged(dropped, "jaccard-dropped"))
-    own = packed(docs, _own_id=F.col("doc_id"))
-    return unpacked(own.join(gone, F.col("_own_id").eqNullSafe(F.col("_id")), "left_anti"))
+    own = packed(docs, _own_id=F.col("doc_id"), _own_hash=F.xxhash64("text"))
+    return unpacked(own.join(gone, F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own_hash") == F.col("_hash")), "left_anti"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op10: the component of every row of documents."""
     return join(documents(spark, sf_dir))
+
+
+#: Every shared shingle joined with every other: for small tables only.
+ORACLE = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingled AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM worded),
+sized AS MATERIALIZED (
+  SELECT doc_id, CAST(len(s) AS BIGINT) AS n, CASE WHEN len(s) > 0 THEN count(*) OVER (PARTITION BY sha256(array_to_string(list_sort(s), chr(10)))) ELSE 0 END AS n_copies FROM shingled),
+members AS MATERIALIZED (SELECT doc_id, hash(unnest(s)) AS h FROM shingled),
+common AS MATERIALIZED (SELECT doc_id, h FROM members WHERE h IN (SELECT h FROM members GROUP BY h HAVING count(*) > 1)),
+links AS MATERIALIZED (
+  SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM common x JOIN common y ON x.h = y.h AND x.doc_id < y.doc_id GROUP BY 1, 2) p
+  JOIN sized m ON m.doc_id = p.a JOIN sized k ON k.doc_id = p.b WHERE 100 * shared >= 80 * (m.n + k.n - shared)),
+ways AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT ways.b, reach.root FROM reach JOIN ways ON ways.a = reach.node)
+SELECT s.doc_id, s.n AS n_shingles, min(r.root) AS component_id, CAST(s.n_copies AS BIGINT) AS n_copies FROM sized s JOIN reach r ON r.node = s.doc_id GROUP BY s.doc_id, s.n, s.n_copies
+"""

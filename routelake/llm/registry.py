@@ -19,4 +19,5 @@ QUERIES = {
 ORACLES = {
     "op6_exact_dedup": exact_dedup.ORACLE,
     "op8_mixing": mixing.ORACLE,
+    "op10_jaccard_join": jaccard_join.ORACLE,
 }
