@@ -96,12 +96,13 @@ def _sanitize_text(spark, d):
     return own.select("kind", "a", "b", F.sha2(F.encode("s", "utf-8"), 256).alias("sha"), F.length("s").cast("long").alias("n"))
 
 
-_LANGS = [("en",), (" EN_us ",), ("English",), ("eng",), ("fr",), (None,), ("",), ("en-GB",), ("en_AU",)]
+_LANG = "CASE doc_id % 6 WHEN 0 THEN upper(lang) WHEN 1 THEN ' ' || lang || '_US ' WHEN 2 THEN lang || 'glish' WHEN 3 THEN lang || '-GB' WHEN 4 THEN '' ELSE lang END"
 
 
-@query("language_filter", f"SELECT lang, replace(lower(trim(coalesce(lang, ''))), '_', '-') AS normalized, replace(lower(trim(coalesce(lang, ''))), '_', '-') IN ({sql_list(lx.ENGLISH)}) AS english FROM {rows_sql('lang', _LANGS)}")
+@query("language_filter", f"SELECT doc_id, normalized, normalized IN ({sql_list(lx.ENGLISH)}) AS english FROM (SELECT doc_id, replace(lower(trim(coalesce({_LANG}, ''))), '_', '-') AS normalized FROM documents)")
 def _language_filter(spark, d):
-    return frame(spark, "lang string", _LANGS).select("lang", text.normalized_language(F.col("lang")).alias("normalized"), text.is_english(F.col("lang")).alias("english"))
+    given = table(spark, d, "documents").select("doc_id", F.expr(_LANG).alias("given"))
+    return given.select("doc_id", text.normalized_language(F.col("given")).alias("normalized"), text.is_english(F.col("given")).alias("english"))
 
 
 _MODELS = [
@@ -123,9 +124,15 @@ def sql_rule(x: str) -> str:
     return "CASE " + " ".join(f"WHEN regexp_matches({n}, '{p}') THEN {i}" for i, p in enumerate(lx.STRONG_MODELS + lx.WEAK_MODELS, 1)) + " END"
 
 
-@query("model_tier", f"SELECT model, {sql_tier('model')} AS tier, {sql_rule('model')} AS rule FROM {rows_sql('model', [(m,) for m in _MODELS])}")
+_NAMED = f"(SELECT doc_id, list_value({sql_list(_MODELS)})[CAST(doc_id % {len(_MODELS)} AS INT) + 1] || CASE WHEN doc_id % 3 = 0 THEN '-v' || (doc_id % 10) ELSE '' END AS model FROM documents)"
+
+
+@query("model_tier", f"SELECT doc_id, model, tier, rule, coalesce(list_value({sql_list([*lx.STRONG_REASONS, *lx.WEAK_REASONS])})[rule], '{lx.SKIP_REASON}') AS reason FROM (SELECT *, {sql_tier('model')} AS tier, {sql_rule('model')} AS rule FROM {_NAMED})")
 def _model_tier(spark, d):
-    return frame(spark, "model string", [(m,) for m in _MODELS]).select("model", text.model_tier(F.col("model")).alias("tier"), text.model_rule(F.col("model")).alias("rule"))
+    i = F.col("doc_id")
+    name = F.concat(F.element_at(F.array(*[F.lit(m) for m in _MODELS]), (i % len(_MODELS)).cast("int") + 1), F.when(i % 3 == 0, F.concat(F.lit("-v"), (i % 10).cast("string"))).otherwise(""))
+    named = table(spark, d, "documents").select("doc_id", name.alias("model"))
+    return named.select("doc_id", "model", text.model_tier(F.col("model")).alias("tier"), text.model_rule(F.col("model")).alias("rule"), text.model_reason(F.col("model")).alias("reason"))
 
 
 _THINK = ["a<think>b</think>c", "a<THINK x=1>b\nc</think> d", "x <think>open to end", "stray</think> end", " lead", "partial <thi", "partial </thin", "none", "<think>a</think>  b<think>c"]
@@ -156,26 +163,28 @@ def _escape_html(spark, d):
     return table(spark, d, "pages").select("page_id", F.md5(F.encode(text.escape_html(F.col("html")), "utf-8")).alias("escaped"))
 
 
-_MESSAGES = [
-    (1, '"plain"', "plain"), (2, '{"content":"c","value":"v"}', "c"), (3, '{"content":null,"value":"v"}', ""), (4, '{"value":"v"}', "v"), (5, '{"text":"t"}', "t"),
-    (6, '{"content":["a",{"text":"b"},{"image":"x"},3]}', "a\nb"), (7, "null", ""), (8, "[1]", ""), (9, '{"role":"user"}', ""), (10, '{"content":5}', ""),
-]
-
-
-@query("message_text", "SELECT n, replace(x, '\\n', chr(10)) AS message FROM " + rows_sql("n, x", [(n, out.replace("\n", "\\n")) for n, _, out in _MESSAGES]))
+@query("message_text", """SELECT conv_id, turn, CASE turn % 7 WHEN 0 THEN text WHEN 1 THEN text WHEN 2 THEN '' WHEN 3 THEN text WHEN 4 THEN text || chr(10) || role WHEN 5 THEN '' ELSE text END AS message,
+    CASE turn % 3 WHEN 0 THEN lower(role) WHEN 1 THEN 'from ' || lower(role) ELSE '' END AS role FROM conversations""")
 def _message_text(spark, d):
-    return frame(spark, "n int, json string", [m[:2] for m in _MESSAGES]).select("n", text.message_text(F.parse_json("json")).alias("message"))
-
-
-_MODERATION = [
-    (1, "null", False), (2, "true", True), (3, "false", False), (4, '{"flagged":true}', True), (5, '{"categories":{"x":true}}', True), (6, '[{"flagged":false},{"flagged":true}]', True),
-    (7, '{"flagged":"true"}', False), (8, '{"categories":{"x":false}}', False), (9, "[]", False), (10, "[[true]]", True), (11, '{"flagged":1}', False), (12, '"true"', False),
-]
-
-
-@query("moderation_flagged", f"SELECT n, flagged FROM {rows_sql('n, flagged', [(n, f) for n, _, f in _MODERATION])}")
+    """Messages as JSON in each of the shapes that occur, read back as VARIANT."""
+    t, role, kind = F.col("text"), F.col("role"), F.col("turn") % 7
+    json = lambda **fields: F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()]), {"ignoreNullFields": "false"})
+    quoted = F.expr("substr(to_json(named_struct('x', text)), 6, length(to_json(named_struct('x', text))) - 6)")
+    parts = F.concat(F.lit('{"content":['), quoted, F.lit(',{"image":"x"},3,'), json(text=role), F.lit("]}"))
+    nothing = F.lit(None).cast("string")
+    shapes = [quoted, json(content=t, value=role), json(content=nothing, value=t), json(value=t), parts, json(role=role), json(text=t)]
+    raw = F.element_at(F.array(*shapes), kind.cast("int") + 1)
+    own = F.when(F.col("turn") % 3 == 0, F.upper(role)), F.when(F.col("turn") % 3 == 1, F.concat(F.lit("From "), role))
+    return table(spark, d, "conversations").select("conv_id", "turn", text.message_text(F.parse_json(raw)).alias("message"), text.message_role(*own).alias("role"))
+
+
+@query("moderation_flagged", "SELECT doc_id, CASE doc_id % 8 WHEN 6 THEN false WHEN 7 THEN false ELSE toxic = 1 END AS flagged FROM labels")
 def _moderation(spark, d):
-    return frame(spark, "n int, json string", [m[:2] for m in _MODERATION]).select("n", text.moderation_flagged(F.parse_json("json")).alias("flagged"))
+    """Moderation results as JSON in each of the shapes that occur, of the documents' labels."""
+    yes = (F.col("toxic") == 1).cast("string")
+    shape = lambda before, after: F.concat(F.lit(before), yes, F.lit(after))
+    shapes = [yes, shape('{"flagged":', "}"), shape('{"categories":{"a":false,"b":', "}}"), shape('[{"flagged":false},{"flagged":', "}]"), shape("[[", "]]"), shape('[{"categories":{"x":', "}},null]"), shape('{"flagged":"', '"}'), F.lit("null")]
+    return table(spark, d, "labels").select("doc_id", text.moderation_flagged(F.parse_json(F.element_at(F.array(*shapes), (F.col("doc_id") % 8).cast("int") + 1))).alias("flagged"))
 
 
 # ---------------------------------------------------------------- conversations
@@ -418,29 +427,37 @@ def _take_needed(spark, d):
     return curation.take_needed(passes(spark, d), 10, "doc_id").select("doc_id")
 
 
-_ANSWERS = [
-    (1, '{"task_type":"coding","difficulty":"easy","privacy":"low"}', "coding", "coding"), (2, 'Sure: {"task_type":"math","difficulty":"hard","privacy":"high"} ok', "math", "math"),
-    (3, '{"task_type":"coding","difficulty":"easy"}', None, None), (4, '{"task_type":"cooking","difficulty":"easy","privacy":"low"}', None, None),
-    (5, '{"task_type":"coding","difficulty":"easy","privacy":"low","x":1}', None, None), (6, "not json", None, None), (7, '```json\n{"task_type":" Coding ","difficulty":"EASY","privacy":"low"}\n```', None, "coding"),
-]
+_ANSWER = f"""answers AS (SELECT doc_id, doc_id % 7 AS shape, {_TASK('doc_id')} AS task, {_DIFF('doc_id + quality')} AS diff, {_PRIV('doc_id + toxic')} AS priv FROM labels)"""
 
 
-@query("label_parse", f"SELECT n, strict, lenient FROM {rows_sql('n, strict, lenient', [(n, s, x) for n, _, s, x in _ANSWERS])}")
-def _label_parse(spark, d):
-    return frame(spark, "n int, a string", [x[:2] for x in _ANSWERS]).select("n", lb.parse_label(F.col("a"))["task_type"].alias("strict"), lb.parse_label_lenient(F.col("a"))["task_type"].alias("lenient"))
+def _answers(spark, d) -> DataFrame:
+    """A model's answers in each of the shapes that occur: plain, in prose, a field short, an unknown value, a field too many, no JSON, fenced and loose."""
+    own = passes(spark, d).select("doc_id", "label_a.*")
+    label = F.to_json(F.struct("task_type", "difficulty", "privacy"))
+    loose = F.concat(F.lit('```json\n{"task_type":" '), F.initcap("task_type"), F.lit('","difficulty":"'), F.upper("difficulty"), F.lit('","privacy":"'), F.col("privacy"), F.lit('"}\n```'))
+    shapes = [label, F.concat(F.lit("Sure: "), label, F.lit(" ok")), F.to_json(F.struct("task_type", "difficulty")), F.to_json(F.struct(F.lit("cooking").alias("task_type"), "difficulty", "privacy")), F.to_json(F.struct("task_type", "difficulty", "privacy", F.lit(1).alias("x"))), F.lit("not json"), loose]
+    return own.select("doc_id", F.element_at(F.array(*shapes), (F.col("doc_id") % 7).cast("int") + 1).alias("answer"))
 
 
-_BATCHES = [
-    (1, '[{"id":0,"t":0,"d":0,"p":0},{"id":1,"t":1,"d":2,"p":2}]', 2, "coding/easy/low", "math/hard/high"), (2, '[{"id":0,"t":0,"d":0,"p":0}]', 2, None, None),
-    (3, '[{"id":0,"t":9,"d":0,"p":0},{"id":1,"t":8,"d":1,"p":1}]', 2, None, "translation/medium/medium"), (4, '[{"id":0,"t":0,"d":0,"p":0},{"id":0,"t":2,"d":0,"p":0}]', 2, "reasoning/easy/low", None),
-]
+@query("label_parse", f"""WITH {_ANSWER} SELECT doc_id, CASE WHEN shape < 2 THEN task || '/' || diff || '/' || priv END AS strict, CASE WHEN shape < 2 OR shape = 6 THEN task || '/' || diff || '/' || priv END AS lenient FROM answers""")
+def _label_parse(spark, d):
+    told = lambda v: F.when(v.isNotNull(), F.concat_ws("/", *[v[k] for k in ("task_type", "difficulty", "privacy")]))
+    own = _answers(spark, d).withColumns({"s": lb.parse_label(F.col("answer")), "l": lb.parse_label_lenient(F.col("answer"))})
+    return own.select("doc_id", told(F.col("s")).alias("strict"), told(F.col("l")).alias("lenient"))
 
 
-@query("label_parse_batch", f"SELECT n, first, second FROM {rows_sql('n, first, second', [(n, a, b) for n, _, _, a, b in _BATCHES])}")
+@query("label_parse_batch", f"""SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN NULL ELSE {_TASK('doc_id')} || '/' || {_DIFF('doc_id')} || '/' || {_PRIV('doc_id // 2')} END AS first,
+    CASE WHEN doc_id % 4 = 0 THEN {_TASK('doc_id + 1')} || '/medium/low' WHEN doc_id % 4 = 3 THEN NULL END AS second FROM labels""")
 def _label_parse_batch(spark, d):
-    own = frame(spark, "n int, a string, size int", [x[:3] for x in _BATCHES]).withColumn("m", lb.parse_label_batch(F.col("a"), F.col("size")))
-    told = lambda i: F.when(F.try_element_at("m", F.lit(i).cast("long")).isNotNull(), F.concat_ws("/", *[F.try_element_at("m", F.lit(i).cast("long"))[k] for k in ("task_type", "difficulty", "privacy")]))
-    return own.select("n", told(0).alias("first"), told(1).alias("second"))
+    """Answers for two prompts: whole, one item short, an unknown number, the same item twice."""
+    i = F.col("doc_id")
+    item = lambda n, t, dd, p: F.struct(n.alias("id"), t.cast("int").alias("t"), dd.cast("int").alias("d"), p.cast("int").alias("p"))
+    first, nil, one = item(F.lit(0), i % 9, i % 3, F.floor(i / 2) % 3), F.lit(0), F.lit(1)
+    shapes = [F.array(first, item(one, (i + 1) % 9, one, nil)), F.array(first), F.array(first, item(one, F.lit(9), nil, nil)), F.array(item(nil, nil, nil, nil), first)]
+    own = table(spark, d, "labels").select("doc_id", F.element_at(F.array(*[F.to_json(x) for x in shapes]), (i % 4).cast("int") + 1).alias("a"))
+    own = own.withColumn("m", lb.parse_label_batch(F.col("a"), F.lit(2)))
+    told = lambda n: F.when(F.try_element_at("m", F.lit(n).cast("long")).isNotNull(), F.concat_ws("/", *[F.try_element_at("m", F.lit(n).cast("long"))[k] for k in ("task_type", "difficulty", "privacy")]))
+    return own.select("doc_id", told(0).alias("first"), told(1).alias("second"))
 
 
 # ---------------------------------------------------------------- privacy candidates, sets
@@ -540,12 +557,16 @@ def _knn_vote(spark, d):
 
 
 @query("semantic_signals", f"""WITH {_KNN}, w AS (SELECT *, similarity ** 3 AS w, label % 2 = 0 AS cloud, label % 3 AS diff FROM near WHERE similarity > 0.2)
-    SELECT query, round(max(similarity), 6) AS max_similarity, round(sum(CASE WHEN cloud THEN w ELSE 0 END) / sum(w), 6) AS strong_win_probability FROM w GROUP BY query""")
+        , tasks AS (SELECT query, label, sum(w) AS v, min(r) AS first FROM w GROUP BY query, label), task AS (SELECT query, arg_min(CAST(label AS VARCHAR), (-v, first)) AS semantic_task, round(max(v) / sum(v), 6) AS semantic_task_share FROM tasks GROUP BY query),
+    diffs AS (SELECT query, diff, sum(w) AS v, min(r) AS first FROM w GROUP BY query, diff), dif AS (SELECT query, list_value('easy', 'medium', 'hard')[CAST(arg_min(diff, (-v, first)) AS INT) + 1] AS semantic_difficulty, round(max(v) / sum(v), 6) AS semantic_difficulty_share FROM diffs GROUP BY query)
+    SELECT query, round(max(similarity), 6) AS max_similarity, round(sum(CASE WHEN cloud THEN w ELSE 0 END) / sum(w), 6) AS strong_win_probability, any_value(semantic_task) AS semantic_task, any_value(semantic_task_share) AS semantic_task_share,
+      any_value(semantic_difficulty) AS semantic_difficulty, any_value(semantic_difficulty_share) AS semantic_difficulty_share FROM w JOIN task USING (query) JOIN dif USING (query) GROUP BY query""")
 def _semantic_signals(spark, d):
     label = F.col("label")
     examples = table(spark, d, "embeddings").select("vec_id", F.when(label % 2 == 0, "cloud_strong").otherwise("local_fast").alias("route_class"), label.cast("string").alias("task_type"), F.element_at(F.array(*[F.lit(x) for x in lx.DIFFICULTIES]), label % 3 + 1).alias("difficulty"))
     found = analysis.semantic_signals(neighbours(spark, d), examples, "vec_id")
-    return found.select("query", F.round("max_similarity", 6).alias("max_similarity"), F.round("strong_win_probability", 6).alias("strong_win_probability"))
+    rounded = [F.round(c, 6).alias(c) for c in ("max_similarity", "strong_win_probability", "semantic_task_share", "semantic_difficulty_share")]
+    return found.select("query", "semantic_task", "semantic_difficulty", *rounded)
 
 
 @query("cosine", "SELECT a.vec_id, round(list_cosine_similarity(list_transform(a.embedding, lambda x: x::DOUBLE), list_transform(b.embedding, lambda x: x::DOUBLE)), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
@@ -650,13 +671,16 @@ def _router_tokens(spark, d):
     return counts(spark, d)
 
 
-_GRAMS = [("ab cde", ["ab", "cd", "de", "cde"]), ("the", []), ("xyz", ["xy", "yz", "xyz"])]
+_GRAMMED = "(SELECT doc_id, unnest(words) AS w FROM worded WHERE flat <> '')"
 
 
-@query("char_ngrams", "SELECT text, grams FROM " + rows_sql("text, grams", [(t, ",".join(sorted("char:" + g for g in gs))) for t, gs in _GRAMS]))
+@query("char_ngrams", f"""WITH {_P}, {_TOKENS}, cuts AS (SELECT doc_id, unnest(list_transform(range(1, length(w)), lambda i: 'char:' || substr(w, i, 2))) AS gram FROM {_GRAMMED} WHERE length(w) >= 2
+    UNION ALL SELECT doc_id, unnest(list_transform(range(1, length(w) - 1), lambda i: 'char:' || substr(w, i, 3))) FROM {_GRAMMED} WHERE length(w) >= 3)
+    SELECT doc_id, count(*) AS grams, min(gram) AS first, max(gram) AS last FROM cuts GROUP BY doc_id""")
 def _char_ngrams(spark, d):
-    tokens = scoring.router_tokens(F.col("text"), (2, 3))
-    return frame(spark, "text string", [(t,) for t, _ in _GRAMS]).select("text", F.array_join(F.array_sort(F.filter(tokens, lambda t: t.startswith("char:"))), ",").alias("grams"))
+    grams = F.filter(scoring.router_tokens(F.col("text"), (2, 3)), lambda t: t.startswith("char:"))
+    own = prompts(spark, d).select("doc_id", grams.alias("g")).where("size(g) > 0")
+    return own.select("doc_id", F.size("g").cast("long").alias("grams"), F.array_min("g").alias("first"), F.array_max("g").alias("last"))
 
 
 _IDF = [(w, 1.0 + i / 7) for i, w in enumerate(["feature:short_prompt", "feature:long_prompt", "feature:complex", "feature:data", "feature:planning", "was", "he", "on_the", "of_the", "die", "der", "les", "que", "write", "debug"])]
@@ -720,32 +744,49 @@ def _hybrid(spark, d):
 
 # ---------------------------------------------------------------- fusion, with invented predictions
 
-_FUSED_SQL = f"""WITH {_P}, {_ANALYZED}, pred AS (SELECT *, CASE abs(doc_id) % 5 WHEN 0 THEN NULL ELSE list_value({sql_list(lx.TASK_TYPES)})[CAST(abs(doc_id) % 9 AS INT) + 1] END AS task_label, (abs(doc_id) % 10) / 10.0::DOUBLE AS conf,
-      list_value({sql_list(lx.PRIVACY_LEVELS)})[CAST(abs(doc_id) % 3 AS INT) + 1] AS privacy_label FROM ruled), ranks AS (SELECT *, CASE WHEN ps >= 5 THEN 3 WHEN ps >= 2 THEN 2 ELSE 1 END AS pr FROM pred)
-    SELECT doc_id, CASE WHEN task_label IS NULL OR task_type <> 'unknown' THEN task_type WHEN conf >= 0.45 THEN task_label ELSE 'simple_qa' END AS task_type,
-      CASE WHEN task_label IS NULL THEN list_value({sql_list(lx.PRIVACY_LEVELS)})[pr] ELSE list_value({sql_list(lx.PRIVACY_LEVELS)})[greatest(pr, abs(doc_id) % 3 + 1)] END AS privacy,
-      task_label IS NOT NULL AND (conf < 0.08 OR conf < 0.15) AS uncertain, CASE WHEN task_label IS NULL THEN 'rules' ELSE 'ml' END AS source FROM ranks"""
+_I = "abs(doc_id)"
+_WIDE = _DEEP.replace("FROM ruled", "FROM tasked").replace("abs(doc_id) % 3", "ml").replace("abs(doc_id) % 5", "semantic")
+_FUSED_SQL = f"""WITH {_P}, {_ANALYZED}, pred AS (SELECT *, CASE {_I} % 5 WHEN 0 THEN NULL ELSE list_value({sql_list(lx.TASK_TYPES)})[CAST({_I} % 9 AS INT) + 1] END AS task_label, ({_I} % 10) / 10.0::DOUBLE AS conf, {_DIFF(_I)} AS diff_label,
+      {_PRIV(_I)} AS privacy_label, ({_I} % 11) / 10.0::DOUBLE AS sim, ({_I} % 13) / 13.0::DOUBLE AS strong, {_TASK(f'2 * {_I}')} AS sem_task, ({_I} % 7) / 7.0::DOUBLE AS share, task_type AS rule_task FROM ruled),
+    fused AS (SELECT *, CASE WHEN rule_task = 'unknown' AND sim >= 0.68 AND share >= 0.52 THEN sem_task WHEN factual_question AND rule_task <> 'coding' THEN 'simple_qa' WHEN rule_task <> 'unknown' THEN rule_task WHEN conf >= 0.45 THEN task_label ELSE 'simple_qa' END AS final_task,
+      CASE WHEN conf < 0.55 THEN 0 WHEN diff_label = 'hard' THEN 2 WHEN diff_label = 'medium' THEN 1 ELSE 0 END AS ml,
+      CASE WHEN sim >= 0.45 THEN CASE WHEN strong >= 0.8 THEN 3 WHEN strong >= 0.62 THEN 2 WHEN strong >= 0.5 THEN 1 ELSE 0 END + CASE WHEN diff_label = 'hard' AND share >= 0.6 THEN 1 ELSE 0 END ELSE 0 END AS semantic FROM pred),
+    tasked AS (SELECT * REPLACE (final_task AS task_type) FROM fused), {_WIDE},
+    told AS (SELECT *, task_label IS NOT NULL AS known, CASE WHEN trivial OR score < 2 THEN 'easy' WHEN score >= 6 THEN 'hard' ELSE 'medium' END AS deep, CASE WHEN trivial THEN 0 ELSE greatest(0, score) END AS points,
+      CASE WHEN ps >= 5 THEN 3 WHEN ps >= 2 THEN 2 ELSE 1 END AS pr FROM final)
+    SELECT doc_id, CASE WHEN known THEN task_type ELSE rule_task END AS task_type, list_value({sql_list(lx.PRIVACY_LEVELS)})[CASE WHEN known THEN greatest(pr, {_I} % 3 + 1) ELSE pr END] AS privacy,
+      CASE WHEN known THEN deep WHEN factual_question OR ds < 2 THEN 'easy' WHEN ds >= 5 THEN 'hard' ELSE 'medium' END AS difficulty, CASE WHEN known THEN ml END AS difficulty_evidence, CASE WHEN known THEN semantic END AS semantic_evidence,
+      CASE WHEN known THEN points END AS complexity_score, CASE WHEN known THEN NOT trivial AND c_long ELSE false END AS requires_long_context, long_prompt,
+      CASE WHEN known THEN greatest(pr, {_I} % 3 + 1) = 3 ELSE pr = 3 END AS private, CASE WHEN known THEN task_type = 'coding' OR rule_task = 'coding' ELSE rule_task = 'coding' END AS coding,
+      CASE WHEN known THEN deep = 'hard' OR long_prompt ELSE ds >= 5 END AS complex, CASE WHEN known THEN deep = 'easy' AND NOT long_prompt ELSE factual_question OR ds < 2 OR simple_terms END AS simple,
+      CASE WHEN known THEN CAST(floor((conf * 0.35::DOUBLE + conf * 0.35::DOUBLE + conf * 0.15::DOUBLE + (0.65::DOUBLE + least(1.0, points / 6.0::DOUBLE) * 0.25::DOUBLE) * 0.15::DOUBLE) * 100 + 0.5) AS INT) END AS confidence,
+      known AND (conf < 0.15 OR {_I} % 4 = 0) AS uncertain, CASE WHEN known THEN 'ml' ELSE 'rules' END AS source FROM told"""
 
 
 def fused(spark, d) -> DataFrame:
     i = F.abs("doc_id")
-    pick = lambda names: F.element_at(F.array(*[F.lit(x) for x in names]), (i % len(names)).cast("int") + 1)
-    conf, none = (i % 10) / 10, F.lit(None).cast("double")
-    own = {"task_label": F.when(i % 5 != 0, pick(lx.TASK_TYPES)), "task_confidence": conf, "task_margin": conf, "task_coverage": conf, "task_entropy": none, "difficulty_label": pick(lx.DIFFICULTIES)}
-    own |= {f"difficulty_{k}": v for k, v in (("confidence", conf), ("margin", conf), ("coverage", F.lit(1.0)), ("entropy", none))} | {"privacy_label": pick(lx.PRIVACY_LEVELS), "privacy_confidence": conf}
-    own |= {"max_similarity": none, "strong_win_probability": none, "semantic_task": F.lit(None).cast("string"), "semantic_task_share": none, "semantic_difficulty": F.lit(None).cast("string"), "semantic_difficulty_share": none}
+    pick = lambda names, n=i: F.element_at(F.array(*[F.lit(x) for x in names]), (n % len(names)).cast("int") + 1)
+    conf, one = (i % 10) / 10, F.lit(1.0)
+    own = {"task_label": F.when(i % 5 != 0, pick(lx.TASK_TYPES)), "task_confidence": conf, "task_margin": conf, "task_coverage": conf, "task_entropy": F.when(i % 4 == 0, 0.9), "difficulty_label": pick(lx.DIFFICULTIES)}
+    own |= {f"difficulty_{k}": v for k, v in (("confidence", conf), ("margin", conf), ("coverage", one), ("entropy", F.lit(0.1)))} | {"privacy_label": pick(lx.PRIVACY_LEVELS), "privacy_confidence": conf}
+    own |= {"max_similarity": (i % 11) / 10, "strong_win_probability": (i % 13) / 13, "semantic_task": pick(lx.TASK_TYPES, 2 * i), "semantic_task_share": (i % 7) / 7, "semantic_difficulty": pick(lx.DIFFICULTIES), "semantic_difficulty_share": (i % 7) / 7}
     return analysis.analyze(prompts(spark, d).withColumns(own), "text")
 
 
+_OUTPUTS = ["task_type", "privacy", "difficulty", "difficulty_evidence", "semantic_evidence", "complexity_score", "requires_long_context", "long_prompt", "private", "coding", "complex", "simple", "confidence", "uncertain", "source"]
+
+
 @query("analyze_prompt", _FUSED_SQL)
 def _analyze(spark, d):
-    return fused(spark, d).select("doc_id", "task_type", "privacy", "uncertain", "source")
+    return fused(spark, d).select("doc_id", *_OUTPUTS)
 
 
-@query("signal_text", "SELECT * FROM " + rows_sql("n, told", [(1, "ML predicted math/hard/low privacy with 71% confidence."), (2, "Rule fallback analyzed the prompt.")]))
+@query("signal_text", f"""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Rule fallback analyzed the prompt.' ELSE 'ML predicted ' || {_TASK('doc_id')} || '/' || {_DIFF('doc_id')} || '/' || {_PRIV('doc_id')} || ' privacy with ' || (doc_id % 101) || '% confidence.' END AS told FROM documents""")
 def _signal_text(spark, d):
-    own = frame(spark, "n int, source string", [(1, "ml"), (2, "rules")])
-    return own.select("n", rules.signal_text(F.col("source"), F.lit("math"), F.lit("hard"), F.lit("low"), F.lit(71)).alias("told"))
+    i = F.col("doc_id")
+    pick = lambda names: F.element_at(F.array(*[F.lit(x) for x in names]), (i % len(names)).cast("int") + 1)
+    told = rules.signal_text(F.when(i % 3 == 0, "rules").otherwise("ml"), pick(lx.TASK_TYPES), pick(lx.DIFFICULTIES), pick(lx.PRIVACY_LEVELS), (i % 101).cast("int"))
+    return table(spark, d, "documents").select("doc_id", told.alias("told"))
 
 
 @query("routing_confidence", "SELECT n, CAST(floor(100 * (0.35::DOUBLE * n / 20 + 0.35::DOUBLE * (20 - n) / 20 + 0.15::DOUBLE * 0.5 + 0.15 * (0.65::DOUBLE + 0.25 * least(1.0, n / 6::DOUBLE))) + 0.5) AS INT) AS confidence FROM (SELECT unnest(range(0, 20)) AS n)")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -104,6 +105,13 @@ def model_tier(model: Column) -> Column:
     return F.when(any_of(lx.STRONG_MODELS), "strong").when(any_of(lx.WEAK_MODELS), "weak").otherwise("skip")
 
 
+def model_reason(model: Column) -> Column:
+    """Why a model has its tier."""
+    told = [F.lit(reason) for reason in (*lx.STRONG_REASONS, *lx.WEAK_REASONS)]
+    rule = model_rule(model)
+    return F.when(rule.isNull(), lx.SKIP_REASON).otherwise(F.element_at(F.array(*told), F.coalesce(rule, F.lit(1))))
+
+
 def strip_think(text: Column, client: bool = False) -> Column:
     """Without reasoning tags: closed ones with their content, unclosed ones to the end, stray ends.
 
@@ -147,6 +155,67 @@ def word_count(text: Column) -> Column:
 
 
 def render_inline(text: Column) -> Column:
-    """Inline Markdown of escaped text as HTML: code, bold, italic, links."""
-    rules = [(r"`([^`]+)`", "<code>$1</code>"), (r"\*\*([^*]+)\*\*", "<strong>$1</strong>"), (r"\*([^*]+)\*", "<em>$1</em>"), (r"\[([^\]]+)\]\((https?://[^)\s]+)\)", '<a href="$2">$1</a>')]
-    return reduce(lambda t, rule: F.regexp_replace(t, rule[0], rule[1]), rules, escape_html(text))
+    """Inline Markdown as HTML: code, bold, italic, links; the rest escaped.
+
+    Code spans are put aside first, so that nothing in them is formatted; two double quotes,
+    which escaped text and links never hold, keep their places.
+    """
+    escaped = escape_html(text)
+    codes = F.regexp_extract_all(escaped, F.lit("`([^`]+)`"), F.lit(1))
+    link = r'<a href="$2" target="_blank" rel="noreferrer">$1</a>'
+    steps = [("`[^`]+`", '""'), (r"\*\*([^*]+)\*\*", "<strong>$1</strong>"), (r"\*([^*]+)\*", "<em>$1</em>"), (r"\[([^\]]+)\]\((https?://[^)\s]+)\)", link)]
+    parts = F.split(reduce(lambda t, step: F.regexp_replace(t, *step), steps, escaped), '""')
+    spans = F.zip_with(codes, F.slice(parts, F.lit(2), F.size(codes)), lambda code, after: F.concat(F.lit("<code>"), code, F.lit("</code>"), after))
+    return F.concat(parts[0], F.array_join(spans, ""))
+
+
+def markdown_blocks(text: Column) -> Column:
+    """The blocks of a Markdown text as an array of (kind, lines): fenced code (its language first),
+    headings ``h2`` to ``h4``, lists ``ul`` and ``ol``, quotes, rules ``hr`` and paragraphs ``p``."""
+    import pandas as pd
+
+    marks = [("hr", re.compile(r"(-{3,})$")), ("h", re.compile(r"(#{1,4})\s+(.+)$")), ("ul", re.compile(r"[-*]\s+(.+)$")), ("ol", re.compile(r"\d+[.)]\s+(.+)$")), ("blockquote", re.compile(r">\s?(.+)$"))]
+    fence = re.compile(r"```([A-Za-z0-9_+#.-]*)[ \t]*\n?(.*?)```", re.S)
+
+    def kind_of(line: str) -> tuple[str, str]:
+        for kind, pattern in marks:
+            if found := pattern.match(line):
+                return (f"h{min(len(found[1]) + 1, 4)}", found[2]) if kind == "h" else (kind, found[1])
+        return ("p", line) if line else ("", "")
+
+    def blocks(source: str) -> list[tuple[str, list[str]]]:
+        out, joins = [], False
+        pieces = fence.split(source.replace("\r\n", "\n"))  # text, language, code, text, ...
+        for at in range(0, len(pieces), 3):
+            for kind, content in map(kind_of, (line.strip() for line in pieces[at].split("\n"))):
+                if joins and kind == out[-1][0] and kind in ("p", "ul", "ol"):
+                    out[-1][1].append(content)
+                elif kind:
+                    out.append((kind, [] if kind == "hr" else [content]))
+                joins = bool(kind)
+            if at + 2 < len(pieces):
+                code = pieces[at + 2]
+                out.append(("code", [pieces[at + 1] or "code", code[code.startswith("\n") : len(code) - (code.endswith("\n") and len(code) > 1)]]))
+                joins = False
+        return out
+
+    parsed = F.pandas_udf(lambda column: pd.Series([blocks(x or "") for x in column]), "array<struct<kind:string,lines:array<string>>>")
+    return parsed(text)
+
+
+def render_markdown(text: Column) -> Column:
+    """Markdown as HTML, block by block."""
+
+    def tag(name, inner):
+        return F.concat(F.lit("<"), name, F.lit(">"), inner, F.lit("</"), name, F.lit(">"))
+
+    def html(block: Column) -> Column:
+        kind, lines = block["kind"], block["lines"]
+        items = F.array_join(F.transform(lines, lambda x: tag(F.lit("li"), render_inline(x))), "")
+        code = F.concat(
+            F.lit('<div class="code-block"><div class="code-header"><span>'), escape_html(lines[0]),
+            F.lit('</span><button class="copy-code" type="button" data-copy-code>Copy</button></div><pre><code>'), escape_html(F.try_element_at(lines, F.lit(2))), F.lit("</code></pre></div>"),
+        )
+        return F.when(kind == "hr", F.lit("<hr>")).when(kind == "code", code).when(kind.isin("ul", "ol"), tag(kind, items)).otherwise(tag(kind, render_inline(F.array_join(lines, " "))))
+
+    return F.array_join(F.transform(markdown_blocks(text), html), "")

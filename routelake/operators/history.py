@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from routelake.functions.text import JS_SPACE, chat_role
-from routelake.operators.relational import tail
+from routelake.operators.relational import small, tail
 
 
 def normalized_messages(messages: DataFrame, conversation: str, order: str, role: str, text: str, keep: int = 20, provider: str = "groq") -> DataFrame:
@@ -42,20 +42,23 @@ def fold_feedback(clicks: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def usable_feedback(rating: Column, expected: Column) -> Column:
-    return F.coalesce((rating == "positive") | ((rating == "negative") & expected.isNotNull()), F.lit(False))
+    return F.coalesce((rating == "positive") | ((rating == "negative") & (F.coalesce(expected, F.lit("")) != "")), F.lit(False))
 
 
 def training_examples(decisions: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Decisions with usable feedback, the expected model's name (or id) and whether it differs from the selected one."""
-    names = F.broadcast(catalog.select(F.col("id").alias("_id"), F.col("name").alias("_name")))
-    usable = decisions.where(usable_feedback(F.col("rating"), F.col("expected")))
+    """Decisions with usable feedback, the expected model's name (or id) and whether it differs from the selected one.
+
+    A positive rating expects the selected model, whatever is stored beside it.
+    """
+    names = small(catalog.select(F.col("id").alias("_id"), F.col("name").alias("_name")))
+    usable = decisions.where(usable_feedback(F.col("rating"), F.col("expected"))).withColumn("expected", F.when(F.col("rating") == "positive", F.col("selected")).otherwise(F.col("expected")))
     named = usable.join(names, F.col("expected") == F.col("_id"), "left")
     return named.withColumn("expected_name", F.coalesce("_name", "expected")).withColumn("corrected", F.col("expected") != F.col("selected")).drop("_id", "_name")
 
 
 def usage_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
     """Usage with total tokens and estimated cost in dollars; models without a price cost nothing."""
-    own = F.broadcast(prices.select(F.col("model").alias("_m"), "input_usd", "output_usd"))
+    own = small(prices.select(F.col("model").alias("_m"), "input_usd", "output_usd"))
     priced = usage.join(own, F.col("model") == F.col("_m"), "left")
     zero = F.lit(0.0)
     cost = F.col("input_tokens") * F.coalesce("input_usd", zero) / 1e6 + F.col("output_tokens") * F.coalesce("output_usd", zero) / 1e6
@@ -71,15 +74,32 @@ def provider_usage(provider: Column, raw: Column) -> tuple[Column, Column]:
     return tuple(F.when(provider == "google", g).when(provider == "ollama", o).otherwise(x) for g, o, x in zip(google, local, other, strict=True))
 
 
+MESSAGE = "struct<id:string,role:string,content:string>"
+
+
+def saved_conversations(saved: DataFrame, json: str) -> DataFrame:
+    """id, title, updated_at, messages of the conversations in saved documents: objects whose ``conversations`` is a list.
+
+    Only entries with a string as id and a list of messages pass; damaged documents give none.
+    """
+    kind = lambda v, path: F.coalesce(F.schema_of_variant(F.try_variant_get(v, path, "variant")), F.lit("VOID"))
+    each = saved.select(F.explode(F.try_variant_get(F.try_parse_json(json), "$.conversations", "array<variant>")).alias("_v"))
+    valid = each.where((kind(F.col("_v"), "$.id") == "STRING") & kind(F.col("_v"), "$.messages").startswith("ARRAY"))
+    get = lambda name, type_: F.try_variant_get("_v", f"$.{name}", type_)
+    return valid.select(get("id", "string").alias("id"), get("title", "string").alias("title"), get("updatedAt", "string").alias("updated_at"), get("messages", f"array<{MESSAGE}>").alias("messages"))
+
+
 def stored_conversations(conversations: DataFrame) -> DataFrame:
-    """Valid conversations (id, title, messages, updated_at) as loaded: rows without messages dropped, missing
-    ids filled from the content, reasoning tags stripped from the assistant's messages."""
+    """Conversations (id, messages and more) as loaded: those without an id or messages dropped, message ids that
+    are missing filled from the conversation's id and the position, reasoning tags stripped from the assistant's."""
     from routelake.functions.text import strip_think
 
-    shown = F.transform("messages", lambda m: m.withField("content", F.when(m["role"] == "assistant", strip_think(m["content"], client=True)).otherwise(m["content"])))
-    valid = conversations.where(F.col("messages").isNotNull())
-    filled = F.coalesce("id", F.sha2(F.encode(F.to_json(F.struct("title", "messages")), "utf-8"), 256))
-    return valid.withColumn("id", filled).withColumn("messages", shown)
+    fields = conversations.schema["messages"].dataType.elementType.names
+    known = (lambda m: m["id"]) if "id" in fields else (lambda m: F.lit(None).cast("string"))
+    made = lambda i: F.concat(F.lit("message-"), F.substring(F.sha2(F.encode(F.concat_ws("/", F.col("id"), i.cast("string")), "utf-8"), 256), 1, 32))
+    content = lambda m: F.when(m["role"] == "assistant", strip_think(m["content"], client=True)).otherwise(m["content"])
+    shown = F.transform("messages", lambda m, i: m.withField("id", F.coalesce(known(m), made(i))).withField("content", content(m)))
+    return conversations.where(F.col("id").isNotNull() & F.col("messages").isNotNull()).withColumn("messages", shown)
 
 
 def history_order(conversations: DataFrame) -> DataFrame:
@@ -98,8 +118,20 @@ def usable_examples(examples: DataFrame) -> DataFrame:
     return examples.where("text is not null and route_class is not null")
 
 
-def export_feedback(examples: DataFrame, path: str) -> int:
-    """Write training examples as JSON lines; returns how many."""
-    from routelake.sources.files import write_jsonl
+def export_feedback(examples: DataFrame, decisions: DataFrame, path: str, exported_at: str) -> dict:
+    """Write training examples and route decisions as JSON lines below ``path``, and a document that describes both; returns it."""
+    from routelake.sources.files import write_document, write_jsonl
+
+    told = {"schema_version": 1, "exported_at": exported_at}
+    told |= {name: write_jsonl(rows, f"{path}/{name}") for name, rows in (("training_examples", examples), ("route_decisions", decisions))}
+    write_document(examples.sparkSession, told, f"{path}/export")
+    return told
+
 
-    return write_jsonl(examples, path)
+def feedback_document(examples: DataFrame, decisions: DataFrame, exported_at: str) -> DataFrame:
+    """The export as one JSON document, for tables that fit one row."""
+    listed = lambda rows, name: rows.agg(F.coalesce(F.array_sort(F.collect_list(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}))), F.array()).alias(name))
+    both = listed(examples, "training_examples").join(listed(decisions, "route_decisions"), F.lit(True))
+    part = lambda name: F.concat(F.lit(f'"{name}":['), F.array_join(name, ","), F.lit("]"))
+    head = F.to_json(F.struct(F.lit(1).alias("schema_version"), F.lit(exported_at).alias("exported_at")))
+    return both.select(F.concat(F.rtrim(head, F.lit("}")), F.lit(","), part("training_examples"), F.lit(","), part("route_decisions"), F.lit("}")).alias("document"))

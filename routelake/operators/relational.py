@@ -7,6 +7,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of a table that are broadcast at most; larger tables are joined by a shuffle.
+SMALL = 200_000
+
+
+def small(table: DataFrame) -> DataFrame:
+    """``table``, to be broadcast if it has at most SMALL rows."""
+    return F.broadcast(table) if table.limit(SMALL + 1).count() <= SMALL else table
+
+
 def first_reason(checks: list[tuple[str, Column]], otherwise: str = "kept") -> Column:
     """The name of the first check that a row fails (checks are true where it does)."""
     out = None
@@ -22,11 +31,9 @@ def funnel(df: DataFrame, reason: str) -> DataFrame:
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key.  Aggregates before it shuffles, so a hot key moves one row from each task."""
+    """The first row of each key by ``order``, whose values must tell a key's rows apart.  Aggregates before it shuffles, so a hot key moves one row from each task."""
     rest = [c for c in df.columns if c not in keys]
-    lead = [c for c in order if c not in keys]
-    packed = F.struct(*lead, *[c for c in rest if c not in lead])
-    return df.groupBy(*keys).agg(F.min(packed).alias("_row")).select(*keys, "_row.*").select(*df.columns)
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row")).select(*keys, "_row.*").select(*df.columns)
 
 
 def latest(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -146,3 +153,8 @@ def greedy_batches(df: DataFrame, order: str, length: str, rows: int = 24, chars
 
     found = ranges.groupBy("p").applyInPandas(numbered, f"o {ranges.schema['o'].dataType.simpleString()}, batch long")
     return df.join(found, df[order] == found["o"]).drop("o")
+
+
+def hash_order(df: DataFrame, hashed: str, order: str, out: str = "position") -> DataFrame:
+    """``df`` with its place, from 1, by the whole hash; for samples of a bounded number of rows."""
+    return df.withColumn(out, F.row_number().over(Window.orderBy(hashed, order)))

@@ -52,3 +52,28 @@ def markdown(title: str, sections: dict[str, DataFrame]) -> str:
     for name, table in sections.items():
         lines += [f"## {name}", "", *("- " + ", ".join(f"{k}: {v:.4g}" if isinstance(v, float) else f"{k}: {v}" for k, v in r.asDict().items()) for r in table.collect()), ""]
     return "\n".join(lines)
+
+
+def summary(date: str, arena: DataFrame, final: DataFrame, funnels: dict[str, DataFrame], floor: int = 500) -> str:
+    """The data set's report in Markdown: totals, funnels (counter, rows), distributions, flags and coverage gaps.
+
+    ``arena`` has strong_wins, ``final`` task_type, difficulty and privacy; only their aggregates are collected.
+    """
+    wins = rate(arena, F.col("strong_wins"), 0.35, 0.65).first()
+    spreads = distribution(final, ["task_type", "difficulty", "privacy"]).orderBy("dimension", "value").collect()
+    n = sum(r["rows"] for r in spreads if r["dimension"] == "task_type")
+    high = sum(r["share"] for r in spreads if r["dimension"] == "privacy" and r["value"] == "high")
+    gaps = coverage_gaps(final, "task_type", floor).orderBy("task_type").collect()
+    bullets = lambda table: [f"- {r['counter']}: {r['rows']:,}" for r in table.orderBy("counter").collect()]
+    lines = ["# Phase 2 Dataset Summary", "", f"Generated: {date}", "", "## Totals", ""]
+    lines += [f"- Arena preference records: {wins['rows']:,}", f"- LMSYS labeled records: {n:,}", f"- Combined records: {wins['rows'] + n:,}"]
+    for title, table in funnels.items():
+        lines += ["", f"## {title}", "", *bullets(table)]
+    lines += ["", f"Strong-model win rate: {wins['share']:.2%}" + (" — FLAG: outside 35%-65%." if wins["flagged"] else "")]
+    for title, name in (("Task type", "task_type"), ("Difficulty", "difficulty"), ("Privacy", "privacy")):
+        lines += ["", f"## {title} distribution", "", *(f"- {r['value']}: {r['rows']:,} ({r['share']:.2%})" for r in spreads if r["dimension"] == name)]
+    if high < 0.08:
+        lines += ["", f"**FLAG:** High-privacy coverage is {high:.2%}, below 8%."]
+    present = [f"- {r['task_type']}: {r['rows']:,} records" for r in gaps]
+    lines += ["", "## Coverage gaps", "", *(present or [f"No task type has fewer than {floor} records."])]
+    return "\n".join(lines) + "\n"

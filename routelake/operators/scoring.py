@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from routelake.functions import lexicon as lx
 from routelake.functions.rules import contains_any
+from routelake.operators.relational import small
 
 
 def router_tokens(text: Column, char_ngrams: tuple[int, int] | None = None) -> Column:
@@ -30,11 +31,8 @@ def _tokens(flat: Column, words: Column, char_ngrams: tuple[int, int] | None) ->
     pairs = F.when(n > 1, F.zip_with(F.slice(words, 1, n - 1), F.slice(words, 2, n - 1), lambda a, b: F.concat(a, F.lit("_"), b))).otherwise(F.array().cast("array<string>"))
     parts = [words, pairs]
     if char_ngrams:
-        joined = F.array_join(words, " ")
         for size in range(char_ngrams[0], char_ngrams[1] + 1):
-            starts = F.when(F.length(joined) >= size, F.sequence(F.lit(1), F.length(joined) - size + 1)).otherwise(F.array().cast("array<int>"))
-            grams = F.transform(starts, _cut(joined, size))
-            parts.append(F.transform(F.filter(grams, lambda g: ~g.contains(" ")), lambda g: F.concat(F.lit("char:"), g)))
+            parts.append(F.flatten(F.transform(F.filter(words, _reaches(size)), _grams(size))))  # none crosses a space
 
     def feature(name: str, condition: Column, times: int = 2) -> Column:
         return F.when(condition, F.array_repeat(F.lit(f"feature:{name}"), times)).otherwise(F.array().cast("array<string>"))
@@ -46,8 +44,12 @@ def _tokens(flat: Column, words: Column, char_ngrams: tuple[int, int] | None) ->
     return F.concat(*parts)
 
 
-def _cut(text: Column, size: int):
-    return lambda start: F.substr(text, start, F.lit(size))
+def _reaches(size: int):
+    return lambda word: F.length(word) >= size
+
+
+def _grams(size: int):
+    return lambda word: F.transform(F.sequence(F.lit(1), F.length(word) - size + 1), lambda start: F.concat(F.lit("char:"), F.substr(word, start, F.lit(size))))
 
 
 def counted(tokens: Column) -> Column:
@@ -66,17 +68,10 @@ def token_counts(prompts: DataFrame, id_col: str, tokens: str) -> DataFrame:
     return prompts.select(id_col, F.explode(counted(F.col(tokens))).alias("_c")).select(id_col, "_c.token", "_c.n")
 
 
-#: Rows of a model's table that are broadcast at most; larger tables are joined by a shuffle.
-SMALL = 200_000
 #: Labels that a classifier has at most; they are held on the driver.
 MOST_LABELS = 1000
 
 
-def small(table: DataFrame) -> DataFrame:
-    """``table``, to be broadcast if it has at most SMALL rows."""
-    return F.broadcast(table) if table.limit(SMALL + 1).count() <= SMALL else table
-
-
 def tfidf(counts: DataFrame, id_col: str, idf: DataFrame) -> DataFrame:
     """id, token, weight: (1 + ln n) * idf of known tokens, each prompt's weights of unit length."""
     known = counts.join(small(idf), "token").withColumn("_w", (1 + F.log(F.col("n"))) * F.col("idf"))
@@ -196,3 +191,54 @@ def predict_hybrid(prompts: DataFrame, counts: DataFrame, id_col: str, idf: Data
     centroid = centroid_scores(prompts, tfidf(counts, id_col, idf), id_col, labels, centroids)
     bayes = None if likelihoods is None else naive_bayes_scores(prompts, counts, id_col, labels, likelihoods)
     return best_label(hybrid(bayes, centroid, id_col), id_col, "confidence")
+
+
+def load_router_model(spark: SparkSession, path: str) -> dict | None:
+    """A router model's document, or None where it is missing or damaged: then the rules stand alone."""
+    from routelake.sources.files import read_document
+
+    found = read_document(spark, path)
+    return found if found and isinstance(found.get("targets"), list) else None
+
+
+def predict_with_model(prompts: DataFrame, id_col: str, text: str, model: dict | None) -> DataFrame:
+    """``prompts`` with label, confidence, margin, coverage and entropy of each of the model's targets as ``<target>_label`` and so on.
+
+    A target's linear classifier predicts if there is one, else centroids with naive Bayes beside
+    them, else naive Bayes alone; what a classifier does not tell is null.  Without a model, or
+    without any classifier in it, ``prompts`` come back as they are.
+    """
+    kinds = ("linear_classifiers", "classifiers", "centroid_classifiers")
+    if not model or not any(model.get(kind) for kind in kinds):
+        return prompts
+    spark, ngrams = prompts.sparkSession, (model.get("preprocessing") or {}).get("char_ngrams")
+    tokens = prompts.select(id_col, router_tokens(F.col(text), tuple(ngrams) if ngrams else None).alias("_tokens"))
+    counts = token_counts(tokens, id_col, "_tokens")
+    ensemble = model.get("ensemble") or {}
+    table = lambda rows, schema: spark.createDataFrame(rows, schema)
+    by_token = lambda of, name: table([(label, token, float(v)) for label, own in of.items() for token, v in own.items()], f"label string, token string, {name} double")
+    idf_of = lambda c: table([(t, float(v)) for t, v in c["idf"].items()], "token string, idf double")
+    out = prompts
+    for target in model["targets"]:
+        linear, bayes, centroid = ((model.get(kind) or {}).get(target) for kind in kinds)
+        if linear:
+            labels = table([(label, float(linear["intercepts"][label])) for label in linear["labels"]], "label string, intercept double")
+            found = predict_linear(prompts, counts, id_col, idf_of(linear), labels, by_token(linear["coefficients"], "coefficient"), float(linear.get("temperature") or 1))
+        elif bayes or centroid:
+            scores, shares = None, None
+            if bayes:
+                labels = table([(n, float(bayes["classes"][n]["log_prior"]), float(bayes["classes"][n]["unknown_log_likelihood"])) for n in bayes["labels"]], "label string, log_prior double, unknown double")
+                scores = naive_bayes_scores(prompts, counts, id_col, labels, by_token({n: bayes["classes"][n]["token_log_likelihoods"] for n in bayes["labels"]}, "log_likelihood"))
+            if centroid:
+                names = table([(n,) for n in centroid["labels"]], "label string")
+                near = centroid_scores(prompts, tfidf(counts, id_col, idf_of(centroid)), id_col, names, by_token({n: centroid["classes"][n]["centroid"] for n in centroid["labels"]}, "value"))
+                shares = hybrid(scores, near, id_col, ensemble.get("naive_bayes_weight", 0.15), ensemble.get("centroid_weight", 1.0))
+            else:
+                shares = softmax(scores, id_col, out="confidence").select(id_col, "label", "confidence")
+            unknown = F.lit(None).cast("double")
+            found = best_label(shares, id_col, "confidence").withColumns({"margin": unknown, "coverage": unknown, "normalized_entropy": unknown})
+        else:
+            continue
+        named = {"label": "label", "confidence": "confidence", "margin": "margin", "coverage": "coverage", "normalized_entropy": "entropy", "alternatives": "alternatives"}
+        out = out.join(found.select(F.col(id_col).alias("_id"), *[F.col(k).alias(f"{target}_{v}") for k, v in named.items()]), F.col(id_col).eqNullSafe(F.col("_id")), "left").drop("_id")
+    return out

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from routelake.functions import rules
-from routelake.operators.scoring import small
+from routelake.operators.relational import small
 from routelake.operators.similarity import knn_votes
 
 

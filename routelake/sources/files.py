@@ -27,12 +27,31 @@ def count_malformed(spark: SparkSession, path: str, schema: StructType) -> int:
     return lines.select("_corrupt_record", *schema.names[:1]).where("_corrupt_record is not null").count()
 
 
+def _replace(spark: SparkSession, fresh: str, path: str) -> None:
+    """Put a folder that is whole in another's place; the old one goes only once the new one is there."""
+    jvm = spark.sparkContext._jvm
+    place, new, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, fresh, f"{fresh}-old"))
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    had = files.exists(place)
+    if had and not files.rename(place, old) or not files.rename(new, place):
+        raise OSError(f"could not put {fresh} in the place of {path}")
+    if had:
+        files.delete(old, True)
+
+
 def write_jsonl(df: DataFrame, path: str) -> int:
-    """Replace the path's content in one commit; nulls are kept as keys.  Returns the rows written."""
+    """Replace the path's content; nulls are kept as keys.  Returns the rows written.
+
+    The rows are written beside the path and put in its place at the end, so a job that fails
+    leaves the old content, and ``df`` may read it.
+    """
+    import uuid
+
     from pyspark.sql import Observation
 
-    seen = Observation()
-    df.observe(seen, F.count("*").alias("rows")).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    seen, fresh = Observation(), f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    df.observe(seen, F.count("*").alias("rows")).write.option("ignoreNullFields", "false").json(fresh)
+    _replace(df.sparkSession, fresh, path.rstrip("/"))
     return seen.get["rows"]
 
 

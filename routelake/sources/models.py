@@ -42,17 +42,47 @@ def embed(df: DataFrame, id_col: str, text_col: str, embedder: Embedder, batch:
     return df.select(id_col, text_col).mapInPandas(run, f"{id_col} {kind}, embedding array<float>")
 
 
-def label_twice(df: DataFrame, id_col: str, text_col: str, labeller: Labeller) -> DataFrame:
-    """id, answer_a, answer_b, error of two passes; if a call fails both answers are null, so the row is tried again later."""
+#: Prompts, and characters, that a labeller gets in one call at most.
+LABEL_ROWS, LABEL_CHARS = 24, 20_000
+
+
+def label_twice(df: DataFrame, id_col: str, text_col: str, labeller: Labeller, order: str | None = None, attempts: int = 3, pause: float = 1.0) -> DataFrame:
+    """id, answer_a, answer_b, error of two passes over batches in ``order`` (the id), which run side by side.
+
+    A call that fails is tried again; if it fails for good, the answers of both passes are null
+    for its batch and for no other, so that these rows are labelled another time.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark.sql import functions as F
+
+    from routelake.operators.relational import greedy_batches
+
     kind = df.schema[id_col].dataType.simpleString()
+    key = order or id_col
+    sized = df.withColumn("_chars", F.length(F.coalesce(F.col(text_col), F.lit(""))))
+    batches = greedy_batches(sized, key, "_chars", LABEL_ROWS, LABEL_CHARS).select(id_col, text_col, F.col(key).alias("_order"), F.col("batch").alias("_batch"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            texts = part[text_col].fillna("").tolist()
+    def tried(texts: list[str], which: str) -> list[str]:
+        for attempt in range(attempts):
             try:
-                a, b, error = labeller(texts, "a"), labeller(texts, "b"), None
-            except Exception as failure:
-                a, b, error = [None] * len(texts), [None] * len(texts), str(failure)
-            yield pd.DataFrame({id_col: part[id_col], "answer_a": a, "answer_b": b, "error": error})
+                answers = labeller(texts, which)
+                if len(answers) != len(texts):
+                    raise ValueError(f"{len(answers)} answers for {len(texts)} prompts")
+                return answers
+            except Exception:
+                if attempt + 1 == attempts:
+                    raise
+                time.sleep(pause * 2**attempt)
+        return []
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("_order")
+        texts = part[text_col].fillna("").tolist()
+        with ThreadPoolExecutor(2) as pool:
+            calls = [pool.submit(tried, texts, which) for which in "ab"]
+        errors = [str(c.exception()) for c in calls if c.exception()]
+        a, b = ([None] * len(texts),) * 2 if errors else (c.result() for c in calls)
+        return pd.DataFrame({id_col: part[id_col], "answer_a": a, "answer_b": b, "error": errors[0] if errors else None})
 
-    return df.select(id_col, text_col).mapInPandas(run, f"{id_col} {kind}, answer_a string, answer_b string, error string")
+    return batches.groupBy("_batch").applyInPandas(run, f"{id_col} {kind}, answer_a string, answer_b string, error string")
