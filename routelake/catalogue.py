@@ -7,6 +7,8 @@ weights are invented for these queries.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,11 @@ from routelake.functions import labels as lb
 from routelake.functions import lexicon as lx
 from routelake.functions import rules, text
 from routelake.operators import history, relational, reports, routing, scoring, similarity
-from routelake.plans import analysis, curation
+from routelake.plans import analysis, curation, stages
+from routelake.session import scratch_dir
+from routelake.sources import files
+from routelake.sources import models as models_of
+from routelake.streaming import logs
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -829,7 +835,7 @@ _ROUTED = f"""routed AS (SELECT doc_id, task_type, CASE WHEN factual_question OR
 def route_prompts(spark, d) -> DataFrame:
     i = F.abs("doc_id")
     own = analysis.with_rules(prompts(spark, d), "text").drop("text")
-    return own.withColumns({"uncertain": i % 4 == 0, "requires_long_context": F.lit(False), "max_similarity": F.when(i % 6 == 0, 0.5), "strong_win_probability": F.when(i % 6 == 0, 0.7)})
+    return own.withColumns({"uncertain": i % 4 == 0, "requires_long_context": F.lit(False), "max_similarity": F.when(i % 6 == 0, 0.5), "strong_win_probability": F.when(i % 6 == 0, 0.7), "told": F.concat(F.lit("Prompt "), F.col("doc_id").cast("string"), F.lit("."))})
 
 
 @query("rank_models", f"WITH {_P}, {_ANALYZED}, {_ROUTED} SELECT doc_id, id AS model, score, rank FROM ranked")
@@ -841,14 +847,18 @@ def _rank_models(spark, d):
     LEFT JOIN (SELECT doc_id, arg_min(id, rank) AS id FROM ranked WHERE local GROUP BY doc_id) l USING (doc_id) LEFT JOIN (SELECT doc_id, arg_min(id, rank) AS id FROM ranked WHERE NOT local GROUP BY doc_id) c USING (doc_id)),
     told AS (SELECT *, CASE WHEN private AND (difficulty = 'hard' OR pushed) THEN 'error: hard private task' WHEN NOT pushed AND difficulty <> 'hard' AND l IS NOT NULL THEN 'local'
       WHEN private THEN 'error: no compatible local model' WHEN c IS NOT NULL THEN 'cloud' ELSE 'error: no route' END AS outcome FROM best)
-    SELECT doc_id, outcome, CASE outcome WHEN 'local' THEN l WHEN 'cloud' THEN c END AS model FROM told""")
+    SELECT doc_id, outcome, CASE outcome WHEN 'local' THEN l WHEN 'cloud' THEN c END AS model, CASE outcome WHEN 'local' THEN 'Prompt ' || doc_id || '. ' || CASE difficulty WHEN 'medium' THEN '{lx.LOCAL_MEDIUM}' ELSE '{lx.LOCAL_EASY}' END
+      WHEN 'cloud' THEN 'Prompt ' || doc_id || '. ' || CASE WHEN pushed THEN '{lx.CLOUD_STRONG}' WHEN difficulty = 'easy' THEN '{lx.CLOUD_EASY}' WHEN difficulty = 'medium' THEN '{lx.CLOUD_POLICY % "Medium"}' ELSE '{lx.CLOUD_POLICY % "Hard"}' END
+      WHEN 'error: hard private task' THEN '{lx.ERROR_HARD_PRIVATE}' WHEN 'error: no compatible local model' THEN '{lx.ERROR_PRIVATE}' ELSE '' END AS reason FROM told""")
 def _auto_route(spark, d):
-    return routing.auto_route(route_prompts(spark, d), models(spark).where("enabled"), "doc_id").select("doc_id", "outcome", "model")
+    return routing.auto_route(route_prompts(spark, d), models(spark).where("enabled"), "doc_id").select("doc_id", "outcome", "model", "reason")
 
 
-@query("resolve_route", "SELECT * FROM " + rows_sql("n, model", [(1, "mine"), (2, "auto")]))
+@query("resolve_route", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'mine-' || user_id ELSE 'auto-' || (event_id % 5) END AS model FROM events")
 def _resolve_route(spark, d):
-    return frame(spark, "n int, manual string", [(1, "mine"), (2, None)]).select("n", routing.resolve_route(F.col("manual"), F.lit("auto")).alias("model"))
+    i = F.col("event_id")
+    manual = F.when(i % 3 == 0, F.concat(F.lit("mine-"), F.col("user_id").cast("string")))
+    return table(spark, d, "events").select("event_id", routing.resolve_route(manual, F.concat(F.lit("auto-"), (i % 5).cast("string"))).alias("model"))
 
 
 _MACHINES = [("big", 64, True), ("small", 8, False), ("plain", 16, None), ("unknown", None, None)]
@@ -878,9 +888,14 @@ def _available(spark, d):
     return routing.available(catalog(spark), frame(spark, "id string", [("loc-off",), ("loc-mid",), ("other",)])).select("id", "local")
 
 
-@query("installed_models", "SELECT * FROM " + rows_sql("name", [("llama3:8b",), ("qwen",), ("phi:latest",)]))
+@query("installed_models", "SELECT DISTINCT name FROM (SELECT 'brand' || (p_partkey % 37) || CASE WHEN p_size % 2 = 0 THEN ':' || p_size ELSE '' END AS name FROM part) WHERE split_part(name, ':', 1) IN (SELECT 'brand' || (s_suppkey % 41) FROM supplier)")
 def _installed(spark, d):
-    return routing.installed_matches(frame(spark, "name string", [("llama3:8b",), ("qwen",), ("phi:latest",), ("gone",)]), frame(spark, "name string", [("llama3",), ("qwen:4b",), ("phi:latest",)]))
+    """Names with and without a tag, of parts as models wanted and of suppliers as models installed."""
+    tag = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit(":"), F.col("p_size").cast("string"))).otherwise("")
+    wanted = table(spark, d, "part").select(F.concat(F.lit("brand"), (F.col("p_partkey") % 37).cast("string"), tag).alias("name"))
+    key = F.col("s_suppkey")
+    has = table(spark, d, "supplier").select(F.concat(F.lit("brand"), (key % 41).cast("string"), F.when(key % 3 == 0, ":latest").otherwise("")).alias("name"))
+    return routing.installed_matches(wanted, has)
 
 
 @query("catalog_profiles", f"SELECT c.id, quality, context FROM {_CATALOG_SQL} c LEFT JOIN {_PROFILES_SQL} q ON q.id = c.id")
@@ -900,13 +915,15 @@ def _usage_cost(spark, d):
     return history.usage_cost(usage, frame(spark, "model string, input_usd double, output_usd double", _PRICES)).select("event_id", "model", "total_tokens", F.round("cost_usd", 9).alias("cost_usd"))
 
 
-_RAW = [(1, "google", '{"promptTokenCount":5,"candidatesTokenCount":7,"thoughtsTokenCount":2}', 5, 9), (2, "ollama", '{"prompt_eval_count":3,"eval_count":4}', 3, 4), (3, "groq", '{"prompt_tokens":8}', 8, 0)]
-
-
-@query("provider_usage", "SELECT * FROM " + rows_sql("n, input_tokens, output_tokens", [(n, i, o) for n, _, _, i, o in _RAW]))
+@query("provider_usage", """SELECT event_id, CASE event_id % 4 WHEN 3 THEN 0 ELSE event_id % 100 END AS input_tokens, CASE event_id % 4 WHEN 0 THEN user_id + event_id % 7 WHEN 3 THEN 0 ELSE user_id END AS output_tokens FROM events""")
 def _provider_usage(spark, d):
-    i, o = history.provider_usage(F.col("provider"), F.col("raw"))
-    return frame(spark, "n int, provider string, raw string", [r[:3] for r in _RAW]).select("n", i.alias("input_tokens"), o.alias("output_tokens"))
+    """Usage objects of three kinds of provider, and one without any figure."""
+    i, user = F.col("event_id"), F.col("user_id")
+    json = lambda **fields: F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()]))
+    raws = [json(promptTokenCount=i % 100, candidatesTokenCount=user, thoughtsTokenCount=i % 7), json(prompt_eval_count=i % 100, eval_count=user), json(prompt_tokens=i % 100, completion_tokens=user), F.lit("{}")]
+    pick = lambda of: F.element_at(F.array(*of), (i % 4).cast("int") + 1)
+    got = history.provider_usage(pick([F.lit(x) for x in ("google", "ollama", "groq", "groq")]), pick(raws))
+    return table(spark, d, "events").select("event_id", got[0].alias("input_tokens"), got[1].alias("output_tokens"))
 
 
 def clicks(spark, d) -> DataFrame:
@@ -928,9 +945,11 @@ def _feedback_fold(spark, d):
 
 
 @query("feedback_examples", f"""WITH RECURSIVE {_CLICKS} SELECT user_id, expected, coalesce(name, expected) AS expected_name, expected <> selected AS corrected FROM ended LEFT JOIN {rows_sql('id, name', [('m0', 'Zero'), ('m1', 'One')])} c ON c.id = expected
-    WHERE rating = 'positive' OR (rating = 'negative' AND expected <> '')""")
+    WHERE rating = 'positive' OR (rating = 'negative' AND expected <> '' AND user_id % 3 <> 0)""")
 def _feedback_examples(spark, d):
+    """Decisions with feedback as folded, but with a stale expectation beside positive ratings and none beside some negative ones."""
     own = history.fold_feedback(clicks(spark, d), "user_id", "event_id").withColumn("selected", F.concat(F.lit("m"), (F.col("user_id") % 4).cast("string")))
+    own = own.withColumn("expected", F.when(F.col("rating") == "positive", "stale").when(F.col("user_id") % 3 == 0, "").otherwise(F.col("expected")))
     return history.training_examples(own, frame(spark, "id string, name string", [("m0", "Zero"), ("m1", "One")])).select("user_id", "expected", "expected_name", "corrected")
 
 
@@ -957,9 +976,44 @@ def _route_decisions(spark, d):
     return history.route_decisions(stored(spark, d)).drop("position")
 
 
-@query("conversation_store", "SELECT CAST(conv_id AS VARCHAR) AS id, count(*) AS messages FROM conversations GROUP BY conv_id")
+_SAID = "CASE WHEN role = 'assistant' AND conv_id % 3 = 0 THEN '<think>' || turn || '</think> ' || text ELSE text END"
+
+
+def saved(spark, d) -> DataFrame:
+    """A saved JSON document for each conversation: some ids are numbers, some have no messages, every other message has an id, one document is damaged."""
+    turns = table(spark, d, "conversations")
+    message = F.struct("turn", F.when(F.col("turn") % 2 == 0, F.concat(F.lit("m"), F.col("turn").cast("string"))).alias("id"), "role", F.expr(_SAID).alias("content"))
+    nested = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(message)).alias("messages"))
+    one = F.struct(F.col("conv_id").cast("string").alias("id"), F.lit("t").alias("title"), F.when(F.col("conv_id") % 11 != 5, F.col("messages")).alias("messages"))
+    json = F.to_json(F.struct(F.array(one).alias("conversations")))
+    quoted = F.concat(F.lit('"id":"'), F.col("conv_id").cast("string"), F.lit('","title"'))
+    json = F.when(F.col("conv_id") % 7 == 3, F.replace(json, quoted, F.concat(F.lit('"id":'), F.col("conv_id").cast("string"), F.lit(',"title"')))).otherwise(json)
+    return nested.select(json.alias("json")).unionByName(frame(spark, "json string", [('{"conversations":[{"id":"x","messages":[',)]))
+
+
+@query("conversation_store", f"""SELECT CAST(conv_id AS VARCHAR) AS id, position, coalesce(message_id, 'message-' || substr(sha256(conv_id || '/' || position), 1, 32)) AS message_id, role, CASE WHEN role = 'assistant' AND conv_id % 3 = 0 THEN ltrim(text, E' \t\n\r') ELSE text END AS content
+    FROM (SELECT *, CASE WHEN turn % 2 = 0 THEN 'm' || turn END AS message_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position FROM conversations) WHERE conv_id % 7 <> 3 AND conv_id % 11 <> 5""")
 def _conversation_store(spark, d):
-    return history.history_order(history.stored_conversations(stored(spark, d))).select("id", F.size("messages").alias("messages"))
+    found = history.stored_conversations(history.saved_conversations(saved(spark, d), "json"))
+    each = found.select("id", F.posexplode("messages").alias("position", "m"))
+    return each.select("id", F.col("position").cast("long").alias("position"), F.col("m.id").alias("message_id"), "m.role", "m.content")
+
+
+@query("history_order", "SELECT conv_id, row_number() OVER (ORDER BY turns DESC, conv_id) AS place FROM (SELECT conv_id, count(*) AS turns FROM conversations GROUP BY conv_id)")
+def _history_order(spark, d):
+    """The last changed conversations first; one of them changed as often as it has turns."""
+    own = table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("updated_at")).withColumn("id", F.col("conv_id"))
+    return history.history_order(own).select("conv_id", "place")
+
+
+@query("feedback_export", "SELECT count(*) AS decisions, sum(CASE WHEN conv_id % 2 = 0 THEN 1 ELSE 0 END) AS examples, 1 AS schema_version FROM conversations WHERE role = 'user' AND turn % 3 = 1")
+def _feedback_export(spark, d):
+    """The export document, read again for its version and the lengths of its lists."""
+    decisions = history.route_decisions(stored(spark, d)).withColumn("expected", F.lit(None).cast("string"))
+    examples = history.training_examples(decisions, frame(spark, "id string, name string", [("m0", "Zero")]))
+    document = history.feedback_document(examples, decisions, "2026-01-01T00:00:00Z")
+    length = lambda path: F.coalesce(F.json_array_length(F.get_json_object("document", path)), F.lit(0)).cast("long")
+    return document.select(length("$.route_decisions").alias("decisions"), length("$.training_examples").alias("examples"), F.get_json_object("document", "$.schema_version").cast("int").alias("schema_version"))
 
 
 @query("usable_examples", "SELECT doc_id, text FROM documents WHERE lang = 'en' AND text IS NOT NULL")
@@ -968,9 +1022,237 @@ def _usable_examples(spark, d):
     return history.usable_examples(own).select("doc_id", "text")
 
 
-_MARKED = [("a `b` **c** *d*", "a <code>b</code> <strong>c</strong> <em>d</em>"), ("<x> [t](https://e.org/)", '&lt;x&gt; <a href="https://e.org/">t</a>')]
+_H = "(SELECT doc_id, substr(h, 1, 4) AS a, substr(h, 5, 4) AS b, substr(h, 9, 4) AS c, substr(h, 13, 4) AS e FROM (SELECT doc_id, md5(text) AS h FROM documents))"
+
 
+def _marked(spark, d, *parts: str) -> DataFrame:
+    """doc_id and Markdown whose words a, b, c and e are parts of a hash of each document."""
+    h = F.md5(F.encode("text", "utf-8"))
+    words = {name: F.substring(h, 1 + 4 * i, 4) for i, name in enumerate("abce")}
+    return table(spark, d, "documents").select("doc_id", F.concat(*[words.get(p, F.lit(p)) for p in parts]).alias("text"))
 
-@query("render_inline", "SELECT * FROM " + rows_sql("text, html", _MARKED))
+
+@query("render_inline", f"""SELECT doc_id, '<strong>' || a || ' <code>*' || b || '**' || c || '</code></strong> <em>' || e || '</em> &lt;i&gt; <a href="https://e.org/' || a || '" target="_blank" rel="noreferrer">' || b || '</a> `&quot;' || c || '&quot;' AS html FROM {_H}""")
 def _render_inline(spark, d):
-    return frame(spark, "text string", [(t,) for t, _ in _MARKED]).select("text", text.render_inline(F.col("text")).alias("html"))
+    own = _marked(spark, d, "**", "a", " `*", "b", "**", "c", "`** *", "e", "* <i> [", "b", "](https://e.org/", "a", ') `"', "c", '"')
+    return own.select("doc_id", text.render_inline(F.col("text")).alias("html"))
+
+
+_CODE_SQL = """'<div class="code-block"><div class="code-header"><span>py</span><button class="copy-code" type="button" data-copy-code>Copy</button></div><pre><code>'"""
+
+
+@query("render_markdown", f"""SELECT doc_id, '<h2>' || a || '</h2><p>' || b || ' <strong>' || c || '</strong></p><ul><li>' || a || '</li><li><code>' || b || '</code></li></ul><ol><li>' || c || '</li><li>' || e || '</li></ol><blockquote>' || a || '</blockquote><hr><h4>' || b || '</h4>'
+    || {_CODE_SQL} || a || ' &lt; *' || b || '*' || chr(10) || '# ' || c || '</code></pre></div><p>' || e || ' ' || a || '</p>' AS html FROM {_H}""")
+def _render_markdown(spark, d):
+    own = _marked(spark, d, "# ", "a", "\n", "b", "\r\n**", "c", "**\n\n- ", "a", "\n* `", "b", "`\n1. ", "c", "\n2) ", "e", "\n> ", "a", "\n---\n#### ", "b", "\n```py\n", "a", " < *", "b", "*\n# ", "c", "\n```\n", "e", "\n", "a")
+    return own.select("doc_id", text.render_markdown(F.col("text")).alias("html"))
+
+
+# ---------------------------------------------------------------- files and streams
+
+
+def _scratch(spark) -> str:
+    import uuid
+
+    return f"{scratch_dir(spark)}/catalogue-{uuid.uuid4().hex}"
+
+
+_LINES = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@query("jsonl_round_trip", "SELECT doc_id, md5(text) AS text, lang, source, n_chars FROM documents")
+def _jsonl(spark, d):
+    """Documents as JSON lines, written twice to one path, and read strictly."""
+    path = _scratch(spark)
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    files.write_jsonl(docs.limit(3), path)
+    files.write_jsonl(docs, path)
+    return files.read_jsonl(spark, path, _LINES).withColumn("text", F.md5(F.encode("text", "utf-8")))
+
+
+@query("jsonl_lenient", "SELECT conv_id, turn FROM conversations WHERE (conv_id + turn) % 5 <> 0")
+def _jsonl_lenient(spark, d):
+    """JSON lines of which some are cut off; these are skipped."""
+    path = _scratch(spark)
+    line = F.to_json(F.struct("conv_id", "turn", "text"))
+    bad = (F.col("conv_id") + F.col("turn")) % 5 == 0
+    table(spark, d, "conversations").select(F.when(bad, F.substring(line, 1, 12)).otherwise(line).alias("value")).write.text(path)
+    return files.read_jsonl(spark, path, "conv_id long, turn long, text string", lenient=True).select("conv_id", "turn")
+
+
+@query("log_latest", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS batch_seq, quality + CASE WHEN doc_id % 3 = 0 THEN 10 ELSE 0 END AS quality FROM labels")
+def _log_latest(spark, d):
+    """Two batches appended to a log, read as a stream, and the last row of each key."""
+    path, own = _scratch(spark), table(spark, d, "labels").select("doc_id", "quality")
+    files.append_jsonl(own, path, 1)
+    files.append_jsonl(own.where("doc_id % 3 = 0").withColumn("quality", F.col("quality") + 10), path, 2)
+    out = f"{path}-read"
+    logs.append_batches(logs.read_log(spark, path, "doc_id long, quality int, batch_seq long"), out, f"{path}-checkpoint", lambda batch: batch.withColumnRenamed("batch_seq", "seq")).awaitTermination()
+    read = spark.read.schema("doc_id long, quality int, seq long").json(f"{out}/batch=*")
+    return relational.latest(read, "doc_id", "seq").select("doc_id", F.col("seq").cast("int").alias("batch_seq"), "quality")
+
+
+@query("embedding_cache", "SELECT vec_id, round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y))), 5) AS first, vec_id % 2 = 0 AS known FROM embeddings")
+def _embedding_cache(spark, d):
+    """Vectors of which half are in the cache at first; the others come from an embedder, in batches, and are of unit length."""
+    path = _scratch(spark)
+    own = table(spark, d, "embeddings").select("vec_id", F.concat(F.lit("h"), F.col("vec_id").cast("string")).alias("prompt_hash"), F.to_json("embedding").alias("prompt"))
+    told = lambda texts: [json.loads(t) for t in texts]
+    embed = lambda rows: models_of.embed(rows, "prompt_hash", "prompt", told)
+    files.cached_embeddings(own.where("vec_id % 2 = 0"), path, embed)
+    found = files.cached_embeddings(own, path, embed)
+    return found.select("vec_id", F.round(F.col("embedding")[0].cast("double"), 5).alias("first"), (F.col("vec_id") % 2 == 0).alias("known"))
+
+
+@query("json_document", "SELECT 2 AS version, count(*) AS documents, sum(n_chars)::BIGINT AS n_chars FROM documents")
+def _json_document(spark, d):
+    """A JSON document written twice and read again; a damaged one gives none."""
+    path = _scratch(spark)
+    told = table(spark, d, "documents").agg(F.count("*").alias("documents"), F.sum("n_chars").alias("n_chars")).first().asDict()
+    files.write_document(spark, {"version": 1}, path)
+    files.write_document(spark, {"version": 2, **told}, path)
+    found = files.read_document(spark, path) or {}
+    return frame(spark, "version int, documents long, n_chars long", [(found["version"], found["documents"], found["n_chars"])])
+
+
+# ---------------------------------------------------------------- whole stages
+
+
+def _vectors(spark, d, order: str):
+    """An embedder that gives a row the vector with its number."""
+    own = table(spark, d, "embeddings").select(F.col("vec_id").alias("_v"), "embedding")
+    return lambda rows: rows.join(own, F.col(order) == F.col("_v")).drop("_v")
+
+
+_ARENA = f"""WITH RECURSIVE {_BATTLES}, {_UNIT}, kept AS MATERIALIZED (SELECT seq, tie, CASE WHEN tie THEN false WHEN tier_a = 'strong' THEN win_a ELSE win_b END AS strong_wins, v FROM reasoned JOIN e ON e.vec_id = seq WHERE reason = 'kept'),
+    pairs AS MATERIALIZED (SELECT a.seq AS a, b.seq AS b FROM kept a JOIN kept b ON a.seq < b.seq AND {_DOT} > 0.2), ways AS MATERIALIZED (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+    reach AS (SELECT seq AS node, seq AS root FROM kept UNION SELECT ways.b, reach.root FROM reach JOIN ways ON ways.a = reach.node), ended AS MATERIALIZED (SELECT * FROM kept WHERE seq IN (SELECT node FROM reach GROUP BY node HAVING min(root) = node))"""
+
+
+def arena_stage(spark, d):
+    return stages.arena(battles(spark, d), _vectors(spark, d, "seq"), 0.2)
+
+
+@query("arena_stage", f"{_ARENA} SELECT seq, strong_wins, CASE WHEN tie THEN 'tie_as_weak_win' ELSE 'observed_winner' END AS label_origin FROM ended")
+def _arena_stage(spark, d):
+    return arena_stage(spark, d).rows.select("seq", "strong_wins", "label_origin")
+
+
+@query("arena_stage_counters", f"""{_ARENA} SELECT reason AS counter, count(*) AS rows FROM reasoned WHERE reason <> 'kept' GROUP BY reason UNION ALL SELECT 'total_battles', count(*) FROM reasoned
+    UNION ALL SELECT 'ties_labeled_weak_win', count(*) FROM reasoned WHERE reason = 'kept' AND tie UNION ALL SELECT 'after_filter_and_exact_dedup', count(*) FROM reasoned WHERE reason = 'kept' UNION ALL SELECT 'final_records', count(*) FROM ended
+    UNION ALL SELECT 'final_ties_labeled_weak_win', count(*) FROM ended WHERE tie UNION ALL SELECT 'dropped_near_duplicate', (SELECT count(*) FROM kept) - (SELECT count(*) FROM ended)""")
+def _arena_counters(spark, d):
+    return arena_stage(spark, d).counters
+
+
+@query("arena_stage_tiers", f"WITH {_BATTLES}, seen AS (SELECT model, count(*) AS appearances FROM (SELECT model_a AS model FROM battles UNION ALL SELECT model_b FROM battles) GROUP BY model) SELECT model, appearances, {sql_tier('model')} AS tier, coalesce(list_value({sql_list([*lx.STRONG_REASONS, *lx.WEAK_REASONS])})[{sql_rule('model')}], '{lx.SKIP_REASON}') AS reason FROM seen")
+def _arena_tiers(spark, d):
+    return arena_stage(spark, d).more["tiers"]
+
+
+_SAMPLED = f"""WITH {_REASONED}, own AS (SELECT doc_id, source AS grp, length(s) AS len, h FROM reasoned WHERE reason = 'kept' ORDER BY substr(h, 1, 16), doc_id LIMIT 400), {_BINS}, {_quota_sql('SELECT grp, count(*) AS size FROM own GROUP BY grp', 120)},
+    turned AS (SELECT *, row_number() OVER (PARTITION BY grp, length_bin ORDER BY h, doc_id) AS turn FROM binned), placed AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY turn, length_bin) AS place FROM turned),
+    picked AS (SELECT doc_id, grp, h FROM placed JOIN quotas USING (grp) WHERE place <= allocation)"""
+
+
+def sample_stage(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang", "source")
+    return stages.sample(docs, text.sanitize_prompt(F.col("text")), F.col("lang"), "doc_id", lambda rows: rows.withColumn("cluster_id", F.col("source")), 120, 400)
+
+
+@query("sample_stage", f"{_SAMPLED} SELECT doc_id, grp AS cluster_id, row_number() OVER (ORDER BY h, doc_id) AS position FROM picked")
+def _sample_stage(spark, d):
+    return sample_stage(spark, d).rows.select("doc_id", "cluster_id", F.col("position").cast("long").alias("position"))
+
+
+@query("sample_stage_counters", f"""{_SAMPLED} SELECT reason AS counter, count(*) AS rows FROM reasoned WHERE reason <> 'kept' GROUP BY reason UNION ALL SELECT 'rows_scanned', count(*) FROM reasoned UNION ALL SELECT 'eligible_unique', count(*) FROM reasoned WHERE reason = 'kept'
+    UNION ALL SELECT 'candidate_pool', count(*) FROM own UNION ALL SELECT 'sampled_for_labeling', count(*) FROM picked UNION ALL SELECT 'clusters', count(DISTINCT grp) FROM own UNION ALL SELECT 'largest_cluster_contribution', max(n) FROM (SELECT count(*) AS n FROM picked GROUP BY grp)""")
+def _sample_counters(spark, d):
+    return sample_stage(spark, d).counters
+
+
+def answer_by_length(texts: list[str], which: str) -> list[str]:
+    """A labeller that goes by the length of a prompt; the second pass sees some of them otherwise."""
+    out = []
+    for n in map(len, texts):
+        own = n + 1 if which == "b" and n % 4 == 0 else n
+        out.append(json.dumps({"task_type": lx.TASK_TYPES[own % 9], "difficulty": lx.DIFFICULTIES[(n + (which == "b" and n % 5 == 0)) % 3], "privacy": lx.PRIVACY_LEVELS[n % 3]}))
+    return out
+
+
+_LABELLED = f"""picked AS (SELECT doc_id, length(text) AS n, CASE WHEN doc_id % 4 = 1 THEN 'x' END AS before FROM documents WHERE lang = 'en'),
+    done AS (SELECT *, CASE WHEN before IS NOT NULL THEN true ELSE n % 4 <> 0 END AS same, CASE WHEN before IS NOT NULL THEN 'coding' ELSE {_TASK('n')} END AS task_type,
+      CASE WHEN before IS NOT NULL THEN 'easy' WHEN n % 5 = 0 THEN list_value({sql_list(lx.DIFFICULTIES)})[least(CAST(n % 3 AS INT), CAST((n + 1) % 3 AS INT)) + 1] ELSE {_DIFF('n')} END AS difficulty,
+      CASE WHEN before IS NOT NULL THEN 'low' ELSE {_PRIV('n')} END AS privacy, before IS NOT NULL OR n % 5 <> 0 AS agreed FROM picked)"""
+
+
+def label_stage(spark, d):
+    rows = table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.col("text").alias("prompt"))
+    known = F.from_json(F.lit('{"task_type":"coding","difficulty":"easy","privacy":"low"}'), lb.LABEL)
+    checkpoint = rows.where("doc_id % 4 in (1, 2)").select("doc_id", F.lit(1).cast("long").alias("seq"), known.alias("label_a"), F.when(F.col("doc_id") % 4 == 1, known).alias("label_b"))
+    return stages.label(rows, checkpoint, "doc_id", answer_by_length)
+
+
+@query("label_stage", f"WITH {_LABELLED} SELECT doc_id, task_type, difficulty, privacy, agreed AS label_agreement FROM done WHERE same")
+def _label_stage(spark, d):
+    return label_stage(spark, d).rows.select("doc_id", "task_type", "difficulty", "privacy", "label_agreement")
+
+
+@query("label_stage_counters", f"""WITH {_LABELLED} SELECT unnest(['label_attempts_completed', 'sampled_for_labeling', 'exact_label_agreements', 'task_type_agreements', 'accepted_labels', 'rejected_task_disagreement_or_invalid']) AS counter,
+    unnest([count(*), count(*), count(*) FILTER (WHERE same AND agreed), count(*) FILTER (WHERE same), count(*) FILTER (WHERE same), count(*) FILTER (WHERE NOT same)]) AS rows FROM done""")
+def _label_counters(spark, d):
+    return label_stage(spark, d).counters
+
+
+_FINAL = f"""WITH {_UNIT}, agreed AS (SELECT doc_id, length(text) AS n, v FROM documents JOIN e ON vec_id = doc_id WHERE doc_id % 2 = 1 AND doc_id < 400), arena AS (SELECT v FROM e WHERE vec_id >= 400),
+    kept AS (SELECT * FROM agreed a WHERE NOT EXISTS (SELECT 1 FROM arena b WHERE {_DOT} > 0.3)), needed AS (SELECT CASE WHEN sum(CASE WHEN doc_id % 25 = 1 THEN 1 ELSE 0 END) < 0.08::DOUBLE * count(*) THEN CAST(ceil(sum(CASE WHEN doc_id % 25 = 1 THEN 0 ELSE 1 END) / 9.0) AS INT) - sum(CASE WHEN doc_id % 25 = 1 THEN 1 ELSE 0 END) ELSE 0 END AS k FROM kept),
+    candidates AS (SELECT doc_id, length(text) AS n FROM documents WHERE doc_id % 2 = 0 AND doc_id < 400 AND {sql_hash('text')} NOT IN (SELECT {sql_hash('text')} FROM documents WHERE doc_id IN (SELECT doc_id FROM kept))),
+    taken AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY doc_id) AS i FROM candidates WHERE n % 4 <> 0 AND n % 5 <> 0 AND n % 3 = 2) WHERE i <= (SELECT k FROM needed)),
+    added AS (SELECT a.* FROM (SELECT t.doc_id, n, v FROM taken t JOIN e ON vec_id = doc_id) a WHERE NOT EXISTS (SELECT 1 FROM arena b WHERE {_DOT} > 0.3))"""
+
+
+def final_stage(spark, d):
+    docs = table(spark, d, "documents").where("doc_id < 400").select("doc_id", F.col("text").alias("prompt"))
+    i = F.col("doc_id")
+    agreed = docs.where("doc_id % 2 = 1").withColumns({"task_type": F.lit("math"), "difficulty": F.lit("easy"), "privacy": F.when(i % 25 == 1, "high").otherwise("low"), "label_agreement": F.lit(True)})
+    arena = table(spark, d, "embeddings").where("vec_id >= 400").select("vec_id", "embedding").withColumnRenamed("vec_id", "doc_id")
+    return stages.finalize(agreed, arena, docs.where("doc_id % 2 = 0"), "doc_id", _vectors(spark, d, "doc_id"), answer_by_length, 0.3)
+
+
+@query("finalize_stage", f"{_FINAL} SELECT doc_id, 'math' AS task_type, CASE WHEN doc_id % 25 = 1 THEN 'high' ELSE 'low' END AS privacy, false AS privacy_augmented FROM kept UNION ALL SELECT doc_id, {_TASK('n')}, 'high', true FROM added")
+def _final_stage(spark, d):
+    return final_stage(spark, d).rows.select("doc_id", "task_type", "privacy", "privacy_augmented")
+
+
+@query("finalize_stage_counters", f"{_FINAL} SELECT 'removed_by_arena_similarity' AS counter, (SELECT count(*) FROM agreed) + (SELECT count(*) FROM taken) - (SELECT count(*) FROM kept) - (SELECT count(*) FROM added) AS rows UNION ALL SELECT 'final_records', (SELECT count(*) FROM kept) + (SELECT count(*) FROM added)")
+def _final_counters(spark, d):
+    return final_stage(spark, d).counters
+
+
+# ---------------------------------------------------------------- a whole router model
+
+def router_model() -> dict:
+    """A model's document: one target with a linear classifier, one with naive Bayes and centroids, one with naive Bayes alone."""
+    idf, labels = dict(_IDF), [label for label, *_ in _LABELS]
+    by_label = lambda shift: {label: {t: v + shift for l, t, v in _WEIGHTS if l == label} for label in labels}
+    bayes = {"labels": labels, "classes": {label: {"log_prior": prior, "unknown_log_likelihood": unknown, "token_log_likelihoods": by_label(-4)[label]} for label, _, prior, unknown in _LABELS}}
+    linear = {"labels": labels, "idf": idf, "coefficients": by_label(0), "intercepts": {label: intercept for label, intercept, *_ in _LABELS}}
+    centroid = {"labels": labels, "idf": idf, "classes": {label: {"centroid": own} for label, own in by_label(0).items()}}
+    return {"targets": ["task_type", "difficulty", "privacy"], "linear_classifiers": {"task_type": linear}, "classifiers": {"difficulty": bayes, "privacy": bayes}, "centroid_classifiers": {"difficulty": centroid}}
+
+
+@query("router_model_predict", f"""WITH {_P}, {_TOKENS}, {_TFIDF}, {_LINEAR.removeprefix(_TFIDF + ', ')}, {_BAYES}, {_CENTROID.removeprefix(_TFIDF + ', ')},
+    lin AS (SELECT doc_id, arg_min(label, (-round(p, 9), label)) AS task_type_label, round(max(p), 5) AS task_type_confidence FROM shares GROUP BY doc_id),
+    ce AS (SELECT doc_id, label, exp((score - max(score) OVER o) / 0.18) AS e FROM centroid WINDOW o AS (PARTITION BY doc_id)), be AS (SELECT doc_id, label, exp(score - max(score) OVER o) AS e FROM bayes WINDOW o AS (PARTITION BY doc_id)),
+    both_ AS (SELECT ce.doc_id, ce.label, ce.e / sum(ce.e) OVER (PARTITION BY ce.doc_id) + 0.15 * be.e / sum(be.e) OVER (PARTITION BY be.doc_id) AS h, be.e / sum(be.e) OVER (PARTITION BY be.doc_id) AS nb FROM ce JOIN be ON ce.doc_id = be.doc_id AND ce.label = be.label),
+    hyb AS (SELECT doc_id, arg_min(label, (-round(h, 9), label)) AS difficulty_label, round(max(h), 5) AS difficulty_confidence, arg_min(label, (-round(nb, 9), label)) AS privacy_label, round(max(nb), 5) AS privacy_confidence FROM both_ GROUP BY doc_id)
+    SELECT * FROM lin JOIN hyb USING (doc_id)""")
+def _router_model(spark, d):
+    """The model is written, loaded and dispatched; a path without a model leaves the prompts as they are."""
+    path = _scratch(spark)
+    files.write_document(spark, router_model(), path)
+    own = prompts(spark, d)
+    own = scoring.predict_with_model(own, "doc_id", "text", scoring.load_router_model(spark, f"{path}-none"))
+    found = scoring.predict_with_model(own, "doc_id", "text", scoring.load_router_model(spark, path))
+    targets = ("task_type", "difficulty", "privacy")
+    return found.select("doc_id", *[f"{t}_label" for t in targets], *[F.round(f"{t}_confidence", 5).alias(f"{t}_confidence") for t in targets])

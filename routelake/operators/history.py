@@ -103,8 +103,8 @@ def stored_conversations(conversations: DataFrame) -> DataFrame:
 
 
 def history_order(conversations: DataFrame) -> DataFrame:
-    """Conversations, the last changed first."""
-    return conversations.orderBy(F.desc("updated_at"), "id")
+    """Conversations with their place, from 1, the last changed first: a user's list, of a size that is shown."""
+    return conversations.withColumn("place", F.row_number().over(Window.orderBy(F.desc("updated_at"), "id")))
 
 
 def route_decisions(conversations: DataFrame) -> DataFrame:
