@@ -64,8 +64,9 @@ def spread(*columns: Column) -> Column:
     return F.md5(F.concat_ws("\x1f", *[F.coalesce(c.cast("string"), F.lit("\x1e")) for c in columns]))
 
 
-def running(df: DataFrame, keys: list[str], order: str, ties: list[str], value: Column, out: str, rows: int) -> DataFrame:
-    """``df`` with ``out``: the sum of ``value`` over the rows of the same keys before and with this one.
+def running(df: DataFrame, keys: list[str], order: str, ties: list[str], value: Column, out: str, rows: int, together: bool = False) -> DataFrame:
+    """``df`` with ``out``: the sum of ``value`` over the rows of the same keys before and with this one
+    (and, ``together``, with those that agree with it in order and ties).
 
     ``order`` holds ``spread`` digits.  They are cut into ranges so that a range holds about
     RUN_ROWS of the ``rows``, or their square root: ranges are summed up, their sums run up in
@@ -79,7 +80,8 @@ def running(df: DataFrame, keys: list[str], order: str, ties: list[str], value:
     dealt = dealt.withColumn("_key", F.concat_ws("\x1f", *nulls) if keys else F.lit(""))
     sums = dealt.groupBy("_key", "_range").agg(F.sum("_value").alias("_sum"))
     before = sums.withColumn("_before", F.sum("_sum").over(Window.partitionBy("_key").orderBy("_range")) - F.col("_sum")).drop("_sum")
-    within = Window.partitionBy("_key", "_range").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy("_key", "_range").orderBy(order, *ties)
+    within = (within.rangeBetween if together else within.rowsBetween)(Window.unboundedPreceding, Window.currentRow)
     summed = dealt.withColumn("_own", F.sum("_value").over(within)).join(before, ["_key", "_range"])
     return summed.withColumn(out, F.col("_before") + F.col("_own")).drop("_key", "_range", "_value", "_own", "_before")
 

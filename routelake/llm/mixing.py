@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from routelake.llm.common import SPACE, documents, few, fingerprint, packed, running, spread, unpacked
+from routelake.llm.common import SPACE, documents, few, packed, running, spread, unpacked
 from routelake.session import staged
 
 #: Weights of the sources in the order of their names, repeating.
@@ -65,16 +65,22 @@ def with_targets(sources: DataFrame, budget: float = BUDGET, rounds: int = ROUND
     return sources.withColumn("target", target)
 
 
+def order_of(docs: DataFrame):
+    """The shuffled order of documents: by a hash of their id, and without one by a hash of their text."""
+    return F.when(F.col("doc_id").isNull(), spread(F.xxhash64("text"))).otherwise(spread(F.col("doc_id")))
+
+
 def queue(docs: DataFrame) -> tuple[DataFrame, float]:
     """One row for each row of ``docs``: doc_id, source, size, source_size, target, order, served; and the budget.
 
-    ``served`` are the source's words up to and with the document, in its order.
+    ``served`` are the source's words up to and with the document (and those that agree with it in
+    id and size), in its order.
     """
-    sized = staged(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), spread(F.col("doc_id")).alias("order")), "mixing-sizes")
+    sized = staged(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), order_of(docs).alias("order")), "mixing-sizes")
     sources = staged(weighted(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))), "mixing-weights")
     totals = sources.agg(F.sum("source_size").alias("size"), F.sum("n").alias("n")).first()
     table = with_targets(sources).select(F.col("source").alias("name"), "source_size", "target")
-    served = running(sized, ["source"], "order", ["doc_id", "size"], F.col("size"), "served", totals["n"] or 0)
+    served = running(sized, ["source"], "order", ["size"], F.col("size"), "served", totals["n"] or 0, together=True)
     joined = served.join(few(table), served["source"].eqNullSafe(table["name"])).drop("name")
     return staged(joined, "mixing-queue"), BUDGET * (totals["size"] or 0)
 
@@ -139,7 +145,8 @@ def mix(docs: DataFrame) -> DataFrame:
     """The rows taken, each as often as it is, with doc_id, round, size, finish; ranged by finish time over the partitions.
 
     A null text has no words; a null source is a source of its own, the last in order.
-    Rows that repeat an id are documents of their own.  Texts without a word cost nothing,
+    Rows that repeat an id are documents of their own; those that also agree in source and size
+    are taken alike.  Texts without a word cost nothing,
     have the time of what precedes them, and are taken by the same rule.
     """
     queued, budget = queue(docs)
@@ -151,21 +158,18 @@ def mix(docs: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame) -> DataFrame:
     """``docs`` with each row as often as the mix takes it, 0 to ROUNDS times; its columns as they were.
 
-    Rows that repeat an id are taken as often together as the mix takes rows of that id, source and
-    size; where only some of them are taken more often, it is those whose columns hash lowest.
+    In each round a source's documents are taken from the first of its order up to some last one,
+    so a table of these last ones, a row for each source, settles every document where it is:
+    texts are not shuffled.  Rows that agree in id, source and size are taken alike.
     """
-    verdict = staged(account(docs, repeats=True), "mixing-verdict")
-    id_, source, size = F.col("doc_id"), F.col("source"), F.col("size")
-    counts = verdict.groupBy(id_.alias("_id"), source.alias("_source"), size.alias("_size")).agg(F.sum("repeats").alias("_all"), F.count("*").alias("_rows"))
-    counts = staged(counts, "mixing-counts")
-    own = packed(docs, _doc=F.col("doc_id"), _from=F.col("source"), _words=word_count(F.col("text")), _hash=fingerprint(docs))
-    joined = own.join(few(counts), F.col("_doc").eqNullSafe(F.col("_id")) & F.col("_from").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size")))
-    if counts.where("_rows > 1").limit(1).count():
-        place = F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy("_hash"))
-        times = F.floor(F.col("_all") / F.col("_rows")) + F.when(place <= F.col("_all") % F.col("_rows"), 1).otherwise(0)
-    else:
-        times = F.col("_all")
-    return unpacked(joined.withColumn("_times", times.cast("int")).where("_times > 0").select("_row", F.explode(F.array_repeat(F.lit(1), F.col("_times")))))
+    queued, budget = queue(docs)
+    last = cut_off(queued, budget)
+    ends = [F.max(F.when(_within(F.lit(i), last), F.struct("order", "size"))).alias(f"_end{i}") for i in range(ROUNDS)]
+    cuts = staged(queued.groupBy(F.col("source").alias("_source")).agg(*ends), "mixing-cuts")
+    own = packed(docs, _from=F.col("source"), _place=F.struct(order_of(docs).alias("order"), word_count(F.col("text")).alias("size")))
+    joined = own.join(few(cuts), F.col("_from").eqNullSafe(F.col("_source")))
+    times = sum((F.when(F.col("_place") <= F.col(f"_end{i}"), 1).otherwise(0) for i in range(ROUNDS)), F.lit(0))
+    return unpacked(joined.withColumn("_times", times).where("_times > 0").select("_row", F.explode(F.array_repeat(F.lit(1), F.col("_times")))))
 
 
 def account(docs: DataFrame, repeats: bool = False) -> DataFrame:
