@@ -100,5 +100,5 @@ def kmeans_clusters(df: DataFrame, vector: str, clusters: int = 200, seed: int =
 
     k = min(clusters, max(2, df.count() // 50))
     ready = df.withColumn("_v", array_to_vector(vector))
-    model = KMeans(k=k, seed=seed, maxIter=20, featuresCol="_v", predictionCol="cluster_id").fit(ready)
+    model = KMeans(k=k, seed=seed, maxIter=200, featuresCol="_v", predictionCol="cluster_id").fit(ready)
     return model.transform(ready).drop("_v")
