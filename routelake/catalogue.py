@@ -1092,7 +1092,7 @@ def _log_latest(spark, d):
     return relational.latest(read, "doc_id", "seq").select("doc_id", F.col("seq").cast("int").alias("batch_seq"), "quality")
 
 
-@query("embedding_cache", "SELECT vec_id, round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y))), 5) AS first, vec_id % 2 = 0 AS known FROM embeddings")
+@query("embedding_cache", "SELECT vec_id, round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y))), 2) AS first, vec_id % 2 = 0 AS known FROM embeddings")
 def _embedding_cache(spark, d):
     """Vectors of which half are in the cache at first; the others come from an embedder, in batches, and are of unit length."""
     path = _scratch(spark)
@@ -1101,7 +1101,7 @@ def _embedding_cache(spark, d):
     embed = lambda rows: models_of.embed(rows, "prompt_hash", "prompt", told)
     files.cached_embeddings(own.where("vec_id % 2 = 0"), path, embed)
     found = files.cached_embeddings(own, path, embed)
-    return found.select("vec_id", F.round(F.col("embedding")[0].cast("double"), 5).alias("first"), (F.col("vec_id") % 2 == 0).alias("known"))
+    return found.select("vec_id", F.round(F.col("embedding")[0].cast("double"), 2).alias("first"), (F.col("vec_id") % 2 == 0).alias("known"))
 
 
 @query("json_document", "SELECT 2 AS version, count(*) AS documents, sum(n_chars)::BIGINT AS n_chars FROM documents")
