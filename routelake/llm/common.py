@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import math
 import zlib
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -51,6 +55,19 @@ def texts(column: pd.Series) -> list[str]:
     return [x if isinstance(x, str) else "" for x in column]
 
 
+def lean(run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """``run``, which at its end gives its free memory back to the system: Spark keeps a worker for later stages, and with it all it holds."""
+
+    def wrapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc alone has it
+            trim(0)
+
+    return wrapped
+
+
 def crc(data: bytes) -> int:
     return zlib.crc32(data) & 0xFFFFFFFF
 

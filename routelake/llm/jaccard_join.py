@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from routelake.llm.common import documents, few, packed, split_join, texts, unpacked
+from routelake.llm.common import documents, few, lean, packed, split_join, texts, unpacked
 from routelake.operators.components import connected_components
 from routelake.session import discard, staged
 
@@ -246,14 +246,14 @@ class Space:
 
     def __init__(self, docs: DataFrame):
         self.docs = docs.select("doc_id", "text")
-        rows = staged(self.docs.withColumn("text_hash", F.xxhash64("text")).mapInPandas(_facts, FACTS), "jaccard-facts")
+        rows = staged(self.docs.withColumn("text_hash", F.xxhash64("text")).mapInPandas(lean(_facts), FACTS), "jaccard-facts")
         self.facts = rows.where("n is not null").select("doc_id", "text_hash", "n", "set_id", "sid")
         uses = rows.where("shingle is not null").groupBy("shingle").agg(F.sum("uses").alias("uses"))
         heavy = uses.orderBy(F.desc("uses"), "shingle").limit(HEAVY).toArrow()  # at most HEAVY pairs of numbers
         order = self._order(heavy["shingle"].to_numpy(), heavy["uses"].to_numpy())
         shared = self.docs.sparkSession.sparkContext.broadcast(order)
         self.classes = staged(self.facts.where("sid is not null").groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.first("sid").alias("sid"), F.count("*").alias("copies")), "jaccard-classes")
-        self.seeds = staged(self.docs.mapInPandas(_seeds(shared), "sid long, n int, seeds array<long>"), "jaccard-seeds")
+        self.seeds = staged(self.docs.mapInPandas(lean(_seeds(shared)), "sid long, n int, seeds array<long>"), "jaccard-seeds")
 
     @staticmethod
     def _order(shingle: np.ndarray, uses: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -282,7 +282,7 @@ class Space:
         ends = staged(self.classes.join(sids.distinct(), "sid", "left_semi").select("sid", "first_id"), "jaccard-ends")
         firsts = few(staged(ends.select("first_id").distinct(), "jaccard-firsts"))
         chosen = self.docs.join(firsts, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
-        found = chosen.mapInPandas(_sets, "sid long, shingles binary")
+        found = chosen.mapInPandas(lean(_sets), "sid long, shingles binary")
         out = staged(found.join(ends.select("sid").distinct(), "sid", "left_semi").dropDuplicates(["sid"]), "jaccard-sets")
         discard(ends)
         return out
@@ -292,10 +292,10 @@ class Space:
         ends = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
         seeds = staged(self.seeds.join(few(staged(ends, "jaccard-ends")), "sid", "left_semi").dropDuplicates(["sid"]), "jaccard-compared")
         other = seeds.select(F.col("sid").alias("b"), F.col("n").alias("other_n"), F.col("seeds").alias("other_seeds"))
-        pairs = staged(pairs.join(other, "b").join(seeds.withColumnRenamed("sid", "a"), "a").mapInPandas(_bounded, "a long, b long"), "jaccard-bounded")
+        pairs = staged(pairs.join(other, "b").join(seeds.withColumnRenamed("sid", "a"), "a").mapInPandas(lean(_bounded), "a long, b long"), "jaccard-bounded")
         sets = self.sets(pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))))
         other = sets.select(F.col("sid").alias("b"), F.col("shingles").alias("other"))
-        found = staged(pairs.join(other, "b").join(sets.withColumnRenamed("sid", "a"), "a").mapInPandas(_measured, "a long, b long, shared long, joint long"), "jaccard-measured")
+        found = staged(pairs.join(other, "b").join(sets.withColumnRenamed("sid", "a"), "a").mapInPandas(lean(_measured), "a long, b long, shared long, joint long"), "jaccard-measured")
         discard(seeds, pairs, sets)
         return found
 
@@ -344,7 +344,7 @@ def across(space: Space, large: DataFrame) -> DataFrame:
     wide = placed.where("wide")
     centre = sets.join(wide.select(F.col("pivot").alias("sid")).distinct(), "sid").select(F.col("sid").alias("a"), F.col("shingles").alias("other"))
     met = wide.select(F.col("pivot").alias("a"), F.col("sid").alias("b")).join(sets.withColumnRenamed("sid", "b"), "b").join(centre, "a")
-    met = met.mapInPandas(_measured, "a long, b long, shared long, joint long").select(F.col("b").alias("sid"), ((F.col("joint") - F.col("shared")) / F.col("joint")).alias("distance"))
+    met = met.mapInPandas(lean(_measured), "a long, b long, shared long, joint long").select(F.col("b").alias("sid"), ((F.col("joint") - F.col("shared")) / F.col("joint")).alias("distance"))
     ringed = staged(placed.join(met, "sid", "left").withColumn("distance", F.coalesce("distance", F.lit(0.0))).withColumn("ring", F.floor(F.col("distance") / RING).cast("int")), "jaccard-rings")
     # Blocks of each ring, and parts of the classes outside the largest component.
     rings = ringed.groupBy("area", "ring").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))

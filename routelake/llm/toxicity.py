@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from routelake.llm.common import documents, held_out, table, texts
+from routelake.llm.common import documents, held_out, lean, table, texts
 from routelake.session import staged
 
 MAX_TOXIC = 8192
@@ -153,7 +153,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for text, label in zip(texts(batch["text"]), batch["toxic"], strict=True):
             for term, n in terms_of(fold(text)).items():
                 counts.setdefault(term, [0, 0])[int(label)] += n
-            if len(counts) > 300_000:
+            if len(counts) > 100_000:
                 yield flush()
     yield flush()
 
@@ -231,14 +231,14 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
         return Lexicon()
-    counts = sample.mapInPandas(_count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = sample.mapInPandas(lean(_count), "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
     found = counts.where("toxic >= 3").withColumn("odds", odds).where(F.col("odds") > MIN_WORD - 0.5).orderBy(F.desc(F.col("odds") * F.log(F.col("toxic"))), "term").limit(MAX_TERMS).collect()
     candidates = [r["term"] for r in found]
     # Bounded: one row for each row of the sample, of candidate numbers.  Near copies count once.
     seen: set[int] = set()
     in_toxic, in_clean, n_toxic, n_clean = Counter(), Counter(), 0, 0
-    rows = sample.mapInPandas(_incidence(candidates), "toxic int, first long, second long, words int, terms array<int>").collect()
+    rows = sample.mapInPandas(lean(_incidence(candidates)), "toxic int, first long, second long, words int, terms array<int>").collect()
     for r in sorted(rows, key=lambda r: (r["first"], r["second"], r["toxic"])):
         if r["first"] in seen or r["second"] in seen:
             continue
@@ -257,7 +257,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
                 if covering < weight:
                     weights[term] = weight
     lexicon = Lexicon(weights)
-    found = sample.mapInPandas(_contexts(lexicon), "toxic int, first long, second long, words int, hits array<string>").collect()
+    found = sample.mapInPandas(lean(_contexts(lexicon)), "toxic int, first long, second long, words int, hits array<string>").collect()
     # Near copies count once; phrases are learned from one half of the rest, the logistic from the other.
     seen, rows = set(), []
     for r in sorted(found, key=lambda r: (r["first"], r["second"], r["toxic"])):
@@ -290,7 +290,7 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
                 out.append((value, int(value >= THRESHOLD), len(hits), words))
             yield pd.concat([batch[["doc_id"]].reset_index(drop=True), pd.DataFrame(out, columns=["score", "predicted", "hits", "words"])], axis=1)
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double, predicted int, hits int, words int")
+    return docs.select("doc_id", "text").mapInPandas(lean(run), "doc_id long, score double, predicted int, hits int, words int")
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
