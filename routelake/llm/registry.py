@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from routelake.llm import exact_dedup, jaccard_join, language_id, media, mixing, packing, quality, sharding, token_store, toxicity
+from routelake.llm import embedding_dedup, exact_dedup, jaccard_join, language_id, media, mixing, packing, quality, resampling, sharding, token_store, toxicity, whitening
 
 QUERIES = {
     "op1_token_store": token_store.query,
@@ -15,9 +15,13 @@ QUERIES = {
     "op8_mixing": mixing.query,
     "op9_quality": quality.query,
     "op10_jaccard_join": jaccard_join.query,
+    "op11_embedding_dedup": embedding_dedup.query,
+    "op12_resampling": resampling.query,
+    "op13_whitening": whitening.query,
 }
 ORACLES = {
     "op6_exact_dedup": exact_dedup.ORACLE,
     "op8_mixing": mixing.ORACLE,
     "op10_jaccard_join": jaccard_join.ORACLE,
+    "op12_resampling": resampling.ORACLE,
 }
