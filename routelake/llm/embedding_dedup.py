@@ -311,7 +311,7 @@ def _searched(index: Index):
 
 def classes_of(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
     """node, key, v, rep (the smallest id), size of each different usable vector, staged; ``key`` is a digest of its numbers."""
-    ready = vectors.where(usable(F.col(vector)) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), digest(F.col(vector)).alias("key"), F.col(vector).cast("array<double>").alias("v"))
+    ready = vectors.where(usable(F.col(vector)) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), digest(F.col(vector)).alias("key"), F.col(vector).alias("v"))
     grouped = ready.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("size"), F.any_value("v").alias("v"))
     return staged(grouped.withColumn("node", F.monotonically_increasing_id()), "embedding-classes")
 
