@@ -1,24 +1,39 @@
-"""Joins on embedding similarity, exact and in blocks.
-
-One side is dealt in blocks of a bounded number of rows, each block meets each block of the
-other side in one task, and only pairs over the threshold (or the best k) come out.  No task
-holds more than two blocks.
+"""Joins on embedding similarity, exact, with regions that are ruled out by their angles.
+
+Vectors are dealt to regions by their nearest centre, and of each region it is known between
+which angles from the centre its vectors lie.  Angles on the sphere obey the triangle
+inequality, so two regions can be told apart, or a region from a query, without looking at a
+single vector of theirs: only regions that may hold a pair over the threshold meet.  A region
+with many rows is dealt in parts, so that a task holds two parts and no more.  In a task a few
+dimensions and the lengths of what is left bound every product, and only pairs that the bound
+lets pass are compared in full.
+
+Ids are longs that tell rows apart; rows without a direction (zero vectors) have similarity 0
+with all, and lie in a region that is never ruled out.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from routelake.operators.components import connected_components
+from routelake.session import discard, staged
 
+#: Rows of a part at most, about.
 BLOCK = 2048
-
-
-def _blocks(df: DataFrame, id_col: str, vector: str, blocks: int) -> DataFrame:
-    return df.select(F.col(id_col).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int").alias("b"))
+#: Rows to a centre, centres at most, and rows sampled for each to fit them.
+REGION, CENTRES, SAMPLE = 512, 1024, 32
+#: Dimensions that bound a product, and the share of pairs up to which bounding them first pays.
+FEW, SHARE = 16, 0.2
+#: What angles and products may be off by rounding.
+SLACK = 1e-7
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -28,31 +43,148 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return m / np.where(norm == 0, 1, norm)
 
 
-def _meet(left: DataFrame, right: DataFrame, function, schema: str, same: bool) -> DataFrame:
-    """Apply ``function`` to each pair of blocks; of a table with itself each unordered pair once."""
-    n = max(1, -(-left.count() // BLOCK)), max(1, -(-right.count() // BLOCK))
-    a = left.withColumn("b", F.pmod("b", F.lit(n[0]))).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(n[1] - 1))))
-    b = right.withColumn("c", F.pmod("b", F.lit(n[1]))).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n[0] - 1))))
-    if same:
-        a, b = a.where("b <= c"), b.where("b <= c")
-    b = b.select(*[F.col(c).alias(c) for c in b.columns])
-    return a.groupBy("b", "c").cogroup(b.groupBy("b", "c")).applyInPandas(function, schema)
-
-
-def similar_pairs(df: DataFrame, id_col: str, vector: str, threshold: float) -> DataFrame:
-    """a < b, similarity of all pairs with a similarity strictly over the threshold."""
-    side = _blocks(df, id_col, vector, 1 << 30)
-
-    def pairs(key, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+def _angle(product: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(product, -1, 1))
+
+
+@dataclass
+class Bounds:
+    """What is known of each region: its centre, between which angles its rows lie, how many there are, in how many parts."""
+
+    centres: np.ndarray
+    nearest: np.ndarray
+    farthest: np.ndarray
+    sizes: np.ndarray
+    parts: np.ndarray
+
+    def from_query(self, product: np.ndarray) -> np.ndarray:
+        """The largest similarity that a region may hold, of products of queries with the centres."""
+        angle, known = _angle(product), np.isfinite(self.farthest)
+        far, near = np.where(known, self.farthest, np.pi), np.where(known, self.nearest, 0.0)
+        return np.cos(np.clip(np.maximum(angle - far, near - angle) - SLACK, 0, np.pi))
+
+    def between(self) -> np.ndarray:
+        """The largest similarity that two regions may hold between them."""
+        angle, known = _angle(self.centres @ self.centres.T), np.isfinite(self.farthest)
+        far, near = np.where(known, self.farthest, np.pi), np.where(known, self.nearest, 0.0)
+        least = np.maximum(angle - far[:, None] - far, np.maximum(near[:, None] - angle - far, near - angle - far[:, None]))
+        return np.cos(np.clip(least - SLACK, 0, np.pi))
+
+
+def regions(df: DataFrame, id_col: str, vector: str) -> tuple[DataFrame, Bounds]:
+    """id, v (of unit length), region and part of each row, staged, and the regions' bounds.  Centres are fitted on a sample of bounded size, chosen by a hash of the id; all rows are dealt out."""
+    slim = df.select(F.col(id_col).alias("id"), F.col(vector).alias("v"))
+    rows = slim.count()
+    k = max(1, min(CENTRES, rows // REGION))
+    share = min(1.0, 1.25 * k * SAMPLE / max(rows, 1))
+    chosen = slim.withColumn("_h", F.xxhash64("id")).where(F.pmod("_h", F.lit(1 << 30)) < math.ceil(share * (1 << 30))).orderBy("_h", "id").limit(k * SAMPLE)
+    m = _matrix(chosen.toPandas()["v"]) if rows else np.zeros((0, 1))
+    m = m[np.abs(m).sum(axis=1) > 0]
+    centres = m[:: max(1, len(m) // k)][:k] if len(m) else np.ones((1, m.shape[1])) / math.sqrt(m.shape[1])
+    for _ in range(8):
+        near = (m @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, near, m)
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(size > 0, sums / np.where(size > 0, size, 1), centres)
+    blank = len(centres)
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            x = _matrix(batch["v"])
+            product = x @ centres.T
+            near = product.argmax(axis=1)
+            zero = np.abs(x).sum(axis=1) == 0
+            yield pd.DataFrame({"id": batch["id"], "v": list(x), "region": np.where(zero, blank, near).astype(np.int32), "angle": np.where(zero, 0.0, _angle(product[np.arange(len(x)), near]))})
+
+    dealt = staged(slim.mapInPandas(assign, f"id {slim.schema['id'].dataType.simpleString()}, v array<double>, region int, angle double"), "regions")
+    nearest, farthest, sizes = np.full(blank + 1, np.inf), np.full(blank + 1, -np.inf), np.zeros(blank + 1, dtype=np.int64)
+    for r, low, high, n in dealt.groupBy("region").agg(F.min("angle"), F.max("angle"), F.count("*")).collect():  # a row for each centre
+        nearest[r], farthest[r], sizes[r] = low, high, n
+    nearest[blank], farthest[blank] = 0.0, np.inf
+    bounds = Bounds(np.vstack([centres, np.zeros((1, centres.shape[1]))]), nearest, farthest, sizes, np.maximum(1, -(-sizes // BLOCK)))
+    return dealt.select("id", "v", "region", F.pmod(F.xxhash64("id"), _known(bounds.parts, "region")).cast("int").alias("part")), bounds
+
+
+def _known(numbers: np.ndarray, region: str) -> Column:
+    """The number of a row's region."""
+    return F.get(F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<long>"), F.col(region))
+
+
+def _over(x: np.ndarray, y: np.ndarray, threshold: float, half: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (i, j) with a similarity strictly over the threshold, and it; ``half``: i < j alone.
+
+    The product of a few dimensions and of the lengths of what is left bounds the whole one.
+    """
+    found = []
+    few = min(FEW, x.shape[1] // 2)
+    order = np.argsort(-(np.var(x, axis=0) + np.var(y, axis=0)), kind="stable")
+    xs, ys = x[:, order[:few]], y[:, order[:few]]
+    rest = lambda m: np.sqrt(np.maximum(0, (m**2).sum(axis=1) - (m[:, order[:few]] ** 2).sum(axis=1)))
+    xr, yr, pays = rest(x), rest(y), few > 0
+    for k in range(0, len(x), 256):
+        if pays:
+            i, j = np.nonzero(xs[k : k + 256] @ ys.T + xr[k : k + 256, None] * yr > threshold - SLACK)
+            pays = len(i) <= SHARE * len(y) * min(256, len(x) - k)
+            s = np.concatenate([np.einsum("ij,ij->i", x[k + i[c : c + 65536]], y[j[c : c + 65536]]) for c in range(0, len(i), 65536)] or [np.zeros(0)])
+            good = s > threshold
+            i, j, s = i[good], j[good], s[good]
+        else:
+            whole = x[k : k + 256] @ y.T
+            i, j = np.nonzero(whole > threshold)
+            s = whole[i, j]
+        keep = i + k < j if half else slice(None)
+        found.append((i[keep] + k, j[keep], s[keep]))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+
+
+def _meet(left: DataFrame, right: DataFrame, function, schema: str) -> DataFrame:
+    """Apply ``function`` to each pair of parts; rows carry the pair's name (a, p, b, q)."""
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])
+    keys = ["a", "p", "b", "q"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(function, schema)
+
+
+def _each_part(rows: DataFrame, of: np.ndarray, region: str, out: str) -> DataFrame:
+    """``rows`` once for each part of the region named; ``of`` has the parts by region."""
+    return rows.withColumn(out, F.explode(F.sequence(F.lit(0), (_known(of, region) - 1).cast("int"))))
+
+
+def met_regions(own: Bounds, threshold: float) -> list[tuple[int, int]]:
+    """Pairs of regions (the smaller number first) that may hold a pair of rows over the threshold."""
+    some = own.sizes > 0
+    a, b = np.nonzero(np.triu((own.between() > threshold) & some[:, None] & some))
+    return list(zip(a.tolist(), b.tolist(), strict=True))
+
+
+def pairs_met(own: Bounds, threshold: float) -> int:
+    """How many pairs of rows meet in a task; of n rows without bounds n (n - 1) / 2."""
+    n = own.sizes
+    return int(sum(n[a] * (n[a] - 1) // 2 if a == b else n[a] * n[b] for a, b in met_regions(own, threshold)))
+
+
+def similar_pairs(df: DataFrame, id_col: str, vector: str, threshold: float, told: dict | None = None) -> DataFrame:
+    """a < b, similarity of all pairs with a similarity strictly over the threshold.  ``told`` gets how many pairs of rows meet, of how many."""
+    rows, own = regions(df, id_col, vector)
+    if told is not None:
+        n = int(own.sizes.sum())
+        told |= {"met": pairs_met(own, threshold), "all": n * (n - 1) // 2}
+    pairs = F.broadcast(df.sparkSession.createDataFrame(met_regions(own, threshold) or [(-1, -1)], "a int, b int"))
+    left = _each_part(rows.withColumnsRenamed({"region": "a", "part": "p"}).join(pairs, "a"), own.parts, "b", "q")
+    right = _each_part(rows.withColumnsRenamed({"region": "b", "part": "q"}).join(pairs, "b"), own.parts, "a", "p")
+    once = F.expr("a < b or p <= q")
+
+    def found(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(y):
             return pd.DataFrame({"a": [], "b": [], "similarity": []}).astype({"a": "int64", "b": "int64"})
-        s = _matrix(x["v"]) @ _matrix(y["v"]).T
-        i, j = np.nonzero(s > threshold)
-        p, q = x["id"].to_numpy()[i], y["id"].to_numpy()[j]
-        good = p < q if key[0] == key[1] else np.ones(len(p), dtype=bool)
-        return pd.DataFrame({"a": np.minimum(p, q)[good], "b": np.maximum(p, q)[good], "similarity": s[i, j][good]})
+        same = key[0] == key[2] and key[1] == key[3]
+        if same:
+            x = y = x.sort_values("id", ignore_index=True)
+        i, j, s = _over(_matrix(x["v"]), _matrix(y["v"]), threshold, half=same)
+        u, v = x["id"].to_numpy()[i], y["id"].to_numpy()[j]
+        return pd.DataFrame({"a": np.minimum(u, v), "b": np.maximum(u, v), "similarity": s})
 
-    return _meet(side, side, pairs, "a long, b long, similarity double", True)
+    return _meet(left.where(once), right.where(once), found, "a long, b long, similarity double")
 
 
 def near_duplicates(df: DataFrame, id_col: str, vector: str, threshold: float = 0.95) -> DataFrame:
@@ -61,23 +193,7 @@ def near_duplicates(df: DataFrame, id_col: str, vector: str, threshold: float =
     return df.select(id_col).join(found, df[id_col] == found["node"], "left").select(id_col, F.coalesce("component", F.col(id_col)).alias("component"))
 
 
-def best_match(left: DataFrame, right: DataFrame, id_col: str, vector: str) -> DataFrame:
-    """id, best for each left row: its largest similarity to any right row, null if there is none."""
-
-    def best(key, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(y):
-            return pd.DataFrame({"id": [], "best": []}).astype({"id": "int64"})
-        return pd.DataFrame({"id": x["id"], "best": (_matrix(x["v"]) @ _matrix(y["v"]).T).max(axis=1)})
-
-    met = _meet(_blocks(left, id_col, vector, 1 << 30), _blocks(right, id_col, vector, 1 << 30), best, "id long, best double", False)
-    top = met.groupBy(F.col("id").alias("_best_id")).agg(F.max("best").alias("best"))
-    return left.select(id_col).join(top, F.col(id_col) == F.col("_best_id"), "left").select(id_col, "best")
-
-
-def without_matches(left: DataFrame, right: DataFrame, id_col: str, vector: str, threshold: float = 0.92) -> DataFrame:
-    """The left rows whose best match is not over the threshold; all, if there is no right row."""
-    best = best_match(left, right, id_col, vector)
-    return left.join(best.where(F.col("best") > threshold).select(id_col), id_col, "left_anti")
+# ---------------------------------------------------------------- nearest
 
 
 def _first(found: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -86,10 +202,55 @@ def _first(found: pd.DataFrame, k: int) -> pd.DataFrame:
     return found[found.groupby("query").cumcount() < k]
 
 
-def nearest(queries: DataFrame, examples: DataFrame, query_id: str, example_id: str, vector: str, k: int = 9, others: bool = False) -> DataFrame:
-    """query, example, similarity, rank of the k most similar examples; ties by example id.  ``others``: no row is its own example."""
+def _visiting(queries: DataFrame, of: Bounds, threshold: str | float) -> DataFrame:
+    """``queries`` (id, v, own and more) once for each region but ``own`` that may hold a similarity of the threshold (a column or number) or more."""
+    some = of.sizes > 0
+
+    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part = batch.iloc[at : at + 256]
+                x = np.array([np.asarray(v) for v in part["v"]])
+                bound = of.from_query(x @ of.centres.T)
+                bound[np.abs(x).sum(axis=1) == 0] = 1.0
+                least = part[threshold].to_numpy()[:, None] if isinstance(threshold, str) else threshold
+                go = (bound >= least - SLACK) & some
+                go[np.arange(len(part)), part["own"].to_numpy()] = False
+                i, r = np.nonzero(go)
+                yield part.iloc[i].assign(b=r.astype(np.int32))
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in queries.schema)
+    return queries.mapInPandas(visit, f"{schema}, b int")
+
+
+def _owned(queries: DataFrame, of: Bounds, query_id: str, vector: str) -> DataFrame:
+    """id, v (of unit length), own: the region whose centre is nearest, and that has rows."""
+    slim = queries.select(F.col(query_id).alias("id"), F.col(vector).alias("v"))
+    some = of.sizes > 0
 
-    def top(key, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            x = _matrix(batch["v"])
+            near = np.where(some, x @ of.centres.T, -2.0).argmax(axis=1)
+            yield pd.DataFrame({"id": batch["id"], "v": list(x), "own": near.astype(np.int32)})
+
+    return slim.mapInPandas(place, f"id {slim.schema['id'].dataType.simpleString()}, v array<double>, own int")
+
+
+def _met_with(queries: DataFrame, rows: DataFrame, of: Bounds, function, schema: str) -> DataFrame:
+    """Queries (with b, the region to visit) against all parts of it, in portions of about BLOCK queries."""
+    portion = F.pmod(F.xxhash64("id"), F.col("_portions")).cast("int")
+    sizes = queries.groupBy("b").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("_portions"))
+    sizes = F.broadcast(staged(sizes, "portions"))  # a row for each region
+    asked = _each_part(queries.join(sizes, "b").withColumn("a", F.lit(0)).withColumn("p", portion), of.parts, "b", "q")
+    held = rows.withColumnsRenamed({"region": "b", "part": "q"}).join(sizes.withColumnRenamed("b", "_b"), F.col("b") == F.col("_b")).withColumn("a", F.lit(0)).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("_portions") - 1)))
+    return _meet(asked.drop("_portions"), held.drop("_portions", "_b"), function, schema)
+
+
+def _top(k: int, others: bool):
+    """The k best examples of each query in one part, those that are not under its bound so far."""
+
+    def top(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(y):
             return pd.DataFrame({"query": [], "example": [], "similarity": []}).astype({"query": "int64", "example": "int64"})
         y = y.sort_values("id")
@@ -97,12 +258,90 @@ def nearest(queries: DataFrame, examples: DataFrame, query_id: str, example_id:
         if others:
             s[x["id"].to_numpy()[:, None] == y["id"].to_numpy()] = -np.inf
         least = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(x), -np.inf)
+        if "least" in x:
+            least = np.maximum(least, x["least"].to_numpy())
         i, j = np.nonzero((s >= least[:, None]) & (s > -np.inf))
         return _first(pd.DataFrame({"query": x["id"].to_numpy()[i], "example": y["id"].to_numpy()[j], "similarity": s[i, j]}), k)
 
-    met = _meet(_blocks(queries, query_id, vector, 1 << 30), _blocks(examples, example_id, vector, 1 << 30), top, "query long, example long, similarity double", False)
+    return top
+
+
+def nearest(queries: DataFrame, examples: DataFrame, query_id: str, example_id: str, vector: str, k: int = 9, others: bool = False, told: dict | None = None) -> DataFrame:
+    """query, example, similarity, rank of the k most similar examples; ties by example id.  ``others``: no row is its own example.
+
+    A query first meets the region next to it; with the k-th similarity from there it visits
+    only regions that may hold one as large.  ``told`` gets how many pairs met, of how many.
+    """
+    rows, of = regions(examples, example_id, vector)
+    if not of.sizes.any():
+        return queries.sparkSession.createDataFrame([], "query long, example long, similarity double, rank int")
+    asked = staged(_owned(queries, of, query_id, vector), "queries")
+    schema = "query long, example long, similarity double"
+    first = staged(_met_with(asked.withColumn("b", F.col("own")), rows, of, _top(k, others), schema), "nearest-first")
+    kth = F.element_at(F.sort_array(F.collect_list("similarity"), asc=False), k)  # at most k for each part
+    bounds = first.groupBy("query").agg(F.when(F.count("*") >= k, kth).otherwise(-2.0).alias("least"))
+    bounded = asked.join(bounds, F.col("id") == F.col("query"), "left").select("id", "v", "own", F.coalesce("least", F.lit(-2.0)).alias("least"))
+    visits = staged(_visiting(bounded, of, "least"), "nearest-visits")
+    if told is not None:
+        met = asked.select(F.col("own").alias("b")).unionByName(visits.select("b")).agg(F.sum(_known(of.sizes, "b"))).first()[0]
+        told |= {"met": met or 0, "all": asked.count() * int(of.sizes.sum())}
+    found = first.unionByName(_met_with(visits, rows, of, _top(k, others), schema))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "example"))
-    return met.withColumn("rank", rank).where(F.col("rank") <= k)
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def best_match(left: DataFrame, right: DataFrame, id_col: str, vector: str) -> DataFrame:
+    """id, best for each left row: its largest similarity to any right row, null if there is none."""
+    top = nearest(left, right, id_col, id_col, vector, k=1).select(F.col("query").alias("_best_id"), F.col("similarity").alias("best"))
+    return left.select(id_col).join(top, F.col(id_col) == F.col("_best_id"), "left").select(id_col, "best")
+
+
+# ---------------------------------------------------------------- rows without a match
+
+
+def matched(left: DataFrame, right: DataFrame, id_col: str, vector: str, threshold: float, told: dict | None = None) -> DataFrame:
+    """id of the left rows that have a right row over the threshold.
+
+    A row leaves as soon as it has one: most matches are in the region next to a row, so only
+    rows without one there go on, to the regions that may hold a match; and in a task a row
+    is compared no further once it is matched.  ``told`` gets the pairs compared, of how many.
+    """
+    rows, of = regions(right, id_col, vector)
+    if not of.sizes.any():
+        return left.select(id_col).limit(0)
+    asked = staged(_owned(left, of, id_col, vector), "queries")
+
+    def search(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"id": [], "hit": [], "compared": []}).astype({"id": "int64", "hit": "bool", "compared": "int64"})
+        q, m = _matrix(x["v"]), _matrix(y["v"])
+        hit, left_, compared = np.zeros(len(q), dtype=bool), np.arange(len(q)), np.zeros(len(q), dtype=np.int64)
+        for k in range(0, len(m), 128):
+            block = m[k : k + 128]
+            compared[left_] += len(block)
+            hit[left_[((q[left_] @ block.T) > threshold).any(axis=1)]] = True
+            left_ = left_[~hit[left_]]
+            if not len(left_):
+                break
+        return pd.DataFrame({"id": x["id"], "hit": hit, "compared": compared})
+
+    schema = "id long, hit boolean, compared long"
+    first = staged(_met_with(asked.withColumn("b", F.col("own")), rows, of, search, schema), "matches-first")
+    rest = asked.join(first.where("hit").select("id").distinct(), "id", "left_anti")
+    second = staged(_met_with(staged(_visiting(rest, of, threshold), "matches-visits"), rows, of, search, schema), "matches-second")
+    both = first.unionByName(second)
+    if told is not None:
+        told |= {"met": both.agg(F.sum("compared")).first()[0] or 0, "all": asked.count() * int(of.sizes.sum())}
+    discard(asked)
+    return both.where("hit").select(F.col("id").alias(id_col)).distinct()
+
+
+def without_matches(left: DataFrame, right: DataFrame, id_col: str, vector: str, threshold: float = 0.92, told: dict | None = None) -> DataFrame:
+    """The left rows whose best match is not over the threshold; all, if there is no right row."""
+    return left.join(matched(left, right, id_col, vector, threshold, told), id_col, "left_anti")
+
+
+# ---------------------------------------------------------------- in a row
 
 
 def cosine(a: Column, b: Column) -> Column:
