@@ -319,7 +319,7 @@ def _greedy_batches(spark, d):
 
 _NAMES = ["gpt-4-0314", "vicuna-33b", "claude-2.1", "guanaco-33b", "gpt-3.5-turbo-0613", "llama-2-70b-chat"]
 _BATTLES = f"""battles AS (SELECT conv_id AS seq, list_value({sql_list(_NAMES)})[CAST(conv_id % 6 AS INT) + 1] AS model_a, list_value({sql_list(_NAMES)})[CAST((conv_id // 2) % 6 AS INT) + 1] AS model_b,
-    conv_id % 4 = 0 AS win_a, conv_id % 4 = 1 AS win_b, conv_id % 4 = 2 AS tie, {sql_sanitize('text')} AS prompt FROM conversations WHERE turn = (SELECT min(turn) FROM conversations)),
+    conv_id % 4 = 0 AS win_a, conv_id % 4 = 1 AS win_b, conv_id % 4 = 2 AS tie, {sql_sanitize('text')} AS prompt FROM (SELECT conv_id, arg_min(text, turn) AS text FROM conversations GROUP BY conv_id)),
     tiered AS (SELECT *, {sql_tier('model_a')} AS tier_a, {sql_tier('model_b')} AS tier_b, {sql_hash('prompt')} AS h FROM battles),
     based AS (SELECT *, CASE WHEN tier_a = 'skip' OR tier_b = 'skip' THEN 'dropped_skip_model' WHEN tier_a = tier_b THEN 'dropped_same_tier' WHEN NOT tie AND win_a = win_b THEN 'dropped_unclear_winner'
       WHEN length(prompt) = 0 THEN 'dropped_empty_prompt' ELSE 'kept' END AS base FROM tiered),
@@ -327,8 +327,8 @@ _BATTLES = f"""battles AS (SELECT conv_id AS seq, list_value({sql_list(_NAMES)})
 
 
 def battles(spark, d) -> DataFrame:
-    turns = table(spark, d, "conversations")
-    first = turns.join(F.broadcast(turns.agg(F.min("turn").alias("_t"))), F.col("turn") == F.col("_t"))
+    """A battle for each conversation, over its own first turn."""
+    first = table(spark, d, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
     pick = lambda i: F.element_at(F.array(*[F.lit(n) for n in _NAMES]), (i % 6).cast("int") + 1)
     c = F.col("conv_id")
     return first.select(c.alias("seq"), pick(c).alias("model_a"), pick(F.floor(c / 2)).alias("model_b"), (c % 4 == 0).alias("win_a"), (c % 4 == 1).alias("win_b"), (c % 4 == 2).alias("tie"), text.sanitize_prompt(F.col("text")).alias("prompt"))
@@ -1119,12 +1119,13 @@ def _json_document(spark, d):
 
 
 def _vectors(spark, d, order: str):
-    """An embedder that gives a row the vector with its number."""
+    """An embedder that gives a row the vector with its number; beyond the last vector the numbers start again."""
     own = table(spark, d, "embeddings").select(F.col("vec_id").alias("_v"), "embedding")
-    return lambda rows: rows.join(own, F.col(order) == F.col("_v")).drop("_v")
+    last = own.agg(F.max("_v")).first()[0]
+    return lambda rows: rows.join(own, F.col(order) % ((last or 0) + 1) == F.col("_v")).drop("_v")
 
 
-_ARENA = f"""WITH RECURSIVE {_BATTLES}, {_UNIT}, kept AS MATERIALIZED (SELECT seq, tie, CASE WHEN tie THEN false WHEN tier_a = 'strong' THEN win_a ELSE win_b END AS strong_wins, v FROM reasoned JOIN e ON e.vec_id = seq WHERE reason = 'kept'),
+_ARENA = f"""WITH RECURSIVE {_BATTLES}, {_UNIT}, kept AS MATERIALIZED (SELECT seq, tie, CASE WHEN tie THEN false WHEN tier_a = 'strong' THEN win_a ELSE win_b END AS strong_wins, v FROM reasoned JOIN e ON e.vec_id = seq % (SELECT max(vec_id) + 1 FROM embeddings) WHERE reason = 'kept'),
     pairs AS MATERIALIZED (SELECT a.seq AS a, b.seq AS b FROM kept a JOIN kept b ON a.seq < b.seq AND {_DOT} > 0.2), ways AS MATERIALIZED (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
     reach AS (SELECT seq AS node, seq AS root FROM kept UNION SELECT ways.b, reach.root FROM reach JOIN ways ON ways.a = reach.node), ended AS MATERIALIZED (SELECT * FROM kept WHERE seq IN (SELECT node FROM reach GROUP BY node HAVING min(root) = node))"""
 
@@ -1180,14 +1181,14 @@ def answer_by_length(texts: list[str], which: str) -> list[str]:
     return out
 
 
-_LABELLED = f"""picked AS (SELECT doc_id, length(text) AS n, CASE WHEN doc_id % 4 = 1 THEN 'x' END AS before FROM documents WHERE lang = 'en'),
+_LABELLED = f"""picked AS (SELECT doc_id, length(text) AS n, CASE WHEN doc_id % 4 = 1 THEN 'x' END AS before FROM documents),
     done AS (SELECT *, CASE WHEN before IS NOT NULL THEN true ELSE n % 4 <> 0 END AS same, CASE WHEN before IS NOT NULL THEN 'coding' ELSE {_TASK('n')} END AS task_type,
       CASE WHEN before IS NOT NULL THEN 'easy' WHEN n % 5 = 0 THEN list_value({sql_list(lx.DIFFICULTIES)})[least(CAST(n % 3 AS INT), CAST((n + 1) % 3 AS INT)) + 1] ELSE {_DIFF('n')} END AS difficulty,
       CASE WHEN before IS NOT NULL THEN 'low' ELSE {_PRIV('n')} END AS privacy, before IS NOT NULL OR n % 5 <> 0 AS agreed FROM picked)"""
 
 
 def label_stage(spark, d):
-    rows = table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.col("text").alias("prompt"))
+    rows = table(spark, d, "documents").select("doc_id", F.col("text").alias("prompt"))
     known = F.from_json(F.lit('{"task_type":"coding","difficulty":"easy","privacy":"low"}'), lb.LABEL)
     checkpoint = rows.where("doc_id % 4 in (1, 2)").select("doc_id", F.lit(1).cast("long").alias("seq"), known.alias("label_a"), F.when(F.col("doc_id") % 4 == 1, known).alias("label_b"))
     return stages.label(rows, checkpoint, "doc_id", answer_by_length)
@@ -1204,19 +1205,20 @@ def _label_counters(spark, d):
     return label_stage(spark, d).counters
 
 
-_FINAL = f"""WITH {_UNIT}, agreed AS (SELECT doc_id, length(text) AS n, v FROM documents JOIN e ON vec_id = doc_id WHERE doc_id % 2 = 1 AND doc_id < 400), arena AS (SELECT v FROM e WHERE vec_id >= 400),
-    kept AS (SELECT * FROM agreed a WHERE NOT EXISTS (SELECT 1 FROM arena b WHERE {_DOT} > 0.3)), needed AS (SELECT CASE WHEN sum(CASE WHEN doc_id % 25 = 1 THEN 1 ELSE 0 END) < 0.08::DOUBLE * count(*) THEN CAST(ceil(sum(CASE WHEN doc_id % 25 = 1 THEN 0 ELSE 1 END) / 9.0) AS INT) - sum(CASE WHEN doc_id % 25 = 1 THEN 1 ELSE 0 END) ELSE 0 END AS k FROM kept),
-    candidates AS (SELECT doc_id, length(text) AS n FROM documents WHERE doc_id % 2 = 0 AND doc_id < 400 AND {sql_hash('text')} NOT IN (SELECT {sql_hash('text')} FROM documents WHERE doc_id IN (SELECT doc_id FROM kept))),
+_FINAL = f"""WITH {_UNIT}, hit AS MATERIALIZED (SELECT DISTINCT a.vec_id FROM e a JOIN e b ON b.vec_id % 5 = 2 AND {_DOT} > 0.4), own AS (SELECT doc_id, length(text) AS n, text, doc_id % (SELECT max(vec_id) + 1 FROM embeddings) IN (SELECT vec_id FROM hit) AS near FROM documents),
+    agreed AS (SELECT * FROM own WHERE doc_id % 2 = 1), kept AS (SELECT * FROM agreed WHERE NOT near), needed AS (SELECT CASE WHEN sum(CASE WHEN doc_id % 25 = 1 THEN 1 ELSE 0 END) < 0.08::DOUBLE * count(*) THEN CAST(ceil(sum(CASE WHEN doc_id % 25 = 1 THEN 0 ELSE 1 END) / 9.0) AS INT) - sum(CASE WHEN doc_id % 25 = 1 THEN 1 ELSE 0 END) ELSE 0 END AS k FROM kept),
+    candidates AS (SELECT doc_id, n, near FROM own WHERE doc_id % 2 = 0 AND {sql_hash('text')} NOT IN (SELECT {sql_hash('text')} FROM kept)),
     taken AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY doc_id) AS i FROM candidates WHERE n % 4 <> 0 AND n % 5 <> 0 AND n % 3 = 2) WHERE i <= (SELECT k FROM needed)),
-    added AS (SELECT a.* FROM (SELECT t.doc_id, n, v FROM taken t JOIN e ON vec_id = doc_id) a WHERE NOT EXISTS (SELECT 1 FROM arena b WHERE {_DOT} > 0.3))"""
+    added AS (SELECT * FROM taken WHERE NOT near)"""
 
 
 def final_stage(spark, d):
-    docs = table(spark, d, "documents").where("doc_id < 400").select("doc_id", F.col("text").alias("prompt"))
+    """Odd documents as agreed, the others as candidates, every fifth vector as a battle's."""
+    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("prompt"))
     i = F.col("doc_id")
     agreed = docs.where("doc_id % 2 = 1").withColumns({"task_type": F.lit("math"), "difficulty": F.lit("easy"), "privacy": F.when(i % 25 == 1, "high").otherwise("low"), "label_agreement": F.lit(True)})
-    arena = table(spark, d, "embeddings").where("vec_id >= 400").select("vec_id", "embedding").withColumnRenamed("vec_id", "doc_id")
-    return stages.finalize(agreed, arena, docs.where("doc_id % 2 = 0"), "doc_id", _vectors(spark, d, "doc_id"), answer_by_length, 0.3)
+    arena = table(spark, d, "embeddings").where("vec_id % 5 = 2").select(F.col("vec_id").alias("doc_id"), "embedding")
+    return stages.finalize(agreed, arena, docs.where("doc_id % 2 = 0"), "doc_id", _vectors(spark, d, "doc_id"), answer_by_length, 0.4)
 
 
 @query("finalize_stage", f"{_FINAL} SELECT doc_id, 'math' AS task_type, CASE WHEN doc_id % 25 = 1 THEN 'high' ELSE 'low' END AS privacy, false AS privacy_augmented FROM kept UNION ALL SELECT doc_id, {_TASK('n')}, 'high', true FROM added")
