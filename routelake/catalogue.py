@@ -236,7 +236,7 @@ _REASONED = f"""reasoned AS (SELECT doc_id, source, lang, s, h, CASE WHEN base =
 
 
 def eligible(spark, d) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "text", "lang", "source")
+    docs = dealt(table(spark, d, "documents").select("doc_id", "text", "lang", "source"))
     return curation.eligibility(docs, text.sanitize_prompt(F.col("text")), F.col("lang"), "doc_id")
 
 
@@ -1157,7 +1157,7 @@ _SAMPLED = f"""WITH {_REASONED}, own AS (SELECT doc_id, source AS grp, length(s)
 
 
 def sample_stage(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text", "lang", "source")
+    docs = dealt(table(spark, d, "documents").select("doc_id", "text", "lang", "source"))
     return stages.sample(docs, text.sanitize_prompt(F.col("text")), F.col("lang"), "doc_id", lambda rows: rows.withColumn("cluster_id", F.col("source")), 120, 400)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from routelake.functions.text import JS_SPACE, chat_role
+from routelake.operators.ranges import placed
 from routelake.operators.relational import small, tail
 
 
@@ -103,8 +104,8 @@ def stored_conversations(conversations: DataFrame) -> DataFrame:
 
 
 def history_order(conversations: DataFrame) -> DataFrame:
-    """Conversations with their place, from 1, the last changed first: a user's list, of a size that is shown."""
-    return conversations.withColumn("place", F.row_number().over(Window.orderBy(F.desc("updated_at"), "id")))
+    """Conversations with their place, from 1, the last changed first; of equal ones the smaller id."""
+    return placed(conversations, [], [F.desc("updated_at"), "id"], "place")
 
 
 def route_decisions(conversations: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from routelake.operators.ranges import placed, quantiles
+from routelake.session import staged
 
 #: Rows of a table that are broadcast at most; larger tables are joined by a shuffle.
 SMALL = 200_000
@@ -60,9 +62,10 @@ def tail(df: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
 
 def length_bins(df: DataFrame, group: str, length: str, out: str = "length_bin") -> DataFrame:
     """How many of a group's quartiles (linear interpolation) lie strictly below; groups under four rows have bin 0."""
-    quartiles = df.groupBy(group).agg(F.count("*").alias("_n"), F.expr(f"percentile({length}, array(0.25, 0.5, 0.75))").alias("_q"))
+    quartiles = quantiles(df, group, length, [0.25, 0.5, 0.75]).select(F.col(group).alias("_group"), F.col("rows").alias("_n"), F.col("quantiles").alias("_q"))
     inside = sum((F.when(F.col(length) > F.col("_q")[i], 1).otherwise(0) for i in range(3)), F.lit(0))
-    return df.join(quartiles, group).withColumn(out, F.when(F.col("_n") < 4, 0).otherwise(inside)).drop("_n", "_q")
+    known = df.join(small(staged(quartiles, "quartiles")), F.col(group).eqNullSafe(F.col("_group")), "left")
+    return known.withColumn(out, F.when(F.coalesce("_n", F.lit(0)) < 4, 0).otherwise(inside)).drop("_group", "_n", "_q")
 
 
 def quota(sizes: DataFrame, group: str, size: str, limit: int) -> DataFrame:
@@ -83,13 +86,17 @@ def quota(sizes: DataFrame, group: str, size: str, limit: int) -> DataFrame:
 
 
 def stratified_sample(df: DataFrame, group: str, length: str, hashed: str, limit: int) -> DataFrame:
-    """Rows picked by quota in each group, its length bins in turn, each bin by hash; with length_bin."""
+    """Rows picked by quota in each group, its length bins in turn, each bin by hash; with length_bin.
+
+    A bin's first rows are found in ranges; only those that the group's allocation can reach,
+    so 5 % of the limit from each bin at most, are put in turn.
+    """
     binned = length_bins(df, group, length)
-    shares = quota(df.groupBy(group).agg(F.count("*").alias("_size")), group, "_size", limit).select(group, "allocation")
-    turn = F.row_number().over(Window.partitionBy(group, "length_bin").orderBy(hashed))
+    shares = quota(df.groupBy(group).agg(F.count("*").alias("_size")), group, "_size", limit).select(F.col(group).alias("_group"), "allocation")
+    shares = small(staged(shares, "allocations"))
+    first = placed(binned, [group, "length_bin"], [hashed], "_turn").join(shares, F.col(group).eqNullSafe(F.col("_group"))).where("_turn <= allocation")
     place = F.row_number().over(Window.partitionBy(group).orderBy("_turn", "length_bin"))
-    picked = binned.withColumn("_turn", turn).withColumn("_place", place).join(F.broadcast(shares), group)
-    return picked.where("_place <= allocation").drop("_turn", "_place", "allocation")
+    return first.withColumn("_place", place).where("_place <= allocation").drop("_turn", "_place", "_group", "allocation")
 
 
 def _starts_after(lengths: list[int], ahead: list[int], rows: int, chars: int) -> list[int]:
@@ -104,57 +111,94 @@ def _starts_after(lengths: list[int], ahead: list[int], rows: int, chars: int) -
     return out
 
 
+#: Rows of a range of ``greedy_batches``, and ranges whose tables are put together in one task.
+RANGE, WIDE = 4096, 4096
+
+
+def _starts(tables: DataFrame) -> DataFrame:
+    """r, entry, first: where each range's first batch opens, and its number, of the ranges' tables (r, entry, exit, batches).
+
+    A stretch of WIDE ranges is put together to one table; these are ranges of a coarser
+    kind, and so on, until one stretch is left.  From there the openings are handed down.
+    """
+    last = tables.agg(F.max("r")).first()[0]
+    if last is None:
+        return tables.select("r", "entry", F.col("batches").alias("first"))
+    grouped = tables.withColumn("g", F.floor(F.col("r") / WIDE).cast("long"))
+
+    def walked(part: pd.DataFrame, entry: int, first: int) -> tuple[list[tuple[int, int, int]], int, int]:
+        way = {(r, e): (x, n) for r, e, x, n in zip(part["r"], part["entry"], part["exit"], part["batches"], strict=True)}
+        out = []
+        for r in sorted(set(part["r"])):
+            out.append((r, entry, first))
+            entry, batches = way[r, entry]
+            first += batches
+        return out, entry, first
+
+    def together(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        ends = [(key[0], entry, *walked(part, entry, 0)[1:]) for entry in sorted(set(part["entry"]))]
+        return pd.DataFrame(ends, columns=["r", "entry", "exit", "batches"])
+
+    def opened(key: tuple, part: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
+        if not len(part):
+            return pd.DataFrame({"r": [], "entry": [], "first": []}).astype("int64")
+        start = above.iloc[0] if len(above) else {"entry": 0, "first": 0}
+        return pd.DataFrame(walked(part, int(start["entry"]), int(start["first"]))[0], columns=["r", "entry", "first"])
+
+    if last < WIDE:
+        above = tables.sparkSession.createDataFrame([(0, 0, 0)], "g long, entry int, first long")
+    else:
+        coarse = staged(grouped.groupBy("g").applyInPandas(together, "r long, entry int, exit int, batches long"), "batch-tables")
+        above = _starts(coarse).withColumnRenamed("r", "g")
+    return grouped.groupBy("g").cogroup(above.groupBy("g")).applyInPandas(opened, "r long, entry int, first long")
+
+
 def greedy_batches(df: DataFrame, order: str, length: str, rows: int = 24, chars: int = 20_000) -> DataFrame:
     """``df`` with ``batch``: closed at so many rows, or before a row that would bring it over so many characters.
 
-    Batches depend on all rows before, so the rows are ranged by ``order`` (unique), and each
-    range tells where its last batch ends for each of the first ``rows`` places at which its
-    first one may open; these short tables are chained on the driver, and the ranges numbered.
+    Batches depend on all rows before, so the rows are numbered by ``order`` (unique) and cut
+    in ranges of RANGE.  Each range tells, for each of the first ``rows`` places at which its
+    first batch may open, where the next range's first one does and how many batches lie
+    between; these tables are put together in stretches, and then each range is numbered.
     """
-    from routelake.session import staged
-
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slim = df.select(F.col(order).alias("o"), F.least(F.col(length), F.lit(chars + 1)).cast("long").alias("n"))
-    ranges = staged(slim.repartitionByRange(n, "o").withColumn("p", F.spark_partition_id()), "batches")
-    place = F.row_number().over(Window.partitionBy("p").orderBy("o"))
-    heads: dict[int, list[int]] = {}
-    for r in sorted(ranges.withColumn("k", place).where(F.col("k") <= rows).select("p", "k", "n").collect()):
-        heads.setdefault(r["p"], []).append(r["n"])
-    keys = sorted(heads)
-    ahead = {p: [x for q in keys[i + 1 : i + 1 + rows] for x in heads[q]][:rows] for i, p in enumerate(keys)}
-
-    def passing(key, part: pd.DataFrame) -> pd.DataFrame:
-        lengths = part.sort_values("o")["n"].tolist()
-        after, out, count = _starts_after(lengths, ahead[key[0]], rows, chars), [0] * len(lengths), [0] * len(lengths)
-        for i in range(len(lengths) - 1, -1, -1):
-            inside = after[i] < len(lengths)
-            out[i], count[i] = (out[after[i]], count[after[i]] + 1) if inside else (after[i] - len(lengths), 1)
-        k = min(rows, len(lengths))
-        return pd.DataFrame({"p": [key[0]] * k, "entry": range(k), "exit": out[:k], "batches": count[:k], "size": [len(lengths)] * k})
-
-    table = {(r["p"], r["entry"]): r for r in ranges.groupBy("p").applyInPandas(passing, "p int, entry int, exit int, batches long, size long").collect()}
-    entry, first, opened = 0, 0, {}
-    for p in keys:
-        opened[p] = entry, first
-        if entry < (size := table[p, 0]["size"]):
-            first += table[p, entry]["batches"]
-            entry = table[p, entry]["exit"]
-        else:
-            entry -= size
-
-    def numbered(key, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("o")
-        lengths, (at, batch) = part["n"].tolist(), opened[key[0]]
-        after, out = _starts_after(lengths, ahead[key[0]], rows, chars), [batch - 1] * len(lengths)
+    size = max(RANGE, rows)
+    at = F.col("_i") - 1
+    own = staged(placed(slim, [], ["o"], "_i").select("o", "n", F.floor(at / size).cast("long").alias("r"), (at % size).cast("int").alias("k"), F.lit(False).alias("ahead")), "batches")
+    both = own.unionByName(own.where((F.col("k") < rows) & (F.col("r") > 0)).withColumn("r", F.col("r") - 1).withColumn("ahead", F.lit(True)))
+
+    def split(part: pd.DataFrame) -> tuple[pd.DataFrame, list[int], list[int]]:
+        part = part.sort_values("k", kind="stable")
+        mine = part[~part["ahead"]]
+        return mine, _starts_after(mine["n"].tolist(), part.loc[part["ahead"], "n"].tolist(), rows, chars), mine["n"].tolist()
+
+    def passing(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        _, after, lengths = split(part)
+        out, count = [0] * len(after), [0] * len(after)
+        for i in range(len(after) - 1, -1, -1):
+            inside = after[i] < len(after)
+            out[i], count[i] = (out[after[i]], count[after[i]] + 1) if inside else (after[i] - len(after), 1)
+        short = range(len(after), rows)
+        return pd.DataFrame({"r": key[0], "entry": range(rows), "exit": [*out[:rows], *[i - len(after) for i in short]], "batches": [*count[:rows], *[0 for _ in short]]})
+
+    tables = staged(both.groupBy("r").applyInPandas(passing, "r long, entry int, exit int, batches long"), "batch-tables")
+    starts = staged(_starts(tables), "batch-starts")
+
+    def numbered(key: tuple, part: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        if not len(part):
+            return pd.DataFrame({"o": [], "batch": []}).astype("int64")
+        mine, after, lengths = split(part)
+        at, batch = int(start["entry"].iloc[0]), int(start["first"].iloc[0])
+        out = [batch - 1] * len(lengths)
         while at < len(lengths):
             out[at : after[at]] = [batch] * (min(after[at], len(lengths)) - at)
             at, batch = after[at], batch + 1
-        return pd.DataFrame({"o": part["o"], "batch": out})
+        return pd.DataFrame({"o": mine["o"], "batch": out})
 
-    found = ranges.groupBy("p").applyInPandas(numbered, f"o {ranges.schema['o'].dataType.simpleString()}, batch long")
+    found = both.groupBy("r").cogroup(starts.groupBy("r")).applyInPandas(numbered, f"o {own.schema['o'].dataType.simpleString()}, batch long")
     return df.join(found, df[order] == found["o"]).drop("o")
 
 
 def hash_order(df: DataFrame, hashed: str, order: str, out: str = "position") -> DataFrame:
-    """``df`` with its place, from 1, by the whole hash; for samples of a bounded number of rows."""
-    return df.withColumn(out, F.row_number().over(Window.orderBy(hashed, order)))
+    """``df`` with its place, from 1, by the whole hash."""
+    return placed(df, [], [hashed, order], out)

@@ -10,6 +10,7 @@ from routelake.functions.labels import resolve_labels
 from routelake.functions.text import is_english, model_tier, prompt_hash
 from routelake.operators import relational as rel
 from routelake.operators.similarity import near_duplicates, without_matches
+from routelake.session import staged
 
 
 def deduplicate_by_similarity(df: DataFrame, id_col: str, vector: str, threshold: float = 0.95) -> DataFrame:
@@ -29,10 +30,16 @@ def battle_reasons(battles: DataFrame) -> DataFrame:
 
 
 def mark_repeats(df: DataFrame, key: str, order: str, name: str) -> DataFrame:
-    """Rows that pass so far and repeat a key that an earlier passing row has get the reason ``name``."""
-    first = df.where("reason = 'kept'").groupBy(F.col(key).alias("_k")).agg(F.min(order).alias("_first"))
+    """Rows that pass so far and repeat a key that an earlier passing row has get the reason ``name``.
+
+    The rows are staged, so that texts are cleaned and hashed once; only keys that occur more
+    than once meet them again.
+    """
+    held = staged(df, "reasons")
+    first = held.where("reason = 'kept'").groupBy(F.col(key).alias("_k")).agg(F.min(order).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     late = (F.col("reason") == "kept") & (F.col(order) > F.col("_first"))
-    return df.join(first, F.col(key) == F.col("_k"), "left").withColumn("reason", F.when(F.coalesce(late, F.lit(False)), name).otherwise(F.col("reason"))).drop("_k", "_first")
+    known = held.join(rel.small(staged(first, "repeated")), F.col(key) == F.col("_k"), "left")
+    return known.withColumn("reason", F.when(F.coalesce(late, F.lit(False)), name).otherwise(F.col("reason"))).drop("_k", "_first")
 
 
 def preferences(reasoned: DataFrame) -> DataFrame:

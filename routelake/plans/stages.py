@@ -48,7 +48,7 @@ def dropped(reasoned: DataFrame, **more: Column) -> DataFrame:
 
 def arena(battles: DataFrame, embed: Embed, threshold: float = 0.95) -> Stage:
     """Battles (seq, model_a, model_b, win_a, win_b, tie, prompt) to preferences without near copies; ``tiers`` maps the models seen."""
-    reasoned = staged(curation.battle_reasons(battles), "arena-reasons")
+    reasoned = curation.battle_reasons(battles)
     tie = F.coalesce(F.col("tie").cast("boolean"), F.lit(False))
     kept = F.col("reason") == "kept"
     own = reasoned.where(kept).select("seq", "prompt_hash", F.when(tie, "tie_as_weak_win").otherwise("observed_winner").alias("label_origin"))
@@ -65,7 +65,7 @@ def arena(battles: DataFrame, embed: Embed, threshold: float = 0.95) -> Stage:
 def sample(chats: DataFrame, prompt: Column, language: Column, order: str, cluster: Callable[[DataFrame], DataFrame], target: int = 30_000, pool: int = 60_000, flagged: Column | None = None) -> Stage:
     """Chats to a sample for labelling: eligible prompts, the pool of those with the smallest hashes, clusters
     (``cluster`` adds cluster_id), quotas, and from each cluster its length bins in turn; numbered by hash."""
-    reasoned = staged(curation.eligibility(chats, prompt, language, order, flagged), "sample-reasons")
+    reasoned = curation.eligibility(chats, prompt, language, order, flagged)
     drawn = rel.hash_reservoir(reasoned.where("reason = 'kept'").drop("reason"), "prompt_hash", pool, order)
     clustered = staged(cluster(drawn).withColumn("_length", F.length("prompt")), "sample-clustered")
     sizes = clustered.groupBy("cluster_id").agg(F.count("*").alias("size"))
