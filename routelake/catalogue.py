@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 from routelake.functions import labels as lb
 from routelake.functions import lexicon as lx
 from routelake.functions import rules, text
-from routelake.operators import history, relational, reports, routing, scoring, similarity
+from routelake.operators import clustering, history, relational, reports, routing, scoring, similarity
 from routelake.plans import analysis, curation, stages
 from routelake.session import scratch_dir
 from routelake.sources import files
 from routelake.sources import models as models_of
-from routelake.streaming import logs
+from routelake.streaming import feedback, logs
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -184,13 +184,13 @@ def _message_text(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", text.message_text(F.parse_json(raw)).alias("message"), text.message_role(*own).alias("role"))
 
 
-@query("moderation_flagged", "SELECT doc_id, CASE doc_id % 8 WHEN 6 THEN false WHEN 7 THEN false ELSE toxic = 1 END AS flagged FROM labels")
+@query("moderation_flagged", "SELECT doc_id, CASE doc_id % 10 WHEN 6 THEN false WHEN 7 THEN false ELSE toxic = 1 END AS flagged FROM labels")
 def _moderation(spark, d):
     """Moderation results as JSON in each of the shapes that occur, of the documents' labels."""
     yes = (F.col("toxic") == 1).cast("string")
     shape = lambda before, after: F.concat(F.lit(before), yes, F.lit(after))
-    shapes = [yes, shape('{"flagged":', "}"), shape('{"categories":{"a":false,"b":', "}}"), shape('[{"flagged":false},{"flagged":', "}]"), shape("[[", "]]"), shape('[{"categories":{"x":', "}},null]"), shape('{"flagged":"', '"}'), F.lit("null")]
-    return table(spark, d, "labels").select("doc_id", text.moderation_flagged(F.parse_json(F.element_at(F.array(*shapes), (F.col("doc_id") % 8).cast("int") + 1))).alias("flagged"))
+    shapes = [yes, shape('{"flagged":', "}"), shape('{"categories":{"a":false,"b":', "}}"), shape('[{"flagged":false},{"flagged":', "}]"), shape("[[", "]]"), shape('[{"categories":{"x":', "}},null]"), shape('{"flagged":"', '"}'), F.lit("null"), shape("[" * 9, "]" * 9), shape("[[]," * 9 + '{"categories":{"y":', "}}" + "]" * 9)]
+    return table(spark, d, "labels").select("doc_id", text.moderation_flagged(F.parse_json(F.element_at(F.array(*shapes), (F.col("doc_id") % 10).cast("int") + 1))).alias("flagged"))
 
 
 # ---------------------------------------------------------------- conversations
@@ -584,7 +584,17 @@ def _cosine(spark, d):
 
 @query("kmeans_clusters")
 def _kmeans(spark, d):
-    return curation.kmeans_clusters(table(spark, d, "embeddings"), "embedding").groupBy("cluster_id").agg(F.count("*").alias("rows"))
+    """Vectors by cluster of a mini-batch k-means; the assignment has SQL in ``kmeans_assignment``, the fit a plain loop in the tests."""
+    return curation.kmeans_clusters(table(spark, d, "embeddings"), "vec_id", "embedding").groupBy("cluster_id").agg(F.count("*").alias("rows"))
+
+
+@query("kmeans_assignment", """SELECT a.vec_id, CAST(arg_min(c.vec_id, (list_sum(list_transform(list_zip(a.embedding, c.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) ** 2)), c.vec_id)) AS INT) AS cluster_id
+    FROM embeddings a JOIN embeddings c ON c.vec_id % 40 = 3 GROUP BY a.vec_id""")
+def _kmeans_assignment(spark, d):
+    """Each vector's nearest centre, where every fortieth vector is one."""
+    own = table(spark, d, "embeddings")
+    centres = own.where("vec_id % 40 = 3").select(F.col("vec_id").cast("int").alias("cluster_id"), F.col("embedding").alias("centre"))
+    return clustering.assigned(own, "embedding", centres).select("vec_id", "cluster_id")
 
 
 # ---------------------------------------------------------------- rules
@@ -795,10 +805,12 @@ def _signal_text(spark, d):
     return table(spark, d, "documents").select("doc_id", told.alias("told"))
 
 
-@query("routing_confidence", "SELECT n, CAST(floor(100 * (0.35::DOUBLE * n / 20 + 0.35::DOUBLE * (20 - n) / 20 + 0.15::DOUBLE * 0.5 + 0.15 * (0.65::DOUBLE + 0.25 * least(1.0, n / 6::DOUBLE))) + 0.5) AS INT) AS confidence FROM (SELECT unnest(range(0, 20)) AS n)")
+@query("routing_confidence", "SELECT event_id, CAST(floor(100 * (0.35::DOUBLE * n / 20 + 0.35::DOUBLE * (20 - n) / 20 + 0.15::DOUBLE * 0.5 + 0.15 * (0.65::DOUBLE + 0.25 * least(1.0, n / 6::DOUBLE))) + 0.5) AS INT) AS confidence FROM (SELECT event_id, user_id % 20 AS n FROM events)")
 def _routing_confidence(spark, d):
+    """The confidence of signals that go by an event's user."""
     n = F.col("n")
-    return spark.range(20).select(F.col("id").alias("n")).select("n", rules.routing_confidence(n / 20, (20 - n) / 20, F.lit(0.5), n).alias("confidence"))
+    own = table(spark, d, "events").select("event_id", (F.col("user_id") % 20).alias("n"))
+    return own.select("event_id", rules.routing_confidence(n / 20, (20 - n) / 20, F.lit(0.5), n).alias("confidence"))
 
 
 # ---------------------------------------------------------------- catalog and routes (invented)
@@ -861,31 +873,44 @@ def _resolve_route(spark, d):
     return table(spark, d, "events").select("event_id", routing.resolve_route(manual, F.concat(F.lit("auto-"), (i % 5).cast("string"))).alias("model"))
 
 
-_MACHINES = [("big", 64, True), ("small", 8, False), ("plain", 16, None), ("unknown", None, None)]
-_MACHINES_SQL = rows_sql("machine, ram, gpu", _MACHINES)
+_PARTS_SQL = """(SELECT p_partkey AS pos, 'm' || p_partkey AS id, p_partkey % 3 <> 0 AS local, p_partkey % 7 <> 0 AS enabled, p_size % 12 AS local_priority, CASE WHEN p_partkey % 5 <> 0 THEN p_size END AS min_ram_gb, CASE WHEN p_partkey % 11 <> 0 THEN p_partkey % 4 = 0 END AS gpu_required FROM part)"""
+_MACHINES_SQL = "(SELECT n_name AS machine, CASE WHEN n_nationkey % 6 <> 5 THEN n_nationkey * 2 END AS ram, CASE WHEN n_nationkey % 4 <> 3 THEN n_nationkey % 2 = 0 END AS gpu FROM nation)"
 _FITTING = f"""fitting AS (SELECT m.machine, c.*, NOT (coalesce(coalesce(min_ram_gb, 0) > ram, false) OR (coalesce(gpu_required, false) AND NOT coalesce(gpu, false))) AS lenient,
-    min_ram_gb IS NOT NULL AND min_ram_gb <= coalesce(ram, 0) AND (NOT coalesce(gpu_required, false) OR coalesce(gpu, false)) AS strict FROM {_MACHINES_SQL} m CROSS JOIN {_CATALOG_SQL} c WHERE local)"""
+    min_ram_gb IS NOT NULL AND min_ram_gb <= coalesce(ram, 0) AND (NOT coalesce(gpu_required, false) OR coalesce(gpu, false)) AS strict FROM {_MACHINES_SQL} m CROSS JOIN {_PARTS_SQL} c WHERE local)"""
+
+
+def parts_catalog(spark, d) -> DataFrame:
+    """A model for each part: its size is the memory it needs, unless that is unknown."""
+    i, size = F.col("p_partkey"), F.col("p_size")
+    return table(spark, d, "part").select(
+        i.alias("pos"), F.concat(F.lit("m"), i.cast("string")).alias("id"), (i % 3 != 0).alias("local"), (i % 7 != 0).alias("enabled"), (size % 12).alias("local_priority"),
+        F.when(i % 5 != 0, size).alias("min_ram_gb"), F.when(i % 11 != 0, i % 4 == 0).alias("gpu_required"),
+    )
 
 
-def fitting(spark) -> DataFrame:
-    met = frame(spark, "machine string, ram int, gpu boolean", _MACHINES).join(F.broadcast(catalog(spark).where("local")), F.lit(True))
-    c = F.col
+def fitting(spark, d) -> DataFrame:
+    """Every local model on the machine of each nation, of which there are a few."""
+    n, c = F.col("n_nationkey"), F.col
+    machines = table(spark, d, "nation").select(F.col("n_name").alias("machine"), F.when(n % 6 != 5, n * 2).alias("ram"), F.when(n % 4 != 3, n % 2 == 0).alias("gpu"))
+    met = parts_catalog(spark, d).where("local").join(F.broadcast(routing.listed(machines)), F.lit(True))
     return met.withColumn("lenient", routing.compatible_lenient(c("ram"), c("min_ram_gb"), c("gpu_required"), c("gpu"))).withColumn("strict", routing.compatible_strict(c("min_ram_gb").isNotNull(), c("ram"), c("min_ram_gb"), c("gpu_required"), c("gpu")))
 
 
 @query("compatible_models", f"WITH {_FITTING} SELECT machine, id, lenient, strict FROM fitting")
 def _compatible(spark, d):
-    return fitting(spark).select("machine", "id", "lenient", "strict")
+    return fitting(spark, d).select("machine", "id", "lenient", "strict")
 
 
 @query("best_local_model", f"WITH {_FITTING} SELECT machine, id FROM (SELECT *, row_number() OVER (PARTITION BY machine ORDER BY local_priority DESC, min_ram_gb DESC, pos) AS r FROM fitting WHERE strict) WHERE r = 1")
 def _best_local(spark, d):
-    return routing.best_local(fitting(spark).where("strict"), ["machine"]).select("machine", "id")
+    return routing.best_local(fitting(spark, d).where("strict"), ["machine"]).select("machine", "id")
 
 
-@query("available_models", f"SELECT id, local FROM {_CATALOG_SQL} WHERE CASE WHEN local THEN id IN ('loc-off', 'loc-mid') ELSE enabled END")
+@query("available_models", f"SELECT id, local FROM {_PARTS_SQL} WHERE CASE WHEN local THEN id IN (SELECT 'm' || (s_suppkey * 2) FROM supplier) ELSE enabled END")
 def _available(spark, d):
-    return routing.available(catalog(spark), frame(spark, "id string", [("loc-off",), ("loc-mid",), ("other",)])).select("id", "local")
+    """Every second part's model may be installed, as far as there are suppliers."""
+    installed = table(spark, d, "supplier").select(F.concat(F.lit("m"), (F.col("s_suppkey") * 2).cast("string")).alias("id"))
+    return routing.available(parts_catalog(spark, d), installed).select("id", "local")
 
 
 @query("installed_models", "SELECT DISTINCT name FROM (SELECT 'brand' || (p_partkey % 37) || CASE WHEN p_size % 2 = 0 THEN ':' || p_size ELSE '' END AS name FROM part) WHERE split_part(name, ':', 1) IN (SELECT 'brand' || (s_suppkey % 41) FROM supplier)")
@@ -898,9 +923,12 @@ def _installed(spark, d):
     return routing.installed_matches(wanted, has)
 
 
-@query("catalog_profiles", f"SELECT c.id, quality, context FROM {_CATALOG_SQL} c LEFT JOIN {_PROFILES_SQL} q ON q.id = c.id")
+@query("catalog_profiles", f"SELECT c.id, quality, context FROM {_PARTS_SQL} c LEFT JOIN (SELECT 'm' || (s_suppkey * 3) AS id, s_nationkey % 3 + 1 AS quality, s_nationkey % 5 + 1 AS context FROM supplier) q ON q.id = c.id")
 def _catalog_profiles(spark, d):
-    return models(spark).select("id", "quality", "context")
+    """The models of all parts, with the profiles that suppliers give some of them."""
+    n = F.col("s_nationkey")
+    profiles = table(spark, d, "supplier").select(F.concat(F.lit("m"), (F.col("s_suppkey") * 3).cast("string")).alias("id"), (n % 3 + 1).alias("quality"), (n % 5 + 1).alias("context"))
+    return routing.attach_profiles(parts_catalog(spark, d), profiles).select("id", "quality", "context")
 
 
 # ---------------------------------------------------------------- usage, feedback
@@ -944,6 +972,18 @@ def _feedback_fold(spark, d):
     return history.fold_feedback(clicks(spark, d), "user_id", "event_id")
 
 
+@query("feedback_stream", f"WITH RECURSIVE {_CLICKS} SELECT user_id, nullif(rating, '') AS rating, nullif(expected, '') AS expected FROM ended")
+def _feedback_stream(spark, d):
+    """The clicks come in three batches, and the stream is started anew for each; the last row of each key."""
+    log, own = _scratch(spark), clicks(spark, d)
+    third = F.floor(F.col("event_id") * 3 / (own.agg(F.max("event_id")).first()[0] + 1))
+    for batch in range(3):
+        files.append_jsonl(own.where(third == batch), log, batch)
+        feedback.start(logs.read_log(spark, log, own.schema), "user_id", "event_id", f"{log}-folded", f"{log}-state").awaitTermination()
+    folded = files.read_batches(spark, f"{log}-folded", "user_id long, rating string, expected string, batch_seq long")
+    return relational.latest(folded, "user_id", "batch_seq").select("user_id", "rating", "expected")
+
+
 @query("feedback_examples", f"""WITH RECURSIVE {_CLICKS} SELECT user_id, expected, coalesce(name, expected) AS expected_name, expected <> selected AS corrected FROM ended LEFT JOIN {rows_sql('id, name', [('m0', 'Zero'), ('m1', 'One')])} c ON c.id = expected
     WHERE rating = 'positive' OR (rating = 'negative' AND expected <> '' AND user_id % 3 <> 0)""")
 def _feedback_examples(spark, d):
@@ -1006,14 +1046,16 @@ def _history_order(spark, d):
     return history.history_order(own).select("conv_id", "place")
 
 
-@query("feedback_export", "SELECT count(*) AS decisions, sum(CASE WHEN conv_id % 2 = 0 THEN 1 ELSE 0 END) AS examples, 1 AS schema_version FROM conversations WHERE role = 'user' AND turn % 3 = 1")
+@query("feedback_export", """WITH own AS (SELECT CAST(conv_id AS VARCHAR) AS conversation, 'm' || (conv_id % 4) AS selected, text AS prompt, CASE WHEN conv_id % 2 = 0 THEN 'positive' END AS rating FROM conversations WHERE role = 'user' AND turn % 3 = 1)
+    SELECT 'decision' AS list, *, NULL AS expected_name FROM own UNION ALL SELECT 'example', *, CASE selected WHEN 'm0' THEN 'Zero' ELSE selected END FROM own WHERE rating = 'positive'""")
 def _feedback_export(spark, d):
-    """The export document, read again for its version and the lengths of its lists."""
+    """The export document in parts, and all that is read from it again."""
+    path = _scratch(spark)
     decisions = history.route_decisions(stored(spark, d)).withColumn("expected", F.lit(None).cast("string"))
     examples = history.training_examples(decisions, frame(spark, "id string, name string", [("m0", "Zero")]))
-    document = history.feedback_document(examples, decisions, "2026-01-01T00:00:00Z")
-    length = lambda path: F.coalesce(F.json_array_length(F.get_json_object("document", path)), F.lit(0)).cast("long")
-    return document.select(length("$.route_decisions").alias("decisions"), length("$.training_examples").alias("examples"), F.get_json_object("document", "$.schema_version").cast("int").alias("schema_version"))
+    history.feedback_document(examples, decisions, "2026-01-01T00:00:00Z", path, (["conversation", "position"], ["conversation", "position"]))
+    read = lambda rows, name, at, told: files.read_part(spark, path, name, at, rows.schema).select(F.lit(told).alias("list"), "conversation", "selected", "prompt", "rating", (F.col("expected_name") if at == 0 else F.lit(None).cast("string")).alias("expected_name"))
+    return read(examples, "training_examples", 0, "example").unionByName(read(decisions, "route_decisions", 1, "decision"))
 
 
 @query("usable_examples", "SELECT doc_id, text FROM documents WHERE lang = 'en' AND text IS NOT NULL")
@@ -1082,16 +1124,34 @@ def _jsonl_lenient(spark, d):
 
 @query("log_latest", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS batch_seq, quality + CASE WHEN doc_id % 3 = 0 THEN 10 ELSE 0 END AS quality FROM labels")
 def _log_latest(spark, d):
-    """Two batches appended to a log, read as a stream, and the last row of each key."""
+    """Two batches appended to a log, the second one again to no effect, read as a stream, and the last row of each key."""
     path, own = _scratch(spark), table(spark, d, "labels").select("doc_id", "quality")
     files.append_jsonl(own, path, 1)
     files.append_jsonl(own.where("doc_id % 3 = 0").withColumn("quality", F.col("quality") + 10), path, 2)
+    files.append_jsonl(own.withColumn("quality", F.col("quality") + 20), path, 2)
     out = f"{path}-read"
     logs.append_batches(logs.read_log(spark, path, "doc_id long, quality int, batch_seq long"), out, f"{path}-checkpoint", lambda batch: batch.withColumnRenamed("batch_seq", "seq")).awaitTermination()
-    read = spark.read.schema("doc_id long, quality int, seq long").json(f"{out}/batch=*")
+    read = files.read_batches(spark, out, "doc_id long, quality int, seq long")
     return relational.latest(read, "doc_id", "seq").select("doc_id", F.col("seq").cast("int").alias("batch_seq"), "quality")
 
 
+@query("followed_lines", "SELECT doc_id, quality, CASE WHEN doc_id % 10 = 7 THEN 2 ELSE 1 END AS step FROM labels")
+def _followed_lines(spark, d):
+    """Files whose ends have no line feed yet: the rows there wait, until another writer has them whole."""
+    path, own = _scratch(spark), table(spark, d, "labels")
+    late, line = F.col("doc_id") % 10 == 7, F.to_json(F.struct("doc_id", "quality"))
+    begun = own.select(late.alias("late"), F.concat(line, F.when(late, "").otherwise("\n")).alias("value"))
+    begun.sortWithinPartitions("late").select("value").write.option("lineSep", "|").mode("append").text(f"{path}-raw")
+    # The writer ends each value; these ends are taken out again.
+    raw = spark.read.text(f"{path}-raw", wholetext=True).select(F.replace("value", F.lit("|"), F.lit("")).alias("value"))
+    raw.write.option("lineSep", "|").text(path)
+    logs.follow_lines(spark, path, f"{path}-lines", f"{path}-plans")
+    own.where(late).select(line.alias("value")).write.mode("append").text(path)
+    logs.follow_lines(spark, path, f"{path}-lines", f"{path}-plans")
+    found = files.read_batches(spark, f"{path}-lines", "line string, batch_seq int")
+    return found.select(F.from_json("line", "doc_id long, quality int").alias("r"), F.col("batch_seq").alias("step")).select("r.*", "step")
+
+
 @query("embedding_cache", "SELECT vec_id, round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y))), 2) AS first, vec_id % 2 = 0 AS known FROM embeddings")
 def _embedding_cache(spark, d):
     """Vectors of which half are in the cache at first; the others come from an embedder, in batches, and are of unit length."""

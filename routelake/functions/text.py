@@ -74,17 +74,38 @@ def is_english(language: Column) -> Column:
     return normalized_language(language).isin(lx.ENGLISH)
 
 
-def moderation_flagged(value: Column, depth: int = 4) -> Column:
-    """Whether a moderation VARIANT is true, has ``flagged`` or a category true, or is a list with such an item."""
-    kind = F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
-    flag = lambda v, path: F.coalesce(F.try_variant_get(v, path, "boolean"), F.lit(False)) & (F.coalesce(F.schema_of_variant(F.try_variant_get(v, path, "variant")), F.lit("")) == "BOOLEAN")
-    categories = F.try_variant_get(value, "$.categories", "map<string,variant>")
-    named = F.exists(F.coalesce(F.map_values(categories), F.array()), lambda v: flag(v, "$"))
-    found = F.when(kind == "BOOLEAN", flag(value, "$")).when(kind.startswith("OBJECT"), flag(value, "$.flagged") | named)
-    if depth:
-        items = F.coalesce(F.try_variant_get(value, "$", "array<variant>"), F.array())
-        found = found.when(kind.startswith("ARRAY"), F.exists(items, lambda v: moderation_flagged(v, depth - 1)))
-    return F.coalesce(found, F.lit(False))
+#: A JSON text's strings, brackets, commas, and what lies between.
+JSON_TOKEN = r'"(?:[^"\\]++|\\.)*+"|[\[\]{},]|[^"\[\]{},]+'
+
+
+def _list_items(value: Column) -> Column:
+    """The JSON texts of a VARIANT's items, of lists within lists at any depth; a value that is no list is its only item.
+
+    Brackets and commas outside of objects end an item, and objects are told by counting their braces.
+    """
+    tokens = F.regexp_extract_all(F.to_json(value), F.lit(JSON_TOKEN), F.lit(0))
+    begin = F.struct(F.lit(0).alias("depth"), F.lit("").alias("text"))
+
+    def step(state: Column, token: Column) -> Column:
+        depth = state["depth"] + F.when(token == "{", 1).when(token == "}", -1).otherwise(0)
+        ends = (state["depth"] == 0) & token.isin("[", "]", ",")
+        return F.struct(depth.alias("depth"), F.concat(state["text"], F.when(ends, F.lit("\n")).otherwise(token)).alias("text"))
+
+    flat = F.aggregate(tokens, begin, step, lambda state: state["text"])
+    return F.filter(F.split(flat, "\n"), lambda item: item != "")
+
+
+def moderation_flagged(value: Column) -> Column:
+    """Whether a moderation VARIANT is true, has ``flagged`` or a category true, or is a list with such an item, at any depth."""
+    is_true = lambda v, path: F.coalesce(F.try_variant_get(v, path, "boolean"), F.lit(False)) & (F.coalesce(F.schema_of_variant(F.try_variant_get(v, path, "variant")), F.lit("")) == "BOOLEAN")
+
+    def flagged(item: Column) -> Column:
+        own = F.try_parse_json(item)
+        named = F.exists(F.coalesce(F.map_values(F.try_variant_get(own, "$.categories", "map<string,variant>")), F.array()), lambda v: is_true(v, "$"))
+        whole = F.coalesce(F.schema_of_variant(own), F.lit("")).startswith("OBJECT")
+        return (item == "true") | (whole & (is_true(own, "$.flagged") | named))
+
+    return F.coalesce(F.exists(_list_items(value), flagged), F.lit(False))
 
 
 def _first_match(name: Column, patterns: list[str], base: int) -> list[tuple[Column, int]]:

@@ -129,10 +129,9 @@ def export_feedback(examples: DataFrame, decisions: DataFrame, path: str, export
     return told
 
 
-def feedback_document(examples: DataFrame, decisions: DataFrame, exported_at: str) -> DataFrame:
-    """The export as one JSON document, for tables that fit one row."""
-    listed = lambda rows, name: rows.agg(F.coalesce(F.array_sort(F.collect_list(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}))), F.array()).alias(name))
-    both = listed(examples, "training_examples").join(listed(decisions, "route_decisions"), F.lit(True))
-    part = lambda name: F.concat(F.lit(f'"{name}":['), F.array_join(name, ","), F.lit("]"))
-    head = F.to_json(F.struct(F.lit(1).alias("schema_version"), F.lit(exported_at).alias("exported_at")))
-    return both.select(F.concat(F.rtrim(head, F.lit("}")), F.lit(","), part("training_examples"), F.lit(","), part("route_decisions"), F.lit("}")).alias("document"))
+def feedback_document(examples: DataFrame, decisions: DataFrame, exported_at: str, path: str, order: tuple[list[str], list[str]]) -> None:
+    """The export as one JSON document in parts below ``path``, each list in the order of the columns named."""
+    from routelake.sources.files import write_parts
+
+    head = {"schema_version": 1, "exported_at": exported_at}
+    write_parts(examples.sparkSession, head, {"training_examples": (examples, order[0]), "route_decisions": (decisions, order[1])}, path)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from routelake.functions import lexicon as lx
 from routelake.functions.rules import rank_of
-from routelake.operators.relational import small
+from routelake.operators.relational import keep_first, small
 
 
 def attach_profiles(catalog: DataFrame, profiles: DataFrame, id_col: str = "id") -> DataFrame:
@@ -27,8 +27,8 @@ def compatible_strict(known: Column, ram: Column, min_ram: Column, gpu_required:
 
 def best_local(models: DataFrame, group: list[str]) -> DataFrame:
     """The model of each group with the highest local priority, then the largest memory need, then the first in the catalog."""
-    first = Window.partitionBy(*group).orderBy(F.desc("local_priority"), F.desc("min_ram_gb"), "pos")
-    return models.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    ordered = models.withColumn("_first", F.struct(-F.col("local_priority"), -F.col("min_ram_gb"), F.col("pos")))
+    return keep_first(ordered, group, ["_first"]).drop("_first")
 
 
 def available(models: DataFrame, installed: DataFrame, auto: bool = False) -> DataFrame:

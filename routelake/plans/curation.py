@@ -9,6 +9,7 @@ from routelake.functions import lexicon as lx
 from routelake.functions.labels import resolve_labels
 from routelake.functions.text import is_english, model_tier, prompt_hash
 from routelake.operators import relational as rel
+from routelake.operators.clustering import SEED, assigned, mini_batch_kmeans
 from routelake.operators.similarity import near_duplicates, without_matches
 from routelake.session import staged
 
@@ -100,12 +101,6 @@ def finalize(agreed: DataFrame, arena: DataFrame, augmented: DataFrame, id_col:
     return without_matches(agreed, arena, id_col, vector, threshold).unionByName(augmented, allowMissingColumns=True)
 
 
-def kmeans_clusters(df: DataFrame, vector: str, clusters: int = 200, seed: int = 20260621) -> DataFrame:
-    """``df`` with cluster_id of a fitted k-means with min(clusters, max(2, rows // 50)) centres; numbers are not reproducible across versions."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    k = min(clusters, max(2, df.count() // 50))
-    ready = df.withColumn("_v", array_to_vector(vector))
-    model = KMeans(k=k, seed=seed, maxIter=200, featuresCol="_v", predictionCol="cluster_id").fit(ready)
-    return model.transform(ready).drop("_v")
+def kmeans_clusters(df: DataFrame, id_col: str, vector: str, clusters: int = 200, seed: int = SEED) -> DataFrame:
+    """``df`` with cluster_id of a fitted mini-batch k-means with min(clusters, max(2, rows // 50)) centres."""
+    return assigned(df, vector, mini_batch_kmeans(df, id_col, vector, clusters, seed))

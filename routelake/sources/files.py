@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from routelake.operators.ranges import placed
 
 def exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
@@ -55,9 +56,69 @@ def write_jsonl(df: DataFrame, path: str) -> int:
     return seen.get["rows"]
 
 
-def append_jsonl(df: DataFrame, path: str, batch: int) -> None:
-    """Add rows to a log; ``batch_seq`` tells later rows from earlier ones."""
-    df.withColumn("batch_seq", F.lit(batch).cast("long")).write.mode("append").option("ignoreNullFields", "false").json(path)
+def append_jsonl(df: DataFrame, path: str, batch: int) -> bool:
+    """Add a batch to a log, once: a batch that is there already is left as it is.  Whether it was added.
+
+    Rows carry their batch's number as ``batch_seq``, which tells later rows from earlier ones.
+    A batch is written where readers do not look, and put in its own folder when it is whole, so
+    that the folders are the log's manifest and a job that failed may be run again.
+    """
+    import uuid
+
+    spark, root = df.sparkSession, path.rstrip("/")
+    done, fresh = f"{root}/batch-{batch:020d}", f"{root}/_fresh-{uuid.uuid4().hex}"
+    if exists(spark, done):
+        return False
+    df.withColumn("batch_seq", F.lit(batch).cast("long")).write.option("ignoreNullFields", "false").json(fresh)
+    jvm = spark.sparkContext._jvm
+    new, place = jvm.org.apache.hadoop.fs.Path(fresh), jvm.org.apache.hadoop.fs.Path(done)
+    store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if exists(spark, done) or not store.rename(new, place):
+        store.delete(new, True)  # another writer was first
+        return False
+    return True
+
+
+def batches_of(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of a log's batches, ascending."""
+    if not exists(spark, path):
+        return []
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(place)
+    names = [f.getPath().getName() for f in found]
+    return sorted(int(n.removeprefix("batch-")) for n in names if n.startswith("batch-"))
+
+
+def read_batches(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """All rows of a log; a missing one is empty."""
+    if not batches_of(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("mode", "FAILFAST").option("recursiveFileLookup", "true").json(path)
+
+
+def write_parts(spark: SparkSession, head: dict, lists: dict[str, tuple[DataFrame, list[str]]], path: str) -> None:
+    """One JSON object in ordered parts: the head's fields, and a field for each list (its rows, their order).
+
+    No row holds more than one element.  The folders below ``path`` and the files in them, one
+    after the other in the order of their names, are the document.
+    """
+    import json
+
+    opened = json.dumps(head, ensure_ascii=False)[:-1] + ("," if head else "")
+    for i, (name, (rows, order)) in enumerate(lists.items()):
+        told = opened if not i else "],"
+        spark.createDataFrame([(f"{told}{json.dumps(name)}:[",)], "value string").coalesce(1).write.text(f"{path}/{2 * i:02d}-{name}-begin")
+        line = F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"})
+        numbered = placed(rows.select(line.alias("_line"), *[F.col(c).alias(f"_{j}") for j, c in enumerate(order)]), [], [f"_{j}" for j in range(len(order))], "_place")
+        value = F.concat(F.when(F.col("_place") > 1, ",").otherwise(""), "_line")
+        numbered.select("_place", value.alias("value")).repartitionByRange("_place").sortWithinPartitions("_place").select("value").write.text(f"{path}/{2 * i + 1:02d}-{name}")
+    spark.createDataFrame([("]}" if lists else opened.rstrip(",") + "}",)], "value string").coalesce(1).write.text(f"{path}/{2 * len(lists):02d}-end")
+
+
+def read_part(spark: SparkSession, path: str, name: str, at: int, schema: StructType | str) -> DataFrame:
+    """The rows of a written document's list, the ``at``-th of its lists from 0."""
+    lines = spark.read.text(f"{path}/{2 * at + 1:02d}-{name}")
+    return lines.select(F.from_json(F.regexp_replace("value", "^,", ""), schema, {"mode": "FAILFAST"}).alias("_r")).select("_r.*")
 
 
 def write_document(spark: SparkSession, value: dict, path: str) -> None:
