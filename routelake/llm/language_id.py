@@ -133,16 +133,21 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame([(lang, kind, entry, n) for (kind, entry), n in items[lo : lo + 100_000]], columns=["lang", "kind", "entry", "n"])
 
 
-def learn(docs: DataFrame) -> Model:
-    """Fit the tables.  Without a labelled row (an empty table too) the model knows no language."""
+def learn(docs: DataFrame, keep: dict[int, int] | None = KEEP) -> Model:
+    """Fit the tables.  Without a labelled row (an empty table too) the model knows no language.
+
+    ``keep`` bounds the entries of each kind and language; with None all of the sample's are kept.
+    """
     sample = staged(training_sample(docs), "language-sample")
     counts = staged(sample.mapInPandas(_count, "lang string, kind int, entry string, n long").groupBy("lang", "kind", "entry").agg(F.sum("n").alias("n")), "language-counts")
     totals = {(r["lang"], r["kind"]): (r["n"], r["entries"]) for r in counts.groupBy("lang", "kind").agg(F.sum("n").alias("n"), F.count("*").alias("entries")).collect()}
     langs = sorted({lang for lang, _ in totals})
-    model = Model(langs, {kind: {} for kind in KEEP})
-    most = F.create_map(*[F.lit(x) for pair in KEEP.items() for x in pair])[F.col("kind")]
-    rank = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "entry"))
-    for r in counts.withColumn("_r", rank).where(F.col("_r") <= most).select("lang", "kind", "entry", "n").toLocalIterator():
+    model, kept = Model(langs, {kind: {} for kind in KEEP}), counts
+    if keep is not None:
+        most = F.create_map(*[F.lit(x) for pair in keep.items() for x in pair])[F.col("kind")]
+        rank = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "entry"))
+        kept = counts.withColumn("_r", rank).where(F.col("_r") <= most)
+    for r in kept.select("lang", "kind", "entry", "n").toLocalIterator():
         model.tables[r["kind"]].setdefault(r["entry"], {})[r["lang"]] = r["n"]
     for kind, entries in model.tables.items():
         floor = [math.log(SMOOTHING / (totals[(lang, kind)][0] + SMOOTHING * totals[(lang, kind)][1])) for lang in langs]
