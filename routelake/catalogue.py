@@ -120,20 +120,19 @@ _MODELS = [
 
 def sql_tier(x: str) -> str:
     n = f"lower(trim({x}))"
-    strong = " OR ".join(f"regexp_matches({n}, '{p}')" for p in lx.STRONG_MODELS)
-    weak = " OR ".join(f"regexp_matches({n}, '{p}')" for p in lx.WEAK_MODELS)
+    strong, weak = (" OR ".join(f"regexp_matches({n}, '{p}')" for own, p, _ in lx.MODEL_TIERS if own == tier) for tier in ("strong", "weak"))
     return f"CASE WHEN {strong} THEN 'strong' WHEN {weak} THEN 'weak' ELSE 'skip' END"
 
 
 def sql_rule(x: str) -> str:
     n = f"lower(trim({x}))"
-    return "CASE " + " ".join(f"WHEN regexp_matches({n}, '{p}') THEN {i}" for i, p in enumerate(lx.STRONG_MODELS + lx.WEAK_MODELS, 1)) + " END"
+    return "CASE " + " ".join(f"WHEN regexp_matches({n}, '{p}') THEN {i}" for i, (_, p, _) in enumerate(lx.MODEL_TIERS, 1)) + " END"
 
 
 _NAMED = f"(SELECT doc_id, list_value({sql_list(_MODELS)})[CAST(doc_id % {len(_MODELS)} AS INT) + 1] || CASE WHEN doc_id % 3 = 0 THEN '-v' || (doc_id % 10) ELSE '' END AS model FROM documents)"
 
 
-@query("model_tier", f"SELECT doc_id, model, tier, rule, coalesce(list_value({sql_list([*lx.STRONG_REASONS, *lx.WEAK_REASONS])})[rule], '{lx.SKIP_REASON}') AS reason FROM (SELECT *, {sql_tier('model')} AS tier, {sql_rule('model')} AS rule FROM {_NAMED})")
+@query("model_tier", f"SELECT doc_id, model, tier, rule, coalesce(list_value({sql_list([reason for *_, reason in lx.MODEL_TIERS])})[rule], '{lx.SKIP_REASON}') AS reason FROM (SELECT *, {sql_tier('model')} AS tier, {sql_rule('model')} AS rule FROM {_NAMED})")
 def _model_tier(spark, d):
     i = F.col("doc_id")
     name = F.concat(F.element_at(F.array(*[F.lit(m) for m in _MODELS]), (i % len(_MODELS)).cast("int") + 1), F.when(i % 3 == 0, F.concat(F.lit("-v"), (i % 10).cast("string"))).otherwise(""))
@@ -722,13 +721,14 @@ _LINEAR = f"""{_TFIDF}, linear AS (SELECT s.doc_id, l.label, l.intercept::DOUBLE
     shares AS (SELECT doc_id, label, exp(score - max(score) OVER o) / sum(exp(score)) OVER o * exp(max(score) OVER o) AS p FROM linear WINDOW o AS (PARTITION BY doc_id))"""
 
 
-@query("linear_predict", f"""WITH {_P}, {_TOKENS}, {_LINEAR}, best AS (SELECT doc_id, arg_min(label, (-round(p, 9), label)) AS label, round(max(p), 5) AS confidence, round(-sum(p * ln(p)) / ln(3), 5) AS normalized_entropy FROM shares GROUP BY doc_id),
+@query("linear_predict", f"""WITH {_P}, {_TOKENS}, {_LINEAR}, best AS (SELECT doc_id, l[1] AS label, array_to_string(l[2:3], ',') AS alternatives, round(ps[1], 5) AS confidence, round(ps[1] - ps[2], 5) AS margin, normalized_entropy FROM
+      (SELECT doc_id, list(label ORDER BY round(p, 9) DESC, label) AS l, list(p ORDER BY p DESC) AS ps, round(-sum(p * ln(p)) / ln(3), 5) AS normalized_entropy FROM shares GROUP BY doc_id)),
     cover AS (SELECT doc_id, round(count(*) FILTER (WHERE token IN (SELECT token FROM {_IDF_SQL})) / count(*), 5) AS coverage FROM counts GROUP BY doc_id)
-    SELECT doc_id, label, confidence, normalized_entropy, coalesce(coverage, 0) AS coverage FROM best LEFT JOIN cover USING (doc_id)""")
+    SELECT doc_id, label, alternatives, confidence, margin, normalized_entropy, coalesce(coverage, 0) AS coverage FROM best LEFT JOIN cover USING (doc_id)""")
 def _linear_predict(spark, d):
     idf, labels, weights = tables_of_weights(spark)
     found = scoring.predict_linear(prompts(spark, d), counts(spark, d), "doc_id", idf, labels, weights.withColumnRenamed("value", "coefficient"))
-    return found.select("doc_id", "label", *[F.round(c, 5).alias(c) for c in ("confidence", "normalized_entropy", "coverage")])
+    return found.select("doc_id", "label", F.array_join("alternatives", ",").alias("alternatives"), *[F.round(c, 5).alias(c) for c in ("confidence", "margin", "normalized_entropy", "coverage")])
 
 
 _BAYES = f"""bayes AS (SELECT s.doc_id, l.label, l.log_prior::DOUBLE + coalesce(sum(c.n * coalesce(w.value::DOUBLE - 4, l.unknown::DOUBLE)), 0) AS score FROM p s CROSS JOIN {_LABELS_SQL} l LEFT JOIN counts c ON c.doc_id = s.doc_id
@@ -1206,7 +1206,7 @@ def _arena_counters(spark, d):
     return arena_stage(spark, d).counters
 
 
-@query("arena_stage_tiers", f"WITH {_BATTLES}, seen AS (SELECT model, count(*) AS appearances FROM (SELECT model_a AS model FROM battles UNION ALL SELECT model_b FROM battles) GROUP BY model) SELECT model, appearances, {sql_tier('model')} AS tier, coalesce(list_value({sql_list([*lx.STRONG_REASONS, *lx.WEAK_REASONS])})[{sql_rule('model')}], '{lx.SKIP_REASON}') AS reason FROM seen")
+@query("arena_stage_tiers", f"WITH {_BATTLES}, seen AS (SELECT model, count(*) AS appearances FROM (SELECT model_a AS model FROM battles UNION ALL SELECT model_b FROM battles) GROUP BY model) SELECT model, appearances, {sql_tier('model')} AS tier, coalesce(list_value({sql_list([reason for *_, reason in lx.MODEL_TIERS])})[{sql_rule('model')}], '{lx.SKIP_REASON}') AS reason FROM seen")
 def _arena_tiers(spark, d):
     return arena_stage(spark, d).more["tiers"]
 
@@ -1247,11 +1247,11 @@ _LABELLED = f"""picked AS (SELECT doc_id, length(text) AS n, CASE WHEN doc_id %
       CASE WHEN before IS NOT NULL THEN 'low' ELSE {_PRIV('n')} END AS privacy, before IS NOT NULL OR n % 5 <> 0 AS agreed FROM picked)"""
 
 
-def label_stage(spark, d):
+def label_stage(spark, d, limit: int = 0):
     rows = table(spark, d, "documents").select("doc_id", F.col("text").alias("prompt"))
     known = F.from_json(F.lit('{"task_type":"coding","difficulty":"easy","privacy":"low"}'), lb.LABEL)
     checkpoint = rows.where("doc_id % 4 in (1, 2)").select("doc_id", F.lit(1).cast("long").alias("seq"), known.alias("label_a"), F.when(F.col("doc_id") % 4 == 1, known).alias("label_b"))
-    return stages.label(rows, checkpoint, "doc_id", answer_by_length)
+    return stages.label(rows, checkpoint, "doc_id", answer_by_length, limit)
 
 
 @query("label_stage", f"WITH {_LABELLED} SELECT doc_id, task_type, difficulty, privacy, agreed AS label_agreement FROM done WHERE same")
@@ -1259,6 +1259,12 @@ def _label_stage(spark, d):
     return label_stage(spark, d).rows.select("doc_id", "task_type", "difficulty", "privacy", "label_agreement")
 
 
+@query("label_limit", f"WITH {_LABELLED} SELECT doc_id, task_type, difficulty, privacy FROM (SELECT *, row_number() OVER (PARTITION BY before IS NULL ORDER BY doc_id) AS i FROM done) WHERE same AND (before IS NOT NULL OR i <= 150)")
+def _label_limit(spark, d):
+    """At most 150 of the rows that still lack a label are labelled, the first by id; those labelled before stay."""
+    return label_stage(spark, d, 150).rows.select("doc_id", "task_type", "difficulty", "privacy")
+
+
 @query("label_stage_counters", f"""WITH {_LABELLED} SELECT unnest(['label_attempts_completed', 'sampled_for_labeling', 'exact_label_agreements', 'task_type_agreements', 'accepted_labels', 'rejected_task_disagreement_or_invalid']) AS counter,
     unnest([count(*), count(*), count(*) FILTER (WHERE same AND agreed), count(*) FILTER (WHERE same), count(*) FILTER (WHERE same), count(*) FILTER (WHERE NOT same)]) AS rows FROM done""")
 def _label_counters(spark, d):

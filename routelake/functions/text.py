@@ -108,27 +108,22 @@ def moderation_flagged(value: Column) -> Column:
     return F.coalesce(F.exists(_list_items(value), flagged), F.lit(False))
 
 
-def _first_match(name: Column, patterns: list[str], base: int) -> list[tuple[Column, int]]:
-    return [(name.rlike(pattern), base + i) for i, pattern in enumerate(patterns, 1)]
-
-
 def model_rule(model: Column) -> Column:
     """Number of the first tier rule that the name matches, from 1; null if none does."""
     name = F.lower(collapse(model))
-    rules = _first_match(name, lx.STRONG_MODELS, 0) + _first_match(name, lx.WEAK_MODELS, len(lx.STRONG_MODELS))
-    return F.coalesce(*[F.when(found, F.lit(i)) for found, i in rules])
+    return F.coalesce(*[F.when(name.rlike(pattern), F.lit(i)) for i, (_, pattern, _) in enumerate(lx.MODEL_TIERS, 1)])
 
 
 def model_tier(model: Column) -> Column:
     """strong where any strong rule matches, else weak where any weak one does, else skip."""
     name = F.lower(collapse(model))
-    any_of = lambda patterns: name.rlike("|".join(f"(?:{p})" for p in patterns))
-    return F.when(any_of(lx.STRONG_MODELS), "strong").when(any_of(lx.WEAK_MODELS), "weak").otherwise("skip")
+    any_of = lambda tier: name.rlike("|".join(f"(?:{pattern})" for own, pattern, _ in lx.MODEL_TIERS if own == tier))
+    return F.when(any_of("strong"), "strong").when(any_of("weak"), "weak").otherwise("skip")
 
 
 def model_reason(model: Column) -> Column:
     """Why a model has its tier."""
-    told = [F.lit(reason) for reason in (*lx.STRONG_REASONS, *lx.WEAK_REASONS)]
+    told = [F.lit(reason) for _, _, reason in lx.MODEL_TIERS]
     rule = model_rule(model)
     return F.when(rule.isNull(), lx.SKIP_REASON).otherwise(F.element_at(F.array(*told), F.coalesce(rule, F.lit(1))))
 
