@@ -13,12 +13,15 @@ never compared; a class stands for all its copies.
    are compared with it, which settles groups of near copies with as many comparisons as
    they have members.
 3. Regions again.  A region whose classes are all connected is finished, since only the
-   components are asked for.  In a small region the unconnected pairs are compared.  Large
-   regions that share classes are joined into one, which gets a pivot of its own: rings of
-   its classes by their distance from the pivot, cut into blocks, are the new regions.  The
-   classes outside the largest component are replicated into all rings that the triangle
-   inequality leaves them, and are compared there with all others, block by block.  So
-   every pair that could still connect two components is compared; nothing is capped.
+   components are asked for.  In a small region the unconnected pairs are compared.  A large
+   region is compared by itself, unless another one holds all its classes.  Cells: a region
+   too wide for one cell is split into rings by the distance from its pivot and into bands of
+   set sizes, and each of these into blocks; the classes outside the region's largest
+   component are replicated into all rings that the triangle inequality leaves them, in their
+   own band and the two beside it.  A class travels with a signature of one to two bits a
+   shingle, which bounds the overlap of two sets from above; only classes of which a cell
+   finds a pair that the bounds let link are fetched whole and compared there.  So every pair
+   that could still connect two components is met; nothing is capped.
 
 Voronoi cells of several pivots were tried first: in a group of near copies all cells lie
 within the boundary windows of all others, so that every cell gets every document.  Rings
@@ -50,8 +53,10 @@ PERCENT = 80
 HEAVY = 300_000
 #: Regions of at most so many classes compare their unconnected pairs at once.
 LEAF = 64
-#: Width of a ring as a distance, and classes in a block of one, on average.
-RING, BLOCK = 0.05, 256
+#: Width of a ring as a distance, and ratio of the set sizes in a band: sets that link are in the same or adjacent bands.
+RING, BAND = 0.05, 1.26
+#: Classes and shingles in a block of a cell, on average, at most.
+BLOCK, VOLUME = 4096, 1 << 20
 #: Characters hashed at a time, and shingles counted together in a task.
 CHUNK = 1 << 18
 LOCAL = 1 << 20
@@ -145,15 +150,20 @@ FACTS = "doc_id long, text_hash long, n long, set_id binary, sid long, shingle l
 
 
 def _facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A row for each document; and for each shingle that two classes of a stretch share, its count there."""
+    """A row for each document; and for each shingle that two classes of a stretch share, its count there and the first of them."""
     seen: set[bytes] = set()
     waiting: list[np.ndarray] = []
+    holders: list[int] = []
 
     def shared() -> pd.DataFrame:
-        found, uses = np.unique(np.concatenate(waiting), return_counts=True) if waiting else (np.empty(0, np.uint64), np.empty(0, np.int64))
-        waiting.clear()
+        if not waiting:
+            return pd.DataFrame({c: [] for c in ("doc_id", "text_hash", "n", "set_id", "sid", "shingle", "uses")})
+        found, at, uses = np.unique(np.concatenate(waiting), return_index=True, return_counts=True)
         often = uses > 1
-        return pd.DataFrame({"doc_id": None, "text_hash": None, "n": None, "set_id": None, "sid": None, "shingle": found[often].view(np.int64), "uses": uses[often]})
+        first = np.array(holders, dtype=np.int64)[np.searchsorted(np.cumsum([len(x) for x in waiting]), at[often], side="right")]
+        waiting.clear()
+        holders.clear()
+        return pd.DataFrame({"doc_id": None, "text_hash": None, "n": None, "set_id": None, "sid": first, "shingle": found[often].view(np.int64), "uses": uses[often]})
 
     held = 0
     for batch in batches:
@@ -164,6 +174,7 @@ def _facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if own and own not in seen:
                 seen.add(own)
                 waiting.append(shingles)
+                holders.append(number(own))
                 held += len(shingles)
                 if held > LOCAL:
                     yield shared()
@@ -187,6 +198,24 @@ def seed_count(n: int) -> int:
     return n - -(-PERCENT * n // 100) + 1
 
 
+def signature(shingles: np.ndarray) -> bytes:
+    """For each place of a table of one to two bits a shingle, whether an odd number of them falls there."""
+    width = max(64, 1 << (len(shingles) - 1).bit_length())
+    odd = np.bincount((shingles & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(signs: np.ndarray, words: int) -> np.ndarray:
+    """Rows of signatures as they are in tables of ``words`` 64-bit words, half their width or the same."""
+    return signs if signs.shape[1] == words else signs[:, :words] ^ signs[:, words:]
+
+
+def most_shared(ours: np.ndarray, n: np.ndarray, other: np.ndarray, other_n: int) -> np.ndarray:
+    """The most that sets can share with another one: places that differ are shingles that only one of the two has."""
+    apart = np.bitwise_count(ours ^ other).sum(axis=1, dtype=np.int64)
+    return np.minimum((n + other_n - apart) // 2, np.minimum(n, other_n))
+
+
 def _seeds(order):
     """``order`` is broadcast: the frequent shingles and their places."""
 
@@ -201,8 +230,8 @@ def _seeds(order):
                 if len(seen) < 1_000_000:
                     seen.add(own)
                 first = np.sort(ranked(shingles, heavy, places))[: seed_count(len(shingles))]
-                out.append((number(own), len(shingles), first.view(np.int64)))
-            yield pd.DataFrame(out, columns=["sid", "n", "seeds"])
+                out.append((number(own), len(shingles), first.view(np.int64), signature(shingles)))
+            yield pd.DataFrame(out, columns=["sid", "n", "seeds", "sign"])
 
     return run
 
@@ -248,34 +277,38 @@ class Space:
         self.docs = docs.select("doc_id", "text")
         rows = staged(self.docs.withColumn("text_hash", F.xxhash64("text")).mapInPandas(lean(_facts), FACTS), "jaccard-facts")
         self.facts = rows.where("n is not null").select("doc_id", "text_hash", "n", "set_id", "sid")
-        uses = rows.where("shingle is not null").groupBy("shingle").agg(F.sum("uses").alias("uses"))
-        heavy = uses.orderBy(F.desc("uses"), "shingle").limit(HEAVY).toArrow()  # at most HEAVY pairs of numbers
-        order = self._order(heavy["shingle"].to_numpy(), heavy["uses"].to_numpy())
+        uses = rows.where("shingle is not null").groupBy("shingle").agg(F.sum("uses").alias("uses"), F.min("sid").alias("first"))
+        heavy = uses.orderBy(F.desc("uses"), "shingle").limit(HEAVY).toArrow()  # at most HEAVY rows of three numbers
+        order = self._order(*(heavy[c].to_numpy() for c in ("shingle", "uses", "first")))
         shared = self.docs.sparkSession.sparkContext.broadcast(order)
         self.classes = staged(self.facts.where("sid is not null").groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.first("sid").alias("sid"), F.count("*").alias("copies")), "jaccard-classes")
-        self.seeds = staged(self.docs.mapInPandas(lean(_seeds(shared)), "sid long, n int, seeds array<long>"), "jaccard-seeds")
+        self.seeds = staged(self.docs.mapInPandas(lean(_seeds(shared)), "sid long, n int, seeds array<long>, sign binary"), "jaccard-seeds")
 
     @staticmethod
-    def _order(shingle: np.ndarray, uses: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The frequent shingles ascending, and the place of each: rarer ones first."""
+    def _order(shingle: np.ndarray, uses: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The frequent shingles ascending, and the place of each: rarer ones first, those of one passage side by side."""
         shingle = shingle.astype(np.int64).view(np.uint64)
         place = np.empty(len(shingle), dtype=np.uint64)
-        place[np.lexsort((shingle, uses))] = np.arange(len(shingle), dtype=np.uint64)
+        place[np.lexsort((shingle, first, uses))] = np.arange(len(shingle), dtype=np.uint64)
         order = np.argsort(shingle)
         return shingle[order], place[order]
 
     def regions(self) -> tuple[DataFrame, DataFrame]:
-        """Members of the seeds' regions that have two classes or more, as (seed, sid, n), and pairs with the pivots."""
-        members = self.seeds.select(F.explode("seeds").alias("seed"), "sid", "n")
-        rare, common = members.where("seed >= 0"), members.where("seed < 0")  # places from 2**63 on are negative
+        """Members of the seeds' regions that have two classes or more, as (region, sid, n, before), and pairs with the pivots.
+
+        ``before`` is the seed before a frequent one in the member's order.
+        """
+        rare = self.seeds.select(F.explode("seeds").alias("seed"), "sid", "n").where("seed >= 0")  # places from 2**63 on are negative
+        ordered = F.arrays_zip("seeds", F.expr("concat(array(cast(null as bigint)), slice(seeds, 1, size(seeds) - 1))").alias("before"))
+        common = self.seeds.select(F.explode(ordered).alias("at"), "sid", "n").select(F.col("at.seeds").alias("seed"), "sid", "n", F.col("at.before").alias("before")).where("seed < 0")
         dealt = rare.repartition("seed")  # shuffled once, for the pivots and for the join with them
         pivots = dealt.groupBy("seed").agg(F.min(F.struct("sid", "n")).alias("low"), F.max("sid").alias("high")).where("low.sid <> high").select("seed", F.col("low.sid").alias("pivot"), F.col("low.n").alias("pivot_n"))
         found = dealt.join(pivots, "seed")
         # A frequent seed's rows stay where they are: its pivot, one of at most HEAVY, is broadcast.
         few = common.groupBy("seed").agg(F.min(F.struct("sid", "n")).alias("low"), F.max("sid").alias("high")).where("low.sid <> high").select("seed", F.col("low.sid").alias("pivot"), F.col("low.n").alias("pivot_n"))
-        both = staged(found.unionByName(common.join(F.broadcast(few), "seed")), "jaccard-regions")
+        both = staged(found.withColumn("before", F.lit(None).cast("long")).unionByName(common.join(F.broadcast(few), "seed")), "jaccard-regions")
         pairs = both.where(F.col("sid") != F.col("pivot")).where(near("n", "pivot_n")).select(F.col("pivot").alias("a"), F.col("sid").alias("b")).distinct()
-        return both.select(F.col("seed").alias("region"), "sid", "n").distinct(), pairs
+        return both.select(F.col("seed").alias("region"), "sid", "n", "before").distinct(), pairs
 
     def sets(self, sids: DataFrame) -> DataFrame:
         """sid, shingles (sorted, as bytes) of the classes with these numbers, from their first documents' texts."""
@@ -309,58 +342,121 @@ def linked():
     return F.expr(f"100 * shared >= {PERCENT} * joint")
 
 
-def _connect(key, members: pd.DataFrame, outside: pd.DataFrame) -> pd.DataFrame:
-    """Links of the classes ``outside`` with ``members`` of other components, one for each component at most."""
-    found = []
-    if len(members) and len(outside):
+CELL = ["region", "ring", "band", "block", "part"]
+FOUND = "region long, ring int, band int, block int, part int, sid long, component long, home boolean, away boolean"
+
+
+def _chances(rows: pd.DataFrame) -> pd.DataFrame:
+    """The classes of a cell of which a member (home) and a visitor (away) of other components might link."""
+    home, away = rows["home"].to_numpy(), rows["away"].to_numpy()
+    sizes, components = rows["n"].to_numpy().astype(np.int64), rows["component"].to_numpy()
+    words = np.array([len(x) // 8 for x in rows["sign"]])
+    chance = np.zeros(len(rows), dtype=bool)
+
+    def signs(chosen: np.ndarray, width: int) -> np.ndarray:
+        return np.frombuffer(b"".join(rows["sign"].iloc[chosen]), dtype="<u8").reshape(len(chosen), width)
+
+    for width in np.unique(words[home]):
+        members = np.flatnonzero(home & (words == width))
+        for other in (width // 2, width, 2 * width):
+            visitors = np.flatnonzero(away & (words == other))
+            if other and len(visitors):
+                common = min(width, other)
+                ours = folded(signs(members, width), common)
+                for at, sign in zip(visitors, folded(signs(visitors, other), common), strict=True):
+                    most = most_shared(ours, sizes[members], sign, sizes[at])
+                    good = (100 * most >= PERCENT * (sizes[members] + sizes[at] - most)) & (components[members] != components[at])
+                    if good.any():
+                        chance[at] = True
+                        chance[members[good]] = True
+    return rows.loc[chance, [*CELL, "sid", "component", "home", "away"]]
+
+
+def _connect(rows: pd.DataFrame) -> pd.DataFrame:
+    """Links between the members and visitors of a cell that connect their components, no more than that takes."""
+    found, root = [], {}
+
+    def top(x: int) -> int:
+        while root.get(x, x) != x:
+            root[x] = root.get(root[x], root[x])
+            x = root[x]
+        return x
+
+    members, visitors = rows[rows["home"]], rows[rows["away"]]
+    if len(members) and len(visitors):
         sets = [np.frombuffer(x, dtype="<u8") for x in members["shingles"]]
         sizes = np.array([len(x) for x in sets])
         every = np.concatenate(sets)
         order = np.argsort(every, kind="stable")
         every, owner = every[order], np.repeat(np.arange(len(sets)), sizes)[order]
         sids, components = members["sid"].to_numpy(), members["component"].to_numpy()
-        for sid, component, raw in zip(outside["sid"], outside["component"], outside["shingles"], strict=True):
+        for sid, component, raw in zip(visitors["sid"], visitors["component"], visitors["shingles"], strict=True):
             own = np.frombuffer(raw, dtype="<u8")
             lo = np.searchsorted(every, own, side="left")
             n = np.searchsorted(every, own, side="right") - lo
             hits = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
             shared = np.bincount(owner[hits], minlength=len(sets))
-            good = (100 * shared >= PERCENT * (sizes + len(own) - shared)) & (components != component)
-            _, first = np.unique(components[good], return_index=True)
-            found += [(sid, other) for other in sids[good][first]]
+            for at in np.flatnonzero((100 * shared >= PERCENT * (sizes + len(own) - shared)) & (components != component)):
+                x, y = top(component), top(components[at])
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    found.append((sid, sids[at]))
     return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
 
-def across(space: Space, large: DataFrame) -> DataFrame:
-    """Links that connect different components among the classes of large regions (region, sid, component)."""
-    bound = connected_components(large.select(F.col("sid").alias("a"), F.xxhash64("region", F.lit("region")).alias("b")).distinct(), name="jaccard-bound")
-    classes = large.select("sid", "component").distinct().join(bound.select(F.col("node").alias("sid"), F.col("component").alias("area")), "sid")
-    sizes = classes.groupBy("area", "component").agg(F.count("*").alias("k"))
-    most = sizes.groupBy("area").agg(F.max(F.struct("k", "component")).alias("most"), F.sum("k").alias("k")).select("area", F.col("most.component").alias("largest"), (F.col("k") > BLOCK).alias("wide"))
-    pivots = classes.groupBy("area").agg(F.min("sid").alias("pivot"))
-    placed = staged(classes.join(most, "area").join(pivots, "area"), "jaccard-placed")
+def _pieces():
+    """Blocks for a group's classes and shingles."""
+    return F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.col("n").cast("long")) / VOLUME)).cast("int")
+
+
+def _ringed(space: Space, wide: DataFrame) -> DataFrame:
+    """``wide`` with the ring of each class by its distance from its region's pivot, the class with the smallest number."""
+    pivots = wide.groupBy("region").agg(F.min("sid").alias("pivot"))
+    placed = staged(wide.join(pivots, "region"), "jaccard-wide")
     sets = space.sets(placed.select("sid"))
-    # An area of one block needs no rings: all its classes are in one.
-    wide = placed.where("wide")
-    centre = sets.join(wide.select(F.col("pivot").alias("sid")).distinct(), "sid").select(F.col("sid").alias("a"), F.col("shingles").alias("other"))
-    met = wide.select(F.col("pivot").alias("a"), F.col("sid").alias("b")).join(sets.withColumnRenamed("sid", "b"), "b").join(centre, "a")
-    met = met.mapInPandas(lean(_measured), "a long, b long, shared long, joint long").select(F.col("b").alias("sid"), ((F.col("joint") - F.col("shared")) / F.col("joint")).alias("distance"))
-    ringed = staged(placed.join(met, "sid", "left").withColumn("distance", F.coalesce("distance", F.lit(0.0))).withColumn("ring", F.floor(F.col("distance") / RING).cast("int")), "jaccard-rings")
-    # Blocks of each ring, and parts of the classes outside the largest component.
-    rings = ringed.groupBy("area", "ring").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    parts = ringed.where("component <> largest").groupBy("area").agg(F.ceil(F.count("*") / (4 * BLOCK)).cast("int").alias("parts"))
-    spread = ringed.join(rings, ["area", "ring"]).join(parts, "area")
-    members = spread.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    centre = sets.join(pivots.select(F.col("pivot").alias("sid")).distinct(), "sid").select(F.col("sid").alias("a"), F.col("shingles").alias("other"))
+    met = placed.select(F.col("pivot").alias("a"), F.col("sid").alias("b")).distinct().join(sets.withColumnRenamed("sid", "b"), "b").join(centre, "a")
+    met = met.mapInPandas(lean(_measured), "a long, b long, shared long, joint long")
+    met = met.select(F.col("a").alias("pivot"), F.col("b").alias("sid"), ((F.col("joint") - F.col("shared")) / F.col("joint")).alias("distance"))
+    ringed = staged(placed.join(met, ["pivot", "sid"]).drop("pivot").withColumn("ring", F.floor(F.col("distance") / RING).cast("int")), "jaccard-rings")
+    discard(sets, placed)
+    return ringed
+
+
+def _cells(space: Space, wide: DataFrame) -> DataFrame:
+    """The classes of wide regions in the blocks of their cells, and visitors in each cell where they could find a link."""
+    ringed = _ringed(space, wide).withColumn("band", F.floor(F.log("n") / F.log(F.lit(BAND))).cast("int"))
+    place = ["region", "ring", "band"]
+    cells = ringed.groupBy(*place).agg(_pieces().alias("blocks"))
     reach = (100 - PERCENT) / 100 + 1e-9
-    outside = ringed.where("component <> largest").join(parts, "area").withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
-    windows = outside.withColumn("ring", F.explode(F.sequence(F.floor((F.col("distance") - reach) / RING).cast("int"), F.floor((F.col("distance") + reach) / RING).cast("int"))))
-    windows = windows.join(rings, ["area", "ring"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    key = ["area", "ring", "block", "part"]
-    left = members.select(*key, "sid", "component").join(sets, "sid").groupBy(*key)
-    right = windows.select(*key, "sid", "component").join(sets, "sid")
-    right = right.select(*[F.col(c).alias(c) for c in right.columns]).groupBy(*key)  # columns of its own, for the analyzer
-    found = staged(left.cogroup(right).applyInPandas(_connect, "a long, b long"), "jaccard-across")
-    discard(sets, placed, ringed)
+    rings = F.sequence(F.floor((F.col("distance") - reach) / RING).cast("int"), F.floor((F.col("distance") + reach) / RING).cast("int"))
+    visits = ringed.where("away").withColumn("ring", F.explode(rings)).withColumn("band", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)))
+    visits = visits.join(cells, place)
+    parts = visits.groupBy(*place).agg(_pieces().alias("parts"))
+    own = F.xxhash64("sid")
+    columns = [*CELL, "sid", "n", "component", "home", "away"]
+    members = ringed.join(cells, place).join(parts, place).withColumn("block", F.pmod(own, "blocks").cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    visitors = visits.join(parts, place).withColumn("part", F.pmod(own, "parts").cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return members.withColumn("home", F.lit(True)).withColumn("away", F.lit(False)).select(columns).unionByName(visitors.withColumn("home", F.lit(False)).select(columns))
+
+
+def within(space: Space, large: DataFrame) -> DataFrame:
+    """Links that connect different components among the classes of each large region (region, sid, n, component)."""
+    sizes = large.groupBy("region", "component").agg(F.count("*").alias("k"))
+    largest = sizes.groupBy("region").agg(F.max(F.struct("k", "component")).alias("most")).select("region", F.col("most.component").alias("largest"))
+    blocks = large.groupBy("region").agg(_pieces().alias("blocks"))
+    placed = staged(large.join(largest, "region").join(blocks, "region").withColumn("away", F.col("component") != F.col("largest")).drop("largest"), "jaccard-large")
+    # A region of one block is one cell, whose classes are its members; some of these are visitors as well.
+    cells = placed.where("blocks = 1").select("region", *[F.lit(0).alias(c) for c in CELL[1:]], "sid", "n", "component", F.lit(True).alias("home"), "away")
+    wide = placed.where("blocks > 1").drop("blocks")
+    if wide.limit(1).count():
+        cells = cells.unionByName(_cells(space, wide))
+    numbers = few(staged(placed.select("sid").distinct(), "jaccard-numbers"))
+    signs = space.seeds.select("sid", "sign").join(numbers, "sid", "left_semi").dropDuplicates(["sid"])
+    chances = staged(cells.join(signs, "sid").groupBy(*CELL).applyInPandas(_chances, FOUND), "jaccard-chances")
+    sets = space.sets(chances.select("sid"))
+    found = staged(chances.join(sets, "sid").groupBy(*CELL).applyInPandas(_connect, "a long, b long"), "jaccard-within")
+    discard(sets, chances, placed)
     return found
 
 
@@ -371,9 +467,12 @@ def links(space: Space) -> DataFrame:
     label = connected_components(found, name="jaccard-components").select(F.col("node").alias("sid"), F.col("component"))
     named = regions.join(label, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     # Regions of one component are finished; of regions with the same classes (by number, sum and ends of their hashes) one goes on.
+    # If all classes of a region have the same seed before its own, that seed's region holds them all; of several regions
+    # with the same classes the first in order tells whether a larger one does.
+    nested = (F.count("before") == F.count("*")) & (F.min("before") == F.max("before"))
     own = F.xxhash64("sid")
-    facts = named.groupBy("region").agg(F.count("*").alias("size"), F.sum(own.cast("decimal(38,0)")).alias("print"), F.min(own).alias("first"), F.max("sid").alias("last"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    kept = facts.groupBy("size", "print", "first", "last").agg(F.min("region").alias("region"), F.count("*").alias("weight")).select("region", "size", "weight")
+    facts = named.groupBy("region").agg(F.count("*").alias("size"), F.sum(own.cast("decimal(38,0)")).alias("print"), F.min(own).alias("first"), F.max("sid").alias("last"), F.min("component").alias("low"), F.max("component").alias("high"), nested.alias("nested")).where("low <> high")
+    kept = facts.groupBy("size", "print", "first", "last").agg(F.min("region").alias("region"), F.count("*").alias("weight"), F.bool_and("nested").alias("nested")).select("region", "size", "weight", "nested")
     left = staged(named.join(kept, "region"), "jaccard-left")
     x, y = left.where(F.col("size") <= LEAF).alias("x"), left.where(F.col("size") <= LEAF).alias("y")
     met = x.join(y, "region").where("x.sid < y.sid and x.component <> y.component").where(near("x.n", "y.n"))
@@ -384,8 +483,8 @@ def links(space: Space) -> DataFrame:
     most = F.expr(f"least(common + greatest({after.format('na')}, {after.format('nb')}), na, nb)")
     small = met.withColumn("most", most).where(f"100 * most >= {PERCENT} * (na + nb - most)").select("a", "b")
     found = found.unionByName(space.compare(small).where(linked()).select("a", "b"))
-    large = left.where(F.col("size") > LEAF)
-    return found.unionByName(across(space, large)) if large.limit(1).count() else found
+    large = left.where((F.col("size") > LEAF) & ~F.col("nested")).select("region", "sid", "n", "component")
+    return found.unionByName(within(space, large)) if large.limit(1).count() else found
 
 
 def join(docs: DataFrame) -> DataFrame:
