@@ -41,11 +41,11 @@ def test_large_regions_of_common_passages(spark, monkeypatch):
     passages = [words(30, 300 + i, f"q{i}x").split() for i in range(12)]
     rows = []
     for i in range(160):
-        body = [w for p in rng.choices(passages, k=4) for w in p] + words(40, 5000 + i, f"own{i}x").split()
+        body = [w for p in rng.choices(passages, k=4) for w in p] + words(6, 5000 + i, f"own{i}x").split()
         rows.append((i, " ".join(body)))
     for i in range(160, 172):  # links of some of these, by one word or two, that a region's pivot need not find
         body = rows[rng.randrange(160)][1].split()
-        body[-rng.randrange(1, 30)] = f"edit{i}"
+        body[-rng.randrange(1, 6)] = f"edit{i}"
         rows.append((i, " ".join(body)))
     docs = rows_of(spark, [(i, t, "en", "s") for i, t in rows]).repartition(3)
     space = jaccard_join.Space(docs)
@@ -55,6 +55,6 @@ def test_large_regions_of_common_passages(spark, monkeypatch):
     assert large.select("sid").distinct().count() > 100
     fetched.clear()
     links = jaccard_join.within(space, large)
-    assert 12 <= links.distinct().count() and fetched[-1] <= 40
+    assert links.distinct().count() >= 12 and fetched[-1] <= len(rows) // 3
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.join(docs).collect()}
     assert got == brute_components(rows)
