@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from routelake.functions import labels as lb
 from routelake.functions import lexicon as lx
-from routelake.functions import rules, text
+from routelake.functions import bodies, rules, text
 from routelake.operators import clustering, history, relational, reports, routing, scoring, similarity
 from routelake.plans import analysis, curation, stages
 from routelake.session import scratch_dir
@@ -211,6 +211,78 @@ def _user_turns(spark, d):
     return turns.select("conv_id", text.user_turns(F.col("turns")).alias("prompt"))
 
 
+@query("listed_user_turns", f"""SELECT conv_id, CASE conv_id % 8 WHEN 6 THEN '' WHEN 7 THEN coalesce(arg_min(s, turn), '')
+    ELSE coalesce(string_agg(s, chr(10) || chr(10) ORDER BY turn) FILTER ((turn % 4 = 1 OR lower(role) IN ('', 'user', 'human')) AND s <> ''), '') END AS prompt
+    FROM (SELECT conv_id, turn, role, {sql_sanitize("coalesce(text, '')")} AS s FROM conversations) GROUP BY conv_id""")
+def _listed_user_turns(spark, d):
+    """Prompts as JSON: lists of texts and objects of three shapes with other values between, a text alone, an object."""
+    t, role, turn = F.coalesce("text", F.lit("")), F.col("role"), F.col("turn")
+    json = lambda **fields: F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()]))
+    quoted = F.regexp_extract(json(x=t), r"(?s)^\{\"x\":(.*)\}$", 1)
+    shapes = [json(role=role, content=t), quoted, json(**{"from": F.upper(role)}, value=t), F.concat(F.lit("7,[],null,"), json(role=role, text=t))]
+    item = F.element_at(F.array(*shapes), (turn % 4).cast("int") + 1)
+    whole = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", item.alias("item")))).alias("items"), F.min_by(quoted, turn).alias("first"))
+    listed = F.concat(F.lit("["), F.array_join(F.col("items.item"), ","), F.lit("]"))
+    kind = F.col("conv_id") % 8
+    raw = F.when(kind == 6, F.concat(F.lit('{"content":'), "first", F.lit("}"))).when(kind == 7, F.col("first")).otherwise(listed)
+    return whole.select("conv_id", text.listed_user_turns(F.parse_json(raw)).alias("prompt"))
+
+
+_SENT = """sent AS (SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN CASE conv_id % 2 WHEN 0 THEN 'assistant' ELSE 'model' END ELSE 'user' END AS role, content,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM (SELECT *, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS content FROM conversations WHERE turn % 5 <> 3) WHERE content <> '')"""
+
+
+@query("chat_requests", f"""WITH {_SENT} SELECT conv_id, CASE conv_id % 10 WHEN 8 THEN 'no list' WHEN 9 THEN 'no JSON' ELSE 'sent' END AS state, CASE WHEN conv_id % 10 < 8 THEN coalesce(n, 0) END AS n,
+    CASE WHEN conv_id % 10 < 8 THEN coalesce(roles, '') END AS roles, CASE WHEN conv_id % 10 < 8 THEN md5(coalesce(contents, '')) END AS contents, CASE WHEN conv_id % 10 < 8 THEN 0.7::DOUBLE END AS temperature
+    FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN (SELECT conv_id, count(*) AS n, string_agg(role, ',' ORDER BY turn) AS roles, string_agg(content, chr(10) ORDER BY turn) AS contents FROM sent WHERE r <= 20 GROUP BY conv_id) USING (conv_id)""")
+def _chat_requests(spark, d):
+    """Bodies of requests, some damaged, with items that are no messages; their messages; what two providers are sent, read back."""
+    c, turn = F.col("conv_id"), F.col("turn")
+    told = F.to_json(F.struct("role", F.concat(F.lit("\n "), "text", F.lit("\t ")).alias("content")))
+    item = F.when(turn % 5 == 3, F.element_at(F.array(*[F.lit(x) for x in ('{"role":"user","content":7}', "null", '"user"')]), (c % 3).cast("int") + 1)).otherwise(told)
+    whole = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", item.alias("item")))).alias("items"))
+    listed = F.concat(F.lit('{"messages":['), F.array_join(F.col("items.item"), ","), F.lit("]}"))
+    raw = F.when(c % 10 == 8, "{\"messages\":{}}").when(c % 10 == 9, F.expr("left(listed, length(listed) - 1)")).otherwise(F.col("listed"))
+    body = bodies.request_body(raw)
+    state = F.when(body.isNull(), "no JSON").when(bodies.request_messages(body).isNull(), "no list").otherwise("sent")
+    provider = F.when(c % 2 == 0, "groq").otherwise("google")
+    sent = whole.withColumn("listed", listed).select("conv_id", state.alias("state"), bodies.provider_request(provider, F.lit("m1"), bodies.request_messages(body)).alias("json"))
+    read = F.from_json("json", "messages array<struct<role:string,content:string>>, temperature double, contents array<struct<role:string,parts:array<struct<text:string>>>>, generationConfig struct<temperature:double>")
+    own = sent.withColumn("r", read)
+    roles = F.coalesce("r.messages.role", "r.contents.role")
+    contents = F.coalesce("r.messages.content", F.transform("r.contents", lambda x: x["parts"][0]["text"]))
+    n = F.when(roles.isNotNull(), F.size(roles)).cast("long")
+    return own.select("conv_id", "state", n.alias("n"), F.array_join(roles, ",").alias("roles"), F.md5(F.encode(F.array_join(contents, "\n"), "utf-8")).alias("contents"), F.coalesce("r.temperature", "r.generationConfig.temperature").alias("temperature"))
+
+
+@query("upstream_replies", """SELECT doc_id, CASE WHEN s = 0 AND t <> '' THEN md5(t) WHEN s = 1 AND trimmed <> '' THEN md5(trimmed) END AS content,
+    CASE WHEN s = 0 AND t = '' OR s = 7 THEN 'Groq returned an empty response.' WHEN s = 1 AND trimmed = '' OR s = 8 THEN 'Google AI Studio returned an empty response.' WHEN s = 2 THEN 'slow ' || doc_id WHEN s = 3 THEN 'bad key'
+      WHEN s = 4 THEN 'upstream: ' || t WHEN s = 5 THEN 'Google AI Studio request failed.' WHEN s = 6 THEN '{"code":' || doc_id || '}' END AS error,
+    CASE WHEN s = 0 AND t <> '' OR s = 1 AND trimmed <> '' THEN n_chars END AS input_tokens, CASE WHEN s = 0 AND t <> '' THEN doc_id % 50 WHEN s = 1 AND trimmed <> '' THEN doc_id % 50 + 3 END AS output_tokens,
+    CASE WHEN s = 0 AND t <> '' THEN 0 WHEN s = 1 AND trimmed <> '' THEN n_chars + doc_id % 50 + 3 END AS total_tokens
+    FROM (SELECT doc_id, doc_id % 9 AS s, n_chars, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS trimmed FROM documents)""")
+def _upstream_replies(spark, d):
+    """Replies of two providers in nine shapes: texts whole and in parts, errors of each kind, plain text, nothing."""
+    i, t, n = F.col("doc_id"), F.coalesce("text", F.lit("")), F.col("n_chars")
+    json = lambda **fields: F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()]))
+    made = lambda **fields: F.struct(*[v.alias(k) for k, v in fields.items()])
+    parts = F.array(made(text=F.concat(F.lit("  "), F.substring(t, 1, 9))), made(text=F.lit(None).cast("string")), made(text=F.concat(F.expr("substr(coalesce(text, ''), 10)"), F.lit("\n"))))
+    shapes = [
+        ("groq", 200, json(choices=F.array(made(message=made(content=t))), usage=made(prompt_tokens=n, completion_tokens=i % 50))),
+        ("google", 200, json(candidates=F.array(made(content=made(parts=parts))), usageMetadata=made(promptTokenCount=n, candidatesTokenCount=i % 50, thoughtsTokenCount=F.lit(3), totalTokenCount=n + i % 50 + 3))),
+        ("groq", 429, json(error=made(message=F.concat(F.lit("slow "), i.cast("string")), code=F.lit(7)))),
+        ("google", 400, json(error=F.lit("bad key"))),
+        ("groq", 500, F.concat(F.lit("upstream: "), t)),
+        ("google", 503, F.lit("")),
+        ("groq", 400, json(error=made(code=i))),
+        ("groq", 200, json(choices=F.array().cast("array<string>"))),
+        ("google", 200, F.lit('{"candidates":[{"content":{"parts":[{"text":" "},{"text":"\\n"}]}}]}')),
+    ]
+    pick = lambda at: F.element_at(F.array(*[F.lit(s[at]) if at < 2 else s[at] for s in shapes]), (i % 9).cast("int") + 1)
+    got = table(spark, d, "documents").select("doc_id", bodies.reply(pick(0), pick(1), pick(2)).alias("r"))
+    return got.select("doc_id", F.expr("transform(array(r), x -> named_struct('content', md5(encode(x.content, 'utf-8')), 'error', x.error, 'input_tokens', x.input_tokens, 'output_tokens', x.output_tokens, 'total_tokens', x.total_tokens))").alias("r")).select("doc_id", F.inline("r"))
+
+
 def _tail_sql(n: int) -> str:
     return f"""SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position FROM (
       SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 'assistant' ELSE 'user' END AS role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r
@@ -427,6 +499,37 @@ def _coverage_gaps(spark, d):
     return reports.coverage_gaps(_accepted_labels(spark, d).where("task_type <> 'math'"), "task_type", 30)
 
 
+_NUMBER = lambda n: f"format('{{:,}}', CAST({n} AS BIGINT))"
+_PERCENT = lambda share: f"format('{{:.2f}}', CAST({share} AS DOUBLE) * 100) || '%'"
+_TOLD = lambda section, lines: " UNION ALL ".join(f"SELECT {section}, '{i}', '{line}'" for i, line in enumerate(lines))
+_SPREAD = lambda section, title, name: f"""{_TOLD(section, ["", f"## {title} distribution", ""])} UNION ALL SELECT {section + 1}, {name}, '- ' || {name} || ': ' || {_NUMBER('count(*)')} || ' (' || {_PERCENT('count(*) / sum(count(*)) OVER ()')} || ')' FROM final GROUP BY {name}"""
+
+
+@query("summary_report", f"""WITH {_BATTLES}, {_PASSES}, {_RESOLVED}, final AS (SELECT * FROM resolved WHERE task_type IS NOT NULL AND task_type <> 'math'),
+    arena AS (SELECT count(*) AS n, coalesce(avg(CASE WHEN (CASE WHEN tie THEN false WHEN tier_a = 'strong' THEN win_a ELSE win_b END) THEN 1.0 ELSE 0.0 END), 0) AS share FROM reasoned WHERE reason = 'kept'), m AS (SELECT count(*) AS n FROM final),
+    high AS (SELECT coalesce(avg(CASE WHEN privacy = 'high' THEN 1.0 ELSE 0.0 END), 0) AS share FROM final),
+    gaps AS (SELECT t.task_type, count(final.doc_id) AS n FROM (SELECT unnest(list_value({sql_list(lx.TASK_TYPES)})) AS task_type) t LEFT JOIN final USING (task_type) GROUP BY t.task_type HAVING count(final.doc_id) < 500),
+    lines(section, place, line) AS ({_TOLD(0, ["# Phase 2 Dataset Summary", "", "Generated: 2026-01-01", "", "## Totals", ""])}
+      UNION ALL SELECT 1, '0', '- Arena preference records: ' || {_NUMBER('n')} FROM arena UNION ALL SELECT 1, '1', '- LMSYS labeled records: ' || {_NUMBER('n')} FROM m UNION ALL SELECT 1, '2', '- Combined records: ' || {_NUMBER('arena.n + m.n')} FROM arena, m
+      UNION ALL {_TOLD(2, ["", "## Arena funnel", ""])} UNION ALL SELECT 3, reason, '- ' || reason || ': ' || {_NUMBER('count(*)')} FROM reasoned GROUP BY reason
+      UNION ALL SELECT 4, '0', '' UNION ALL SELECT 5, '0', 'Strong-model win rate: ' || {_PERCENT('share')} || CASE WHEN share NOT BETWEEN 0.35 AND 0.65 THEN ' — FLAG: outside 35%-65%.' ELSE '' END FROM arena
+      UNION ALL {_TOLD(6, ["", "## LMSYS funnel", ""])} UNION ALL SELECT 7, w, '- ' || w || ': ' || {_NUMBER('count(*)')} FROM (SELECT CASE WHEN task_type IS NULL THEN 'rejected' ELSE 'accepted' END AS w FROM resolved) GROUP BY w
+      UNION ALL {_SPREAD(8, 'Task type', 'task_type')} UNION ALL {_SPREAD(10, 'Difficulty', 'difficulty')} UNION ALL {_SPREAD(12, 'Privacy', 'privacy')}
+      UNION ALL SELECT 14, '0', '' FROM high WHERE share < 0.08 UNION ALL SELECT 14, '1', '**FLAG:** High-privacy coverage is ' || {_PERCENT('share')} || ', below 8%.' FROM high WHERE share < 0.08
+      UNION ALL {_TOLD(15, ["", "## Coverage gaps", ""])} UNION ALL SELECT 16, task_type, '- ' || task_type || ': ' || {_NUMBER('n')} || ' records' FROM gaps
+      UNION ALL SELECT 17, '0', 'No task type has fewer than 500 records.' WHERE NOT EXISTS (SELECT 1 FROM gaps))
+    SELECT string_agg(line || chr(10), '' ORDER BY section, place) AS report FROM lines""")
+def _summary_report(spark, d):
+    """The report of battles and accepted labels, written as a text file and read again."""
+    path = _scratch(spark)
+    reasoned, own = curation.battle_reasons(battles(spark, d)), passes(spark, d)
+    accepted = _accepted_labels(spark, d)
+    resolved = own.select(F.when(lb.resolve_labels(F.col("label_a"), F.col("label_b")).isNull(), "rejected").otherwise("accepted").alias("counter"))
+    funnels = {"Arena funnel": relational.funnel(reasoned, "reason").withColumnRenamed("reason", "counter"), "LMSYS funnel": resolved.groupBy("counter").agg(F.count("*").alias("rows"))}
+    reports.write_summary(reports.summary_lines("2026-01-01", curation.preferences(reasoned), accepted.where("task_type <> 'math'"), funnels), path)
+    return spark.read.text(path, wholetext=True).select(F.col("value").alias("report"))
+
+
 @query("take_needed", f"WITH {_PASSES} SELECT doc_id FROM passes WHERE NOT lost_b AND task_a = task_b AND diff_a = diff_b AND priv_a = priv_b AND priv_a = 'high' ORDER BY doc_id LIMIT 10")
 def _take_needed(spark, d):
     return curation.take_needed(passes(spark, d), 10, "doc_id").select("doc_id")

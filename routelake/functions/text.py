@@ -15,6 +15,11 @@ PY_SPACE = r"[\s\x1c-\x1f]"
 JS_SPACE = r"[\t-\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 
 
+def bound(value: Column, body) -> Column:
+    """``body`` of the value, which is computed once; else each of its many uses would compute it again."""
+    return F.transform(F.array(value), body)[0]
+
+
 def collapse(text: Column) -> Column:
     """Runs of white space to one space, none at the ends."""
     return F.trim(F.regexp_replace(text, f"(?U){PY_SPACE}+", " "))
@@ -66,6 +71,21 @@ def user_turns(turns: Column) -> Column:
     return F.array_join(F.filter(F.transform(own, lambda t: sanitize_prompt(t["text"])), lambda x: x != ""), "\n\n")
 
 
+def listed_user_turns(prompt: Column) -> Column:
+    """As ``user_turns`` for a VARIANT: a text, sanitised, or a list of texts and objects in any mixture.
+
+    A text in the list counts whatever its place, an object by its ``role`` (else ``from``); all
+    else, and a prompt that is neither, gives no text.
+    """
+    kind = lambda v: F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
+    role = lambda m: message_role(F.try_variant_get(m, "$.role", "string"), F.try_variant_get(m, "$.from", "string"))
+    items = F.when(kind(prompt).startswith("ARRAY"), F.try_variant_get(prompt, "$", "array<variant>"))
+    own = F.filter(items, lambda m: (kind(m) == "STRING") | (kind(m).startswith("OBJECT") & role(m).isin("", "user", "human")))
+    texts = F.filter(F.transform(own, lambda m: sanitize_prompt(message_text(m))), lambda x: x != "")
+    alone = F.when(kind(prompt) == "STRING", sanitize_prompt(F.try_variant_get(prompt, "$", "string")))
+    return F.coalesce(alone, F.array_join(texts, "\n\n"), F.lit(""))
+
+
 def normalized_language(language: Column) -> Column:
     return F.translate(F.lower(collapse(F.coalesce(language, F.lit("")))), "_", "-")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,26 +56,58 @@ def markdown(title: str, sections: dict[str, DataFrame]) -> str:
     return "\n".join(lines)
 
 
-def summary(date: str, arena: DataFrame, final: DataFrame, funnels: dict[str, DataFrame], floor: int = 500) -> str:
-    """The data set's report in Markdown: totals, funnels (counter, rows), distributions, flags and coverage gaps.
+def summary_lines(date: str, arena: DataFrame, final: DataFrame, funnels: dict[str, DataFrame], floor: int = 500) -> DataFrame:
+    """The data set's report in Markdown as (section, place, line): totals, funnels (counter, rows), distributions, flags and coverage gaps.
 
-    ``arena`` has strong_wins, ``final`` task_type, difficulty and privacy; only their aggregates are collected.
+    ``arena`` has strong_wins, ``final`` task_type, difficulty and privacy.  Sections and the places
+    in them order the lines; the first funnel is followed by the strong models' win rate.
+    Empty tables give zeros and sections without lines.
     """
-    wins = rate(arena, F.col("strong_wins"), 0.35, 0.65).first()
-    spreads = distribution(final, ["task_type", "difficulty", "privacy"]).orderBy("dimension", "value").collect()
-    n = sum(r["rows"] for r in spreads if r["dimension"] == "task_type")
-    high = sum(r["share"] for r in spreads if r["dimension"] == "privacy" and r["value"] == "high")
-    gaps = coverage_gaps(final, "task_type", floor).orderBy("task_type").collect()
-    bullets = lambda table: [f"- {r['counter']}: {r['rows']:,}" for r in table.orderBy("counter").collect()]
-    lines = ["# Phase 2 Dataset Summary", "", f"Generated: {date}", "", "## Totals", ""]
-    lines += [f"- Arena preference records: {wins['rows']:,}", f"- LMSYS labeled records: {n:,}", f"- Combined records: {wins['rows'] + n:,}"]
-    for title, table in funnels.items():
-        lines += ["", f"## {title}", "", *bullets(table)]
-    lines += ["", f"Strong-model win rate: {wins['share']:.2%}" + (" — FLAG: outside 35%-65%." if wins["flagged"] else "")]
+    spark = arena.sparkSession
+    thousands = lambda n: F.format_number(n, 0)
+    percent = lambda share: F.concat(F.format_number(share * 100, 2), F.lit("%"))
+    out: list[DataFrame] = []
+
+    def told(*lines: str) -> None:
+        out.append(spark.createDataFrame([(len(out), f"{i:04d}", line) for i, line in enumerate(lines)], "section int, place string, line string"))
+
+    def add(rows: DataFrame, place, *lines) -> None:
+        """Lines of each row; null lines are left out."""
+        numbered = F.array(*[F.struct(F.concat_ws(" ", place, F.lit(f"{i:04d}")).alias("place"), line.alias("line")) for i, line in enumerate(lines)])
+        out.append(rows.select(F.lit(len(out)).alias("section"), F.explode(numbered).alias("_l")).select("section", "_l.place", "_l.line").where("line is not null"))
+
+    wins = rate(arena, F.col("strong_wins"), 0.35, 0.65)
+    spreads = distribution(final, ["task_type", "difficulty", "privacy"])
+    told("# Phase 2 Dataset Summary", "", f"Generated: {date}", "", "## Totals", "")
+    totals = wins.select(F.col("rows").alias("a")).crossJoin(final.agg(F.count("*").alias("n")))  # one row each
+    bullet = lambda name, n: F.concat(F.lit(f"- {name}: "), thousands(n))
+    add(totals, F.lit(""), bullet("Arena preference records", F.col("a")), bullet("LMSYS labeled records", F.col("n")), bullet("Combined records", F.col("a") + F.col("n")))
+    for at, (title, table) in enumerate(funnels.items()):
+        told("", f"## {title}", "")
+        add(table, F.col("counter"), F.concat(F.lit("- "), F.col("counter"), F.lit(": "), thousands(F.col("rows"))))
+        if not at:
+            told("")
+            add(wins, F.lit(""), F.concat(F.lit("Strong-model win rate: "), percent(F.col("share")), F.when(F.col("flagged"), " — FLAG: outside 35%-65%.").otherwise("")))
     for title, name in (("Task type", "task_type"), ("Difficulty", "difficulty"), ("Privacy", "privacy")):
-        lines += ["", f"## {title} distribution", "", *(f"- {r['value']}: {r['rows']:,} ({r['share']:.2%})" for r in spreads if r["dimension"] == name)]
-    if high < 0.08:
-        lines += ["", f"**FLAG:** High-privacy coverage is {high:.2%}, below 8%."]
-    present = [f"- {r['task_type']}: {r['rows']:,} records" for r in gaps]
-    lines += ["", "## Coverage gaps", "", *(present or [f"No task type has fewer than {floor} records."])]
-    return "\n".join(lines) + "\n"
+        told("", f"## {title} distribution", "")
+        line = F.concat(F.lit("- "), F.col("value"), F.lit(": "), thousands(F.col("rows")), F.lit(" ("), percent(F.col("share")), F.lit(")"))
+        add(spreads.where(F.col("dimension") == name), F.col("value"), line)
+    high = final.agg(F.coalesce(F.avg(F.coalesce(F.col("privacy") == "high", F.lit(False)).cast("int")), F.lit(0.0)).alias("share"))
+    low = F.col("share") < 0.08
+    add(high, F.lit(""), F.when(low, ""), F.when(low, F.concat(F.lit("**FLAG:** High-privacy coverage is "), percent(F.col("share")), F.lit(", below 8%."))))
+    told("", "## Coverage gaps", "")
+    gaps = coverage_gaps(final, "task_type", floor)
+    add(gaps, F.col("task_type"), F.concat(F.lit("- "), F.col("task_type"), F.lit(": "), thousands(F.col("rows")), F.lit(" records")))
+    add(gaps.agg(F.count("*").alias("n")), F.lit(""), F.when(F.col("n") == 0, f"No task type has fewer than {floor} records."))
+    return reduce(DataFrame.unionByName, out)
+
+
+def write_summary(lines: DataFrame, path: str) -> None:
+    """The lines of a report, some dozens, as one text file."""
+    lines.coalesce(1).sortWithinPartitions("section", "place").select("line").write.mode("overwrite").text(path)
+
+
+def summary(date: str, arena: DataFrame, final: DataFrame, funnels: dict[str, DataFrame], floor: int = 500) -> str:
+    """The report of ``summary_lines`` as a text."""
+    rows = summary_lines(date, arena, final, funnels, floor).orderBy("section", "place").collect()
+    return "\n".join(r["line"] for r in rows) + "\n"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from routelake.functions import lexicon as lx
 from routelake.functions.rules import contains_any
+from routelake.functions.text import bound
 from routelake.operators.relational import small
 
 
@@ -15,15 +16,10 @@ def router_tokens(text: Column, char_ngrams: tuple[int, int] | None = None) -> C
 
     def tokens(every: Column) -> Column:
         words = F.filter(every, lambda w: (F.length(w) > 1) & ~w.isin(lx.STOP_WORDS))
-        own = _bound(F.struct(F.array_join(every, " ").alias("flat"), words.alias("words")), lambda x: _tokens(x["flat"], x["words"], char_ngrams))
+        own = bound(F.struct(F.array_join(every, " ").alias("flat"), words.alias("words")), lambda x: _tokens(x["flat"], x["words"], char_ngrams))
         return F.when(F.size(every) == 0, F.array().cast("array<string>")).otherwise(own)
 
-    return _bound(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9+#.]+"), F.lit(0)), tokens)
-
-
-def _bound(value: Column, body) -> Column:
-    """``body`` of the value, which is computed once; else each of its many uses would compute it again."""
-    return F.transform(F.array(value), body)[0]
+    return bound(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9+#.]+"), F.lit(0)), tokens)
 
 
 def _tokens(flat: Column, words: Column, char_ngrams: tuple[int, int] | None) -> Column:
@@ -58,9 +54,9 @@ def counted(tokens: Column) -> Column:
     def runs(a: Column) -> Column:
         starts = F.filter(F.sequence(F.lit(1), F.size(a)), lambda i: (i == 1) | (F.element_at(a, i) != F.element_at(a, F.greatest(i - 1, F.lit(1)))))
         ends = lambda s: F.concat(F.slice(s, 2, F.greatest(F.size(s) - 1, F.lit(0))), F.array(F.size(a) + 1))
-        return _bound(starts, lambda s: F.zip_with(s, ends(s), lambda i, j: F.struct(F.element_at(a, i).alias("token"), (j - i).cast("long").alias("n"))))
+        return bound(starts, lambda s: F.zip_with(s, ends(s), lambda i, j: F.struct(F.element_at(a, i).alias("token"), (j - i).cast("long").alias("n"))))
 
-    return F.when(F.size(tokens) > 0, _bound(F.array_sort(tokens), runs)).otherwise(F.array().cast("array<struct<token:string,n:bigint>>"))
+    return F.when(F.size(tokens) > 0, bound(F.array_sort(tokens), runs)).otherwise(F.array().cast("array<struct<token:string,n:bigint>>"))
 
 
 def token_counts(prompts: DataFrame, id_col: str, tokens: str) -> DataFrame:
