@@ -1183,11 +1183,11 @@ def _render_inline(spark, d):
     return own.select("doc_id", text.render_inline(F.col("text")).alias("html"))
 
 
-_CODE_SQL = """'<div class="code-block"><div class="code-header"><span>py</span><button class="copy-code" type="button" data-copy-code>Copy</button></div><pre><code>'"""
+_CODE_SQL = f"'{text.CODE_BLOCK[0]}py{text.CODE_BLOCK[1]}'"
 
 
 @query("render_markdown", f"""SELECT doc_id, '<h2>' || a || '</h2><p>' || b || ' <strong>' || c || '</strong></p><ul><li>' || a || '</li><li><code>' || b || '</code></li></ul><ol><li>' || c || '</li><li>' || e || '</li></ol><blockquote>' || a || '</blockquote><hr><h4>' || b || '</h4>'
-    || {_CODE_SQL} || a || ' &lt; *' || b || '*' || chr(10) || '# ' || c || '</code></pre></div><p>' || e || ' ' || a || '</p>' AS html FROM {_H}""")
+    || {_CODE_SQL} || a || ' &lt; *' || b || '*' || chr(10) || '# ' || c || '{text.CODE_BLOCK[2]}<p>' || e || ' ' || a || '</p>' AS html FROM {_H}""")
 def _render_markdown(spark, d):
     own = _marked(spark, d, "# ", "a", "\n", "b", "\r\n**", "c", "**\n\n- ", "a", "\n* `", "b", "`\n1. ", "c", "\n2) ", "e", "\n> ", "a", "\n---\n#### ", "b", "\n```py\n", "a", " < *", "b", "*\n# ", "c", "\n```\n", "e", "\n", "a")
     return own.select("doc_id", text.render_markdown(F.col("text")).alias("html"))

@@ -239,6 +239,22 @@ def markdown_blocks(text: Column) -> Column:
     return parsed(text)
 
 
+#: What stands before a code block's language, between it and the code, and after that.  Fixed values.
+CODE_BLOCK = (
+    '''
+    <div class="code-block">
+      <div class="code-header">
+        <span>''',
+    '''</span>
+        <button class="copy-code" type="button" data-copy-code>Copy</button>
+      </div>
+      <pre><code>''',
+    '''</code></pre>
+    </div>
+  ''',
+)
+
+
 def render_markdown(text: Column) -> Column:
     """Markdown as HTML, block by block."""
 
@@ -248,10 +264,8 @@ def render_markdown(text: Column) -> Column:
     def html(block: Column) -> Column:
         kind, lines = block["kind"], block["lines"]
         items = F.array_join(F.transform(lines, lambda x: tag(F.lit("li"), render_inline(x))), "")
-        code = F.concat(
-            F.lit('<div class="code-block"><div class="code-header"><span>'), escape_html(lines[0]),
-            F.lit('</span><button class="copy-code" type="button" data-copy-code>Copy</button></div><pre><code>'), escape_html(F.try_element_at(lines, F.lit(2))), F.lit("</code></pre></div>"),
-        )
+        before, between, after = CODE_BLOCK
+        code = F.concat(F.lit(before), escape_html(lines[0]), F.lit(between), escape_html(F.try_element_at(lines, F.lit(2))), F.lit(after))
         return F.when(kind == "hr", F.lit("<hr>")).when(kind == "code", code).when(kind.isin("ul", "ol"), tag(kind, items)).otherwise(tag(kind, render_inline(F.array_join(lines, " "))))
 
     return F.array_join(F.transform(markdown_blocks(text), html), "")
