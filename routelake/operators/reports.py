@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from routelake.functions import lexicon as lx
+from routelake.session import staged
 
 
 def distribution(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -61,7 +62,8 @@ def summary_lines(date: str, arena: DataFrame, final: DataFrame, funnels: dict[s
 
     ``arena`` has strong_wins, ``final`` task_type, difficulty and privacy.  Sections and the places
     in them order the lines; the first funnel is followed by the strong models' win rate.
-    Empty tables give zeros and sections without lines.
+    Empty tables give zeros and sections without lines.  The rate, the distributions and the gaps are
+    staged, a few rows each, so that ``arena`` is read once and ``final`` twice.
     """
     spark = arena.sparkSession
     thousands = lambda n: F.format_number(n, 0)
@@ -76,10 +78,13 @@ def summary_lines(date: str, arena: DataFrame, final: DataFrame, funnels: dict[s
         numbered = F.array(*[F.struct(F.concat_ws(" ", place, F.lit(f"{i:04d}")).alias("place"), line.alias("line")) for i, line in enumerate(lines)])
         out.append(rows.select(F.lit(len(out)).alias("section"), F.explode(numbered).alias("_l")).select("section", "_l.place", "_l.line").where("line is not null"))
 
-    wins = rate(arena, F.col("strong_wins"), 0.35, 0.65)
-    spreads = distribution(final, ["task_type", "difficulty", "privacy"])
+    wins = staged(rate(arena, F.col("strong_wins"), 0.35, 0.65), "report-wins")
+    spreads = staged(distribution(final, ["task_type", "difficulty", "privacy"]), "report-spreads")
+    gaps = staged(coverage_gaps(final, "task_type", floor), "report-gaps")
+    n = F.coalesce(F.sum(F.when(F.col("dimension") == "task_type", F.col("rows"))), F.lit(0))
+    high = F.coalesce(F.sum(F.when((F.col("dimension") == "privacy") & (F.col("value") == "high"), F.col("share"))), F.lit(0.0))
     told("# Phase 2 Dataset Summary", "", f"Generated: {date}", "", "## Totals", "")
-    totals = wins.select(F.col("rows").alias("a")).crossJoin(final.agg(F.count("*").alias("n")))  # one row each
+    totals = wins.select(F.col("rows").alias("a")).crossJoin(spreads.agg(n.alias("n")))  # one row each
     bullet = lambda name, n: F.concat(F.lit(f"- {name}: "), thousands(n))
     add(totals, F.lit(""), bullet("Arena preference records", F.col("a")), bullet("LMSYS labeled records", F.col("n")), bullet("Combined records", F.col("a") + F.col("n")))
     for at, (title, table) in enumerate(funnels.items()):
@@ -92,11 +97,9 @@ def summary_lines(date: str, arena: DataFrame, final: DataFrame, funnels: dict[s
         told("", f"## {title} distribution", "")
         line = F.concat(F.lit("- "), F.col("value"), F.lit(": "), thousands(F.col("rows")), F.lit(" ("), percent(F.col("share")), F.lit(")"))
         add(spreads.where(F.col("dimension") == name), F.col("value"), line)
-    high = final.agg(F.coalesce(F.avg(F.coalesce(F.col("privacy") == "high", F.lit(False)).cast("int")), F.lit(0.0)).alias("share"))
     low = F.col("share") < 0.08
-    add(high, F.lit(""), F.when(low, ""), F.when(low, F.concat(F.lit("**FLAG:** High-privacy coverage is "), percent(F.col("share")), F.lit(", below 8%."))))
+    add(spreads.agg(high.alias("share")), F.lit(""), F.when(low, ""), F.when(low, F.concat(F.lit("**FLAG:** High-privacy coverage is "), percent(F.col("share")), F.lit(", below 8%."))))
     told("", "## Coverage gaps", "")
-    gaps = coverage_gaps(final, "task_type", floor)
     add(gaps, F.col("task_type"), F.concat(F.lit("- "), F.col("task_type"), F.lit(": "), thousands(F.col("rows")), F.lit(" records")))
     add(gaps.agg(F.count("*").alias("n")), F.lit(""), F.when(F.col("n") == 0, f"No task type has fewer than {floor} records."))
     return reduce(DataFrame.unionByName, out)
