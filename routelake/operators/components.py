@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,3 +37,17 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", name: str
     found = following.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = found.select(F.col("component").alias("node"), "component").distinct()
     return found.unionByName(roots).unionByName(loops.join(found, "node", "left_anti").join(roots, "node", "left_anti")).distinct()
+
+
+def local_components(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest node reachable from each of n nodes over links (i, j), in a task."""
+    root = np.arange(n)
+    while True:
+        a, b = root[i], root[j]
+        apart = a != b
+        if not apart.any():
+            return root
+        i, j = i[apart], j[apart]
+        np.minimum.at(root, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while (root != (further := root[root])).any():
+            root = further
