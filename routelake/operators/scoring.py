@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -197,44 +200,130 @@ def load_router_model(spark: SparkSession, path: str) -> dict | None:
     return found if found and isinstance(found.get("targets"), list) else None
 
 
+class _Classifier:
+    """A classifier of a router model: its labels, what each token weighs for them, and the sums that its scores need."""
+
+    def __init__(self, number: int, kind: str, model: dict):
+        self.number, self.kind, self.model = number, kind, model
+        self.names = sorted(model["labels"])
+        if len(self.names) > MOST_LABELS:
+            raise ValueError(f"a classifier with over {MOST_LABELS} labels")
+        self.idf = model.get("idf") or {}
+        if kind == "linear_classifiers":
+            self.values = {name: model["coefficients"].get(name, {}) for name in self.names}
+        else:
+            inner = "centroid" if kind == "centroid_classifiers" else "token_log_likelihoods"
+            self.values = {name: model["classes"][name][inner] for name in self.names}
+
+    @property
+    def schema(self) -> str:
+        return f"idf{self.number} double, values{self.number} array<double>"
+
+    def cells(self, token: str) -> tuple:
+        """A token's inverse frequency and values by label, null where there is none."""
+        found = [None if (v := self.values[name].get(token)) is None else float(v) for name in self.names]
+        return (None if (v := self.idf.get(token)) is None else float(v), found if any(v is not None for v in found) else None)
+
+    def sums(self) -> list[Column]:
+        k = self.number
+        value = lambda i: F.get(f"values{k}", F.lit(i))
+        if self.kind == "classifiers":
+            return [F.sum(F.col("n") * F.coalesce(value(i), F.lit(float(self.model["classes"][name]["unknown_log_likelihood"])))).alias(f"_{k}_{i}") for i, name in enumerate(self.names)]
+        weight = (1 + F.log(F.col("n"))) * F.col(f"idf{k}")
+        own = [F.sum(weight * value(i)).alias(f"_{k}_{i}") for i in range(len(self.names))]
+        return [*own, F.sqrt(F.sum(weight * weight)).alias(f"_{k}_norm"), F.count(f"idf{k}").alias(f"_{k}_known")]
+
+    def scores(self) -> Column:
+        """The labels' scores as an array, of a prompt's sums."""
+        k = self.number
+        if self.kind == "classifiers":
+            return F.array(*[F.lit(float(self.model["classes"][name]["log_prior"])) + F.coalesce(F.col(f"_{k}_{i}"), F.lit(0.0)) for i, name in enumerate(self.names)])
+        first = lambda name: float(self.model["intercepts"][name]) if self.kind == "linear_classifiers" else 0.0
+        return F.array(*[F.lit(first(name)) + F.coalesce(F.when(F.col(f"_{k}_norm") > 0, F.col(f"_{k}_{i}") / F.col(f"_{k}_norm")), F.lit(0.0)) for i, name in enumerate(self.names)])
+
+
+def _shares(scores: Column, temperature: float = 1.0) -> Column:
+    """Shares by exp((score - best) / temperature), of an array."""
+    shifted = bound(scores, lambda own: bound(F.array_max(own), lambda most: F.transform(own, lambda x: F.exp((x - most) / temperature))))
+    return bound(shifted, lambda e: bound(F.aggregate(e, F.lit(0.0), lambda t, x: t + x), lambda total: F.transform(e, lambda x: x / total)))
+
+
+def _weighted(parts: list[tuple[_Classifier, float, float]], names: list[str]) -> Column:
+    """The weighted sum of the shares of classifiers (each with its temperature and weight), for each label of any."""
+
+    def summed(shares: Column) -> Column:
+        terms = lambda name: [shares[i][c.names.index(name)] * weight for i, (c, _, weight) in enumerate(parts) if name in c.names]
+        return F.array(*[reduce(add, terms(name)) for name in names])
+
+    return bound(F.array(*[_shares(c.scores(), temperature) for c, temperature, _ in parts]), summed)
+
+
+def _ranked(shares: Column, names: list[str]) -> Column:
+    """Structs (minus, label), the best first, ties by name."""
+    return F.array_sort(F.zip_with(shares, F.array(*[F.lit(n) for n in names]), lambda p, n: F.struct((-p).alias("minus"), n.alias("label"))))
+
+
+def _found(shares: Column, names: list[str], linear: _Classifier | None) -> Column:
+    """label, confidence, margin, coverage, entropy and alternatives of a prompt; only a linear classifier tells margin, coverage and entropy."""
+    none = F.lit(None).cast("double")
+
+    def told(p: Column) -> Column:
+        def best(r: Column) -> Column:
+            entropy = F.aggregate(p, F.lit(0.0), lambda s, x: s - F.when(x > 0, x * F.log(x)).otherwise(0.0)) / F.log(F.lit(float(len(names))))
+            more = (F.try_element_at(r, F.lit(2))["minus"] - r[0]["minus"], F.when(F.col("_all") > 0, F.col(f"_{linear.number}_known") / F.col("_all")).otherwise(0.0), entropy) if linear else (none,) * 3
+            columns = [r[0]["label"], -r[0]["minus"], *more, F.transform(F.slice(r, 2, 2), lambda x: x["label"])]
+            return F.struct(*[c.alias(n) for c, n in zip(columns, ("label", "confidence", "margin", "coverage", "entropy", "alternatives"), strict=True)])
+
+        return bound(_ranked(p, names), best)
+
+    return bound(shares, told)
+
+
 def predict_with_model(prompts: DataFrame, id_col: str, text: str, model: dict | None) -> DataFrame:
     """``prompts`` with label, confidence, margin, coverage and entropy of each of the model's targets as ``<target>_label`` and so on.
 
     A target's linear classifier predicts if there is one, else centroids with naive Bayes beside
     them, else naive Bayes alone; what a classifier does not tell is null.  Without a model, or
     without any classifier in it, ``prompts`` come back as they are.
+
+    Texts are taken apart once: a token meets one table with what it weighs in all classifiers,
+    one aggregation gives a prompt the sums of them all, and what follows happens within a row.
     """
     kinds = ("linear_classifiers", "classifiers", "centroid_classifiers")
     if not model or not any(model.get(kind) for kind in kinds):
         return prompts
     spark, ngrams = prompts.sparkSession, (model.get("preprocessing") or {}).get("char_ngrams")
-    tokens = prompts.select(id_col, router_tokens(F.col(text), tuple(ngrams) if ngrams else None).alias("_tokens"))
-    counts = token_counts(tokens, id_col, "_tokens")
-    ensemble = model.get("ensemble") or {}
-    table = lambda rows, schema: spark.createDataFrame(rows, schema)
-    by_token = lambda of, name: table([(label, token, float(v)) for label, own in of.items() for token, v in own.items()], f"label string, token string, {name} double")
-    idf_of = lambda c: table([(t, float(v)) for t, v in c["idf"].items()], "token string, idf double")
-    out = prompts
+    held: list[_Classifier] = []
+
+    def classifier(kind: str, target: str) -> _Classifier | None:
+        """The classifier of a target; equal ones are held once."""
+        own = (model.get(kind) or {}).get(target)
+        if own and not (known := [c for c in held if c.kind == kind and c.model == own]):
+            held.append(known := _Classifier(len(held), kind, own))
+            return known
+        return known[0] if own else None
+
+    ensemble, columns = model.get("ensemble") or {}, {}
     for target in model["targets"]:
-        linear, bayes, centroid = ((model.get(kind) or {}).get(target) for kind in kinds)
-        if linear:
-            labels = table([(label, float(linear["intercepts"][label])) for label in linear["labels"]], "label string, intercept double")
-            found = predict_linear(prompts, counts, id_col, idf_of(linear), labels, by_token(linear["coefficients"], "coefficient"), float(linear.get("temperature") or 1))
-        elif bayes or centroid:
-            scores, shares = None, None
-            if bayes:
-                labels = table([(n, float(bayes["classes"][n]["log_prior"]), float(bayes["classes"][n]["unknown_log_likelihood"])) for n in bayes["labels"]], "label string, log_prior double, unknown double")
-                scores = naive_bayes_scores(prompts, counts, id_col, labels, by_token({n: bayes["classes"][n]["token_log_likelihoods"] for n in bayes["labels"]}, "log_likelihood"))
-            if centroid:
-                names = table([(n,) for n in centroid["labels"]], "label string")
-                near = centroid_scores(prompts, tfidf(counts, id_col, idf_of(centroid)), id_col, names, by_token({n: centroid["classes"][n]["centroid"] for n in centroid["labels"]}, "value"))
-                shares = hybrid(scores, near, id_col, ensemble.get("naive_bayes_weight", 0.15), ensemble.get("centroid_weight", 1.0))
-            else:
-                shares = softmax(scores, id_col, out="confidence").select(id_col, "label", "confidence")
-            unknown = F.lit(None).cast("double")
-            found = best_label(shares, id_col, "confidence").withColumns({"margin": unknown, "coverage": unknown, "normalized_entropy": unknown})
-        else:
+        if linear := classifier(kinds[0], target):
+            columns[target] = _found(_shares(linear.scores(), float(linear.model.get("temperature") or 1)), linear.names, linear)
             continue
-        named = {"label": "label", "confidence": "confidence", "margin": "margin", "coverage": "coverage", "normalized_entropy": "entropy", "alternatives": "alternatives"}
-        out = out.join(found.select(F.col(id_col).alias("_id"), *[F.col(k).alias(f"{target}_{v}") for k, v in named.items()]), F.col(id_col).eqNullSafe(F.col("_id")), "left").drop("_id")
-    return out
+        bayes, centroid = (classifier(kind, target) for kind in kinds[1:])
+        if centroid:
+            both = [(centroid, 0.18, ensemble.get("centroid_weight", 1.0)), *([(bayes, 1.0, ensemble.get("naive_bayes_weight", 0.15))] if bayes else [])]
+            names = sorted({name for c, *_ in both for name in c.names})
+            columns[target] = _found(_weighted(both, names), names, None)
+        elif bayes:
+            columns[target] = _found(_shares(bayes.scores()), bayes.names, None)
+    if not columns:
+        return prompts
+    tokens = sorted({t for c in held for t in [*c.idf, *(t for own in c.values.values() for t in own)]})
+    schema = ", ".join(["token string", *(c.schema for c in held)])
+    by_token = spark.createDataFrame([(t, *(cell for c in held for cell in c.cells(t))) for t in tokens], schema)
+    apart = prompts.select(id_col, router_tokens(F.col(text), tuple(ngrams) if ngrams else None).alias("_tokens"))
+    counts = apart.select(id_col, F.explode_outer(counted(F.col("_tokens"))).alias("_c")).select(id_col, "_c.token", "_c.n")
+    sums = counts.join(small(by_token), "token", "left").groupBy(id_col).agg(F.count("token").alias("_all"), *[s for c in held for s in c.sums()])
+    found = sums.select(F.col(id_col).alias("_id"), *[column.alias(f"_of_{target}") for target, column in columns.items()])
+    parts = ("label", "confidence", "margin", "coverage", "entropy", "alternatives")
+    found = found.select("_id", *[F.col(f"_of_{target}")[part].alias(f"{target}_{part}") for target in columns for part in parts])
+    return prompts.join(found, F.col(id_col).eqNullSafe(F.col("_id")), "left").drop("_id")
