@@ -21,11 +21,37 @@ def _stack(column: pd.Series, width: int) -> np.ndarray:
     return np.array([np.asarray(v, dtype=np.float64) for v in column]).reshape(-1, width)
 
 
+#: Rows and centres that meet at a time, and centres that a portion (one array in a task) has at most.
+ROWS, MEET, PORTION = 256, 1024, 4096
+#: Pairs that are compared by differences at a time.
+FULL = 16384
+
+
 def nearest_centre(m: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each row's nearest centre, the first of equal ones, and its squared distance."""
-    apart = ((m[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2)
-    near = apart.argmin(axis=1)
-    return near, apart[np.arange(len(m)), near]
+    """Each row's nearest centre, the first of equal ones, and its squared distance.
+
+    Squared lengths and a product give the distances up to rounding; only the centres that
+    it leaves in doubt are compared by differences.  Some rows meet some centres at a time.
+    """
+    near, apart = np.zeros(len(m), dtype=np.int64), np.full(len(m), np.inf)
+    for at in range(0, len(m), ROWS):
+        x = m[at : at + ROWS]
+        own, best = near[at : at + ROWS], apart[at : at + ROWS]
+        for c in range(0, len(centres), MEET):
+            part = centres[c : c + MEET]
+            lengths = (x**2).sum(axis=1)[:, None] + (part**2).sum(axis=1)
+            about = lengths - 2 * (x @ part.T)
+            off = (m.shape[1] + 8) * 2.0**-50 * lengths
+            least = np.minimum((about + off).min(axis=1), best)
+            i, j = np.nonzero(~(about - off > least[:, None]))
+            for d in range(0, len(i), FULL):
+                u, v = i[d : d + FULL], j[d : d + FULL]
+                exact = ((x[u] - part[v]) ** 2).sum(axis=1)
+                order = np.lexsort((v, exact, u))
+                first = order[np.flatnonzero(np.diff(u[order], prepend=-1))]
+                closer = first[exact[first] < best[u[first]]]  # equal ones before stay
+                own[u[closer]], best[u[closer]] = v[closer] + c, exact[closer]
+    return near, apart
 
 
 def first_centres(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -106,21 +132,38 @@ def _sums(rows: DataFrame, centres: np.ndarray, width: int) -> tuple[np.ndarray,
 def assigned(df: DataFrame, vector: str, centres: DataFrame, out: str = "cluster_id") -> DataFrame:
     """``df`` with its nearest centre, of a table (cluster_id, centre); the smaller number of equal ones, null for a null vector.
 
-    The centres are a few hundred rows; they go to all tasks as one array, and no row moves.
+    Centres are packed into portions of bounded size, each a row.  A row of ``df`` keeps the
+    best it has met while the portions come one after the other, and no row of ``df`` moves.
+    The driver takes a portion at a time and hands it to the tasks as an array.
     """
-    held = sorted((r["cluster_id"], list(r["centre"])) for r in centres.select("cluster_id", "centre").collect())
-    if not held:
-        return df.withColumn(out, F.lit(None).cast("int"))
-    numbers, places = np.array([i for i, _ in held], dtype=np.int32), np.array([c for _, c in held], dtype=np.float64)
-
-    @F.pandas_udf("int")
-    def near(column: pd.Series) -> pd.Series:
-        known = column.notna()
-        found = pd.array([None] * len(column), dtype="Int32")
-        rows = column[known]
-        spots = np.nonzero(known.to_numpy())[0]
-        for at in range(0, len(rows), 256):
-            found[spots[at : at + 256]] = numbers[nearest_centre(_stack(rows.iloc[at : at + 256], places.shape[1]), places)[0]]
-        return pd.Series(found)
-
-    return df.withColumn(out, near(F.col(vector)))
+    numbered = centres.select("cluster_id", "centre").where("cluster_id is not null and centre is not null")
+    found = df.withColumn(out, F.lit(None).cast("int")).withColumn("_apart", F.lit(None).cast("double"))
+    after = None
+    while True:
+        rest = numbered if after is None else numbered.where(F.col("cluster_id") > after)
+        held = sorted((r["cluster_id"], list(r["centre"])) for r in rest.orderBy("cluster_id").limit(PORTION).collect())
+        if not held:
+            break
+        met = _nearer(np.array([i for i, _ in held], dtype=np.int32), np.array([c for _, c in held], dtype=np.float64))
+        found = found.withColumn("_met", met(F.col(vector), F.col(out), F.col("_apart"))).withColumns({out: F.col("_met.number"), "_apart": F.col("_met.apart")}).drop("_met")
+        after = held[-1][0]
+    return found.drop("_apart")
+
+
+def _nearer(numbers: np.ndarray, places: np.ndarray):
+    """The nearest centre of those so far and of a portion, as number and squared distance."""
+
+    @F.pandas_udf("number int, apart double")
+    def near(column: pd.Series, number: pd.Series, apart: pd.Series) -> pd.DataFrame:
+        known = column.notna().to_numpy()
+        best, least = number.astype("Int32"), apart.astype("float64").to_numpy(copy=True)
+        spots = np.flatnonzero(known)
+        for at in range(0, len(spots), ROWS):
+            some = spots[at : at + ROWS]
+            which, distance = nearest_centre(_stack(column.iloc[some], places.shape[1]), places)
+            closer = ~(distance >= least[some])  # none so far: nan
+            best.iloc[some[closer]] = numbers[which[closer]]
+            least[some[closer]] = distance[closer]
+        return pd.DataFrame({"number": best, "apart": least})
+
+    return near
